@@ -57,7 +57,8 @@ def iso(c: Column) -> Column:
 
 
 def base_day(name: str) -> Column:
-    return F.date_add(F.lit("2024-01-01").cast("date"), mod(name, 20).cast("int"))
+    """Days spread over 2024-01-01 to 2024-01-20."""
+    return F.date_add(F.lit("2024-01-01").cast("date"), F.expr(f"cast(({name} div 7) % 20 as int)"))
 
 
 def items(t: Tables) -> DataFrame:
