@@ -11,6 +11,10 @@ from pyspark.sql import Column, functions as F
 WHITESPACE = (r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a"
               r"\u2028\u2029\u202f\u205f\u3000")
 
+# The same characters as a plain set.
+_WHITESPACE_CHARS = ("\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+                     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a bound variable.
@@ -24,12 +28,18 @@ def let(value: Column, body) -> Column:
 
 
 def collapse_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{WHITESPACE}]+", " ")
+    """Every run of whitespace becomes one space.
+
+    The pattern passes over lone spaces, which are most of the runs in ordinary
+    text, and rules out printable ASCII before the long class is looked at.
+    """
+    run = f" [[^!-~]&&[{WHITESPACE}]][{WHITESPACE}]*|[[^ -~]&&[{WHITESPACE}]][{WHITESPACE}]*"
+    return F.regexp_replace(c, run, " ")
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of whitespace from both ends."""
-    return F.regexp_replace(c, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.btrim(c, F.lit(_WHITESPACE_CHARS))
 
 
 def is_blank(c: Column) -> Column:

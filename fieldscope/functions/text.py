@@ -39,6 +39,7 @@ def unescape(c: Column) -> Column:
     native = c
     for entity, char in NATIVE_ENTITIES:
         native = F.replace(native, F.lit(entity), F.lit(char))
+    native = F.when(F.contains(c, F.lit("&")), native).otherwise(c)
     full = _unescape_all(F.when(c.rlike(_NEEDS_FULL_DECODER), c))
     return F.coalesce(full, native)
 

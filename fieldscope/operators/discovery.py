@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldscope.functions.identity import clean_doi
 from fieldscope.functions.text import last_segment
-from fieldscope.operators.groups import keep_first
+from fieldscope.operators.groups import keep_first, materialize
 from fieldscope.settings import AUTHOR_LABEL, CITES_LABEL, DiscoverySettings
 
 
@@ -83,9 +83,11 @@ def discover(works: DataFrame, library: DataFrame, citations: DataFrame, authors
     """New works that cite the library or come from its main authors, without
     the library itself.  The citing label wins where both apply.
 
-    Candidate ids are small against the works table, so they are labelled,
-    deduplicated and stripped of library works before the one join to it.
+    The library is needed three times and small against the works table it was
+    resolved from, so it is written once.  Candidate ids are labelled,
+    deduplicated and stripped of library works before the one join to all works.
     """
+    library = materialize(library)
     cites = citing_ids(library, citations, settings.max_seed_works).withColumn("via", F.lit(0))
     wrote = authored_ids(top_authors(library, authorships, settings.max_authors),
                          authorships).withColumn("via", F.lit(1))

@@ -51,16 +51,19 @@ def backfill(items: DataFrame, abstracts: DataFrame) -> DataFrame:
 def budgeted_lookup(items: DataFrame, abstracts: DataFrame, order=COLLECTION_ORDER,
                     limit: int = BACKFILL_LIMIT, give_up_after: int = GIVE_UP_AFTER,
                     partition_by=()) -> DataFrame:
-    """Every eligible item with ``tried``, ``filled`` and ``abstract``.
+    """Every eligible item's place with ``tried``, ``filled`` and ``abstract``.
 
     ``order`` names columns that order the items totally.  With ``partition_by``
-    each group has a budget of its own.
+    each group has a budget of its own.  Only the place and the DOI of an item
+    take part, so the shuffles stay narrow and are the same in every branch.
     """
     order = list(order)
     keys = list(partition_by) or ["_all"]
     place = F.struct(*order)
-    found = look_up(items.filter(needs_abstract()).withColumn("_all", F.lit(0)), abstracts)
-    bounds = _stops(found, keys, order, place, limit, give_up_after)
+    slim = (items.filter(needs_abstract()).withColumn("_all", F.lit(0))
+            .select(*keys, *[c for c in order if c not in keys], "doi"))
+    found = look_up(slim, abstracts)
+    bounds = _stops(slim, found, keys, order, place, limit, give_up_after)
     if not partition_by:
         bounds = F.broadcast(bounds)  # one row
     return (found.join(bounds, keys)
@@ -71,14 +74,13 @@ def budgeted_lookup(items: DataFrame, abstracts: DataFrame, order=COLLECTION_ORD
             .drop("_all", "_last_fill", "_last_try", "_gave_up"))
 
 
-def _stops(found, keys, order, place, limit, give_up_after) -> DataFrame:
+def _stops(slim, found, keys, order, place, limit, give_up_after) -> DataFrame:
     """Per group: where the fill budget ends, where giving up would end it, and
     whether the first ``give_up_after`` lookups all missed."""
-    hits = found.filter(F.col("abstract") != "").select(*keys, *[c for c in order if c not in keys])
-    tries = found.select(*keys, *[c for c in order if c not in keys])
+    hits = found.filter(F.col("abstract") != "").drop("abstract")
     fills = (first_per_group(hits, keys, order, max(limit, 1)).groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first_fill"), F.max(place).alias("_end")))
-    opening = (first_per_group(tries, keys, order, give_up_after).groupBy(*keys)
+    opening = (first_per_group(slim, keys, order, give_up_after).groupBy(*keys)
                .agg(F.count(F.lit(1)).alias("_tries"), F.max(place).alias("_last_try")))
     missed = (F.col("_tries") >= give_up_after) & (
         F.col("_first_fill").isNull() | (F.col("_first_fill") > F.col("_last_try")))

@@ -27,8 +27,10 @@ def pack_budget(docs: DataFrame, keys, order: str, max_chars: int = NOTES_BUDGET
     gathered.  A group's block is bounded by the budget.
     """
     at_most = max_chars // _SHORTEST_CHUNK + 1
+    chunk = F.format_string(CHUNK_FORMAT, "name", "_body")
+    # One character over the budget already overflows: no row need be longer.
     chunks = (docs.withColumn("_body", strip(F.col("body"))).filter(F.col("_body") != "")
-              .select(*keys, order, F.format_string(CHUNK_FORMAT, "name", "_body").alias("_chunk")))
+              .select(*keys, order, F.substring(chunk, 1, max_chars + 1).alias("_chunk")))
     head = first_per_group(chunks, keys, [order], at_most)
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     measured = head.withColumn("_used", F.coalesce(F.sum(F.length("_chunk")).over(before), F.lit(0)))
@@ -45,9 +47,8 @@ def pack_budget(docs: DataFrame, keys, order: str, max_chars: int = NOTES_BUDGET
 
 def describe_blocks(blocks: DataFrame) -> DataFrame:
     """Document count and length of each block, with the one-line summary."""
-    n = F.floor((F.length("block") - F.length(F.replace("block", F.lit(CHUNK_MARK), F.lit(""))))
-                / len(CHUNK_MARK)).cast("long")
-    counted = blocks.withColumn("n_docs", n).withColumn("n_chars", F.length("block").cast("long"))
+    marks = F.size(F.split("block", CHUNK_MARK)) - 1
+    counted = blocks.withColumn("n_docs", marks.cast("long")).withColumn("n_chars", F.length("block").cast("long"))
     plural = F.when(F.col("n_docs") == 1, F.lit("")).otherwise(F.lit("s"))
     return counted.withColumn("note", F.when(F.col("n_chars") == 0, F.lit("no reference documents"))
                               .otherwise(F.concat(F.col("n_docs").cast("string"), F.lit(" reference document"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldscope.functions.columns import effective_time
+from fieldscope.functions.columns import effective_time, let
 from fieldscope.functions.terms import matching_terms, model_hits
 from fieldscope.functions.text import scoring_text
 from fieldscope.functions.venue import apply_venue, clamp, venue_adjust
@@ -12,9 +12,9 @@ from fieldscope.operators.groups import keep_first
 from fieldscope.settings import NO_TAG, SCORE_CAP, SCORE_MAX, TAG_WEIGHT, TermModel, VenueWeights
 
 
-def with_hits(items: DataFrame, model: TermModel) -> DataFrame:
-    """Add ``_hits``: every term count of the model, in one pass over the text."""
-    return items.withColumn("_hits", model_hits(scoring_text(F.col("title"), F.col("summary")), model))
+def _text_hits(model: TermModel) -> Column:
+    """Every term count of the model, in one pass over the item's text."""
+    return model_hits(scoring_text(F.col("title"), F.col("summary")), model)
 
 
 def passes_gate(source_type: Column, hits: Column) -> Column:
@@ -26,33 +26,45 @@ def passes_gate(source_type: Column, hits: Column) -> Column:
 def prefilter(items: DataFrame, model: TermModel) -> DataFrame:
     """Add ``prefilter_hits`` and ``passes``; no row is dropped, since rejected
     rows are written too."""
-    return (with_hits(items, model)
-            .withColumn("prefilter_hits", F.col("_hits.topic"))
-            .withColumn("passes", passes_gate(F.col("source_type"), F.col("_hits")))
-            .drop("_hits"))
-
-
-def _score_columns(tags, weights: VenueWeights | None) -> dict[str, Column]:
-    hits = F.col("_hits")
-    best = hits["best"]
-    raw = F.least(F.lit(SCORE_MAX), best["hits"] * TAG_WEIGHT + hits["topic"] + hits["region"])
-    why = F.concat(F.lit("keyword match: "), best["hits"].cast("string"), F.lit(" tag / "),
-                   hits["topic"].cast("string"), F.lit(" topic / "),
-                   hits["region"].cast("string"), F.lit(" region hits"))
-    score, noted = apply_venue(raw, why, venue_adjust(F.col("is_preprint"), F.col("summary"), weights))
-    excluded = hits["exclude"] > 0
-    return {
-        "score": F.when(excluded, F.lit(0)).otherwise(clamp(score)),
-        "tag": F.when(~excluded & (best["hits"] > 0) & best["tag"].isin(*tags), best["tag"])
-                .otherwise(F.lit(NO_TAG)),
-        "rationale": F.when(excluded, F.lit("excluded topic")).otherwise(noted),
-        "scorer": F.lit("keyword"),
-    }
+    gate = let(_text_hits(model), lambda hits: F.struct(
+        hits["topic"].alias("topic"), passes_gate(F.col("source_type"), hits).alias("passes")))
+    return (items.withColumn("_gate", gate)
+            .withColumns({"prefilter_hits": F.col("_gate.topic"), "passes": F.col("_gate.passes")})
+            .drop("_gate"))
+
+
+def _scored(model: TermModel, tags, weights: VenueWeights | None) -> Column:
+    """struct<score, tag, rationale, topic, passes>.
+
+    One expression from text to score: a report's filter on the score is pushed
+    below the projection as a copy of it, and a copy that mentioned the
+    term counts several times would count them several times.
+    """
+    adjust = venue_adjust(F.col("is_preprint"), F.col("summary"), weights)
+
+    def outcome(hits: Column) -> Column:
+        best = hits["best"]
+        excluded = hits["exclude"] > 0
+        raw = F.least(F.lit(SCORE_MAX), best["hits"] * TAG_WEIGHT + hits["topic"] + hits["region"])
+        why = F.concat(F.lit("keyword match: "), best["hits"].cast("string"), F.lit(" tag / "),
+                       hits["topic"].cast("string"), F.lit(" topic / "),
+                       hits["region"].cast("string"), F.lit(" region hits"))
+        score, noted = apply_venue(raw, why, adjust)
+        return F.struct(
+            F.when(excluded, F.lit(0)).otherwise(clamp(score)).alias("score"),
+            F.when(~excluded & (best["hits"] > 0) & best["tag"].isin(*tags), best["tag"])
+            .otherwise(F.lit(NO_TAG)).alias("tag"),
+            F.when(excluded, F.lit("excluded topic")).otherwise(noted).alias("rationale"),
+            hits["topic"].alias("topic"), passes_gate(F.col("source_type"), hits).alias("passes"))
+
+    return let(_text_hits(model), outcome)
 
 
 def keyword_score(items: DataFrame, model: TermModel, tags, weights: VenueWeights | None) -> DataFrame:
     """Add score, tag, rationale and scorer to every item.  A narrow plan."""
-    return with_hits(items, model).withColumns(_score_columns(list(tags), weights)).drop("_hits")
+    return (items.withColumn("_s", _scored(model, list(tags), weights))
+            .withColumns({c: F.col(f"_s.{c}") for c in ("score", "tag", "rationale")})
+            .withColumn("scorer", F.lit("keyword")).drop("_s"))
 
 
 def best_tag(items: DataFrame, model: TermModel) -> DataFrame:
@@ -92,14 +104,14 @@ def score_stage(items: DataFrame, scores: DataFrame, model: TermModel, tags,
                 weights: VenueWeights | None) -> DataFrame:
     """Score every unscored item; rejected ones are scored 0 so that they never
     come back.  Gate and score share one pass over the text."""
-    passes = passes_gate(F.col("source_type"), F.col("_hits"))
-    columns = _score_columns(list(tags), weights)
-    rejected = {"score": F.lit(0), "tag": F.lit(NO_TAG),
-                "rationale": F.lit("failed prefilter"), "scorer": F.lit("prefilter")}
-    return with_hits(unscored(items, scores), model).select(
-        "id", F.col("_hits.topic").alias("prefilter_hits"),
-        *[F.when(passes, columns[c]).otherwise(rejected[c]).alias(c)
-          for c in ("score", "tag", "rationale", "scorer")])
+    outcome = unscored(items, scores).withColumn("_s", _scored(model, list(tags), weights))
+    passed = F.col("_s.passes")
+    return outcome.select(
+        "id", F.col("_s.topic").alias("prefilter_hits"),
+        F.when(passed, F.col("_s.score")).otherwise(F.lit(0)).alias("score"),
+        F.when(passed, F.col("_s.tag")).otherwise(F.lit(NO_TAG)).alias("tag"),
+        F.when(passed, F.col("_s.rationale")).otherwise(F.lit("failed prefilter")).alias("rationale"),
+        F.when(passed, F.lit("keyword")).otherwise(F.lit("prefilter")).alias("scorer"))
 
 
 def score_stage_counts(stage: DataFrame, cap: int | None = None) -> DataFrame:

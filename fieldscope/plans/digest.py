@@ -28,8 +28,8 @@ def digest_rows(scored: DataFrame, as_of, workstreams, cfg: ReportSettings = Rep
                 last_sent=None) -> DataFrame:
     """Rows of the digest under their workstream.  Groups of any size stay
     spread out: the order is carried by columns, not by a gathered list."""
-    recent = scored.filter((F.col("score") >= cfg.digest_floor) & ~from_library()
-                           & (F.col("fetched_at") >= digest_since(as_of, last_sent, cfg.digest_hours)))
+    recent = scored.filter((F.col("fetched_at") >= digest_since(as_of, last_sent, cfg.digest_hours))
+                           & ~from_library() & (F.col("score") >= cfg.digest_floor))
     return recent.select(
         _group_position(workstreams).alias("group_ord"),
         tag_lookup(workstreams, "label", F.lit(OTHER_LABEL)).alias("group_label"),

@@ -23,8 +23,9 @@ def _effective() -> Column:
 
 
 def _shown(scored: DataFrame, floor: int, cutoff: Column) -> DataFrame:
-    return scored.filter((F.col("score") >= floor) & ~from_library()
-                         & since(F.col("published_at"), F.col("fetched_at"), cutoff))
+    """Cheap predicates come first: the score may be an expensive expression."""
+    return scored.filter(since(F.col("published_at"), F.col("fetched_at"), cutoff)
+                         & ~from_library() & (F.col("score") >= floor))
 
 
 def dashboard_listing(scored: DataFrame, as_of, cfg: ReportSettings = ReportSettings()) -> DataFrame:
@@ -42,7 +43,7 @@ def top_picks(scored: DataFrame, as_of, cfg: ReportSettings = ReportSettings())
 def library_shortlist(scored: DataFrame, as_of, cfg: ReportSettings = ReportSettings()) -> DataFrame:
     """Best library-sourced rows of the last library sweep."""
     cutoff = ago(as_of, days=cfg.library_every_days + 3)
-    return (scored.filter(from_library() & (F.col("score") >= cfg.digest_floor) & (F.col("fetched_at") >= cutoff))
+    return (scored.filter((F.col("fetched_at") >= cutoff) & from_library() & (F.col("score") >= cfg.digest_floor))
             .orderBy(F.col("score").desc(), _effective().desc(), F.col("id")).limit(cfg.library_top_n))
 
 

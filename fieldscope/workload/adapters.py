@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fieldscope.functions.columns import let
 from fieldscope.functions.identity import item_id
 from fieldscope.settings import ReportSettings, TermModel, VenueWeights, Workstream
 
@@ -102,10 +103,24 @@ def duplicate_items(t: Tables) -> DataFrame:
 
 def inverted_index(t: Tables) -> DataFrame:
     """(doc_id, inverted): every document's words with their positions."""
-    words = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
-    placed = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
-    return placed.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
+    return t.documents.select("doc_id", _inverted(F.col("text")).alias("inverted"))
+
+
+def _inverted(text: Column) -> Column:
+    """Word -> positions, inside the row: equal words are neighbours after a
+    sort, so each run of them becomes one entry."""
+    placed = F.sort_array(F.transform(
+        F.split(text, " "), lambda word, at: F.struct(word.alias("word"), at.alias("at"))))
+
+    def entries(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (
+            (i == 0) | (words[i]["word"] != words[F.greatest(i - 1, F.lit(0))]["word"])))
+        return let(starts, lambda s: F.map_from_entries(F.transform(s, lambda start, k: F.struct(
+            words[start]["word"], F.transform(
+                F.slice(words, start + 1, F.coalesce(F.get(s, k + 1), n) - start), lambda w: w["at"])))))
+
+    return let(placed, entries)
 
 
 def works(t: Tables) -> DataFrame:
@@ -115,16 +130,15 @@ def works(t: Tables) -> DataFrame:
                     F.array(F.col("lang")).alias("issn"))
     place = F.struct(F.when(mod("doc_id", 5) != 0, F.concat(F.lit("https://example.org/w/"), text_of("doc_id")))
                      .alias("landing_page_url"), host.alias("source"))
-    head = t.documents.select(
+    return t.documents.select(
         "doc_id", F.concat(F.lit("https://openalex.org/W"), text_of("doc_id")).alias("id"),
         F.when(mod("doc_id", 3) == 0, F.concat(F.lit("https://doi.org/10.5555/"), text_of("doc_id")))
         .when(mod("doc_id", 3) == 2, F.concat(F.lit("10.5555/"), text_of("doc_id"))).alias("doi"),
         F.when(mod("doc_id", 7) == 1, F.lit("")).when(mod("doc_id", 7) != 0, F.substring("text", 1, 80)).alias("title"),
         F.when(mod("doc_id", 4) == 2, "preprint").otherwise("article").alias("type"),
         F.when(mod("doc_id", 11) == 0, F.lit("")).otherwise(base_day("doc_id").cast("string")).alias("publication_date"),
-        F.when(mod("doc_id", 10) != 9, place).alias("primary_location"))
-    return (head.join(inverted_index(t), "doc_id", "left")
-            .withColumnRenamed("inverted", "abstract_inverted_index"))
+        F.when(mod("doc_id", 10) != 9, place).alias("primary_location"),
+        _inverted(F.col("text")).alias("abstract_inverted_index"))
 
 
 def preprint_entries(t: Tables) -> DataFrame:
@@ -209,9 +223,13 @@ def library_records(t: Tables) -> DataFrame:
         item_type.alias("itemType"), doi.alias("DOI"), extra.alias("extra")).alias("data"))
 
 
+def _order_doi(prefix: str) -> Column:
+    return F.concat(F.lit(prefix), text_of("o_orderkey"), F.lit("."), text_of("o_custkey"))
+
+
 def order_works(t: Tables) -> DataFrame:
     return t.orders.select(
-        F.col("o_orderkey").alias("work_id"), F.concat(F.lit("10.7777/W"), text_of("o_orderkey")).alias("doi"),
+        F.col("o_orderkey").alias("work_id"), _order_doi("10.7777/W").alias("doi"),
         F.to_date("o_orderdate").alias("published"),
         F.when(F.col("o_orderstatus") == "P", "preprint").otherwise("article").alias("type"))
 
@@ -219,7 +237,7 @@ def order_works(t: Tables) -> DataFrame:
 def order_library(t: Tables) -> DataFrame:
     """The reader's library: the urgent orders, as a list of DOIs."""
     return t.orders.filter(F.col("o_orderpriority") == "1-URGENT").select(
-        F.concat(F.lit("https://doi.org/10.7777/w"), text_of("o_orderkey")).alias("doi"), F.col("o_orderkey").alias("seq"))
+        _order_doi("https://doi.org/10.7777/w").alias("doi"), F.col("o_orderkey").alias("seq"))
 
 
 def line_citations(t: Tables) -> DataFrame:

@@ -467,14 +467,14 @@ def _attempts(t, **budget):
 
 @query
 def backfill_budget(t):
-    return _attempts(t).select("doc_id", F.col("tried").cast("int").alias("tried"),
+    return _attempts(t).select(F.col("seq").alias("doc_id"), F.col("tried").cast("int").alias("tried"),
                                F.col("filled").cast("int").alias("filled"))
 
 
 @query
 def backfill_budget_by_source(t):
     found = _attempts(t, partition_by=["source"], limit=2, give_up_after=1)
-    return found.select("doc_id", "source", F.col("tried").cast("int").alias("tried"),
+    return found.select(F.col("seq").alias("doc_id"), "source", F.col("tried").cast("int").alias("tried"),
                         F.col("filled").cast("int").alias("filled"))
 
 
