@@ -54,10 +54,29 @@ def put_meta(spark: SparkSession, path: str, key: str, value: str, ts) -> None:
     conform(row, META).write.mode("append").parquet(path)
 
 
+def advance_marks(run_log: DataFrame, marks: dict[str, str], path: str, ts) -> None:
+    """Move the high-water mark of every source that succeeded, and of no other."""
+    spark = run_log.sparkSession
+    keys = spark.createDataFrame(list(marks.items()), "source string, key string")
+    done = run_log.filter(F.col("ok") == 1).join(F.broadcast(keys), "source").select(
+        "key", F.lit(str(ts)).alias("value"), F.lit(str(ts)).alias("ts"))
+    conform(done, META).write.mode("append").parquet(path)
+
+
 def get_meta(spark: SparkSession, path: str) -> DataFrame:
     return latest_value(read_table(spark, path, META))
 
 
+def save_bucketed(df: DataFrame, table: str, buckets: int, mode: str = "append") -> None:
+    """Append to a catalog table bucketed by item id.
+
+    Items and scores bucketed alike meet bucket by bucket: the joins of a sweep
+    (unseen, unscored, items with scores) then move neither table.
+    """
+    (df.repartition(buckets, "id").write.mode(mode).format("parquet")
+     .bucketBy(buckets, "id").sortBy("id").saveAsTable(table))
+
+
 def write_snapshot(kept: DataFrame, path: str) -> None:
     """Write what survives retention to a new folder; the old one stays valid
     until the reader is pointed here."""

@@ -1,0 +1,157 @@
+import pytest
+from pyspark.sql import functions as F
+
+from fieldscope.functions.terms import term_hits
+from fieldscope.functions.venue import venue_adjust
+from fieldscope.operators import scoring
+from fieldscope.settings import DEFAULT_TERMS, DEFAULT_WORKSTREAMS, TermModel, VenueWeights
+
+ITEM = ("id string, source_type string, title string, summary string, is_preprint int, "
+        "published_at date, fetched_at timestamp")
+MODEL = TermModel(topic=("grid", "power"), exclude=("horoscope",), region=("indonesia",),
+                  tags={"methods": ("decomposition", "MILP")})
+VENUE = VenueWeights()
+
+
+def items(spark, *rows):
+    full = [(r + (None,) * 7)[:7] for r in rows]
+    return spark.createDataFrame(full, ITEM)
+
+
+def score(spark, model, row, tags=("methods",), weights=None):
+    return scoring.keyword_score(items(spark, row), model, tags, weights).first()
+
+
+def test_term_hits_are_substrings_counted_once_per_listed_term(one):
+    column = term_hits(F.lower(F.col("x")), ["WRI", "grid", "", "grid", "absent"])
+    assert one(column, "x string", "I write of GRID and grid") == 3
+    assert one(term_hits(F.col("x"), []), "x string", "anything") == 0
+
+
+@pytest.mark.parametrize("kind, title, passes", [
+    ("paper", "x", True), ("news", "cats", False), ("news", "power grid", True),
+    ("news", "grid horoscope", False), ("paper", "horoscope", True), (None, "power", True)])
+def test_gate(spark, kind, title, passes):
+    row = scoring.prefilter(items(spark, ("1", kind, title, "")), MODEL).first()
+    assert row["passes"] is passes
+
+
+def test_gate_reports_topic_hits(spark):
+    row = scoring.prefilter(items(spark, ("1", "news", "Power grid", None)), MODEL).first()
+    assert row["prefilter_hits"] == 2
+
+
+def test_score_ranks_and_tags(spark):
+    hot = score(spark, MODEL, ("1", "paper", "MILP decomposition for the grid in Indonesia", ""))
+    cold = score(spark, MODEL, ("2", "paper", "a poem about cats", ""))
+    assert (hot["score"], hot["tag"]) == (8, "methods")
+    assert hot["rationale"] == "keyword match: 2 tag / 1 topic / 1 region hits"
+    assert (cold["score"], cold["tag"]) == (0, "none")
+
+
+def test_ties_go_to_the_tag_configured_first(spark):
+    model = TermModel(tags={"b": ("wind",), "a": ("solar",), "c": ("tide",)})
+    assert score(spark, model, ("1", "paper", "solar wind tide", ""), ("a", "b", "c"))["tag"] == "b"
+
+
+def test_unconfigured_best_tag_becomes_none_but_scores(spark):
+    row = score(spark, MODEL, ("1", "paper", "milp", ""), tags=("other",))
+    assert (row["score"], row["tag"]) == (3, "none")
+
+
+def test_excluded_topic_scores_zero_without_a_venue_step(spark):
+    row = score(spark, MODEL, ("1", "paper", "grid horoscope milp", "", 0), weights=VENUE)
+    assert (row["score"], row["tag"], row["rationale"]) == (0, "none", "excluded topic")
+
+
+def test_cap_comes_before_the_venue_delta(spark):
+    model = TermModel(topic=("a", "b"), tags={"t": ("c", "d", "e", "f")})
+    row = score(spark, model, ("1", "paper", "a b c d e f", "text", 1), ("t",), VENUE)  # raw 14
+    assert row["score"] == 9
+    assert row["rationale"].endswith("[preprint -1]")
+
+
+def test_missing_text_counts_as_empty(spark):
+    model = TermModel(topic=("none",))
+    assert score(spark, model, ("1", "paper", None, None))["score"] == 0
+
+
+@pytest.mark.parametrize("flag, summary, weights, delta, why", [
+    (0, " \n", VENUE, 2, "peer-reviewed, no abstract available +2"),
+    (0, "a real abstract", VENUE, 1, "peer-reviewed +1"),
+    (1, "a real abstract", VENUE, -1, "preprint -1"),
+    (None, "", VENUE, 0, ""),
+    (0, "", VenueWeights(enabled=False), 0, ""),
+    (0, "", VenueWeights(peer_reviewed=0), 0, ""),
+    (0, "", VenueWeights(peer_reviewed=1, no_abstract_offset=-1), 0, None),
+    (0, "", None, 0, "")])
+def test_venue_adjust(one, flag, summary, weights, delta, why):
+    got = one(venue_adjust(F.col("p"), F.col("s"), weights), "p int, s string", flag, summary)
+    assert got["delta"] == delta
+    assert why is None or got["why"] == why
+
+
+def test_journal_outranks_preprint_of_equal_content(spark):
+    body = ("paper", "MILP for the grid", "")
+    pre = score(spark, MODEL, ("a", *body, 1), weights=VENUE)
+    journal = score(spark, MODEL, ("b", *body, 0), weights=VENUE)
+    assert journal["score"] > pre["score"]
+    assert "no abstract" in journal["rationale"]
+
+
+def test_relational_best_tag_agrees_with_the_score(spark):
+    rows = items(spark, ("1", "paper", "decomposition milp", ""), ("2", "paper", "milp", ""), ("3", "paper", "x", ""))
+    model = TermModel(tags={"m": ("milp",), "d": ("decomposition", "milp")})
+    best = {r["id"]: (r["tag"], r["hits"]) for r in scoring.best_tag(rows, model).collect()}
+    assert best == {"1": ("d", 2), "2": ("m", 1)}
+    tagged = scoring.keyword_score(rows, model, ("m", "d"), None)
+    assert {r["id"]: r["tag"] for r in tagged.collect()} == {"1": "d", "2": "m", "3": "none"}
+
+
+def test_term_matches_agree_with_the_counts(spark):
+    rows = items(spark, ("1", "paper", "power grid indonesia milp", ""), ("2", "paper", "x", ""))
+    found = {(r["id"], r["kind"], r["term"]) for r in scoring.term_matches(rows, MODEL).collect()}
+    assert found == {("1", "topic", "power"), ("1", "topic", "grid"), ("1", "region", "indonesia"), ("1", "tag", "milp")}
+
+
+SCORES = "id string, score int, tag string, rationale string, scored_at timestamp, scorer string"
+
+
+def test_score_stage_writes_rejected_rows_too(spark):
+    rows = items(spark, ("1", "paper", "milp", ""), ("2", "news", "cats", ""), ("3", "paper", "scored already", ""))
+    old = spark.createDataFrame([("3", 5, "x", "", None, "keyword")], SCORES)
+    stage = scoring.score_stage(rows, old, MODEL, ("methods",), None)
+    got = {r["id"]: (r["score"], r["tag"], r["rationale"], r["scorer"]) for r in stage.collect()}
+    assert set(got) == {"1", "2"}
+    assert got["2"] == (0, "none", "failed prefilter", "prefilter")
+    assert got["1"][3] == "keyword"
+    assert scoring.score_stage_counts(stage).first().asDict() == {"scored": 1, "prefiltered": 1, "deferred": 0}
+    assert scoring.score_stage_counts(stage, cap=0).first().asDict() == {"scored": 0, "prefiltered": 1, "deferred": 1}
+
+
+def test_scores_are_written_once(spark):
+    results = spark.createDataFrame([("1", 4, 1), ("1", 9, 0), ("2", 7, 0), ("3", 1, 0)], "id string, score int, at int")
+    none = spark.createDataFrame([], SCORES)
+    first = scoring.apply_scores_once(results, none, ["at"])
+    assert {(r["id"], r["score"]) for r in first.collect()} == {("1", 9), ("2", 7), ("3", 1)}
+    again = scoring.apply_scores_once(results, first, ["at"])
+    assert again.count() == 0
+
+
+def test_score_cap_takes_the_newest_and_falls_back_to_the_fetch_time(spark):
+    import datetime as dt
+    rows = items(spark,
+                 ("a", "paper", "", "", None, dt.date(2024, 1, 3), dt.datetime(2024, 1, 9)),
+                 ("b", "paper", "", "", None, None, dt.datetime(2024, 1, 4)),
+                 ("c", "paper", "", "", None, dt.date(2024, 1, 2), dt.datetime(2024, 1, 9)),
+                 ("d", "paper", "", "", None, None, None))
+    assert [r["id"] for r in scoring.score_cap(rows, 2).collect()] == ["b", "a"]
+    assert [r["id"] for r in scoring.score_cap(rows, 9).collect()] == ["b", "a", "c", "d"]
+
+
+def test_seed_configuration_scores(spark):
+    tags = [w.tag for w in DEFAULT_WORKSTREAMS]
+    row = scoring.keyword_score(
+        items(spark, ("1", "paper", "Captive coal at a nickel smelter in Sulawesi", "", 0)),
+        DEFAULT_TERMS, tags, VENUE).first()
+    assert (row["score"], row["tag"]) == (10, "captive-coal")
