@@ -42,6 +42,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_WHITESPACE_CHARS))
 
 
+def file_name() -> Column:
+    """Name of the file a row was read from; the scan reports it URL-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def is_blank(c: Column) -> Column:
     """NULL, empty or whitespace only."""
     return c.isNull() | ~c.rlike(f"[^{WHITESPACE}]")

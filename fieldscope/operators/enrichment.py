@@ -64,14 +64,17 @@ def budgeted_lookup(items: DataFrame, abstracts: DataFrame, order=COLLECTION_ORD
             .select(*keys, *[c for c in order if c not in keys], "doi"))
     found = look_up(slim, abstracts)
     bounds = _stops(slim, found, keys, order, place, limit, give_up_after)
-    if not partition_by:
-        bounds = F.broadcast(bounds)  # one row
-    return (found.join(bounds, keys)
+    if partition_by:
+        bounded = found.join(bounds.withColumnRenamed("stop", "_stop"), keys)
+    else:
+        bounded = found.withColumn("_stop", bounds.select("stop").scalar())
+    stop = F.col("_stop")
+    return (bounded
             .withColumn("tried", F.lit(limit > 0)
-                        & (F.col("_last_fill").isNull() | (place <= F.col("_last_fill")))
-                        & (~F.col("_gave_up") | (place <= F.col("_last_try"))))
+                        & (stop["last_fill"].isNull() | (place <= stop["last_fill"]))
+                        & (~stop["gave_up"] | (place <= stop["last_try"])))
             .withColumn("filled", F.col("tried") & (F.col("abstract") != ""))
-            .drop("_all", "_last_fill", "_last_try", "_gave_up"))
+            .drop("_all", "_stop"))
 
 
 def _stops(slim, found, keys, order, place, limit, give_up_after) -> DataFrame:
@@ -84,22 +87,21 @@ def _stops(slim, found, keys, order, place, limit, give_up_after) -> DataFrame:
                .agg(F.count(F.lit(1)).alias("_tries"), F.max(place).alias("_last_try")))
     missed = (F.col("_tries") >= give_up_after) & (
         F.col("_first_fill").isNull() | (F.col("_first_fill") > F.col("_last_try")))
-    return opening.join(fills, keys, "left").select(
-        *keys, F.when(F.col("_n") >= limit, F.col("_end")).alias("_last_fill"),
-        "_last_try", missed.alias("_gave_up"))
+    return opening.join(fills, keys, "left").select(*keys, F.struct(
+        F.when(F.col("_n") >= limit, F.col("_end")).alias("last_fill"),
+        F.col("_last_try").alias("last_try"), missed.alias("gave_up")).alias("stop"))
 
 
 def backfill_counters(items: DataFrame, attempts: DataFrame, order=COLLECTION_ORDER,
                       give_up_after: int = GIVE_UP_AFTER) -> DataFrame:
     """One row: filled, tried, gave_up.  Giving up is noticed only when another
     item follows the last miss."""
-    place = F.struct(*order)
-    done = attempts.agg(
+    place = F.struct(*order).alias("place")
+    walked = attempts.select(place, "tried", "filled").unionByName(
+        items.select(place, F.lit(False).alias("tried"), F.lit(False).alias("filled")))
+    return walked.agg(
         F.count_if("filled").alias("filled"), F.count_if("tried").alias("tried"),
-        F.max(F.when(F.col("tried"), place)).alias("_last"))
-    last = items.agg(F.max(place).alias("_end"))
-    both = done.withColumn("_k", F.lit(0)).join(F.broadcast(last.withColumn("_k", F.lit(0))), "_k")
-    return both.select(
+        F.max(F.when(F.col("tried"), F.col("place"))).alias("_last"), F.max("place").alias("_end")).select(
         "filled", "tried",
         F.coalesce((F.col("tried") >= give_up_after) & (F.col("filled") == 0)
                    & (F.col("_end") > F.col("_last")), F.lit(False)).alias("gave_up"))

@@ -13,9 +13,7 @@ from fieldscope.functions.venue import apply_venue, clamp, venue_adjust
 from fieldscope.operators.groups import with_ordinal
 from fieldscope.operators.scoring import newest_first
 from fieldscope.settings import (
-    BATCH_SIZE, NO_TAG, PAYLOAD_SUMMARY_LIMIT, RATIONALE_LIMIT, VenueWeights)
-
-NO_ABSTRACT_NOTE = "no abstract available from the source; judge on title and venue"
+    BATCH_SIZE, NO_ABSTRACT_NOTE, NO_TAG, PAYLOAD_SUMMARY_LIMIT, RATIONALE_LIMIT, VenueWeights)
 
 
 def payload() -> Column:

@@ -95,6 +95,15 @@ GIVE_UP_AFTER = 10
 SCORE_CAP = 150
 BATCH_SIZE = 20
 FAILURE_STREAK = 3
+UNTITLED = "(untitled)"
+QUERY_LABEL = "openalex:"
+ISSN_LABEL = "openalex:issn:"
+WATCHED_AUTHOR_LABEL = "openalex:author:"
+NEWS_LABEL = "gnews:"
+PREPRINT_SOURCE = "arxiv"
+PREPRINT_VENUE = "arXiv"
+FEED_LABEL = "rss:"
+NO_ABSTRACT_NOTE = "no abstract available from the source; judge on title and venue"
 CITES_LABEL = "library: cites your library"
 AUTHOR_LABEL = "library: author you read"
 DEFAULT_PREPRINT_CATEGORY = "eess.SY"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from fieldscope.functions.columns import ago, let, string_list, strip
+from fieldscope.functions.columns import ago, file_name, let, string_list, strip
 from fieldscope.functions.text import flatten_cut, strip_html
 from fieldscope.schemas import ENTRY
-from fieldscope.settings import DEFAULT_PREPRINT_CATEGORY, PREPRINT_LIMIT, WINDOW_DAYS
+from fieldscope.settings import (
+    DEFAULT_PREPRINT_CATEGORY, FEED_LABEL, NEWS_LABEL, PREPRINT_LIMIT, PREPRINT_SOURCE, PREPRINT_VENUE, WINDOW_DAYS)
 
 CORRUPT = "_corrupt_record"
 
@@ -42,7 +43,7 @@ def scan_preprints(entries: DataFrame, watched, terms, as_of, window_days: int =
     newest = (entries.filter(preprint_match(F.col("categories"), text, watched, terms))
               .orderBy(at.desc_nulls_last(), F.col(tiebreak).asc()).limit(max_results))
     return newest.filter(in_window(at, as_of, window_days)).select(
-        F.lit("arxiv").alias("source"), F.lit("paper").alias("source_type"), F.lit("arXiv").alias("venue"),
+        F.lit(PREPRINT_SOURCE).alias("source"), F.lit("paper").alias("source_type"), F.lit(PREPRINT_VENUE).alias("venue"),
         F.lit(1).alias("is_preprint"), strip(F.replace(F.coalesce("title", F.lit("")), F.lit("\n"), F.lit(" "))).alias("title"),
         F.coalesce("link", F.lit("")).alias("url"), F.when(F.col("doi") != "", F.col("doi")).alias("doi"),
         F.to_date(at).alias("published_at"), flatten_cut(F.col("summary")).alias("summary"))
@@ -52,7 +53,7 @@ def scan_news(entries: DataFrame, as_of, window_days: int = WINDOW_DAYS) -> Data
     """Entries of per-query news searches; ``query`` names the search."""
     at = entry_time(F.col("published"))
     return entries.filter(in_window(at, as_of, window_days)).select(
-        F.concat(F.lit("gnews:"), F.col("query")).alias("source"), F.lit("news").alias("source_type"),
+        F.concat(F.lit(NEWS_LABEL), F.col("query")).alias("source"), F.lit("news").alias("source_type"),
         strip(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("link", F.lit("")).alias("url"),
         F.lit(None).cast("string").alias("doi"), F.to_date(at).alias("published_at"),
         strip_html(F.col("summary")).alias("summary"))
@@ -60,7 +61,7 @@ def scan_news(entries: DataFrame, as_of, window_days: int = WINDOW_DAYS) -> Data
 
 def read_feed_lines(spark: SparkSession, path: str) -> DataFrame:
     """Landed feed lines as (feed, raw): one JSON entry per line, one file per feed."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+    name = F.regexp_extract(file_name(), r"^(.*?)(?:\.[^.]*)?$", 1)
     return spark.read.text(path).select(name.alias("feed"), F.col("value").alias("raw"))
 
 
@@ -102,5 +103,5 @@ def feed_records(parsed: DataFrame, as_of, window_days: int = WINDOW_DAYS) -> Da
     return parsed.groupBy("feed").agg(
         F.count_if(~bad & in_window(at, as_of, window_days)).alias("fetched"),
         F.count_if(bad).alias("failed")).select(
-        F.concat(F.lit("rss:"), F.col("feed")).alias("source"), "fetched", "failed",
+        F.concat(F.lit(FEED_LABEL), F.col("feed")).alias("source"), "fetched", "failed",
         (F.col("failed") == 0).cast("int").alias("ok"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
+from fieldscope.functions.columns import moment
 from fieldscope.operators.ingest import COLLECTION_ORDER, conform, latest_value, upsert_new
 from fieldscope.operators.scoring import apply_scores_once
 from fieldscope.schemas import ITEM, META, RUN, SCORE
@@ -21,6 +23,15 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def read_items(spark: SparkSession, path: str, effective_since=None) -> DataFrame:
+    """Stored items; with a bound on the effective date, older month folders are
+    not opened."""
+    items = spark.read.schema(T.StructType([*ITEM.fields, T.StructField("month", T.StringType())])).parquet(path)
+    if effective_since is not None:
+        items = items.filter(F.col("month") >= F.date_format(moment(effective_since), "yyyy-MM"))
+    return conform(items, ITEM)
+
+
 def append_items(batch: DataFrame, path: str, fetched_at, order=COLLECTION_ORDER) -> int:
     """Insert unseen items, partitioned by month of the effective date; returns
     how many were new, counted by the write itself."""
@@ -33,7 +44,16 @@ def append_items(batch: DataFrame, path: str, fetched_at, order=COLLECTION_ORDER
     (new.withColumn("month", month).observe(seen, F.count(F.lit(1)).alias("n"))
      # Rebalancing splits a month that outgrows one file instead of sending it to one task.
      .hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path))
-    return seen.get["n"]
+    return _observed_count(seen)
+
+
+def _observed_count(seen: Observation) -> int:
+    """The count a write observed.  A plan found to be empty at run time is
+    replaced as a whole, observation included, and then reports nothing."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return 0
 
 
 def append_scores(results: DataFrame, path: str, order) -> None:

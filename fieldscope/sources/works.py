@@ -8,8 +8,7 @@ from fieldscope.functions.columns import ago, let, string_list
 from fieldscope.functions.identity import drop_doi_prefix
 from fieldscope.functions.text import last_segment, place_tokens, strip_html
 from fieldscope.schemas import WORK
-
-UNTITLED = "(untitled)"
+from fieldscope.settings import ISSN_LABEL, QUERY_LABEL, UNTITLED, WATCHED_AUTHOR_LABEL
 
 
 def read_works(spark: SparkSession, path: str) -> DataFrame:
@@ -59,40 +58,33 @@ def matching_queries(text: Column, queries) -> Column:
         lambda q: q["query"]))
 
 
-def topic_selection(works: DataFrame, text: Column, queries) -> DataFrame:
-    """One row per (work, matching query), with a ``source`` label."""
-    return (works.withColumn("_q", F.explode(matching_queries(text, queries)))
-            .withColumn("source", F.concat(F.lit("openalex:"), F.col("_q"))).drop("_q"))
+def topic_labels(text: Column, queries) -> Column:
+    return F.transform(matching_queries(text, queries), lambda q: F.concat(F.lit(QUERY_LABEL), q))
+
+
+def issn_labels(issns: Column, watched) -> Column:
+    found = F.array_intersect(issns, string_list(dict.fromkeys(watched)))
+    return F.transform(found, lambda i: F.concat(F.lit(ISSN_LABEL), i))
 
 
-def issn_selection(works: DataFrame, issns: Column, watched) -> DataFrame:
-    """One row per (work, watched ISSN its journal carries)."""
-    return (works.withColumn("_i", F.explode(F.array_intersect(issns, string_list(watched))))
-            .withColumn("source", F.concat(F.lit("openalex:issn:"), F.col("_i"))).drop("_i"))
+def author_labels(authors: Column, watched) -> Column:
+    found = F.array_intersect(authors, string_list(dict.fromkeys(watched)))
+    return F.transform(found, lambda x: F.concat(F.lit(WATCHED_AUTHOR_LABEL), x))
 
 
-def author_selection(works: DataFrame, authors: Column, watched) -> DataFrame:
-    """One row per (work, watched author)."""
-    return (works.withColumn("_a", F.explode(F.array_intersect(authors, string_list(watched))))
-            .withColumn("source", F.concat(F.lit("openalex:author:"), F.col("_a"))).drop("_a"))
+def selected(works: DataFrame, labels: Column) -> DataFrame:
+    """One row per (work, label), labelled as its ``source``."""
+    return works.withColumn("source", F.explode(labels))
 
 
 def collect_works(works: DataFrame, queries, issns, authors, as_of, window_days: int) -> DataFrame:
-    """Items of all three selections; a work matched twice is listed twice."""
+    """Items of all three selections in one pass; a work selected twice is
+    listed twice."""
     recent = published_since(works, as_of, window_days)
     text = F.lower(F.concat_ws(" ", "title", place_tokens(F.col("abstract_inverted_index"))))
     ids = F.transform("authorships", lambda a: last_segment(a["author"]["id"]))
-    label = F.col("source")
-    parts = []
-    if queries:
-        parts.append(works_to_items(topic_selection(recent, text, queries), label))
-    if issns:
-        parts.append(works_to_items(issn_selection(recent, F.col("primary_location.source.issn"), issns), label))
-    if authors:
-        parts.append(works_to_items(author_selection(recent, ids, authors), label))
-    if not parts:
-        return works_to_items(recent.filter(F.lit(False)), F.lit(""))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    none = string_list([])
+    parts = [topic_labels(text, queries) if queries else none,
+             F.coalesce(issn_labels(F.col("primary_location.source.issn"), issns), none) if issns else none,
+             F.coalesce(author_labels(ids, authors), none) if authors else none]
+    return works_to_items(selected(recent, F.concat(*parts)), F.col("source"))

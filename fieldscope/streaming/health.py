@@ -22,9 +22,7 @@ def failure_stream(runs: DataFrame, table: str, checkpoint: str, streak: int = F
 
     def action(batch: DataFrame, batch_id: int) -> None:
         stored = read_table(batch.sparkSession, table, schema)
-        before = stored.filter(F.col("batch_id") < batch_id)
-        last = before.agg(F.max("batch_id").alias("batch_id"))
-        carried = before.join(F.broadcast(last), "batch_id", "left_semi").drop("batch_id")
+        carried = stored.filter(F.col("batch_id") == batch_id - 1).drop("batch_id")
         latest = last_n_runs(carried.unionByName(batch), streak, tiebreak).drop("recency")
         latest.write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch_id={batch_id}")
 
@@ -35,5 +33,5 @@ def current_failures(spark, table: str, schema, streak: int = FAILURE_STREAK,
                      tiebreak: str | None = None) -> DataFrame:
     """Failing sources as of the newest batch."""
     stored = read_table(spark, table, with_batch_id(schema))
-    newest = stored.agg(F.max("batch_id").alias("batch_id"))
-    return failing_sources(stored.join(F.broadcast(newest), "batch_id", "left_semi"), streak, tiebreak)
+    newest = stored.select(F.max("batch_id")).scalar()
+    return failing_sources(stored.filter(F.col("batch_id") == newest), streak, tiebreak)

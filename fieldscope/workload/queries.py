@@ -341,14 +341,14 @@ def _recent_items(t):
 
 @query
 def watch_topic(t):
-    found = works.topic_selection(
-        _recent_items(t), text.scoring_text(F.col("title"), F.col("summary")), a.TOPIC_QUERIES)
+    words = text.scoring_text(F.col("title"), F.col("summary"))
+    found = works.selected(_recent_items(t).drop("source"), works.topic_labels(words, a.TOPIC_QUERIES))
     return found.select("id", "doc_id", "source")
 
 
 @query
 def watch_issn(t):
-    watched = works.issn_selection(t.part.select("p_partkey", "p_brand"), F.array("p_brand"), a.WATCHED_ISSNS)
+    watched = works.selected(t.part, works.issn_labels(F.array("p_brand"), a.WATCHED_ISSNS))
     recent = t.lineitem.filter(F.col("l_shipdate") >= F.to_date(ago(a.LIBRARY_AS_OF, days=365)))
     return recent.join(watched, F.col("l_partkey") == F.col("p_partkey")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "source")
@@ -357,7 +357,7 @@ def watch_issn(t):
 @query
 def watch_author(t):
     recent = t.lineitem.filter(F.col("l_shipdate") >= F.to_date(ago(a.LIBRARY_AS_OF, days=365)))
-    found = works.author_selection(recent, F.array(text_of("l_suppkey")), a.WATCHED_AUTHORS)
+    found = works.selected(recent, works.author_labels(F.array(text_of("l_suppkey")), a.WATCHED_AUTHORS))
     return found.select("l_orderkey", "source").distinct()
 
 

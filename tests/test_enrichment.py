@@ -65,7 +65,7 @@ def test_budget_per_source(spark):
 
 
 def test_gives_up_when_nothing_is_deposited(spark):
-    rows = [(f"i{n}", "s", "paper", f"10.1016/{n}", "", 0, n) for n in range(50)]
+    rows = [(f"i{n}", "s", "paper", f"10.6/{n}", "", 0, n) for n in range(50)]
     items = spark.createDataFrame(rows, ITEMS)
     none = spark.createDataFrame([], "doi string, abstract string")
     attempts = enrichment.budgeted_lookup(items, none)
@@ -84,14 +84,14 @@ def test_no_budget_tries_nothing(spark):
 
 @pytest.mark.parametrize("budgeted", [False, True])
 def test_backfill_fills_blank_papers_only(spark, budgeted):
-    rows = [("a", "s", "paper", "10.3390/A", "", 0, 0), ("b", "s", "paper", "10.3390/b", "already here", 0, 1),
-            ("c", "s", "news", "10.3390/c", "", 0, 2), ("d", "s", "paper", None, None, 0, 3), ("e", "s", None, "10.3390/e", "", 0, 4)]
+    rows = [("a", "s", "paper", "10.5/A", "", 0, 0), ("b", "s", "paper", "10.5/b", "own words", 0, 1),
+            ("c", "s", "news", "10.5/c", "", 0, 2), ("d", "s", "paper", None, None, 0, 3), ("e", "s", None, "10.5/e", "", 0, 4)]
     items = spark.createDataFrame(rows, ITEMS)
-    abstracts = spark.createDataFrame([(f"10.3390/{x}", "recovered <b>abstract</b>") for x in "abce"],
+    abstracts = spark.createDataFrame([(f"10.5/{x}", "found <b>words</b>") for x in "abce"],
                                       "doi string, abstract string")
     if budgeted:
         out = enrichment.apply_attempts(items, enrichment.budgeted_lookup(items, abstracts))
     else:
         out = enrichment.backfill(items, abstracts)
     got = {r["id"]: r["summary"] for r in out.collect()}
-    assert got == {"a": "recovered abstract", "b": "already here", "c": "", "d": None, "e": ""}
+    assert got == {"a": "found words", "b": "own words", "c": "", "d": None, "e": ""}

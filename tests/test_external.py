@@ -31,11 +31,11 @@ def test_payload_leaves_out_what_is_unknown(spark):
 
 
 def test_fences_ghost_ids_and_unknown_tags(spark):
-    text = ('```json\n[{"id": "a", "score": 9, "tag": "methods", "why": "on point"},\n'
-            ' {"id": "b", "score": 4, "tag": "not-a-tag", "why": "meh"},\n'
-            ' {"id": "ghost", "score": 10, "tag": "methods", "why": "not requested"}]\n```')
-    got = ingest(spark, [text], [(0, "a"), (0, "b"), (1, "ghost")], [("a", "t1", ""), ("b", "t2", "")])
-    assert got == [("a", 9, "methods", "on point"), ("b", 4, "none", "meh")]
+    array = json.dumps([{"id": "b", "score": 2, "tag": "gardening", "why": "off"}, {"id": "stray", "score": 8, "tag": "methods"},
+                        {"id": "a", "score": 7, "tag": "methods", "why": "fits"}], indent=1)
+    text = f"```json\n{array}\n```"
+    got = ingest(spark, [text], [(0, "a"), (0, "b"), (1, "stray")], [("a", "t1", ""), ("b", "t2", "")])
+    assert got == [("b", 2, "none", "off"), ("a", 7, "methods", "fits")]
 
 
 @pytest.mark.parametrize("score, expected", [

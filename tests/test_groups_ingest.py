@@ -82,13 +82,13 @@ def test_keep_first_needs_no_ties(spark):
 
 
 def test_evolve_adds_late_columns_once(spark):
-    old = spark.createDataFrame([("keep-me", "existing row")], "id string, title string")
-    new = spark.createDataFrame([("n", "new", "Energy Policy", 0, "dropped")],
+    old = spark.createDataFrame([("o", "older")], "id string, title string")
+    new = spark.createDataFrame([("n", "new", "Marine Letters", 0, "dropped")],
                                 "id string, title string, venue string, is_preprint int, org string")
     merged = ingest.conform(ingest.evolve(old, new))
     assert merged.columns == ITEM.fieldNames()
     got = {r["id"]: (r["title"], r["venue"], r["is_preprint"]) for r in merged.collect()}
-    assert got == {"keep-me": ("existing row", None, None), "n": ("new", "Energy Policy", 0)}
+    assert got == {"o": ("older", None, None), "n": ("new", "Marine Letters", 0)}
     assert ingest.conform(merged).columns == merged.columns
 
 

@@ -23,11 +23,11 @@ def test_failing_sources_need_a_full_streak(spark):
 
 
 def test_pruning_the_log_keeps_failure_detection(spark):
-    runs = spark.createDataFrame([(days_ago(90), "arxiv", 0, i) for i in range(5)]
-                                 + [(days_ago(i), "arxiv", 0, i) for i in range(3)], RUNS)
+    runs = spark.createDataFrame([(days_ago(90), "harbour", 0, i) for i in range(5)]
+                                 + [(days_ago(i), "harbour", 0, i) for i in range(3)], RUNS)
     kept = retention.prune_runs(runs, NOW)
     assert kept.count() == 3
-    assert [r["source"] for r in health.failing_sources(kept).collect()] == ["arxiv"]
+    assert [r["source"] for r in health.failing_sources(kept).collect()] == ["harbour"]
 
 
 def test_prune_keeps_the_relevant_and_the_recent(spark):
@@ -48,24 +48,24 @@ JOURNALS = "display_name string, issn_l string, works_count long"
 
 
 def test_audit_flags_dead_issns(spark):
-    known = spark.createDataFrame([("Joule", "2542-4351", 10), ("Joule (old)", "2542-4351", 3), ("Energy", "0360-5442", None)], JOURNALS)
-    audit = journals.watchlist_audit(known, ["2542-4351", "0360-5442", "0000-0000"])
+    known = spark.createDataFrame([("Tides", "1111-0001", 10), ("Tides (old)", "1111-0001", 3), ("Waves", "1111-0002", None)], JOURNALS)
+    audit = journals.watchlist_audit(known, ["1111-0001", "1111-0002", "0000-0000"])
     got = {r["issn"]: (r["status"], r["name"], r["works"]) for r in audit.collect()}
-    assert got == {"2542-4351": ("ok", "Joule", 10), "0360-5442": ("ok", "Energy", 0), "0000-0000": ("DEAD", "?", 0)}
+    assert got == {"1111-0001": ("ok", "Tides", 10), "1111-0002": ("ok", "Waves", 0), "0000-0000": ("DEAD", "?", 0)}
     assert journals.dead_count(audit).first()["dead"] == 1
 
 
 def test_lookup_lists_near_names_best_first(spark):
     known = spark.createDataFrame([
-        ("ACS Applied Energy Materials", "2574-0962", 11735), ("Applied Energy", "0306-2619", 28408),
-        ("Advances in Applied Energy", "2666-7924", 400), ("Applied Energy Repository", None, 5), ("Nature", "1", 1)], JOURNALS)
+        ("Letters of Marine Tidal Science", "1111-0001", 700), ("Marine Science", "1111-0002", 900),
+        ("New Marine Science", "1111-0003", 40), ("Marine Science Stacks", None, 5), ("Botany", "1", 1)], JOURNALS)
     got = [(r["query"], r["status"], r["issn"]) for r in
-           journals.journal_lookup(known, ["applied  energy", "Quantum"]).orderBy("query", "position").collect()]
-    assert got == [("Quantum", "no match", None), ("applied  energy", "match", "0306-2619"),
-                   ("applied  energy", "match", "2666-7924"), ("applied  energy", "match", "2574-0962")]
+           journals.journal_lookup(known, ["marine  science", "Quantum"]).orderBy("query", "position").collect()]
+    assert got == [("Quantum", "no match", None), ("marine  science", "match", "1111-0002"),
+                   ("marine  science", "match", "1111-0003"), ("marine  science", "match", "1111-0001")]
 
 
 def test_lookup_limit_counts_journals_without_issn(spark):
-    known = spark.createDataFrame([("Energy", None, 9), ("Energy One", "1", 1)], JOURNALS)
-    assert journals.journal_lookup(known, ["Energy"], limit=1).first()["status"] == "no match"
-    assert journals.journal_lookup(known.filter(F.lit(False)), ["Energy"]).first()["status"] == "no match"
+    known = spark.createDataFrame([("Waves", None, 9), ("Waves One", "1", 1)], JOURNALS)
+    assert journals.journal_lookup(known, ["Waves"], limit=1).first()["status"] == "no match"
+    assert journals.journal_lookup(known.filter(F.lit(False)), ["Waves"]).first()["status"] == "no match"

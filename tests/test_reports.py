@@ -62,11 +62,11 @@ def test_top_picks_order_window_and_limit(spark):
 
 
 def test_display_shape(spark):
-    scored = table(spark, row("a", 9, published=day(1), venue="Energy Policy", tag="captive-coal"),
+    scored = table(spark, row("a", 9, published=day(1), venue="Marine Letters", tag="captive-coal"),
                    row("b", 7, source="feed", is_preprint=1, tag="mystery", title=None), row("c", None, tag=None, rationale=None))
     got = {r["id"]: r for r in reports.display_shape(scored, DEFAULT_WORKSTREAMS).collect()}
     assert (got["a"]["source"], got["a"]["tag_label"], got["a"]["tag_color"], got["a"]["date"]) == (
-        "Energy Policy", "Captive coal", "#CC3311", str(day(1)))
+        "Marine Letters", "Captive coal", "#CC3311", str(day(1)))
     assert (got["b"]["source"], got["b"]["tag_label"], got["b"]["tag_color"], got["b"]["title"]) == (
         "feed (preprint)", "mystery", "#888888", "")
     assert (got["c"]["score"], got["c"]["tag_label"], got["c"]["rationale"], got["c"]["date"]) == (
@@ -141,21 +141,21 @@ def test_digest_text_reads_top_down(spark):
 
 def test_whole_sweep(spark):
     collected = spark.createDataFrame([
-        (0, 0, "MILP for the grid", "https://x/1", "10.1/a", "paper", "", 0), (0, 1, "again", None, "10.1/A", "paper", "t", 0),
-        (1, 0, "cats", "https://x/2", None, "news", "", None)],
+        (0, 0, "A GPU on the tide", "https://x/1", "10.1/a", "paper", "", 0), (0, 1, "again", None, "10.1/A", "paper", "t", 0),
+        (1, 0, "trains", "https://x/2", None, "news", "", None)],
         "source_ord int, seq int, title string, url string, doi string, source_type string, summary string, is_preprint int"
     ).select("*", F.lit("feed").alias("source"), F.lit(None).cast("date").alias("published_at"),
              F.lit(None).cast("timestamp").alias("fetched_at"), F.lit("v").alias("venue"),
              F.lit(None).cast("int").alias("prefilter_hits"))
-    model = TermModel(topic=("grid",), tags={"methods": ("milp", "solver")})
+    model = TermModel(topic=("tide",), tags={"methods": ("gpu", "solver")})
     cfg = SweepSettings(model=model)
     abstracts = spark.createDataFrame([("10.1/a", "a solver")], "doi string, abstract string")
     items, scores = spark.createDataFrame([], ITEM), spark.createDataFrame([], SCORE)
     out = sweep(collected, items, scores, abstracts, NOW, cfg)
     assert out["new_items"].columns == ITEM.fieldNames()
-    assert {(r["title"], r["summary"]) for r in out["new_items"].collect()} == {("MILP for the grid", "a solver"), ("cats", "")}
+    assert {(r["title"], r["summary"]) for r in out["new_items"].collect()} == {("A GPU on the tide", "a solver"), ("trains", "")}
     assert {(r["score"], r["scorer"]) for r in out["new_scores"].collect()} == {(8, "keyword"), (0, "prefilter")}
-    assert [r["title"] for r in out["listing"].collect()] == ["MILP for the grid"]
+    assert [r["title"] for r in out["listing"].collect()] == ["A GPU on the tide"]
     assert out["kept"].count() == 2
     again = sweep(collected, out["new_items"], out["new_scores"], abstracts, NOW, cfg)
     assert again["new_items"].count() == 0 and again["new_scores"].count() == 0

@@ -8,8 +8,8 @@ from fieldscope.settings import DEFAULT_TERMS, DEFAULT_WORKSTREAMS, TermModel, V
 
 ITEM = ("id string, source_type string, title string, summary string, is_preprint int, "
         "published_at date, fetched_at timestamp")
-MODEL = TermModel(topic=("grid", "power"), exclude=("horoscope",), region=("indonesia",),
-                  tags={"methods": ("decomposition", "MILP")})
+MODEL = TermModel(topic=("tide", "current"), exclude=("gossip",), region=("norway",),
+                  tags={"tools": ("simulation", "GPU")})
 VENUE = VenueWeights()
 
 
@@ -18,7 +18,7 @@ def items(spark, *rows):
     return spark.createDataFrame(full, ITEM)
 
 
-def score(spark, model, row, tags=("methods",), weights=None):
+def score(spark, model, row, tags=("tools",), weights=None):
     return scoring.keyword_score(items(spark, row), model, tags, weights).first()
 
 
@@ -29,22 +29,22 @@ def test_term_hits_are_substrings_counted_once_per_listed_term(one):
 
 
 @pytest.mark.parametrize("kind, title, passes", [
-    ("paper", "x", True), ("news", "cats", False), ("news", "power grid", True),
-    ("news", "grid horoscope", False), ("paper", "horoscope", True), (None, "power", True)])
+    ("paper", "x", True), ("news", "trains", False), ("news", "tide tables", True),
+    ("news", "tide gossip", False), ("paper", "gossip", True), (None, "current", True)])
 def test_gate(spark, kind, title, passes):
     row = scoring.prefilter(items(spark, ("1", kind, title, "")), MODEL).first()
     assert row["passes"] is passes
 
 
 def test_gate_reports_topic_hits(spark):
-    row = scoring.prefilter(items(spark, ("1", "news", "Power grid", None)), MODEL).first()
+    row = scoring.prefilter(items(spark, ("1", "news", "Current and tide", None)), MODEL).first()
     assert row["prefilter_hits"] == 2
 
 
 def test_score_ranks_and_tags(spark):
-    hot = score(spark, MODEL, ("1", "paper", "MILP decomposition for the grid in Indonesia", ""))
-    cold = score(spark, MODEL, ("2", "paper", "a poem about cats", ""))
-    assert (hot["score"], hot["tag"]) == (8, "methods")
+    hot = score(spark, MODEL, ("1", "paper", "GPU simulation of a tide off Norway", ""))
+    cold = score(spark, MODEL, ("2", "paper", "notes on knitting", ""))
+    assert (hot["score"], hot["tag"]) == (8, "tools")
     assert hot["rationale"] == "keyword match: 2 tag / 1 topic / 1 region hits"
     assert (cold["score"], cold["tag"]) == (0, "none")
 
@@ -55,12 +55,12 @@ def test_ties_go_to_the_tag_configured_first(spark):
 
 
 def test_unconfigured_best_tag_becomes_none_but_scores(spark):
-    row = score(spark, MODEL, ("1", "paper", "milp", ""), tags=("other",))
+    row = score(spark, MODEL, ("1", "paper", "gpu", ""), tags=("other",))
     assert (row["score"], row["tag"]) == (3, "none")
 
 
 def test_excluded_topic_scores_zero_without_a_venue_step(spark):
-    row = score(spark, MODEL, ("1", "paper", "grid horoscope milp", "", 0), weights=VENUE)
+    row = score(spark, MODEL, ("1", "paper", "tide gossip gpu", "", 0), weights=VENUE)
     assert (row["score"], row["tag"], row["rationale"]) == (0, "none", "excluded topic")
 
 
@@ -78,8 +78,8 @@ def test_missing_text_counts_as_empty(spark):
 
 @pytest.mark.parametrize("flag, summary, weights, delta, why", [
     (0, " \n", VENUE, 2, "peer-reviewed, no abstract available +2"),
-    (0, "a real abstract", VENUE, 1, "peer-reviewed +1"),
-    (1, "a real abstract", VENUE, -1, "preprint -1"),
+    (0, "has words", VENUE, 1, "peer-reviewed +1"),
+    (1, "has words", VENUE, -1, "preprint -1"),
     (None, "", VENUE, 0, ""),
     (0, "", VenueWeights(enabled=False), 0, ""),
     (0, "", VenueWeights(peer_reviewed=0), 0, ""),
@@ -92,7 +92,7 @@ def test_venue_adjust(one, flag, summary, weights, delta, why):
 
 
 def test_journal_outranks_preprint_of_equal_content(spark):
-    body = ("paper", "MILP for the grid", "")
+    body = ("paper", "A GPU on the tide", "")
     pre = score(spark, MODEL, ("a", *body, 1), weights=VENUE)
     journal = score(spark, MODEL, ("b", *body, 0), weights=VENUE)
     assert journal["score"] > pre["score"]
@@ -109,18 +109,18 @@ def test_relational_best_tag_agrees_with_the_score(spark):
 
 
 def test_term_matches_agree_with_the_counts(spark):
-    rows = items(spark, ("1", "paper", "power grid indonesia milp", ""), ("2", "paper", "x", ""))
+    rows = items(spark, ("1", "paper", "current tide norway gpu", ""), ("2", "paper", "x", ""))
     found = {(r["id"], r["kind"], r["term"]) for r in scoring.term_matches(rows, MODEL).collect()}
-    assert found == {("1", "topic", "power"), ("1", "topic", "grid"), ("1", "region", "indonesia"), ("1", "tag", "milp")}
+    assert found == {("1", "topic", "current"), ("1", "topic", "tide"), ("1", "region", "norway"), ("1", "tag", "gpu")}
 
 
 SCORES = "id string, score int, tag string, rationale string, scored_at timestamp, scorer string"
 
 
 def test_score_stage_writes_rejected_rows_too(spark):
-    rows = items(spark, ("1", "paper", "milp", ""), ("2", "news", "cats", ""), ("3", "paper", "scored already", ""))
+    rows = items(spark, ("1", "paper", "gpu", ""), ("2", "news", "trains", ""), ("3", "paper", "scored already", ""))
     old = spark.createDataFrame([("3", 5, "x", "", None, "keyword")], SCORES)
-    stage = scoring.score_stage(rows, old, MODEL, ("methods",), None)
+    stage = scoring.score_stage(rows, old, MODEL, ("tools",), None)
     got = {r["id"]: (r["score"], r["tag"], r["rationale"], r["scorer"]) for r in stage.collect()}
     assert set(got) == {"1", "2"}
     assert got["2"] == (0, "none", "failed prefilter", "prefilter")

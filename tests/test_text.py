@@ -12,7 +12,7 @@ def X():
     (None, ""),
     ("", ""),
     ("plain", "plain"),
-    ("<p>We  model <i>grid</i>\n flows.</p>", "We model grid flows."),
+    ("<p>Tides  move <i>slowly</i>\n north.</p>", "Tides move slowly north."),
     ("&lt;p&gt;escaped&lt;/p&gt; markup", "escaped markup"),
     ("a &amp;lt; b", "a &lt; b"),                 # decoded once only
     ("AT&T &amp; co", "AT&T & co"),
@@ -34,13 +34,13 @@ def test_strip_html_cuts_with_an_ellipsis(one):
 
 
 def test_strip_titled_html_drops_the_title_element(one):
-    raw = "<JATS:title>Abs\ntract</jats:title><jats:p>We model <jats:italic>grid</jats:italic> flows.</jats:p>"
-    assert one(text.strip_titled_html(X()), "x string", raw) == "We model grid flows."
+    raw = "<JATS:title>Sum\nmary</jats:title><jats:p>Tides move <jats:italic>slowly</jats:italic> north.</jats:p>"
+    assert one(text.strip_titled_html(X()), "x string", raw) == "Tides move slowly north."
 
 
 def test_place_tokens_orders_repeated_tokens(one):
-    index = {"the": [0, 3], "grid": [1, 4], "meets": [2]}
-    assert one(text.place_tokens(X()), "x map<string,array<int>>", index) == "the grid meets the grid"
+    index = {"the": [0, 3], "sea": [1, 4], "meets": [2]}
+    assert one(text.place_tokens(X()), "x map<string,array<int>>", index) == "the sea meets the sea"
     assert one(text.place_tokens(X()), "x map<string,array<int>>", {"b": [1], "a": [1], "z": [0]}) == "z a b"
     assert one(text.place_tokens(X()), "x map<string,array<int>>", {}) == ""
 
@@ -84,7 +84,7 @@ def test_age_label(one, when, expected):
 
 
 @pytest.mark.parametrize("venue, source, flag, expected", [
-    ("Energy Policy", "openalex:issn:1", 0, "Energy Policy"),
+    ("Marine Letters", "openalex:issn:1", 0, "Marine Letters"),
     ("  ", "feed", None, "feed"), (None, "feed", 1, "feed (preprint)"),
     ("arXiv", "arxiv", 1, "arXiv"), (" Zenodo ", "x", 1, "Zenodo (preprint)"), (None, None, None, "")])
 def test_source_label(one, venue, source, flag, expected):
