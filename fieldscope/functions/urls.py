@@ -51,29 +51,25 @@ def normalize_url(c: Column) -> Column:
     """Lower-case scheme and host, drop fragment, tracking and blank parameters,
     sort the rest, and drop trailing slashes.  Path case is kept; a blank URL
     stays the empty string."""
-    def build(url: Column) -> Column:
-        scheme = F.lower(F.regexp_extract(url, _PARTS, 1))
-        host = F.lower(F.regexp_extract(url, _PARTS, 2))
-        path = F.rtrim(F.regexp_extract(url, _PARTS, 3), F.lit("/"))
-        parts = F.struct(
-            F.when(scheme == "", F.lit("https")).otherwise(scheme).alias("scheme"),
-            host.alias("host"),
-            F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
-            _query(F.regexp_extract(url, _PARTS, 4)).alias("query"))
-        return let(parts, _assemble)
+    def taken_apart(url: Column) -> Column:
+        parts = [F.regexp_extract(url, _PARTS, at) for at in (1, 2, 3, 4)]
+        return F.struct(F.lower(parts[0]).alias("scheme"), F.lower(parts[1]).alias("host"),
+                        F.rtrim(parts[2], F.lit("/")).alias("path"), parts[3].alias("query"))
 
+    bare = F.regexp_replace(strip(c), r"[\t\r\n]", "")
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit("")).otherwise(
-        let(F.regexp_replace(strip(c), r"[\t\r\n]", ""), build))
+        let(bare, lambda url: let(taken_apart(url), _assemble)))
 
 
 def _assemble(p: Column) -> Column:
-    path = p["path"]
+    scheme = F.when(p["scheme"] == "", F.lit("https")).otherwise(p["scheme"])
+    path = F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])
     hosted = F.concat(F.lit("//"), p["host"], F.when(path.startswith("/"), path)
                       .otherwise(F.concat(F.lit("/"), path)))
-    keeps_slashes = path.startswith("//") | (
-        path.startswith("/") & p["scheme"].isin(*_AUTHORITY_SCHEMES))
+    keeps_slashes = path.startswith("//") | (path.startswith("/") & scheme.isin(*_AUTHORITY_SCHEMES))
     located = (F.when(p["host"] != "", hosted)
                .when(keeps_slashes, F.concat(F.lit("//"), path))
                .otherwise(path))
-    query = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit(""))
-    return F.concat(p["scheme"], F.lit(":"), located, query)
+    kept = F.when(p["query"] != "", _query(p["query"])).otherwise(F.lit(""))
+    query = let(kept, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(q))
+    return F.concat(scheme, F.lit(":"), located, query)
