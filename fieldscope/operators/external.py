@@ -51,10 +51,15 @@ def _is_array(text: str | None) -> bool:
 
 def score_with(batches: DataFrame, complete: Callable[[str, str], str | None],
                system_prompt: str = "", instruction: str = "Score these items; reply with a JSON array.\n",
-               retry_note: str = "\nReply with valid JSON only.") -> DataFrame:
+               retry_note: str = "\nReply with valid JSON only.",
+               parallelism: int | None = None) -> DataFrame:
     """Send each batch to ``complete(system_prompt, user_text)`` and return
     (batch_id, text).  A bad reply is asked for once more; a batch that fails
-    both times has a NULL text, its items stay unscored and queue again."""
+    both times has a NULL text, its items stay unscored and queue again.
+
+    Calls of one task follow each other.  ``parallelism`` spreads the batches
+    over that many tasks, for scorers that mostly wait.
+    """
 
     def ask(user: str) -> str | None:
         for text in (user, user + retry_note):
@@ -72,7 +77,10 @@ def score_with(batches: DataFrame, complete: Callable[[str, str], str | None],
                 "batch_id": frame["batch_id"],
                 "text": [ask(instruction + request) for request in frame["request"]]})
 
-    return batches.select("batch_id", "request").mapInPandas(run, "batch_id long, text string")
+    requests = batches.select("batch_id", "request")
+    if parallelism:
+        requests = requests.repartition(parallelism)
+    return requests.mapInPandas(run, "batch_id long, text string")
 
 
 def requested_ids(batches: DataFrame) -> DataFrame:
