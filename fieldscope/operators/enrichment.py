@@ -9,6 +9,8 @@ selections and no row is visited in sequence.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldscope.functions.columns import is_blank, strip
@@ -65,7 +67,7 @@ def budgeted_lookup(items: DataFrame, abstracts: DataFrame, order=COLLECTION_ORD
     found = look_up(slim, abstracts)
     bounds = _stops(slim, found, keys, order, place, limit, give_up_after)
     if partition_by:
-        bounded = found.join(bounds.withColumnRenamed("stop", "_stop"), keys)
+        bounded = _join_groups(found, bounds.withColumnRenamed("stop", "_stop"), keys)
     else:
         bounded = found.withColumn("_stop", bounds.select("stop").scalar())
     stop = F.col("_stop")
@@ -80,18 +82,28 @@ def budgeted_lookup(items: DataFrame, abstracts: DataFrame, order=COLLECTION_ORD
 def _stops(slim, found, keys, order, place, limit, give_up_after) -> DataFrame:
     """Per group: where the fill budget ends, where giving up would end it, and
     whether the first ``give_up_after`` lookups all missed."""
-    hits = found.filter(F.col("abstract") != "").drop("abstract")
-    fills = (first_per_group(hits, keys, order, max(limit, 1)).groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first_fill"), F.max(place).alias("_end")))
-    opening = (first_per_group(slim, keys, order, give_up_after).groupBy(*keys)
-               .agg(F.count(F.lit(1)).alias("_tries"), F.max(place).alias("_last_try")))
+    hits = first_per_group(found.filter(F.col("abstract") != "").drop("abstract"), keys, order, max(limit, 1))
+    tries = first_per_group(slim, keys, order, give_up_after)
+    fill, attempt = F.when(F.col("hit"), F.col("place")), F.when(~F.col("hit"), F.col("place"))
+    place = place.alias("place")
+    ends = (hits.select(*keys, place, F.lit(True).alias("hit"))
+            .unionByName(tries.select(*keys, place, F.lit(False).alias("hit"))).groupBy(*keys)
+            .agg(F.count(fill).alias("_fills"), F.min(fill).alias("_first_fill"), F.max(fill).alias("_last_fill"),
+                 F.count(attempt).alias("_tries"), F.max(attempt).alias("_last_try")))
     missed = (F.col("_tries") >= give_up_after) & (
         F.col("_first_fill").isNull() | (F.col("_first_fill") > F.col("_last_try")))
-    return opening.join(fills, keys, "left").select(*keys, F.struct(
-        F.when(F.col("_n") >= limit, F.col("_end")).alias("last_fill"),
+    return ends.select(*keys, F.struct(
+        F.when(F.col("_fills") >= limit, F.col("_last_fill")).alias("last_fill"),
         F.col("_last_try").alias("last_try"), missed.alias("gave_up")).alias("stop"))
 
 
+def _join_groups(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Join on group keys, where a NULL key is a group like any other."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def backfill_counters(items: DataFrame, attempts: DataFrame, order=COLLECTION_ORDER,
                       give_up_after: int = GIVE_UP_AFTER) -> DataFrame:
     """One row: filled, tried, gave_up.  Giving up is noticed only when another

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldscope.functions.columns import moment
 from fieldscope.operators.enrichment import apply_attempts, budgeted_lookup
+from fieldscope.operators.groups import materialize
 from fieldscope.operators.ingest import COLLECTION_ORDER, upsert_new, with_identity
 from fieldscope.operators.retention import prune_items
 from fieldscope.operators.scoring import score_stage
@@ -29,17 +30,20 @@ class SweepSettings:
 
 def sweep(collected: DataFrame, items: DataFrame, scores: DataFrame, abstracts: DataFrame, as_of,
           cfg: SweepSettings = SweepSettings(), order=COLLECTION_ORDER) -> dict[str, DataFrame]:
-    """Plans of one keyword-scored sweep over stored ``items`` and ``scores``:
-    what to append to either table, the reports, and the surviving snapshot."""
+    """Results of one keyword-scored sweep over stored ``items`` and ``scores``:
+    what to append to either table, the reports, and the surviving snapshot.
+
+    New items and new scores feed several of these and are written once each.
+    """
     identified = with_identity(collected)
     attempts = budgeted_lookup(identified, abstracts, order, cfg.backfill_limit)
     filled = apply_attempts(identified, attempts, order)
-    new_items = upsert_new(filled, items, order).withColumn(
-        "fetched_at", F.coalesce(F.col("fetched_at"), moment(as_of))).select(*items.columns)
+    new_items = materialize(upsert_new(filled, items, order).withColumn(
+        "fetched_at", F.coalesce(F.col("fetched_at"), moment(as_of))).select(*items.columns))
     all_items = items.unionByName(new_items)
     tags = [w.tag for w in cfg.workstreams]
-    new_scores = score_stage(all_items, scores, cfg.model, tags, cfg.weights).withColumn(
-        "scored_at", moment(as_of)).select(*scores.columns)
+    new_scores = materialize(score_stage(all_items, scores, cfg.model, tags, cfg.weights).withColumn(
+        "scored_at", moment(as_of)).select(*scores.columns))
     scored = with_scores(all_items, scores.unionByName(new_scores))
     return {
         "new_items": new_items,

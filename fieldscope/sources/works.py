@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fieldscope.functions.columns import ago, let, string_list
 from fieldscope.functions.identity import drop_doi_prefix
 from fieldscope.functions.text import last_segment, place_tokens, strip_html
+from fieldscope.operators.groups import first_per_group
 from fieldscope.schemas import WORK
 from fieldscope.settings import ISSN_LABEL, QUERY_LABEL, UNTITLED, WATCHED_AUTHOR_LABEL
 
@@ -77,9 +78,11 @@ def selected(works: DataFrame, labels: Column) -> DataFrame:
     return works.withColumn("source", F.explode(labels))
 
 
-def collect_works(works: DataFrame, queries, issns, authors, as_of, window_days: int) -> DataFrame:
+def collect_works(works: DataFrame, queries, issns, authors, as_of, window_days: int,
+                  per_label: int | None = None) -> DataFrame:
     """Items of all three selections in one pass; a work selected twice is
-    listed twice."""
+    listed twice.  ``per_label`` keeps the newest works of each query, ISSN and
+    author only, as a paged search would."""
     recent = published_since(works, as_of, window_days)
     text = F.lower(F.concat_ws(" ", "title", place_tokens(F.col("abstract_inverted_index"))))
     ids = F.transform("authorships", lambda a: last_segment(a["author"]["id"]))
@@ -87,4 +90,8 @@ def collect_works(works: DataFrame, queries, issns, authors, as_of, window_days:
     parts = [topic_labels(text, queries) if queries else none,
              F.coalesce(issn_labels(F.col("primary_location.source.issn"), issns), none) if issns else none,
              F.coalesce(author_labels(ids, authors), none) if authors else none]
-    return works_to_items(selected(recent, F.concat(*parts)), F.col("source"))
+    found = selected(recent, F.concat(*parts))
+    if per_label:
+        newest = [F.expr("try_cast(publication_date AS DATE)").desc_nulls_last(), F.col("id")]
+        found = first_per_group(found, ["source"], newest, per_label)
+    return works_to_items(found, F.col("source"))

@@ -53,12 +53,12 @@ def test_budgeted_lookup_is_the_sequential_walk(spark, seed, hit_rate, limit, gi
 
 
 def test_budget_per_source(spark):
-    rows = make(random.Random(11), 80, 0.3)
+    rows = [(r[0], None if r[1] == "s1" else r[1], *r[2:]) for r in make(random.Random(11), 80, 0.3)]
     have = {r[3].strip().lower() for r in rows if r[3] and "h" in r[3].lower()}
     items = spark.createDataFrame(rows, ITEMS)
     abstracts = spark.createDataFrame([(d, "a") for d in sorted(have)], "doi string, abstract string")
     got = enrichment.budgeted_lookup(items, abstracts, limit=2, give_up_after=2, partition_by=["source"]).collect()
-    for source in ("s0", "s1"):
+    for source in ("s0", None):
         tried, filled, _ = walk([r for r in rows if r[1] == source], have, 2, 2)
         assert {f"i{r['seq']}" for r in got if r["tried"] and r["source"] == source} == tried
         assert {f"i{r['seq']}" for r in got if r["filled"] and r["source"] == source} == filled

@@ -46,6 +46,8 @@ def test_collect_works_lists_a_work_once_per_selection(spark, tmp_path):
     assert sorted(r["source"] for r in found.collect()) == [
         "openalex:author:A1", "openalex:grid planning", "openalex:issn:2", "openalex:planning Power"]
     assert collect_works(df, [], [], [], NOW, 7).count() == 0
+    paged = collect_works(df, ["grid planning", "planning Power"], [], [], NOW, 365, per_label=1)
+    assert sorted(r["source"] for r in paged.collect()) == ["openalex:grid planning", "openalex:planning Power"]
     wide = collect_works(df, ["grid"], [], ["A1"], NOW, 365)     # unknown dates stay out
     assert {r["url"] for r in wide.collect()} == {"https://j/1"}
 
