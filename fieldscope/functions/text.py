@@ -15,7 +15,7 @@ from fieldscope.settings import SUMMARY_LIMIT
 # last, so a decoded "&" is never read as the start of another entity.
 NATIVE_ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
+    ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"),
     ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
     ("&amp;", "&"),
 )

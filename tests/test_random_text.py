@@ -1,0 +1,38 @@
+"""Text primitives against the standard library on random strings."""
+import html
+import random
+import re
+from urllib.parse import quote_plus, unquote_plus
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldscope.functions import text, urls
+from fieldscope.functions.columns import collapse_space, is_blank, strip
+
+ENTITY_PARTS = ["&", "amp", ";", "lt", "gt", "#", "39", "x41", "nbsp", "copy", "eacute", "not", "notin", " ", "é", "a",
+                "&amp;", "&lt;", "&#39;", "&#x27;", "&quot;", "&hellip;", "&bogus;", "&#0;", "&#1114112;", "&#128;"]
+SPACES = [*"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2003\u200a\u2028\u2029\u202f\u205f\u3000\u200b\u180e",
+          *"      ab\xe9-"]
+URL_PARTS = ["a", "Z", "9", "_", ".", "-", "~", "*", "+", " ", "%", "%20", "%C3%A9", "%2", "%zz", "é", "€", "/", "?", "=", "'", "(", "!"]
+
+
+def strings(parts, seed, n=1500, longest=8):
+    rng = random.Random(seed)
+    return [""] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, longest))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name, column, expected, parts", [
+    ("unescape", text.unescape, html.unescape, ENTITY_PARTS),
+    ("collapse", collapse_space, lambda s: re.sub(r"\s+", " ", s), SPACES),
+    ("strip", strip, str.strip, SPACES),
+    ("blank", is_blank, lambda s: not s.strip(), SPACES),
+    ("encode", urls._encode, quote_plus, URL_PARTS),
+    ("decode", urls._decode, unquote_plus, URL_PARTS),
+])
+def test_like_the_standard_library(spark, name, column, expected, parts):
+    values = strings(parts, name)
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    differing = [(r["x"], r["y"], expected(r["x"])) for r in df.select("x", column(F.col("x")).alias("y")).collect()
+                 if r["y"] != expected(r["x"])]
+    assert differing == []
