@@ -102,3 +102,30 @@ def test_a_scorer_without_answers_scores_nothing(spark):
     batches = external.score_batches(many(spark, 5))
     found = external.score_with(batches, lambda system, user: None)
     assert external.ingest_scores(found, external.requested_ids(batches), many(spark, 5), ["m"], "x").count() == 0
+
+
+def test_external_stage_leaves_deferred_and_unanswered_items_for_later(spark):
+    from fieldscope.plans.external_scoring import external_score_stage
+    from fieldscope.settings import TermModel
+
+    rows = many(spark, 60).withColumn("source_type", F.when(F.col("id") < "010", "news").otherwise("paper"))
+    old = spark.createDataFrame([("059",)], "id string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(system, user):
+        calls.add(1)
+        ids = [r["id"] for r in json.loads(user[user.index("["):])]
+        if "054" in ids:
+            return None
+        return json.dumps([{"id": i, "score": 4, "tag": "m"} for i in ids] + [{"id": ids[0], "score": 9, "tag": "m"}])
+
+    model = TermModel(topic=("absent",))
+    out = external_score_stage(rows, old, model, scorer, ["m"], "remote", cap=30, size=10)
+    got = {r["id"]: (r["score"], r["scorer"], r["prefilter_hits"]) for r in out.collect()}
+    newest = sorted((f"{i:03d}" for i in range(10, 59)), key=lambda i: (-(int(i) % 5), i))[:30]
+    lost = next(set(newest[n:n + 10]) for n in (0, 10, 20) if "054" in newest[n:n + 10])
+    expected = {i: (0, "prefilter", 0) for i in (f"{n:03d}" for n in range(10))}
+    expected.update({i: (4, "remote", 0) for i in newest if i not in lost})
+    assert got == expected
+    assert calls.value == 4      # three batches, one of them asked twice
+    assert out.count() == len(expected) and calls.value == 4
