@@ -63,8 +63,9 @@ def citing_ids(library: DataFrame, citations: DataFrame, max_seeds: int = 200) -
 
 
 def authored_ids(authors: DataFrame, authorships: DataFrame) -> DataFrame:
-    """Works by any of ``authors``, a list bounded by its top-n limit."""
-    return (authorships.join(F.broadcast(authors.select("author_id")), "author_id", "left_semi")
+    """Works by any of ``authors``; a top-n list is small enough for Spark to
+    broadcast on its own."""
+    return (authorships.join(authors.select("author_id"), "author_id", "left_semi")
             .select("work_id").distinct())
 
 

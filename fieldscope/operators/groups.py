@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _SALTS = 64
+# Every map task sends up to n rows of a hot group to the one task that ends it.
+_SPREAD_ABOVE = 100
 
 
-def _limit_threshold(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+def _spread_above(spark: SparkSession) -> int:
+    return min(_SPREAD_ABOVE, int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")))
 
 
 def _ranked(df: DataFrame, keys, order, n: int) -> DataFrame:
@@ -18,29 +20,23 @@ def _ranked(df: DataFrame, keys, order, n: int) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n)
 
 
-def first_per_group(df: DataFrame, keys, order, n: int, rank: str | None = None) -> DataFrame:
+def first_per_group(df: DataFrame, keys, order, n: int, rank: str | None = None, spread=None) -> DataFrame:
     """The first ``n`` rows of each group under a total order.
 
     For small ``n`` Spark cuts each group to ``n`` rows inside every map task,
-    before the shuffle, so a group holding most of the rows stays cheap.  Beyond
-    Spark's threshold for that cut, the same effect comes from taking the first
-    ``n`` of each salted slice of a group before the first ``n`` of the whole.
+    before the shuffle, so a group holding most of the rows stays cheap.  For
+    larger ``n``, and beyond Spark's threshold for that cut, the first ``n`` of
+    each salted slice of a group are taken before the first ``n`` of the whole.
+    Slices are hashed from the ``spread`` columns, by default those of ``order``.
     """
-    if n > _limit_threshold(df.sparkSession):
-        slice_of = F.pmod(F.xxhash64(*[_bare(c) for c in order]), F.lit(_SALTS))
+    if n > _spread_above(df.sparkSession):
+        slice_of = F.pmod(F.xxhash64(*(spread or order)), F.lit(_SALTS))
         sliced = df.withColumn("_slice", slice_of)
         df = _ranked(sliced, [*keys, "_slice"], order, n).drop("_slice", "_rank")
     ranked = _ranked(df, keys, order, n)
     return ranked.withColumnRenamed("_rank", rank) if rank else ranked.drop("_rank")
 
 
-def _bare(c) -> Column:
-    """The column under an ascending or descending sort marker."""
-    if isinstance(c, str):
-        return F.col(c)
-    raise TypeError("an order that needs salting must be given as column names")
-
-
 def keep_first(df: DataFrame, keys, order) -> DataFrame:
     """One row per key: the first under ``order``, which must be total."""
     return first_per_group(df, keys, order, 1)

@@ -10,8 +10,9 @@ from fieldscope.settings import FAILURE_STREAK
 
 def last_n_runs(runs: DataFrame, n: int = FAILURE_STREAK, tiebreak: str | None = None) -> DataFrame:
     """The latest ``n`` runs of every source, numbered from the newest."""
-    order = [F.col("run_at").desc()] + ([F.col(tiebreak).desc()] if tiebreak else [])
-    return first_per_group(runs, ["source"], order, n, rank="recency")
+    columns = ["run_at", tiebreak] if tiebreak else ["run_at"]
+    newest = [F.col(c).desc() for c in columns]
+    return first_per_group(runs, ["source"], newest, n, rank="recency", spread=columns)
 
 
 def failing_sources(runs: DataFrame, streak: int = FAILURE_STREAK, tiebreak: str | None = None) -> DataFrame:

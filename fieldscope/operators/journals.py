@@ -54,7 +54,7 @@ def journal_lookup(journals: DataFrame, names, limit: int = LOOKUP_LIMIT) -> Dat
                   .select("name", "issn", "works", F.col("w.query").alias("query"),
                           F.levenshtein(title_key(F.col("name")), F.col("w.key")).alias("distance")))
     order = [F.col("distance").asc(), F.col("works").desc(), F.col("name").asc(), F.col("issn").asc()]
-    best = (first_per_group(candidates, ["query"], order, limit, rank="position")
+    best = (first_per_group(candidates, ["query"], order, limit, rank="position", spread=["name", "issn", "works"])
             .filter(nonblank(F.col("issn")).isNotNull()))
     asked = journals.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "query string")
     return asked.join(best, "query", "left").select(

@@ -93,5 +93,5 @@ def collect_works(works: DataFrame, queries, issns, authors, as_of, window_days:
     found = selected(recent, F.concat(*parts))
     if per_label:
         newest = [F.expr("try_cast(publication_date AS DATE)").desc_nulls_last(), F.col("id")]
-        found = first_per_group(found, ["source"], newest, per_label)
+        found = first_per_group(found, ["source"], newest, per_label, spread=["id"])
     return works_to_items(found, F.col("source"))

@@ -24,7 +24,7 @@ def read_stream(spark: SparkSession, path: str, schema, pattern: str | None = No
 
 
 def run_to_end(writer) -> StreamingQuery:
-    """Process everything that is there, then stop."""
+    """Process everything that is there, then stop: one sweep per call."""
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query

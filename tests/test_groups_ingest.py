@@ -40,6 +40,9 @@ def test_first_per_group_beyond_the_threshold_goes_by_slices(spark):
         got = first_per_group(df, ["k"], ["a", "b"], 7)
         assert "_slice" in plan_of(got)
         assert sorted(map(tuple, got.collect())) == brute_first(rows, 7)
+        down = first_per_group(df, ["k"], [F.col("a").desc(), F.col("b").desc()], 7, rank="at", spread=["b"])
+        mirrored = brute_first([(k, -x, -y) for k, x, y in rows], 7)
+        assert sorted((r["k"], -r["a"], -r["b"]) for r in down.collect()) == mirrored
     finally:
         spark.conf.set(key, before)
 
