@@ -100,8 +100,8 @@ def scoring_text(title: Column, summary: Column) -> Column:
 
 def age_label(when: Column, as_of) -> Column:
     """'today', '1 day ago' or 'N days ago' for a date or timestamp."""
-    elapsed = F.unix_timestamp(moment(as_of)) - F.unix_timestamp(when.cast("timestamp"))
-    return let(F.floor(elapsed / 86400), lambda days: (
+    elapsed = F.timestamp_diff("DAY", when.cast("timestamp_ntz"), moment(as_of).cast("timestamp_ntz"))
+    return let(elapsed, lambda days: (
         F.when(days <= 0, F.lit("today"))
         .when(days == 1, F.lit("1 day ago"))
         .otherwise(F.concat(days.cast("string"), F.lit(" days ago")))))

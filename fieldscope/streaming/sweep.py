@@ -66,4 +66,4 @@ def daily_counts(stream: DataFrame, time: str, keys, lateness: str = "1 day") ->
     timed = stream.withColumn(time, F.col(time).cast("timestamp"))
     return (timed.withWatermark(time, lateness).groupBy(F.window(time, "1 day"), *keys)
             .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.to_date("window.start").alias("day"), *keys, "n"))
+            .select(F.to_date(F.to_utc_timestamp("window.start", F.current_timezone())).alias("day"), *keys, "n"))
