@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldscope.functions.columns import is_blank, nonblank, string_list, strip
+from fieldscope.functions.columns import is_blank, string_list, strip
 from fieldscope.functions.venue import apply_venue, clamp, venue_adjust
 from fieldscope.operators.groups import with_ordinal
 from fieldscope.operators.scoring import newest_first

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fieldscope.functions.columns import is_blank, nonblank, strip
+from fieldscope.functions.columns import nonblank, strip
 from fieldscope.operators.groups import first_per_group
 from fieldscope.settings import NOTES_BUDGET
 
@@ -54,8 +54,3 @@ def describe_blocks(blocks: DataFrame) -> DataFrame:
                               .otherwise(F.concat(F.col("n_docs").cast("string"), F.lit(" reference document"),
                                                   plural, F.lit(", "), F.col("n_chars").cast("string"),
                                                   F.lit(" chars"))))
-
-
-def blank_body(docs: DataFrame) -> DataFrame:
-    """Documents that packing skips."""
-    return docs.filter(is_blank(F.col("body")))

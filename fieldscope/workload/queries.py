@@ -5,6 +5,7 @@ Each query reads whole tables.  Dates and times are returned as text.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ from fieldscope.settings import DiscoverySettings
 from fieldscope.sources import entries, library, works
 from fieldscope.streaming import health as live, sweep
 from fieldscope.workload import adapters as a
-from fieldscope.workload.adapters import Tables, iso, mod, text_of
+from fieldscope.workload.adapters import Tables, mod, text_of
 
 _QUERIES = {}
 
@@ -213,14 +214,12 @@ def ingest_scores(t):
 
 def _local_scorer(system: str, user: str) -> str:
     """A deterministic stand-in for a remote scorer."""
-    import json
     rows = json.loads(user[user.index("["):])
     return json.dumps([{"id": r["id"], "score": len(r["title"]) % 11, "tag": "a", "why": "length"} for r in rows])
 
 
 @query
 def pluggable_scorer(t):
-    # Used for both the requests and the requested ids, so it is written once.
     batches = external.score_batches(_passing(t))
     found = external.score_with(batches, _local_scorer)
     return external.ingest_scores(found, external.requested_ids(batches), a.items(t), a.TAGS, "local", a.WEIGHTS)

@@ -1,11 +1,10 @@
 import datetime as dt
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from fieldscope.operators.packing import pack_budget
-from fieldscope.sources import entries, library, notes, registry, works
+from fieldscope.sources import entries, library, notes, registry
 from fieldscope.sources.works import collect_works, read_works, works_to_items
 
 NOW = dt.datetime(2024, 3, 20, 12)
