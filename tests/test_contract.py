@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 from fieldscope.workload import adapters as a
 import __spark_entry__ as contract
+from fieldscope.workload.queries import all_queries
 
 DATA = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
@@ -28,7 +29,7 @@ def canonical(rows):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_its_sql(spark, oracle, name):
     df = contract.queries()[name](spark, DATA)
     columns = sorted(df.columns)
@@ -41,7 +42,8 @@ def test_query_equals_its_sql(spark, oracle, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    from fieldscope.workload import oracle, queries
+    assert set(queries.all_queries()) == set(oracle.all_oracles())
 
 
 @needs_data
@@ -74,7 +76,7 @@ def test_only_needed_columns_are_read(spark):
 
 @needs_data
 def test_no_query_crosses_tables(spark):
-    for name, build in contract.queries().items():
+    for name, build in all_queries().items():
         if not name.startswith(("stream_", "backfill_")):
             assert "CartesianProduct" not in plan_of(build(spark, DATA)), name
 
