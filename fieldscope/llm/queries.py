@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from fieldscope.llm import packing, sharding
+from fieldscope.llm import mixing, packing, quality, sharding
 
 
 def all_queries():
-    built = [packing.op3_length_buckets, sharding.op10_extendible_sharding]
+    built = [packing.op3_length_buckets, mixing.op4_mixture, quality.op5_quality_cascade, sharding.op10_extendible_sharding]
     return {f.__name__: f for f in built}
 
 
