@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fieldscope.llm import mixing, packing, quality, sharding
+from fieldscope.llm import mixing, packing, quality, sharding, tokens, warc
 
 
 def all_queries():
-    built = [packing.op3_length_buckets, mixing.op4_mixture, quality.op5_quality_cascade, sharding.op10_extendible_sharding]
+    built = [warc.op1_warc_bundles, packing.op3_length_buckets, mixing.op4_mixture, quality.op5_quality_cascade,
+             tokens.op7_token_files, sharding.op10_extendible_sharding]
     return {f.__name__: f for f in built}
 
 
 def all_oracles():
-    return {"op10_extendible_sharding": sharding.sharding_sql()}
+    return {"op1_warc_bundles": warc.WARC_SQL, "op10_extendible_sharding": sharding.sharding_sql()}
