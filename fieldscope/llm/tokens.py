@@ -28,6 +28,7 @@ from fieldscope.llm.common import kept, new_folder
 
 END = 2
 GROUP_TOKENS = 1 << 20  # ids after which a row group ends
+TASK_TOKENS = 1 << 23  # ids that a reading task gets
 PAGE_BYTES = 1 << 16
 CACHE = 400_000  # words whose ids a worker keeps
 
@@ -153,7 +154,8 @@ def read(groups: DataFrame) -> DataFrame:
                      pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())],
                     [x.split()[0] for x in _READ.split(", ")])
 
-    return groups.select("part", "file", "group").repartition("file", "group").mapInArrow(run, _READ)
+    tasks = -(-(groups.agg(F.sum("tokens")).first()[0] or 1) // TASK_TOKENS)
+    return groups.select("part", "file", "group").repartition(tasks, "file", "group").mapInArrow(run, _READ)
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:

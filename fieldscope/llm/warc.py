@@ -31,6 +31,7 @@ from fieldscope.llm.common import kept, new_folder
 LEAST = 100
 FRAME = 1 << 20  # bytes of records after which a frame ends
 BUNDLE = 1 << 28  # compressed bytes after which a bundle ends
+TASK = 1 << 25  # bytes of records that a task reads
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"  # of pages whose time is not known
 
@@ -210,8 +211,10 @@ def read(index: DataFrame) -> DataFrame:
         if bundle is not None:
             bundle.close()
 
-    # Frames, not bundles, are dealt out, so a large bundle is read by many tasks.
-    return index.select("bundle", "frame", "place").repartition("bundle", "frame").sortWithinPartitions(
+    # Frames, not bundles, are dealt out, so a large bundle is read by many tasks; their number follows from what the
+    # records hold, as index rows alone look small.
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 1) // TASK)
+    return index.select("bundle", "frame", "place").repartition(tasks, "bundle", "frame").sortWithinPartitions(
         "bundle", "frame", "place").mapInArrow(run, _READ)
 
 
