@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from fieldscope.llm import mixing, packing, quality, sharding, tokens, warc, winnowing
+from fieldscope.llm import minhash, mixing, packing, quality, sharding, tokens, warc, winnowing
 
 
 def all_queries():
     built = [warc.op1_warc_bundles, winnowing.op2_winnowing, packing.op3_length_buckets, mixing.op4_mixture, quality.op5_quality_cascade,
-             tokens.op7_token_files, sharding.op10_extendible_sharding]
+             tokens.op7_token_files, minhash.op9_minhash, sharding.op10_extendible_sharding]
     return {f.__name__: f for f in built}
 
 
