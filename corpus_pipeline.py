@@ -1,4 +1,11 @@
-"""A corpus from raw documents to packed batches: five stages, each over all that the one before kept."""
+"""A corpus from raw documents to packed batches: five stages, each over all that the one before kept.
+
+1. Quality rules: documents that a rule rejects go.
+2. MinHash near-duplicates: of documents that links connect, the one with the smallest doc_id stays.
+3. Suffix-array repeats: bytes of a string of 50 that an earlier document has go; the document stays, even an empty one.
+4. Source mixture: documents are taken as often, and as far, as the targets of their sources say.
+5. Packing: what is left gets a length bucket, and a place in a batch of that bucket.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +13,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldscope.llm import packing
+from fieldscope.llm import minhash, mixing, packing, quality, suffixes
+from fieldscope.llm.common import kept
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.clean_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.without_near_copies(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(docs)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bucket, batch and padding of each document."""
-    return packing.pack_documents(docs)
+def length_buckets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, carry=("lang", "source", "n_chars"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("packing", pack),
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("repeated strings", repeated_strings),
+    ("source mixture", source_mixture),
+    ("packing", length_buckets),
 ]
 
+# Confirmed MinHash links and shuffled blocks are no SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage keeps is written as Parquet and reread by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

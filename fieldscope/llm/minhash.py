@@ -203,3 +203,10 @@ def _hidden(starred: DataFrame, common: DataFrame, found: DataFrame) -> DataFram
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
     found = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_copies(documents: DataFrame) -> DataFrame:
+    """The documents without those that a link, or several, lead to one with a smaller doc_id; all columns."""
+    found = near_components(documents)
+    copies = kept(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct(), "near-copies")
+    return documents.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")

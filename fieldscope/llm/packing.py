@@ -105,9 +105,9 @@ BUCKETS = 16
 BUDGET = 1 << 16
 
 
-def pack_documents(documents: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """Documents by their number of words."""
-    narrow = documents.select("doc_id", n_words(whole_text()).alias("n_words"))
+def pack_documents(documents: DataFrame, carry: tuple[str, ...] = (), buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """Documents by their number of words; ``carry`` names further columns to keep."""
+    narrow = documents.select("doc_id", *carry, n_words(whole_text()).alias("n_words"))
     return pack(narrow, "n_words", ["doc_id"], buckets, budget)
 
 
