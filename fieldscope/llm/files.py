@@ -1,12 +1,23 @@
-"""Files that tasks write to and read from the shared folder, by its URI."""
+"""Files that tasks write to and read from the shared folder, by its URI, and what a worker keeps between tasks."""
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 from pyarrow import fs
 
 
+def per_process(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept by this Python worker for its later tasks."""
+    state = sys.modules.setdefault("fieldscope_worker_state", types.ModuleType("fieldscope_worker_state"))
+    if not hasattr(state, name):
+        setattr(state, name, make())
+    return getattr(state, name)
+
+
 def _located(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("s3a://"):
         uri = "s3" + uri[3:]

@@ -14,6 +14,7 @@ single documents or read metadata without any ids.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,41 +31,40 @@ END = 2
 GROUP_TOKENS = 1 << 20  # ids after which a row group ends
 TASK_TOKENS = 1 << 23  # ids that a reading task gets
 PAGE_BYTES = 1 << 16
-CACHE = 400_000  # words whose ids a worker keeps
+CACHE = 1_000_000  # words whose ids a worker keeps
+_SMALL = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_MARK = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n]|\Z)")
 
 _FILES = "part int, file string, group int, documents long, tokens long"
 _READ = "part int, file string, group int, doc_id long, first long, n_tokens long, ids_crc32 long"
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    For a tokenizer that drops white space and has no token across it, a text's
-    ids are those of its words one after the other, so each word is encoded once.
+    For a tokenizer that ignores case, drops white space and has no token across
+    it, a text's ids are those of its words one after the other, so each word is
+    encoded once.  A comma or full stop between a letter and white space is a word
+    of its own for it, so words are kept without them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
 
-    def learn(self, words: list[bytes]) -> None:
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set(words))
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)
+        value = self[word] = np.array(found[0].ids, "<u4").tobytes()
+        return value
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self.learn(words)
-            return b"".join([self.known[w] for w in words])
+        if b"<|" not in text:  # the special tokens are in small letters only
+            text = text.translate(_SMALL)
+        return b"".join([self[w] for w in _MARK.sub(rb" \1", text).split()])
 
 
 def vocabulary() -> str:
@@ -88,7 +88,7 @@ def write(documents: DataFrame, folder: str, metadata: tuple[str, ...] = (), pat
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(words_of)
+        encoder = files.per_process(f"encoder {words_of}", lambda: WordEncoder(words_of))
         part, uri, out, writer = TaskContext.get().partitionId(), None, None, None
         ids, meta, first, at, groups = [], [], [], 0, []
 
