@@ -209,4 +209,4 @@ def without_near_copies(documents: DataFrame) -> DataFrame:
     """The documents without those that a link, or several, lead to one with a smaller doc_id; all columns."""
     found = near_components(documents)
     copies = kept(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct(), "near-copies")
-    return documents.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    return documents.join(copies, documents["doc_id"] == copies["_copy"], "left_anti")

@@ -125,10 +125,13 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     mixed, _ = mix(documents)
     runs = mixed.groupBy("_row", "doc_id", "_text", "epoch").agg(F.sum("words").alias("_taken")).withColumnRenamed(
         "doc_id", "_id").withColumnRenamed("_text", "_key")
-    texts = documents.withColumn("_same", F.xxhash64(whole_text())).dropDuplicates(["doc_id", "_same"])
-    joined = texts.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_key")))
-    plain = F.trim(F.regexp_replace("text", f"{SPACE}+", " "))
+    fields = {c: F.col(f"_document.`{c}`") for c in documents.columns}
+    texts = documents.select(F.struct("*").alias("_document"), F.col("doc_id").alias("_doc"),
+                             F.xxhash64(whole_text()).alias("_same")).dropDuplicates(["_doc", "_same"])
+    joined = texts.join(runs, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_key")))
+    text = F.coalesce(fields["text"], F.lit(""))
     first = F.expr("substring_index(_plain, ' ', cast(_taken AS int))")
-    cut = F.when(n_words(whole_text()) > F.col("_taken"), first).otherwise(F.col("text"))
-    return joined.withColumn("_plain", plain).withColumn("text", cut).withColumn(
-        "n_chars", F.char_length("text").cast("long")).select(*documents.columns)
+    joined = joined.withColumn("_plain", F.trim(F.regexp_replace(text, f"{SPACE}+", " "))).withColumn(
+        "_cut", F.when(n_words(text) > F.col("_taken"), first).otherwise(fields["text"]))
+    fields |= {"text": F.col("_cut")} | ({"n_chars": F.char_length("_cut").cast("long")} if "n_chars" in fields else {})
+    return joined.select(*[f.alias(c) for c, f in fields.items()])

@@ -26,7 +26,7 @@ def _bin(length: Column) -> Column:
     """A number for each length up to EXACT, then 256 for each doubling."""
     power = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int")
     step = F.pow(F.lit(2.0), power - 8)
-    coarse = EXACT + (power - 12) * 256 + F.floor(length / step).cast("int") - 256
+    coarse = EXACT + 1 + (power - 12) * 256 + F.floor(length / step).cast("int") - 256
     return F.when(length <= EXACT, length).otherwise(coarse).cast("int")
 
 

@@ -50,7 +50,7 @@ def with_responses(pages: DataFrame, least: int = LEAST) -> DataFrame:
     is one whose large keys Spark can deal out to several tasks.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    known = pages.withColumn("payload_digest", F.sha2(payload, 256)).withColumn(
+    known = pages.select("page_id", "url", "html").withColumn("payload_digest", F.sha2(payload, 256)).withColumn(
         "payload_bytes", F.octet_length(payload).cast("long"))
     groups = kept(known.filter(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("_digest")).agg(
         F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "payloads")
@@ -219,7 +219,7 @@ def read(index: DataFrame) -> DataFrame:
 
 
 def op1_warc_bundles(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     index = write(with_responses(pages), new_folder(spark, "warc"))
     return read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -1,0 +1,55 @@
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+from fieldscope.llm import sharding
+from llm import cases
+
+
+def check(got, limit):
+    total, rows = defaultdict(int), defaultdict(int)
+    for r in got:
+        total[r.shard] += r.n_bytes
+        rows[r.shard] += 1
+        assert len(r.shard) == r.depth
+    for r in got:
+        assert (r.shard_bytes, r.shard_rows) == (total[r.shard], rows[r.shard])
+        assert total[r.shard] <= limit or rows[r.shard] == 1
+    names = sorted(total)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]) if a != b)  # no shard below another
+    return total
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 1 << 14, 3000])
+def test_shards_equal_the_sql(spark, limit):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = sharding.shards(docs, "doc_id", limit, ["doc_id"]).collect()
+    check(got, limit)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(sharding.sharding_sql(limit)).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_only_oversized_buckets_split(spark):
+    docs = spark.createDataFrame([(i, "x" * 10) for i in range(1000)], "doc_id long, text string")
+    total = check(sharding.shards(docs, "doc_id", 500, ["doc_id"]).collect(), 500)
+    for name in total:
+        if name:  # its parent was too large
+            assert sum(v for k, v in total.items() if k.startswith(name[:-1])) > 500
+
+
+def test_a_heavy_key_and_repeated_rows_split(spark):
+    rows = [(7, "hot " * (i % 5 + 1)) for i in range(300)] + [(8, "same row") for _ in range(300)] + [(None, None), (9, "y" * 5000)]
+    docs = spark.createDataFrame(rows, "key long, text string")
+    got = sharding.shards(docs, "key", 200, ["key"]).collect()
+    assert len(got) == len(rows)
+    check(got, 200)
+
+
+def test_odd_rows(spark):
+    got = sharding.shards(cases.documents(spark), "doc_id", 1000, ["doc_id", "source"]).collect()
+    assert len(got) == len(cases.DOCUMENTS)
+    check(got, 1000)
+    assert sharding.shards(cases.documents(spark, []), "doc_id", 1000, ["doc_id"]).collect() == []
