@@ -151,11 +151,11 @@ def _common(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, size_a long, size_b long, both long")
 
 
-_UNION = F.col("size_a") + F.col("size_b") - F.col("both")
+_UNION = "(size_a + size_b - both)"
 
 
 def _links(common: DataFrame) -> DataFrame:
-    return common.filter(100 * F.col("both") >= PERCENT * _UNION).select("a", "b")
+    return common.filter(f"100 * both >= {PERCENT} * {_UNION}").select("a", "b")
 
 
 def near_components(documents: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def near_components(documents: DataFrame) -> DataFrame:
 
 def _hidden(starred: DataFrame, common: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs in a bucket that may be links although their components differ so far."""
-    distance = common.select("a", "b", (1 - F.col("both") / _UNION).alias("far"))
+    distance = common.select("a", "b", F.expr(f"1 - both / {_UNION}").alias("far"))
     known = starred.join(distance, ["a", "b"], "left").join(found.withColumnRenamed("node", "b"), "b", "left").select(
         "bucket", "b", "n_shingles", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "b").alias("component"))
     open_ = known.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter(

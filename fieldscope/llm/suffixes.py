@@ -325,11 +325,9 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), ">u8", padded.data, 0, (1,)).astype(_U)
     order = np.argsort(key)
-    if n >= 8:  # of suffixes that padding made equal, the shorter comes first
-        tail = np.arange(max(n - 8, 0), n)
-        ties = np.isin(key[order], key[tail])
-        at = np.flatnonzero(ties)
-        order[at] = order[at][np.lexsort((-np.minimum(order[at], n) * (order[at] >= n - 8), key[order[at]]))]
+    # Of suffixes that the padding made equal, the shorter comes first.
+    at = np.flatnonzero(np.isin(key[order], key[max(n - 7, 0):]))
+    order[at] = order[at][np.lexsort((np.minimum(n - order[at], 8), key[order[at]]))]
     sorted_ = key[order]
     new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]]) if n else np.empty(0, bool)
     short = order > n - 8

@@ -1,0 +1,115 @@
+import random
+import re
+
+import numpy as np
+
+from fieldscope.llm import minhash as m
+from fieldscope.llm.components import components
+from llm import cases
+
+SMALL = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+def set_of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(SMALL))
+    return set(zip(words, words[1:])) if len(words) > 1 else {tuple(words)} if words else set()
+
+
+def linked(a, b):
+    both = len(a & b)
+    return bool(a and b) and 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+def expected(rows):
+    sets = [(i, set_of(t)) for i, t, *_ in rows]
+    parent = {i: i for i, _ in sets if i is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (a, x) in enumerate(sets):
+        for b, y in sets[:n]:
+            if a is not None and b is not None and linked(x, y):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return sorted(((i, len(x), None if i is None else root(i), i is None or root(i) == i) for i, x in sets), key=str)
+
+
+def check(spark, tmp_path, rows):
+    got = m.op9_minhash(spark, cases.saved(cases.documents(spark, rows), tmp_path, "documents")).collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)
+
+
+def test_odd_rows(spark, tmp_path):
+    check(spark, tmp_path, cases.DOCUMENTS)
+
+
+def test_no_documents(spark, tmp_path):
+    check(spark, tmp_path, [])
+
+
+def variants():
+    """Families of texts whose similarity lies around the limit, chains, and exact copies."""
+    random.seed(7)
+    rows = []
+    for family in range(8):
+        words = [f"f{family}w{i}" for i in range(random.choice([3, 12, 60, 200]))]
+        for _ in range(14):
+            text = list(words)
+            for _ in range(random.randint(0, max(1, len(words) // 14))):
+                text[random.randrange(len(text))] = f"new{random.random()}"
+            rows.append((" ".join(text)).upper() if random.random() < 0.2 else " ".join(text))
+            if random.random() < 0.3:
+                words = text  # the family drifts
+    rows += random.choices(rows, k=30) + ["lone", "LONE", "two words", ""]
+    ids = random.sample(range(10**6), len(rows))
+    return [(i, t, "en", "a") for i, t in zip(ids, rows)]
+
+
+def test_families_equal_brute_force(spark, tmp_path):
+    check(spark, tmp_path, variants())
+
+
+def test_benchmark_documents(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    assert sorted(map(tuple, m.op9_minhash(spark, folder).collect()), key=str) == expected(rows)
+
+
+def test_signatures_estimate_similarity():
+    draw, ranks = np.random.default_rng(1), m._orders()
+    for size in (3, 40, 400):
+        agree = []
+        for _ in range(60):
+            s = np.unique(draw.integers(0, 2**63, size * 2).astype(np.uint64))
+            a, b = s[: size + size // 2], s[size // 2:]
+            agree.append((m.signature(np.sort(draw.permutation(a)), ranks) == m.signature(b, ranks)).mean())
+        want = len(np.intersect1d(a, b)) / len(s)
+        assert abs(np.mean(agree) - want) < 0.08
+
+
+def test_hidden_links_are_found(spark):
+    """Two classes link only with each other; the centre of their bucket confirms neither."""
+    starred = spark.createDataFrame([(1, 0, b, 100) for b in range(4)], "bucket long, a long, b long, n_shingles long")
+    common = spark.createDataFrame([(0, 1, 100, 100, 85), (0, 2, 100, 100, 82), (0, 3, 100, 100, 5)],
+                                   "a long, b long, size_a long, size_b long, both long")
+    found = spark.createDataFrame([], "node long, component long")
+    assert [tuple(r) for r in m._hidden(starred, common, found).collect()] == [(1, 2)]
+    joined = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
+    assert m._hidden(starred, common, joined).count() == 0
+
+
+def test_components(spark):
+    path = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_document_of_a_group_stays(spark):
+    docs = cases.documents(spark, variants())
+    left = m.without_near_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, _, _, kept in sorted(expected(variants())) if kept]
