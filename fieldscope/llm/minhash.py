@@ -9,10 +9,11 @@ edges, from each class to the smallest, are candidates, so there are never more
 them than entries; each is confirmed on the full sets.
 
 A star can hide a link between two classes of a bucket that its centre doesn't
-confirm.  So buckets whose classes are still in several components are searched
-again for such pairs.  Jaccard distance is a metric: only pairs whose distances to
-the centre differ by no more than the limit can be links, all others are excluded
-by what is known already.
+confirm.  So in buckets whose classes are still in several components, those outside
+the first one are held against the others by odd sketches: 2,048 parity bits of a
+set, in which two sets differ by no more bits than they differ by shingles.  Pairs
+with more bits than a link allows are ruled out for sure, where they meet, and never
+become rows; the few others are confirmed on the full sets.
 
 * Letters A-Z count as small ones.  A NULL or empty text, or one without words, has
   an empty set and no links; fewer than two words are one shingle.
@@ -37,6 +38,7 @@ BINS = 256
 BAND = 6
 BANDS = BINS // BAND  # 42: a pair of similarity 0.8 shares no bucket with probability 3e-6
 PERCENT = 80
+SKETCH = 32  # numbers of 64 parity bits
 CACHE = 500_000  # words whose hashes a worker keeps
 _SEED = 20240602
 _U = np.uint64
@@ -99,15 +101,22 @@ def bands(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SET = "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>"
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles at each of the sketch's bits."""
+    parity = np.bincount((s & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
+_BITS = [f"bits_{i}" for i in range(SKETCH)]
+_SET = "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>, " + ", ".join(f"{b} long" for b in _BITS)
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """The size, identity (two hashes of the whole set) and buckets of each document's set."""
+    """The size, identity (two hashes of the whole set), buckets and sketch of each document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ranks = Words(), _orders()
         for batch in batches:
-            ids, sizes, first, second, keys = batch.column(0), [], [], [], []
+            ids, sizes, first, second, keys, drawn = batch.column(0), [], [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py() or b"", words)
                 raw = s.tobytes()
@@ -115,11 +124,13 @@ def signatures(documents: DataFrame) -> DataFrame:
                 first.append(xxhash.xxh3_64_intdigest(raw, 1))
                 second.append(xxhash.xxh3_64_intdigest(raw, 2))
                 keys.append(bands(signature(s, ranks)) if len(s) else np.empty(0, np.int64))
+                drawn.append(sketch(s))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
             hashes = [pa.array(np.array(x, _U).view(np.int64)) for x in (first, second)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *hashes, lists],
-                                             ["doc_id", "n_shingles", "set_a", "set_b", "buckets"])
+            words_ = [pa.array(c) for c in np.array(drawn, np.int64).reshape(-1, SKETCH).T]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *hashes, lists, *words_],
+                                             ["doc_id", "n_shingles", "set_a", "set_b", "buckets", *_BITS])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, _SET)
 
@@ -151,11 +162,20 @@ def _common(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, size_a long, size_b long, both long")
 
 
-_UNION = "(size_a + size_b - both)"
+def _links(common: DataFrame) -> DataFrame:
+    return common.filter(f"100 * both >= {PERCENT} * (size_a + size_b - both)").select("a", "b")
 
 
-def _links(common: DataFrame) -> DataFrame:
-    return common.filter(f"100 * both >= {PERCENT} * {_UNION}").select("a", "b")
+def _may_link(left: str, right: str) -> str:
+    """What the sizes and sketches of two sets must fulfil; prefixes name the columns of each."""
+    few = f"{left}n_shingles + {right}n_shingles"
+    differ = " + ".join(f"bit_count({left}{b} ^ {right}{b})" for b in _BITS)
+    return (f"100 * least({left}n_shingles, {right}n_shingles) >= {PERCENT} * greatest({left}n_shingles, {right}n_shingles)"
+            f" AND {100 + PERCENT} * ({differ}) <= {100 - PERCENT} * ({few})")
+
+
+def _named(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{prefix}{c}") for c in rows.columns])
 
 
 def near_components(documents: DataFrame) -> DataFrame:
@@ -167,37 +187,38 @@ def near_components(documents: DataFrame) -> DataFrame:
     # One document stands for each class; its copies are linked to it at the end.
     first = real.join(classes.select(F.col("class").alias("doc_id"), F.col("_a").alias("set_a"),
                                      F.col("_b").alias("set_b")), ["doc_id", "set_a", "set_b"], "left_semi")
-    entries = kept(first.select("doc_id", "n_shingles", F.explode("buckets").alias("bucket")).distinct(), "buckets")
+    first = kept(first, "class-sets")
+    entries = kept(first.select("doc_id", F.explode("buckets").alias("bucket")).distinct(), "buckets")
     stars = entries.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_m")).filter("a < _m").drop("_m")
-    stars = kept(stars, "stars")
-    starred = kept(entries.join(stars, "bucket").select("bucket", "a", F.col("doc_id").alias("b"), "n_shingles"), "starred")
-    common = kept(_common(starred.filter("a < b").select("a", "b").distinct(), documents), "confirmed")
+    starred = kept(entries.join(kept(stars, "stars"), "bucket").select("bucket", "a", F.col("doc_id").alias("b")), "starred")
+    sketches = first.select("doc_id", "n_shingles", *_BITS)
+    pairs = starred.filter("a < b").select("a", "b").distinct().join(_named(sketches, "b_"), F.col("b") == F.col("b_doc_id")).join(
+        _named(sketches, "a_"), F.col("a") == F.col("a_doc_id")).filter(_may_link("a_", "b_")).select("a", "b").distinct()
+    links = kept(_links(_common(kept(pairs, "pairs"), documents)), "near-links")
+    rest = kept(_hidden(starred, sketches, components(links)), "rest")
+    links = links.unionByName(kept(_links(_common(rest, documents)), "more-links"))
     same = real.join(classes.select(F.col("_a").alias("set_a"), F.col("_b").alias("set_b"), "class"), ["set_a", "set_b"])
     copies = same.filter(F.col("class") != F.col("doc_id")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
-    links = _links(common)
-    found = components(links)
-    rest = _hidden(starred, common, found)
-    more = kept(_links(_common(rest, documents)), "more-links")
-    found = components(links.unionByName(more).unionByName(copies))
-    return sets.join(found, sets.doc_id == found.node, "left").select(
+    found = components(links.unionByName(copies))
+    return sets.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _hidden(starred: DataFrame, common: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs in a bucket that may be links although their components differ so far."""
-    distance = common.select("a", "b", F.expr(f"1 - both / {_UNION}").alias("far"))
-    known = starred.join(distance, ["a", "b"], "left").join(found.withColumnRenamed("node", "b"), "b", "left").select(
-        "bucket", "b", "n_shingles", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "b").alias("component"))
-    open_ = known.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter(
-        "_low < _high").select("bucket")
-    left = kept(known.join(open_, "bucket", "left_semi"), "open-buckets")
-    right = left.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("b", "n_shingles", "far", "component")])
-    limit = 1 - PERCENT / 100 + 1e-9
-    pairs = left.join(right, "bucket").filter(
-        (F.col("b") < F.col("_b")) & (F.col("component") != F.col("_component")) & (F.col("far") > 0) & (F.col("_far") > 0)
-        & (F.abs(F.col("far") - F.col("_far")) <= limit)
-        & (100 * F.least("n_shingles", "_n_shingles") >= PERCENT * F.greatest("n_shingles", "_n_shingles")))
-    return pairs.select(F.col("b").alias("a"), F.col("_b").alias("b")).distinct()
+def _hidden(starred: DataFrame, sketches: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs in a bucket that may be links although their components differ so far.
+
+    Of every such pair one lies outside the bucket's first component, which in
+    a large group of near copies is the component of nearly all.
+    """
+    known = starred.select("bucket", "b").join(found, F.col("b") == F.col("node"), "left").select(
+        "bucket", "b", F.coalesce("component", "b").alias("component"))
+    open_ = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("_high"),
+                                        F.count(F.lit(1)).alias("_n")).filter("low < _high AND _n > 2").select("bucket", "low")
+    members = kept(known.join(kept(open_, "open-buckets"), "bucket").join(sketches, F.col("b") == F.col("doc_id")), "open-members")
+    left, right = _named(members.filter("component <> low"), "a_"), _named(members, "b_")
+    pairs = left.join(right, F.expr(
+        "a_bucket = b_bucket AND a_component <> b_component AND (b_component = b_low OR a_b < b_b) AND " + _may_link("a_", "b_")))
+    return pairs.select(F.least("a_b", "b_b").alias("a"), F.greatest("a_b", "b_b").alias("b")).distinct()
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:

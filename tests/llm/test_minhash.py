@@ -92,13 +92,25 @@ def test_signatures_estimate_similarity():
 
 def test_hidden_links_are_found(spark):
     """Two classes link only with each other; the centre of their bucket confirms neither."""
-    starred = spark.createDataFrame([(1, 0, b, 100) for b in range(4)], "bucket long, a long, b long, n_shingles long")
-    common = spark.createDataFrame([(0, 1, 100, 100, 85), (0, 2, 100, 100, 82), (0, 3, 100, 100, 5)],
-                                   "a long, b long, size_a long, size_b long, both long")
+    numbers = np.random.default_rng(2).integers(0, 2**63, 400).astype(np.uint64)
+    sets = {0: numbers[:100], 1: numbers[90:190], 2: numbers[95:195], 3: numbers[250:350]}
+    starred = spark.createDataFrame([(1, 0, b) for b in range(4)], "bucket long, a long, b long")
+    sketches = spark.createDataFrame([(i, len(x), *m.sketch(x).tolist()) for i, x in sets.items()],
+                                     ["doc_id", "n_shingles", *m._BITS])
     found = spark.createDataFrame([], "node long, component long")
-    assert [tuple(r) for r in m._hidden(starred, common, found).collect()] == [(1, 2)]
+    assert [tuple(r) for r in m._hidden(starred, sketches, found).collect()] == [(1, 2)]
     joined = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
-    assert m._hidden(starred, common, joined).count() == 0
+    assert m._hidden(starred, sketches, joined).count() == 0
+
+
+def test_sketches_never_differ_by_more_than_the_sets():
+    draw = np.random.default_rng(3)
+    for size in (1, 30, 300, 5000):
+        s = draw.integers(0, 2**63, 2 * size).astype(np.uint64)
+        for shift in (0, 1, size // 4, size):
+            a, b = s[:size], s[shift:shift + size]
+            bits = sum(int(x ^ y).bit_count() for x, y in zip(m.sketch(a).view(np.uint64).tolist(), m.sketch(b).view(np.uint64).tolist()))
+            assert bits <= len(np.setxor1d(a, b))
 
 
 def test_components(spark):
