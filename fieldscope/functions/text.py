@@ -9,7 +9,6 @@ from pyspark.sql import Column, functions as F, types as T
 
 from fieldscope.functions.columns import (
     collapse_space, is_blank, let, moment, strip)
-from fieldscope.settings import SUMMARY_LIMIT
 
 # Entities decoded by built-in string replacement.  The ampersand itself comes
 # last, so a decoded "&" is never read as the start of another entity.
@@ -44,24 +43,26 @@ def unescape(c: Column) -> Column:
     return F.coalesce(full, native)
 
 
-def cut(c: Column, limit: int) -> Column:
-    """Cut to ``limit`` characters; an ellipsis marks what was cut."""
+def cut(c: Column, limit: int | None) -> Column:
+    """Cut to ``limit`` characters, if any; an ellipsis marks what was cut."""
+    if limit is None:
+        return c
     return F.when(F.length(c) > limit,
                   F.concat(F.rtrim(F.substring(c, 1, limit)), F.lit("…"))).otherwise(c)
 
 
-def _untag(c: Column, limit: int) -> Column:
+def _untag(c: Column, limit: int | None) -> Column:
     plain = F.trim(collapse_space(F.regexp_replace(c, "<[^>]+>", " ")))
     return let(plain, lambda text: cut(text, limit))
 
 
-def strip_html(c: Column, limit: int = SUMMARY_LIMIT) -> Column:
-    """HTML to bounded plain text.  Entities are decoded first, so escaped
+def strip_html(c: Column, limit: int | None = None) -> Column:
+    """HTML to plain text.  Entities are decoded first, so escaped
     markup goes too; script and style bodies stay, since only tags are removed."""
     return F.coalesce(_untag(unescape(c), limit), F.lit(""))
 
 
-def strip_titled_html(c: Column, element: str = "jats:title", limit: int = SUMMARY_LIMIT) -> Column:
+def strip_titled_html(c: Column, element: str = "jats:title", limit: int | None = None) -> Column:
     """Drop a title element with its content, then :func:`strip_html`."""
     untitled = F.regexp_replace(c, f"(?is)<{element}>.*?</{element}>", " ")
     return strip_html(untitled, limit)
@@ -88,10 +89,10 @@ def last_segment(c: Column) -> Column:
     return F.coalesce(F.substring_index(c, "/", -1), F.lit(""))
 
 
-def flatten_cut(c: Column, limit: int = SUMMARY_LIMIT) -> Column:
-    """Newlines to spaces, trimmed, hard cut without a mark."""
+def flatten_cut(c: Column, limit: int | None = None) -> Column:
+    """Newlines to spaces, trimmed; a limit cuts without a mark."""
     flat = F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))
-    return F.substring(strip(flat), 1, limit)
+    return strip(flat) if limit is None else F.substring(strip(flat), 1, limit)
 
 
 def scoring_text(title: Column, summary: Column) -> Column:

@@ -44,7 +44,7 @@ def resolve_library(dois: DataFrame, works: DataFrame) -> DataFrame:
             .groupBy("work_id").agg(F.min("seq").alias("seq")))
 
 
-def top_authors(library: DataFrame, authorships: DataFrame, n: int = 15) -> DataFrame:
+def top_authors(library: DataFrame, authorships: DataFrame, n: int) -> DataFrame:
     """Authors met most often in the library; ties keep first-encounter order.
     An author listed twice on one work counts twice."""
     met = authorships.join(library, "work_id")
@@ -54,11 +54,12 @@ def top_authors(library: DataFrame, authorships: DataFrame, n: int = 15) -> Data
             .select("author_id", "n"))
 
 
-def citing_ids(library: DataFrame, citations: DataFrame, max_seeds: int = 200) -> DataFrame:
-    """Works that reference one of the first ``max_seeds`` library works."""
-    seeds = library.orderBy("seq", "work_id").limit(max_seeds).select(F.col("work_id").alias("cited_id"))
-    # At most max_seeds rows: the limit bounds what is broadcast.
-    return (citations.join(F.broadcast(seeds), "cited_id", "left_semi")
+def citing_ids(library: DataFrame, citations: DataFrame, max_seeds: int | None = None) -> DataFrame:
+    """Works that reference a library work, or one of the first ``max_seeds``.
+    How the seeds are joined is left to their size."""
+    first = library.orderBy("seq", "work_id").limit(max_seeds) if max_seeds is not None else library
+    seeds = first.select(F.col("work_id").alias("cited_id"))
+    return (citations.join(seeds, "cited_id", "left_semi")
             .select(F.col("citing_id").alias("work_id")).distinct())
 
 
@@ -69,7 +70,7 @@ def authored_ids(authors: DataFrame, authorships: DataFrame) -> DataFrame:
             .select("work_id").distinct())
 
 
-def recent_citing(works, library, citations, cutoff, max_seeds: int = 200) -> DataFrame:
+def recent_citing(works, library, citations, cutoff, max_seeds: int | None = None) -> DataFrame:
     return (works.filter(F.col("published") >= F.to_date(cutoff))
             .join(citing_ids(library, citations, max_seeds), "work_id", "left_semi"))
 

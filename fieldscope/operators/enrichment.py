@@ -17,7 +17,6 @@ from fieldscope.functions.columns import is_blank, strip
 from fieldscope.functions.text import strip_titled_html
 from fieldscope.operators.groups import first_per_group
 from fieldscope.operators.ingest import COLLECTION_ORDER
-from fieldscope.settings import BACKFILL_LIMIT, GIVE_UP_AFTER
 
 
 def needs_abstract() -> Column:
@@ -50,9 +49,8 @@ def backfill(items: DataFrame, abstracts: DataFrame) -> DataFrame:
     return items.filter(~F.coalesce(needs_abstract(), F.lit(False))).unionByName(filled)
 
 
-def budgeted_lookup(items: DataFrame, abstracts: DataFrame, order=COLLECTION_ORDER,
-                    limit: int = BACKFILL_LIMIT, give_up_after: int = GIVE_UP_AFTER,
-                    partition_by=()) -> DataFrame:
+def budgeted_lookup(items: DataFrame, abstracts: DataFrame, order=COLLECTION_ORDER, *,
+                    limit: int, give_up_after: int, partition_by=()) -> DataFrame:
     """Every eligible item's place with ``tried``, ``filled`` and ``abstract``.
 
     ``order`` names columns that order the items totally.  With ``partition_by``
@@ -104,8 +102,8 @@ def _join_groups(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
 
 
-def backfill_counters(items: DataFrame, attempts: DataFrame, order=COLLECTION_ORDER,
-                      give_up_after: int = GIVE_UP_AFTER) -> DataFrame:
+def backfill_counters(items: DataFrame, attempts: DataFrame, order=COLLECTION_ORDER, *,
+                      give_up_after: int) -> DataFrame:
     """One row: filled, tried, gave_up.  Giving up is noticed only when another
     item follows the last miss."""
     place = F.struct(*order).alias("place")

@@ -8,30 +8,30 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldscope.functions.columns import is_blank, string_list, strip
+from fieldscope.functions.columns import effective_time, is_blank, string_list, strip
 from fieldscope.functions.venue import apply_venue, clamp, venue_adjust
-from fieldscope.operators.groups import with_ordinal
-from fieldscope.operators.scoring import newest_first
+from fieldscope.operators.groups import numbered_newest_first
 from fieldscope.settings import (
-    BATCH_SIZE, NO_ABSTRACT_NOTE, NO_TAG, PAYLOAD_SUMMARY_LIMIT, RATIONALE_LIMIT, VenueWeights)
+    BATCH_SIZE, NO_ABSTRACT_NOTE, NO_TAG, VenueWeights)
 
 
-def payload() -> Column:
+def payload(summary_limit: int | None = None) -> Column:
     """JSON request row of an item.  Keys without a value are left out."""
     summary = F.coalesce("summary", F.lit(""))
+    sent = summary if summary_limit is None else F.substring(summary, 1, summary_limit)
     return F.to_json(F.struct(
         "id", F.coalesce("title", F.lit("")).alias("title"),
-        F.substring(summary, 1, PAYLOAD_SUMMARY_LIMIT).alias("summary"),
+        sent.alias("summary"),
         F.when(F.col("venue") != "", F.col("venue")).alias("venue"),
         (F.col("is_preprint") == 0).alias("peer_reviewed"),
         F.when(is_blank(summary), F.lit(NO_ABSTRACT_NOTE)).alias("note")))
 
 
-def score_batches(items: DataFrame, size: int = BATCH_SIZE, order=None) -> DataFrame:
+def score_batches(items: DataFrame, size: int = BATCH_SIZE, summary_limit: int | None = None) -> DataFrame:
     """Fixed-size batches in scoring order: (batch_id, ids, request).  A batch
     holds ``size`` rows at most, so gathering one is bounded."""
-    slim = items.select("id", "published_at", "fetched_at", payload().alias("row"))
-    numbered = with_ordinal(slim, order or newest_first())
+    slim = items.select("id", "published_at", "fetched_at", payload(summary_limit).alias("row"))
+    numbered = numbered_newest_first(slim, effective_time(F.col("published_at"), F.col("fetched_at")), "id")
     batch = F.floor((F.col("rn") - 1) / size).cast("long")
     rows = F.sort_array(F.collect_list(F.struct("rn", "id", "row")))
     return (numbered.groupBy(batch.alias("batch_id")).agg(rows.alias("rows"))
@@ -124,19 +124,19 @@ def parse_replies(replies: DataFrame) -> DataFrame:
 
 
 def ingest_scores(replies: DataFrame, requested: DataFrame, items: DataFrame, tags, scorer: str,
-                  weights: VenueWeights | None = None) -> DataFrame:
+                  weights: VenueWeights | None = None, rationale_limit: int | None = None) -> DataFrame:
     """Clean score rows from reply texts: (batch_id, pos, id, score, tag,
     rationale, scorer).  Ids that were not asked for in that batch are dropped."""
     tag = _text("tag")
+    said = F.coalesce(F.when(_text("why") != "", _text("why")), _text("rationale"), F.lit(""))
     raw = parse_replies(replies).select(
         "batch_id", "pos", _text("id").alias("id"), _whole_number().alias("raw_score"),
         F.when(F.array_contains(string_list(tags), tag), tag).otherwise(F.lit(NO_TAG)).alias("tag"),
-        F.substring(F.coalesce(F.when(_text("why") != "", _text("why")), _text("rationale"), F.lit("")),
-                    1, RATIONALE_LIMIT).alias("why"))
+        (said if rationale_limit is None else F.substring(said, 1, rationale_limit)).alias("why"))
     known = raw.join(requested.select("batch_id", "id"), ["batch_id", "id"], "left_semi")
     placed = known.join(items.select("id", "is_preprint", "summary"), "id", "left")
     score, rationale = apply_venue(
         F.col("raw_score"), F.col("why"),
-        venue_adjust(F.col("is_preprint"), F.col("summary"), weights), RATIONALE_LIMIT)
+        venue_adjust(F.col("is_preprint"), F.col("summary"), weights), rationale_limit)
     return placed.select("batch_id", "pos", "id", clamp(score).alias("score"), "tag",
                          rationale.alias("rationale"), F.lit(scorer).alias("scorer"))

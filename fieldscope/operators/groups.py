@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 _SALTS = 64
 # Every map task sends up to n rows of a hot group to the one task that ends it.
@@ -42,28 +42,51 @@ def keep_first(df: DataFrame, keys, order) -> DataFrame:
     return first_per_group(df, keys, order, 1)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or where that is unset below
+    the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/fieldscope-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="fieldscope-"))
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read back: computed once, and whole when an executor is lost.
+
+    The folder stays until its owner removes it (``sources.tables.remove``).
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def with_ordinal(df: DataFrame, order, name: str = "rn") -> DataFrame:
-    """Number all rows 1..N under a total order without sorting them in one task.
+def numbered_newest_first(df: DataFrame, at: Column, key: str, name: str = "rn") -> DataFrame:
+    """Number all rows 1..N by ``at``, newest first and NULL last, then by the hexadecimal ``key``.
 
-    A range-partitioned sort puts consecutive rows in consecutive partitions and
-    is written once, so partition bounds cannot move between the two reads that
-    follow.  Only the per-partition counts (one row each) are summed up in order.
+    Buckets follow from the row itself: its day, its minute, then its time with
+    the first digits of its key, which are uniform and in order.  Counts of
+    buckets are summed up level by level, and rows are sorted inside a bucket
+    alone, so neither a busy day nor one time for all rows meets in one task.
     """
-    tagged = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    # One row per sort partition, so its size is set by the shuffle, not by the data.
-    numbered = tagged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.withColumn(name, F.col("_before") + within + 1).drop("_at", "_part", "_before")
+    rows = df.withColumn("_at", at).withColumn("_digits", F.substring(key, 1, 3))
+    levels = {"_day": F.to_date("_at"), "_minute": F.date_trunc("minute", "_at")}
+    counts = rows.groupBy("_at", "_digits").agg(F.count(F.lit(1)).alias("_n")).withColumns(levels)
+    preceding = (Window.unboundedPreceding, -1)
+
+    def before(table: DataFrame, within: list[str], order: list, total: str) -> Column:
+        return F.coalesce(F.sum(total).over(Window.partitionBy(*within).orderBy(*order).rowsBetween(*preceding)), F.lit(0))
+
+    newest = lambda c: F.col(c).desc_nulls_last()
+    minutes = counts.groupBy("_day", "_minute").agg(F.sum("_n").alias("_n"))
+    # One row per day is all that a single task orders.
+    days = minutes.groupBy("_day").agg(F.sum("_n").alias("_n"))
+    days = days.select(F.col("_day").alias("_d"), before(days, [], [newest("_day")], "_n").alias("_before_day"))
+    minutes = minutes.select(F.col("_minute").alias("_m"), F.col("_day").alias("_md"),
+                             before(minutes, ["_day"], [newest("_minute")], "_n").alias("_before_minute"))
+    buckets = counts.withColumn("_before_bucket", before(counts, ["_minute"], [newest("_at"), F.col("_digits")], "_n"))
+    buckets = (buckets.join(minutes, F.col("_minute").eqNullSafe(F.col("_m"))).join(days, F.col("_day").eqNullSafe(F.col("_d")))
+               .select(F.col("_at").alias("_time"), F.col("_digits").alias("_first"),
+                       (F.col("_before_day") + F.col("_before_minute") + F.col("_before_bucket")).alias("_before")))
+    inside = F.row_number().over(Window.partitionBy("_at", "_digits").orderBy(key))
+    same = F.col("_at").eqNullSafe(F.col("_time")) & (F.col("_digits") == F.col("_first"))
+    return rows.join(buckets, same).withColumn(name, F.col("_before") + inside).drop(
+        "_at", "_digits", "_time", "_first", "_before")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldscope.functions.columns import nonblank
 from fieldscope.functions.identity import item_id
 from fieldscope.functions.text import title_key
 from fieldscope.operators.groups import keep_first
@@ -22,8 +23,19 @@ def conform(df: DataFrame, schema=ITEM, extra=()) -> DataFrame:
         for f in schema.fields], *extra)
 
 
+def has_identity() -> Column:
+    """A row with neither DOI nor URL could only share its id with all others like it."""
+    return nonblank(F.col("doi")).isNotNull() | nonblank(F.col("url")).isNotNull()
+
+
 def with_identity(items: DataFrame) -> DataFrame:
-    return items.withColumn("id", item_id(F.col("doi"), F.col("url")))
+    """Items with their id.  Rows that cannot have one are left out; ``without_identity`` has them."""
+    return items.filter(has_identity()).withColumn("id", item_id(F.col("doi"), F.col("url")))
+
+
+def without_identity(items: DataFrame) -> DataFrame:
+    """The rows that ``with_identity`` leaves out, for a table of failures."""
+    return items.filter(~has_identity())
 
 
 def dedupe_first(items: DataFrame, order=COLLECTION_ORDER) -> DataFrame:

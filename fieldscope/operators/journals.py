@@ -6,12 +6,11 @@ literals.  The registry side is a table of any size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldscope.functions.columns import let, nonblank
 from fieldscope.functions.text import title_key
 from fieldscope.operators.groups import first_per_group
-from fieldscope.settings import LOOKUP_LIMIT
 
 
 def watchlist_audit(journals: DataFrame, issns) -> DataFrame:
@@ -35,30 +34,59 @@ def _tokens(c: Column) -> Column:
     return F.split(title_key(c), " ")
 
 
-def journal_lookup(journals: DataFrame, names, limit: int = LOOKUP_LIMIT) -> DataFrame:
+def _rarest(named: DataFrame, names, words: list[str]) -> DataFrame:
+    """(query, key, word): for each name that of its words which the fewest journals have, of equal ones the first.
+
+    One pass over the registry gives one row of counts, one for each word of the
+    configured names.
+    """
+    have = _tokens(F.col("name"))
+    counts = named.agg(*[F.count_if(F.array_contains(have, w)).alias(f"n{i}") for i, w in enumerate(words)])
+    at = {w: f"n{i}" for i, w in enumerate(words)}
+
+    def rarest(name: str) -> Column:
+        met = [F.when(F.col(at[w]) > 0, F.struct(F.col(at[w]).alias("n"), F.lit(w).alias("w")))
+               for w in dict.fromkeys(title_key_of(name).split())]
+        return F.struct(F.lit(name).alias("query"), F.lit(title_key_of(name)).alias("key"), F.array_min(F.array(*met))["w"].alias("word"))
+
+    return counts.select(F.explode(F.array(*[rarest(n) for n in names if n.split()])).alias("r")).select("r.*").filter("word IS NOT NULL")
+
+
+def title_key_of(name: str) -> str:
+    """``title_key`` of a configured name."""
+    return " ".join(name.lower().split())
+
+
+def journal_lookup(journals: DataFrame, names, limit: int | None = None) -> DataFrame:
     """Near matches per looked-up name, best first.
 
-    A journal is a candidate when it shares a word with the name; candidates are
-    ranked by edit distance, then by number of works, name and ISSN.  Of the
-    first ``limit``, those without an ISSN cannot be watched and are dropped.
-    A name left with none is reported as unmatched.
+    A journal is a candidate when it has the rarest word of the name, counted
+    over the registry, so common words ("journal", "of") make no candidates.
+    Candidates are ranked by edit distance, then by number of works, name and
+    ISSN.  Of the first ``limit``, those without an ISSN cannot be watched and
+    are dropped.  A name left with none is reported as unmatched.
     """
-    wanted = F.array(*[F.struct(F.lit(n).alias("query"), _tokens(F.lit(n)).alias("tokens"),
-                                title_key(F.lit(n)).alias("key")) for n in names])
+    names = list(dict.fromkeys(names))
+    publisher = F.col("host_organization_name") if "host_organization_name" in journals.columns else F.lit(None)
     named = journals.select(
         F.coalesce("display_name", F.lit("?")).alias("name"), F.coalesce("issn_l", F.lit("")).alias("issn"),
-        F.coalesce("works_count", F.lit(0)).cast("long").alias("works"))
-    shared = let(_tokens(F.col("name")), lambda words: F.filter(
-        wanted, lambda w: F.arrays_overlap(w["tokens"], words)))
-    candidates = (named.select("name", "issn", "works", F.explode(shared).alias("w"))
-                  .select("name", "issn", "works", F.col("w.query").alias("query"),
-                          F.levenshtein(title_key(F.col("name")), F.col("w.key")).alias("distance")))
-    order = [F.col("distance").asc(), F.col("works").desc(), F.col("name").asc(), F.col("issn").asc()]
-    best = (first_per_group(candidates, ["query"], order, limit, rank="position", spread=["name", "issn", "works"])
-            .filter(nonblank(F.col("issn")).isNotNull()))
-    asked = journals.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "query string")
-    return asked.join(best, "query", "left").select(
+        F.coalesce("works_count", F.lit(0)).cast("long").alias("works"),
+        F.coalesce(publisher.cast("string"), F.lit("")).alias("publisher"))
+    words = sorted({w for n in names for w in title_key_of(n).split()})
+    shared = F.array_distinct(F.filter(_tokens(F.col("name")), lambda w: w.isin(*words)))
+    candidates = (named.select("*", F.explode(shared).alias("word")).join(_rarest(named, names, words), "word")
+                  .select("name", "issn", "works", "publisher", "query",
+                          F.levenshtein(title_key(F.col("name")), F.col("key")).alias("distance")))
+    order = [F.col("distance").asc(), F.col("works").desc(), F.col("name").asc(), F.col("issn").asc(), F.col("publisher").asc()]
+    if limit is None:
+        place = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+        best = candidates.withColumn("position", place)
+    else:
+        best = first_per_group(candidates, ["query"], order, limit, rank="position", spread=["name", "issn", "works"])
+    best = best.filter(nonblank(F.col("issn")).isNotNull())
+    listed = journals.sparkSession.createDataFrame([(n,) for n in names], "query string")
+    return listed.join(best, "query", "left").select(
         "query", F.when(F.col("issn").isNull(), F.lit("no match"))
         .otherwise(F.lit("match")).alias("status"),
-        F.col("position").cast("long").alias("position"), "issn", "name", "works",
+        F.col("position").cast("long").alias("position"), "issn", "name", "works", "publisher",
         F.col("distance").cast("long").alias("distance"))

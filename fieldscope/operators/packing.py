@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldscope.functions.columns import nonblank, strip
 from fieldscope.operators.groups import first_per_group
-from fieldscope.settings import NOTES_BUDGET
 
 # The frame around each document and the mark of a cut one.
 CHUNK_FORMAT = "\n--- %s ---\n%s\n"
@@ -16,7 +15,7 @@ CUT_MARK = "\n[truncated]\n"
 _SHORTEST_CHUNK = len(CHUNK_FORMAT % ("", "x"))
 
 
-def pack_budget(docs: DataFrame, keys, order: str, max_chars: int = NOTES_BUDGET,
+def pack_budget(docs: DataFrame, keys, order: str, max_chars: int,
                 header: str = "") -> DataFrame:
     """One ``block`` per group: documents in ``order`` until ``max_chars`` is
     reached, the overflowing one cut and marked.

@@ -9,7 +9,7 @@ from fieldscope.functions.terms import matching_terms, model_hits
 from fieldscope.functions.text import scoring_text
 from fieldscope.functions.venue import apply_venue, clamp, venue_adjust
 from fieldscope.operators.groups import keep_first
-from fieldscope.settings import NO_TAG, SCORE_CAP, SCORE_MAX, TAG_WEIGHT, TermModel, VenueWeights
+from fieldscope.settings import NO_TAG, SCORE_MAX, TAG_WEIGHT, TermModel, VenueWeights
 
 
 def _text_hits(model: TermModel) -> Column:
@@ -95,7 +95,7 @@ def newest_first():
     return [effective_time(F.col("published_at"), F.col("fetched_at")).desc_nulls_last(), F.col("id").asc()]
 
 
-def score_cap(passing: DataFrame, cap: int = SCORE_CAP) -> DataFrame:
+def score_cap(passing: DataFrame, cap: int) -> DataFrame:
     """The newest ``cap`` rows; the rest are deferred to a later sweep."""
     return passing.orderBy(*newest_first()).limit(cap)
 
@@ -114,13 +114,15 @@ def score_stage(items: DataFrame, scores: DataFrame, model: TermModel, tags,
         F.when(passed, F.lit("keyword")).otherwise(F.lit("prefilter")).alias("scorer"))
 
 
-def score_stage_counts(stage: DataFrame, cap: int | None = None) -> DataFrame:
-    """One row: scored, prefiltered and deferred (over the cap) counts."""
-    passed = F.count_if(F.col("scorer") != "prefilter")
-    scored = F.least(passed, F.lit(cap)) if cap is not None else passed
-    return stage.agg(scored.alias("scored"),
-                     F.count_if(F.col("scorer") == "prefilter").alias("prefiltered"),
-                     (passed - scored).alias("deferred"))
+def score_stage_counts(stage: DataFrame, passing: DataFrame | None = None) -> DataFrame:
+    """One row with what the stage wrote: scored and prefiltered rows, and those
+    that a capped stage left for later.  ``passing`` holds the rows that passed
+    the gate of such a stage; without it nothing was deferred."""
+    written = stage.agg(F.count_if(F.col("scorer") != "prefilter").alias("scored"),
+                        F.count_if(F.col("scorer") == "prefilter").alias("prefiltered"))
+    if passing is None:
+        return written.withColumn("deferred", F.lit(0).cast("long"))
+    return written.withColumn("deferred", passing.select(F.count(F.lit(1))).scalar() - F.col("scored"))
 
 
 def apply_scores_once(results: DataFrame, scores: DataFrame, order) -> DataFrame:

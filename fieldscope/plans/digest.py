@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldscope.functions.columns import ago, effective_time, moment
 from fieldscope.functions.text import digest_line
 from fieldscope.plans.reports import from_library, library_shortlist, tag_lookup
-from fieldscope.settings import DEFAULT_COLOR, NO_TAG, OTHER_LABEL, ReportSettings
+from fieldscope.settings import DEFAULT_COLOR, FAILURE_STREAK, NO_TAG, OTHER_LABEL, ReportSettings
 
 
 def digest_since(as_of, last_sent=None, hours: int = 36) -> Column:
@@ -70,7 +70,8 @@ def library_lines(scored: DataFrame, as_of, cfg: ReportSettings = ReportSettings
     return digest_lines(shaped)
 
 
-def digest_text(rows: DataFrame, library: DataFrame, failures: DataFrame, as_of, title: str) -> DataFrame:
+def digest_text(rows: DataFrame, library: DataFrame, failures: DataFrame, as_of, title: str,
+                streak: int = FAILURE_STREAK) -> DataFrame:
     """The whole digest as sorted lines (group_ord, section, ..., line), ready for a
     text sink.  The sort is a distributed one."""
     body = digest_lines(rows).unionByName(library).withColumn("section", F.lit(1))
@@ -87,7 +88,7 @@ def digest_text(rows: DataFrame, library: DataFrame, failures: DataFrame, as_of,
     broken = failures.agg(F.array_join(F.sort_array(F.collect_list("source")), ", ").alias("names")).filter(
         F.col("names") != "").select(
         F.lit(1_000_000).alias("group_ord"), F.lit(0).alias("section"),
-        F.concat(F.lit("Source failures (3 consecutive): "), F.col("names")).alias("line"))
+        F.concat(F.lit(f"Source failures ({streak} consecutive): "), F.col("names")).alias("line"))
     parts = [body, heads, top, broken]
     merged = parts[0]
     for part in parts[1:]:

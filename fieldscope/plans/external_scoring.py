@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, functions as F
 from fieldscope.operators.external import ingest_scores, requested_ids, score_batches, score_with
 from fieldscope.operators.groups import keep_first, materialize
 from fieldscope.operators.scoring import prefilter, score_cap, unscored
-from fieldscope.settings import BATCH_SIZE, NO_TAG, SCORE_CAP, TermModel, VenueWeights
+from fieldscope.settings import BATCH_SIZE, NO_TAG, TermModel, VenueWeights
 
 
 def external_score_stage(items: DataFrame, scores: DataFrame, model: TermModel,
                          complete: Callable[[str, str], str | None], tags, scorer: str,
                          weights: VenueWeights | None = None, system_prompt: str = "",
-                         cap: int = SCORE_CAP, size: int = BATCH_SIZE) -> DataFrame:
-    """New score rows: rejected items at once, and the newest ``cap`` passing
-    ones as far as the scorer answered.  All others stay unscored, so a later
+                         cap: int | None = None, size: int = BATCH_SIZE) -> DataFrame:
+    """New score rows: rejected items at once, and the passing ones, or the
+    newest ``cap`` of them, as far as the scorer answered.  All others stay unscored, so a later
     sweep finds them again.
 
     The chosen rows are written before the scorer is called, and so are its
@@ -27,7 +27,8 @@ def external_score_stage(items: DataFrame, scores: DataFrame, model: TermModel,
     rejected = gated.filter(~F.col("passes")).select(
         "id", F.lit(0).alias("score"), F.lit(NO_TAG).alias("tag"), F.lit("failed prefilter").alias("rationale"),
         F.lit("prefilter").alias("scorer"), "prefilter_hits")
-    chosen = materialize(score_cap(gated.filter("passes"), cap))
+    passing = gated.filter("passes")
+    chosen = materialize(passing if cap is None else score_cap(passing, cap))
     batches = score_batches(chosen, size)
     replies = materialize(score_with(batches, complete, system_prompt))
     results = keep_first(ingest_scores(replies, requested_ids(batches), chosen, tags, scorer, weights), ["id"], ["batch_id", "pos"])

@@ -78,7 +78,7 @@ class ReportSettings:
 class DiscoverySettings:
     discovery_days: int = 120
     max_authors: int = 15
-    max_seed_works: int = 200
+    max_seed_works: int | None = None
 
 
 # Labels, limits and colours that results must carry unchanged.
@@ -87,12 +87,6 @@ OTHER_LABEL = "Other"
 DEFAULT_COLOR = "#888888"
 SCORE_MIN, SCORE_MAX = 0, 10
 TAG_WEIGHT = 3
-SUMMARY_LIMIT = 1200
-PAYLOAD_SUMMARY_LIMIT = 1000
-RATIONALE_LIMIT = 280
-BACKFILL_LIMIT = 60
-GIVE_UP_AFTER = 10
-SCORE_CAP = 150
 BATCH_SIZE = 20
 FAILURE_STREAK = 3
 UNTITLED = "(untitled)"
@@ -107,13 +101,10 @@ NO_ABSTRACT_NOTE = "no abstract available from the source; judge on title and ve
 CITES_LABEL = "library: cites your library"
 AUTHOR_LABEL = "library: author you read"
 DEFAULT_PREPRINT_CATEGORY = "eess.SY"
-PREPRINT_LIMIT = 50
 HEADLINE_LIMIT = 40
 WINDOW_DAYS = 7
 KEEP_ITEM_DAYS = 180
 KEEP_RUN_DAYS = 30
-NOTES_BUDGET = 24000
-LOOKUP_LIMIT = 4
 
 # The workstreams of the seed configuration, in report order.
 DEFAULT_WORKSTREAMS = (

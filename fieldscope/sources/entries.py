@@ -8,7 +8,7 @@ from fieldscope.functions.columns import ago, file_name, let, string_list, strip
 from fieldscope.functions.text import flatten_cut, strip_html
 from fieldscope.schemas import ENTRY
 from fieldscope.settings import (
-    DEFAULT_PREPRINT_CATEGORY, FEED_LABEL, NEWS_LABEL, PREPRINT_LIMIT, PREPRINT_SOURCE, PREPRINT_VENUE, WINDOW_DAYS)
+    DEFAULT_PREPRINT_CATEGORY, FEED_LABEL, NEWS_LABEL, PREPRINT_SOURCE, PREPRINT_VENUE, WINDOW_DAYS)
 
 CORRUPT = "_corrupt_record"
 
@@ -36,13 +36,14 @@ def preprint_match(categories: Column, text: Column, watched, terms) -> Column:
 
 
 def scan_preprints(entries: DataFrame, watched, terms, as_of, window_days: int = WINDOW_DAYS,
-                   max_results: int = PREPRINT_LIMIT, tiebreak: str = "link") -> DataFrame:
-    """The newest ``max_results`` matching entries, less those before the window."""
+                   max_results: int | None = None, tiebreak: str = "link") -> DataFrame:
+    """The matching entries of the window; ``max_results`` takes the newest ones only."""
     at = entry_time(F.col("published"))
     text = F.concat_ws(" ", "title", "summary")
-    newest = (entries.filter(preprint_match(F.col("categories"), text, watched, terms))
-              .orderBy(at.desc_nulls_last(), F.col(tiebreak).asc()).limit(max_results))
-    return newest.filter(in_window(at, as_of, window_days)).select(
+    found = entries.filter(preprint_match(F.col("categories"), text, watched, terms) & in_window(at, as_of, window_days))
+    if max_results is not None:
+        found = found.orderBy(at.desc_nulls_last(), F.col(tiebreak).asc()).limit(max_results)
+    return found.select(
         F.lit(PREPRINT_SOURCE).alias("source"), F.lit("paper").alias("source_type"), F.lit(PREPRINT_VENUE).alias("venue"),
         F.lit(1).alias("is_preprint"), strip(F.replace(F.coalesce("title", F.lit("")), F.lit("\n"), F.lit(" "))).alias("title"),
         F.coalesce("link", F.lit("")).alias("url"), F.when(F.col("doi") != "", F.col("doi")).alias("doi"),

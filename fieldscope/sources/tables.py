@@ -6,8 +6,10 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
-from fieldscope.functions.columns import moment
+from fieldscope.functions.columns import ago, moment
+from fieldscope.operators.groups import shared_folder
 from fieldscope.operators.ingest import COLLECTION_ORDER, conform, latest_value, upsert_new
+from fieldscope.operators.retention import keeps_item
 from fieldscope.operators.scoring import apply_scores_once
 from fieldscope.schemas import ITEM, META, RUN, SCORE
 
@@ -39,20 +41,27 @@ def append_items(batch: DataFrame, path: str, fetched_at, order=COLLECTION_ORDER
     existing = read_table(spark, path, ITEM)
     new = conform(upsert_new(batch, existing, order))
     new = new.withColumn("fetched_at", F.coalesce("fetched_at", F.lit(fetched_at).cast("timestamp")))
-    month = F.date_format(F.coalesce(F.col("published_at").cast("timestamp"), F.col("fetched_at")), "yyyy-MM")
     seen = Observation()
-    (new.withColumn("month", month).observe(seen, F.count(F.lit(1)).alias("n"))
-     # Rebalancing splits a month that outgrows one file instead of sending it to one task.
-     .hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path))
+    _by_month(new.observe(seen, F.count(F.lit(1)).alias("n"))).write.mode("append").partitionBy("month").parquet(path)
     return _observed_count(seen)
 
 
+def _by_month(items: DataFrame) -> DataFrame:
+    """Items with the month of their effective date, dealt out by it; rebalancing splits a month that outgrows one
+    file instead of sending it to one task."""
+    month = F.date_format(F.coalesce(F.col("published_at").cast("timestamp"), F.col("fetched_at")), "yyyy-MM")
+    return items.withColumn("month", month).hint("rebalance", "month")
+
+
 def _observed_count(seen: Observation) -> int:
     """The count a write observed.  A plan found to be empty at run time is
-    replaced as a whole, observation included, and then reports nothing."""
+    replaced as a whole, observation included; its row then has no fields, which
+    an assertion reports.  Any other failure is one."""
     try:
         return seen.get["n"]
-    except Py4JJavaError:
+    except Py4JJavaError as failure:
+        if failure.java_exception.getClass().getSimpleName() != "AssertionError":
+            raise
         return 0
 
 
@@ -84,7 +93,69 @@ def advance_marks(run_log: DataFrame, marks: dict[str, str], path: str, ts) -> N
 
 
 def get_meta(spark: SparkSession, path: str) -> DataFrame:
-    return latest_value(read_table(spark, path, META))
+    """The last value of each key; of two writes at one time the larger value."""
+    return latest_value(read_table(spark, path, META), "value")
+
+
+def read_runs(spark: SparkSession, path: str, since=None) -> DataFrame:
+    """The run log; with a bound, folders of earlier days are not opened."""
+    schema = T.StructType([*RUN.fields, T.StructField("run_date", T.DateType())])
+    runs = spark.read.schema(schema).parquet(path)
+    if since is not None:
+        at = moment(since)
+        runs = runs.filter((F.col("run_date") >= F.to_date(at)) & (F.col("run_at") >= at))
+    return conform(runs, RUN)
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table or an intermediate one, if it is there."""
+    store, found = _path(spark, path)
+    store.delete(found, True)
+
+
+def prune_run_table(spark: SparkSession, path: str, as_of, keep_days: int) -> list[str]:
+    """Drop the days of the run log that lie before the cutoff's day; the names of their folders.
+
+    The cutoff's own day stays whole; readers pass the bound to ``read_runs``.
+    """
+    first = spark.range(1).select(F.to_date(ago(as_of, days=keep_days)).cast("string")).first()[0]
+    store, found = _path(spark, path)
+    days = [s.getPath().getName() for s in store.listStatus(found)]
+    old = sorted(d for d in days if d.startswith("run_date=") and d.removeprefix("run_date=") < first)
+    for day in old:
+        remove(spark, f"{path.rstrip('/')}/{day}")
+    return old
+
+
+def prune_item_table(spark: SparkSession, path: str, scores: DataFrame, threshold: int, as_of, keep_days: int) -> list[str]:
+    """Take the rows that retention drops out of a stored table; the months it rewrote.
+
+    Months in which nothing is dropped are not touched.  What the others keep is
+    written to the shared folder first and then replaces them month by month, so
+    no row exists in a failing job's memory alone.
+    """
+    schema = T.StructType([*ITEM.fields, T.StructField("month", T.StringType())])
+    items = spark.read.schema(schema).parquet(path)
+    scored = items.join(scores.select("id", "score"), "id", "left")
+    kept = keeps_item(threshold, as_of, keep_days)
+    months = [r["month"] for r in scored.filter(~kept).select("month").distinct().collect()]
+    if not months:
+        return []
+    staging = shared_folder(spark)
+    scored.filter(kept & F.col("month").isin(*months)).drop("score").write.partitionBy("month").parquet(staging)
+    left = spark.read.schema(schema).parquet(staging)
+    (left.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("month").parquet(path))
+    alive = {r["month"] for r in left.select("month").distinct().collect()}
+    for month in set(months) - alive:
+        remove(spark, f"{path.rstrip('/')}/month={month}")
+    remove(spark, staging)
+    return sorted(months)
 
 
 def save_bucketed(df: DataFrame, table: str, buckets: int, mode: str = "append") -> None:
@@ -98,9 +169,9 @@ def save_bucketed(df: DataFrame, table: str, buckets: int, mode: str = "append")
 
 
 def write_snapshot(kept: DataFrame, path: str) -> None:
-    """Write what survives retention to a new folder; the old one stays valid
-    until the reader is pointed here."""
-    kept.write.mode("errorifexists").parquet(path)
+    """Write the items that survive retention to a new folder in the shape of the
+    items table; the old one stays valid until the reader is pointed here."""
+    _by_month(conform(kept, ITEM)).write.mode("errorifexists").partitionBy("month").parquet(path)
 
 
 def write_report(table: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fieldscope.operators.health import failing_sources, last_n_runs
 from fieldscope.settings import FAILURE_STREAK
-from fieldscope.sources.tables import read_table
+from fieldscope.sources.tables import read_table, remove
 from fieldscope.streaming.sweep import per_batch, with_batch_id
 
 
@@ -25,6 +25,8 @@ def failure_stream(runs: DataFrame, table: str, checkpoint: str, streak: int = F
         carried = stored.filter(F.col("batch_id") == batch_id - 1).drop("batch_id")
         latest = last_n_runs(carried.unionByName(batch), streak, tiebreak).drop("recency")
         latest.write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch_id={batch_id}")
+        # A batch that is run again needs the one before it, and nothing needs older ones.
+        remove(batch.sparkSession, f"{table.rstrip('/')}/batch_id={batch_id - 2}")
 
     return per_batch(runs, checkpoint, action)
 

@@ -34,8 +34,9 @@ def with_batch_id(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
 
 
-def per_batch(stream: DataFrame, checkpoint: str, action: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return run_to_end(stream.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint))
+def per_batch(stream: DataFrame, checkpoint: str, action: Callable[[DataFrame, int], None],
+              mode: str = "append") -> StreamingQuery:
+    return run_to_end(stream.writeStream.foreachBatch(action).outputMode(mode).option("checkpointLocation", checkpoint))
 
 
 def sweep_stream(stream: DataFrame, table: str, checkpoint: str, order) -> StreamingQuery:
@@ -55,15 +56,24 @@ def sweep_stream(stream: DataFrame, table: str, checkpoint: str, order) -> Strea
     return per_batch(stream, checkpoint, action)
 
 
-def dedupe_stream(stream: DataFrame, time: str, keys, look_back: str = "7 days") -> DataFrame:
-    """Drop re-deliveries within the look-back; state older than that goes."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return timed.withWatermark(time, look_back).dropDuplicatesWithinWatermark(list(keys))
+def dedupe_stream(stream: DataFrame, keys) -> DataFrame:
+    """First delivery of each key, however late it comes and however files fall into batches.
 
+    The state holds every key that was seen, as a late id may be a new one; use
+    the RocksDB state store, which keeps it on disk.
+    """
+    return stream.dropDuplicates(list(keys))
+
+
+def daily_counts(stream: DataFrame, time: str, keys) -> DataFrame:
+    """Counts per UTC day, open days included, for a complete-mode sink (``write_complete``)."""
+    day = F.to_date(F.to_utc_timestamp(F.col(time).cast("timestamp"), F.current_timezone()))
+    return stream.groupBy(day.alias("day"), *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_complete(counts: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Keep ``table`` at the whole result: one row per group, as of the newest batch."""
+    def action(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(table)
 
-def daily_counts(stream: DataFrame, time: str, keys, lateness: str = "1 day") -> DataFrame:
-    """Counts per UTC day; a day is emitted once the watermark has passed it."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return (timed.withWatermark(time, lateness).groupBy(F.window(time, "1 day"), *keys)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.to_date(F.to_utc_timestamp("window.start", F.current_timezone())).alias("day"), *keys, "n"))
+    return per_batch(counts, checkpoint, action, "complete")

@@ -62,8 +62,19 @@ def base_day(name: str) -> Column:
     return F.date_add(F.lit("2024-01-01").cast("date"), F.expr(f"cast(({name} div 7) % 20 as int)"))
 
 
+def title_of(name: str = "text") -> Column:
+    """A text's title is its first line ..."""
+    return F.substring_index(name, "\n", 1)
+
+
+def rest_of(name: str = "text") -> Column:
+    """... and its summary all the rest, so nothing of a text is lost."""
+    return F.expr(f"substring({name}, length(substring_index({name}, '\\n', 1)) + 2)")
+
+
 def items(t: Tables) -> DataFrame:
-    """Items from documents."""
+    """Items from documents.  Where there is no summary the whole text is the title."""
+    bare = mod("doc_id", 5) == 0
     paper = mod("doc_id", 3) == 0
     doi = F.when(paper, F.concat(F.lit("10.5555/"), text_of("doc_id")))
     url = F.concat(F.lit("https://example.org/doc/"), text_of("doc_id"))
@@ -72,10 +83,10 @@ def items(t: Tables) -> DataFrame:
         "doc_id", item_id(doi, url).alias("id"),
         F.when(F.col("source") == "src0", F.lit("library: cites")).otherwise(F.col("source")).alias("source"),
         F.when(paper, "paper").when(mod("doc_id", 3) == 1, "news").otherwise("org").alias("source_type"),
-        F.substring("text", 1, 80).alias("title"), url.alias("url"), doi.alias("doi"),
+        F.when(bare, F.col("text")).otherwise(title_of()).alias("title"), url.alias("url"), doi.alias("doi"),
         F.when(mod("doc_id", 11) != 0, base).alias("published_at"),
         (base.cast("timestamp") + F.expr("INTERVAL 6 HOUR")).alias("fetched_at"),
-        F.when(mod("doc_id", 5) == 0, F.lit("")).otherwise(F.substring("text", 81, 1200)).alias("summary"),
+        F.when(bare, F.lit("")).otherwise(rest_of()).alias("summary"),
         F.when(mod("doc_id", 9) == 0, F.lit("arXiv"))
         .when(mod("doc_id", 6) == 0, F.concat(F.lit("Journal of "), F.col("lang")))
         .when(mod("doc_id", 6) == 3, F.lit("  ")).alias("venue"),
@@ -134,7 +145,7 @@ def works(t: Tables) -> DataFrame:
         "doc_id", F.concat(F.lit("https://openalex.org/W"), text_of("doc_id")).alias("id"),
         F.when(mod("doc_id", 3) == 0, F.concat(F.lit("https://doi.org/10.5555/"), text_of("doc_id")))
         .when(mod("doc_id", 3) == 2, F.concat(F.lit("10.5555/"), text_of("doc_id"))).alias("doi"),
-        F.when(mod("doc_id", 7) == 1, F.lit("")).when(mod("doc_id", 7) != 0, F.substring("text", 1, 80)).alias("title"),
+        F.when(mod("doc_id", 7) == 1, F.lit("")).when(mod("doc_id", 7) != 0, title_of()).alias("title"),
         F.when(mod("doc_id", 4) == 2, "preprint").otherwise("article").alias("type"),
         F.when(mod("doc_id", 11) == 0, F.lit("")).otherwise(base_day("doc_id").cast("string")).alias("publication_date"),
         F.when(mod("doc_id", 10) != 9, place).alias("primary_location"),
@@ -144,7 +155,7 @@ def works(t: Tables) -> DataFrame:
 def preprint_entries(t: Tables) -> DataFrame:
     at = F.concat(base_day("doc_id").cast("string"), F.lit("T06:00:00Z"))
     return t.documents.select(
-        F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 1500).alias("summary"),
+        title_of().alias("title"), rest_of().alias("summary"),
         F.concat(F.lit("https://example.org/p/"), text_of("doc_id")).alias("link"),
         F.when(mod("doc_id", 11) != 0, at).alias("published"), F.array("lang", "source").alias("categories"),
         F.when(mod("doc_id", 2) == 0, F.concat(F.lit("10.5555/"), text_of("doc_id"))).alias("doi"))
@@ -179,11 +190,11 @@ def collectors(t: Tables) -> dict[str, DataFrame]:
     """Three heterogeneous sources: each lacks columns the others have."""
     return {
         "works": t.documents.select(
-            F.lit("paper").alias("source_type"), F.substring("text", 1, 80).alias("title"),
+            F.lit("paper").alias("source_type"), title_of().alias("title"),
             F.concat(F.lit("10.5555/"), text_of("doc_id")).alias("doi"), F.col("source").alias("venue")),
         "feeds": t.pages.select(F.lit("org").alias("source_type"), "url"),
         "news": t.conversations.select(
-            F.lit("news").alias("source_type"), F.substring("text", 1, 80).alias("title"),
+            F.lit("news").alias("source_type"), title_of().alias("title"),
             F.concat(F.lit("https://talk.example.org/"), text_of("conv_id"), F.lit("/"), text_of("turn")).alias("url")),
     }
 
@@ -283,7 +294,7 @@ def event_scores(t: Tables) -> DataFrame:
 def journals(t: Tables) -> DataFrame:
     return t.part.select(
         F.col("p_name").alias("display_name"), F.when(F.col("p_type") != "SMALL", F.col("p_brand")).alias("issn_l"),
-        F.col("p_size").cast("long").alias("works_count"))
+        F.col("p_size").cast("long").alias("works_count"), F.col("p_type").alias("host_organization_name"))
 
 
 def notes(t: Tables) -> DataFrame:
@@ -300,7 +311,7 @@ def replies(t: Tables) -> DataFrame:
     fences, prose around the array, stray elements, ids nobody asked for, unknown
     tags, scores as text, fractions, booleans or nulls, and broken JSON."""
     at = (F.col("conv_id") * 8 + F.col("turn")) % 8
-    quoted = F.to_json(F.struct(F.substring("text", 1, 400).alias("why")))
+    quoted = F.to_json(F.struct(F.col("text").alias("why")))
     why = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
     score = (F.when(at == 0, "9").when(at == 1, '" 9 "').when(at == 2, "7.9").when(at == 3, '"7.5"')
              .when(at == 4, "true").when(at == 5, "null").when(at == 6, "99").otherwise("-3"))

@@ -67,13 +67,16 @@ def _cut(name: str, limit: int = 1200) -> str:
 
 _BASE = "(DATE '2024-01-01' + (({0} // 7) % 20)::INT)"
 
+_TITLE = "split_part(text, chr(10), 1)"
+_REST = f"substring(text, length({_TITLE}) + 2)"
+
 _ITEMS = f"""items_raw AS (
   SELECT doc_id, {_BASE.format('doc_id')} AS base, lang,
     CASE WHEN source = 'src0' THEN 'library: cites' ELSE source END AS source,
     CASE doc_id % 3 WHEN 0 THEN 'paper' WHEN 1 THEN 'news' ELSE 'org' END AS source_type,
-    substring(text, 1, 80) AS title, 'https://example.org/doc/' || doc_id AS url,
+    CASE WHEN doc_id % 5 = 0 THEN text ELSE {_TITLE} END AS title, 'https://example.org/doc/' || doc_id AS url,
     CASE WHEN doc_id % 3 = 0 THEN '10.5555/' || doc_id END AS doi,
-    CASE WHEN doc_id % 5 = 0 THEN '' ELSE substring(text, 81, 1200) END AS summary,
+    CASE WHEN doc_id % 5 = 0 THEN '' ELSE {_REST} END AS summary,
     CASE WHEN doc_id % 9 = 0 THEN 'arXiv' WHEN doc_id % 6 = 0 THEN 'Journal of ' || lang
          WHEN doc_id % 6 = 3 THEN '  ' END AS venue,
     CASE WHEN doc_id % 3 = 0 AND doc_id % 4 IN (0, 1) THEN 0
@@ -239,8 +242,8 @@ _STAGE_ALL = (_ITEMS, _LABELS, _SCORED, _STAGE)
 
 _SQL["score_stage"] = _with(*_STAGE_ALL) + "SELECT * FROM stage"
 _SQL["score_stage_counts"] = _with(*_STAGE_ALL) + """
-, counts AS (SELECT count(*) FILTER (scorer = 'keyword') AS p, count(*) FILTER (scorer = 'prefilter') AS r FROM stage)
-SELECT least(p, 150) AS scored, r AS prefiltered, p - least(p, 150) AS deferred FROM counts"""
+SELECT count(*) FILTER (scorer = 'keyword') AS scored, count(*) FILTER (scorer = 'prefilter') AS prefiltered,
+  0::BIGINT AS deferred FROM stage"""
 _SQL["score_cap"] = _with(*_STAGE_ALL) + """
 SELECT id, doc_id FROM pending WHERE passes ORDER BY effective_at DESC, id LIMIT 150"""
 _SQL["apply_scores_once"] = _with(*_STAGE_ALL) + "SELECT id, score, tag, 0 AS attempt FROM pending"
@@ -325,11 +328,11 @@ _SQL["schema_evolve"] = _with(_ITEMS) + """
 SELECT id, title, CASE WHEN NOT old THEN venue END AS venue, CASE WHEN NOT old THEN is_preprint END AS is_preprint,
   NULL::INT AS prefilter_hits FROM marked"""
 
-_COLLECTED = """collected AS (
-  SELECT 'works' AS collector, 0 AS source_ord, 'paper' AS source_type, substring(text, 1, 80) AS title,
+_COLLECTED = f"""collected AS (
+  SELECT 'works' AS collector, 0 AS source_ord, 'paper' AS source_type, {_TITLE} AS title,
     NULL AS url, '10.5555/' || doc_id AS doi, source AS venue FROM documents
   UNION ALL SELECT 'feeds', 1, 'org', NULL, url, NULL, NULL FROM pages
-  UNION ALL SELECT 'news', 2, 'news', substring(text, 1, 80), 'https://talk.example.org/' || conv_id || '/' || turn,
+  UNION ALL SELECT 'news', 2, 'news', {_TITLE}, 'https://talk.example.org/' || conv_id || '/' || turn,
     NULL, NULL FROM conversations)"""
 _SQL["collect_union"] = _with(_COLLECTED) + "SELECT * FROM collected"
 _SQL["source_counts"] = _with(_COLLECTED) + """
@@ -342,7 +345,7 @@ SELECT event_type AS key, props || event_id AS value FROM events
 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1"""
 
 _SQL["near_dup_titles"] = f"""
-WITH titles AS (SELECT 'd' || doc_id AS id, substring(text, 1, 80) AS title FROM documents
+WITH titles AS (SELECT 'd' || doc_id AS id, {_TITLE} AS title FROM documents
   UNION ALL SELECT 'p' || page_id, regexp_extract(html, '<title>(.*?)</title>', 1) FROM pages),
 keyed AS (SELECT id, trim(regexp_replace(lower(title), '{_WS}+', ' ', 'g')) AS title_key FROM titles)
 SELECT title_key, count(*) AS n, min(id) AS first_id FROM keyed WHERE title_key <> '' GROUP BY 1 HAVING count(*) > 1"""
@@ -353,7 +356,7 @@ _SQL["strip_html"] = f"WITH p AS (SELECT page_id, {_plain('html')} AS x FROM pag
 _SQL["strip_titled_html"] = f"""
 WITH u AS (SELECT page_id, regexp_replace(html, '(?is)<title>.*?</title>', ' ', 'g') AS h FROM pages),
 p AS (SELECT page_id, {_plain('h')} AS x FROM u) SELECT page_id, {_cut('x')} AS text FROM p"""
-_SQL["rebuild_text"] = f"WITH p AS (SELECT doc_id, {_plain('text')} AS x FROM documents) SELECT doc_id, {_cut('x')} AS text FROM p"
+_SQL["rebuild_text"] = f"WITH p AS (SELECT doc_id, {_plain('text')} AS x FROM documents) SELECT doc_id, x AS text FROM p"
 _SQL["flatten_cut"] = f"""
 WITH f AS (SELECT doc_id, replace(' ' || chr(10) || text, chr(10), ' ') AS x FROM documents)
 SELECT doc_id, substring({_strip('x')}, 1, 1200) AS text FROM f"""
@@ -365,11 +368,11 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN '' ELSE '10.9999/abc.' || o
 _SQL["project_items"] = f"""
 WITH p AS (SELECT *, {_plain('text')} AS x FROM documents)
 SELECT 'https://openalex.org/W' || doc_id AS work_id, 'openalex:all' AS source, 'paper' AS source_type,
-  CASE WHEN doc_id % 7 IN (0, 1) THEN '(untitled)' ELSE substring(text, 1, 80) END AS title,
+  CASE WHEN doc_id % 7 IN (0, 1) THEN '(untitled)' ELSE {_TITLE} END AS title,
   CASE WHEN doc_id % 10 = 9 OR doc_id % 5 = 0 THEN 'https://openalex.org/W' || doc_id
     ELSE 'https://example.org/w/' || doc_id END AS url,
   CASE WHEN doc_id % 3 <> 1 THEN '10.5555/' || doc_id END AS doi,
-  CASE WHEN doc_id % 11 <> 0 THEN {_BASE.format('doc_id')}::VARCHAR END AS published_at, {_cut('x')} AS summary,
+  CASE WHEN doc_id % 11 <> 0 THEN {_BASE.format('doc_id')}::VARCHAR END AS published_at, x AS summary,
   CASE WHEN doc_id % 10 = 9 THEN '' ELSE source END AS venue,
   CASE WHEN doc_id % 4 = 2 OR (lang = 'de' AND doc_id % 10 <> 9) THEN 1 ELSE 0 END AS is_preprint FROM p"""
 
@@ -389,14 +392,13 @@ SELECT DISTINCT l_orderkey, 'openalex:author:' || l_suppkey AS source FROM linei
 WHERE {_RECENT_LINES} AND list_contains({_list(a.WATCHED_AUTHORS)}, l_suppkey::VARCHAR)"""
 
 _SQL["scan_preprints"] = f"""
-WITH entries AS (SELECT doc_id, substring(text, 1, 80) AS title, substring(text, 81, 1500) AS summary, lang, source AS src,
+WITH entries AS (SELECT doc_id, {_TITLE} AS title, {_REST} AS summary, lang, source AS src,
     CASE WHEN doc_id % 11 <> 0 THEN {_BASE.format('doc_id')} + INTERVAL 6 HOUR END AS ord_at FROM documents),
-newest AS (SELECT * FROM entries WHERE lang = 'de' OR src = 'src3' OR contains(lower(title || ' ' || summary), 'tion of')
-  ORDER BY ord_at DESC NULLS LAST, 'https://example.org/p/' || doc_id LIMIT 50),
+newest AS (SELECT * FROM entries WHERE lang = 'de' OR src = 'src3' OR contains(lower(title || ' ' || summary), 'tion of')),
 flat AS (SELECT *, replace(title, chr(10), ' ') AS ft, replace(summary, chr(10), ' ') AS fs FROM newest)
 SELECT 'arxiv' AS source, 'paper' AS source_type, 'arXiv' AS venue, 1 AS is_preprint, {_strip('ft')} AS title,
   'https://example.org/p/' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN '10.5555/' || doc_id END AS doi,
-  ord_at::DATE::VARCHAR AS published_at, substring({_strip('fs')}, 1, 1200) AS summary
+  ord_at::DATE::VARCHAR AS published_at, {_strip('fs')} AS summary
 FROM flat WHERE ord_at IS NULL OR ord_at >= {_AS_OF} - INTERVAL 7 DAY"""
 
 _NEWS = """news AS (SELECT *, CASE WHEN event_id % 13 <> 0 AND event_id % 17 <> 0 THEN date_trunc('second', ts) END AS ord_at,
@@ -416,7 +418,7 @@ _FEED_RECENT = f"(ord_at IS NULL OR ord_at >= {_AS_OF} - INTERVAL 7 DAY)"
 _SQL["scan_feeds"] = _with(_FEEDS) + f"""
 SELECT page_id, feed AS source, CASE feed WHEN 'feed3' THEN 'news' ELSE 'org' END AS source_type,
   {_strip("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, url, ord_at::DATE::VARCHAR AS published_at,
-  {_cut('x')} AS summary FROM feeds WHERE NOT bad AND {_FEED_RECENT}"""
+  x AS summary FROM feeds WHERE NOT bad AND {_FEED_RECENT}"""
 _SQL["feed_records"] = _with(_FEEDS) + f"""
 SELECT 'rss:' || feed AS source, count(*) FILTER (NOT bad AND {_FEED_RECENT}) AS fetched,
   count(*) FILTER (bad) AS failed, (count(*) FILTER (bad) = 0)::INT AS ok FROM feeds GROUP BY feed"""
@@ -439,8 +441,7 @@ recent AS (SELECT o_orderkey AS work_id, o_orderdate::DATE AS published, o_order
   WHERE o_orderdate::DATE >= ({_LIBRARY_AS_OF} - INTERVAL 365 DAY)::DATE),
 authors AS (SELECT l_suppkey AS author_id, count(*) AS n, min((seq, l_linenumber)) AS first
   FROM lineitem JOIN lib ON l_orderkey = work_id GROUP BY 1 ORDER BY n DESC, first, author_id LIMIT 15),
-seeds AS (SELECT work_id FROM lib ORDER BY seq LIMIT 200),
-cites AS (SELECT DISTINCT l_orderkey AS work_id FROM lineitem WHERE l_partkey IN (SELECT work_id FROM seeds)),
+cites AS (SELECT DISTINCT l_orderkey AS work_id FROM lineitem WHERE l_partkey IN (SELECT work_id FROM lib)),
 wrote AS (SELECT DISTINCT l_orderkey AS work_id FROM lineitem WHERE l_suppkey IN (SELECT author_id FROM authors))"""
 _SQL["library_resolve"] = _with(_LIBRARY) + "SELECT work_id, seq FROM lib"
 _SQL["top_authors"] = _with(_LIBRARY) + "SELECT author_id, n FROM authors"
@@ -461,7 +462,7 @@ _SQL["distinct_first"] = "SELECT l_partkey, min(l_orderkey) AS seq FROM lineitem
 _LOOKUP = f"""wanted AS (SELECT *, source_type = 'paper' AND {_blank('summary')} AS eligible FROM items),
 looked AS (SELECT wanted.*, {_plain('b.text')} AS found FROM wanted
   LEFT JOIN benchmark b ON b.item_id = wanted.doc_id % 60 AND wanted.eligible),
-shaped AS (SELECT *, {_cut('found')} AS abstract, coalesce(found, '') <> '' AS hit FROM looked)"""
+shaped AS (SELECT *, found AS abstract, coalesce(found, '') <> '' AS hit FROM looked)"""
 _LOOKUP_ALL = (_ITEMS, _LOOKUP)
 
 
@@ -519,7 +520,7 @@ SELECT run_id, source FROM runs WHERE run_at >= {_EVENTS_AS_OF} - INTERVAL 12 DA
 # --- journals --------------------------------------------------------------------------
 
 _JOURNALS = """journals AS (SELECT p_name AS name, CASE WHEN p_type <> 'SMALL' THEN p_brand ELSE '' END AS issn,
-  p_size::BIGINT AS works FROM part)"""
+  p_size::BIGINT AS works, coalesce(p_type, '') AS publisher FROM part)"""
 _AUDITED = ", ".join(f"({_lit(i)})" for i in a.AUDITED_ISSNS)
 _SQL["watchlist_audit"] = _with(_JOURNALS, f"watch(issn) AS (VALUES {_AUDITED})") + """
 , known AS (SELECT issn, name, works FROM journals QUALIFY row_number() OVER (PARTITION BY issn ORDER BY name, works) = 1)
@@ -527,11 +528,15 @@ SELECT issn, CASE WHEN name IS NULL THEN 'DEAD' ELSE 'ok' END AS status, coalesc
   coalesce(works, 0) AS works FROM watch LEFT JOIN known USING (issn)"""
 _NAMES = ", ".join(f"({_lit(n)}, {_lit(' '.join(n.lower().split()))})" for n in a.LOOKUP_NAMES)
 _SQL["journal_lookup"] = _with(_JOURNALS, f"asked(query, key) AS (VALUES {_NAMES})") + """
-, candidates AS (SELECT query, name, issn, works, levenshtein(lower(name), key) AS distance FROM journals JOIN asked
-  ON len(list_intersect(string_split(lower(name), ' '), string_split(key, ' '))) > 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, works DESC, name, issn) AS position FROM candidates),
+, words AS (SELECT query, key, unnest(string_split(key, ' ')) AS word FROM asked),
+met AS (SELECT query, key, word, count(*) AS n FROM words JOIN journals
+  ON list_contains(string_split(lower(name), ' '), word) GROUP BY ALL),
+rare AS (SELECT query, key, word FROM met QUALIFY row_number() OVER (PARTITION BY query ORDER BY n, word) = 1),
+candidates AS (SELECT query, name, issn, works, publisher, levenshtein(lower(name), key) AS distance FROM journals JOIN rare
+  ON list_contains(string_split(lower(name), ' '), word)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, works DESC, name, issn, publisher) AS position FROM candidates),
 best AS (SELECT * FROM ranked WHERE position <= 4 AND issn <> '')
-SELECT query, CASE WHEN issn IS NULL THEN 'no match' ELSE 'match' END AS status, position, issn, name, works, distance
+SELECT query, CASE WHEN issn IS NULL THEN 'no match' ELSE 'match' END AS status, position, issn, name, works, publisher, distance
 FROM asked LEFT JOIN best USING (query)"""
 
 # --- streaming -------------------------------------------------------------------------
@@ -540,6 +545,5 @@ _EVENT_ID = "sha1(user_id || '-' || event_type || '-' || ts::DATE)"
 _SQL["stream_sweep"] = f"SELECT {_EVENT_ID} AS id, min(event_id) AS event_id, min(event_type) AS event_type FROM events GROUP BY 1"
 _SQL["stream_dedupe"] = f"SELECT DISTINCT {_EVENT_ID} AS id FROM events"
 _SQL["stream_daily"] = """
-SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events
-WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2"""
+SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"""
 _SQL["stream_failures"] = _with(_RUNS) + _FAILING

@@ -6,8 +6,6 @@ Each query reads whole tables.  Dates and times are returned as text.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,6 +15,7 @@ from fieldscope.functions.terms import term_hits
 from fieldscope.functions.venue import venue_adjust
 from fieldscope.operators import (
     discovery, enrichment, external, health, ingest, journals, packing, retention, scoring)
+from fieldscope.operators.groups import shared_folder
 from fieldscope.plans import digest, reports
 from fieldscope.schemas import ITEM
 from fieldscope.settings import DiscoverySettings
@@ -174,7 +173,7 @@ def score_stage(t):
 
 @query
 def score_stage_counts(t):
-    return scoring.score_stage_counts(_stage(t), cap=150)
+    return scoring.score_stage_counts(_stage(t))
 
 
 def _passing(t):
@@ -197,19 +196,19 @@ def apply_scores_once(t):
 
 @query
 def score_payload(t):
-    return a.items(t).select("id", external.payload().alias("payload"))
+    return a.items(t).select("id", external.payload(summary_limit=1000).alias("payload"))
 
 
 @query
 def score_batches(t):
-    return external.score_batches(_passing(t)).select(
+    return external.score_batches(_passing(t), summary_limit=1000).select(
         "batch_id", F.array_join("ids", ",").alias("ids"), "request")
 
 
 @query
 def ingest_scores(t):
     requests = a.reply_requests(t)
-    return external.ingest_scores(a.replies(t), requests, requests, a.TAGS, "remote", a.WEIGHTS)
+    return external.ingest_scores(a.replies(t), requests, requests, a.TAGS, "remote", a.WEIGHTS, rationale_limit=280)
 
 
 def _local_scorer(system: str, user: str) -> str:
@@ -287,7 +286,7 @@ def meta_latest(t):
 
 @query
 def near_dup_titles(t):
-    titles = (t.documents.select(F.concat(F.lit("d"), text_of("doc_id")).alias("id"), F.substring("text", 1, 80).alias("title"))
+    titles = (t.documents.select(F.concat(F.lit("d"), text_of("doc_id")).alias("id"), a.title_of().alias("title"))
               .unionByName(t.pages.select(F.concat(F.lit("p"), text_of("page_id")).alias("id"),
                                           F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))))
     return ingest.near_duplicate_titles(titles)
@@ -297,12 +296,12 @@ def near_dup_titles(t):
 
 @query
 def strip_html(t):
-    return t.pages.select("page_id", text.strip_html(F.col("html")).alias("text"))
+    return t.pages.select("page_id", text.strip_html(F.col("html"), limit=1200).alias("text"))
 
 
 @query
 def strip_titled_html(t):
-    return t.pages.select("page_id", text.strip_titled_html(F.col("html"), "title").alias("text"))
+    return t.pages.select("page_id", text.strip_titled_html(F.col("html"), "title", limit=1200).alias("text"))
 
 
 @query
@@ -313,7 +312,7 @@ def rebuild_text(t):
 
 @query
 def flatten_cut(t):
-    return t.documents.select("doc_id", text.flatten_cut(F.concat(F.lit(" \n"), F.col("text"))).alias("text"))
+    return t.documents.select("doc_id", text.flatten_cut(F.concat(F.lit(" \n"), F.col("text")), limit=1200).alias("text"))
 
 
 @query
@@ -425,7 +424,7 @@ def library_resolve(t):
 
 @query
 def top_authors(t):
-    return discovery.top_authors(_library(t), a.line_authorships(t))
+    return discovery.top_authors(_library(t), a.line_authorships(t), 15)
 
 
 @query
@@ -436,7 +435,7 @@ def library_citing(t):
 
 @query
 def library_by_author(t):
-    authors = discovery.top_authors(_library(t), a.line_authorships(t))
+    authors = discovery.top_authors(_library(t), a.line_authorships(t), 15)
     found = discovery.recent_by_authors(a.order_works(t), authors, a.line_authorships(t), _cutoff())
     return found.select("work_id", day("published"))
 
@@ -466,7 +465,7 @@ def _attempts(t, **budget):
 
 @query
 def backfill_budget(t):
-    return _attempts(t).select(F.col("seq").alias("doc_id"), F.col("tried").cast("int").alias("tried"),
+    return _attempts(t, limit=60, give_up_after=10).select(F.col("seq").alias("doc_id"), F.col("tried").cast("int").alias("tried"),
                                F.col("filled").cast("int").alias("filled"))
 
 
@@ -479,7 +478,7 @@ def backfill_budget_by_source(t):
 
 @query
 def backfill_counters(t):
-    counts = enrichment.backfill_counters(a.backfill_items(t), _attempts(t))
+    counts = enrichment.backfill_counters(a.backfill_items(t), _attempts(t, limit=60, give_up_after=10), give_up_after=10)
     return counts.withColumn("gave_up", F.col("gave_up").cast("int"))
 
 
@@ -520,23 +519,17 @@ def watchlist_audit(t):
 
 @query
 def journal_lookup(t):
-    return journals.journal_lookup(a.journals(t), a.LOOKUP_NAMES)
+    return journals.journal_lookup(a.journals(t), a.LOOKUP_NAMES, limit=4)
 
 
 # --- streaming ---------------------------------------------------------------
 
-def _stream_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldscope-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _event_stream(t: Tables) -> DataFrame:
     return sweep.read_stream(t.spark, t.sf_dir, t.events.schema, pattern="events*.parquet")
 
 
 def _to_files(t: Tables, stream: DataFrame) -> DataFrame:
-    folder = _stream_folder(t.spark)
+    folder = shared_folder(t.spark)
     sweep.run_to_end(stream.writeStream.format("parquet").outputMode("append")
                      .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state"))
     return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -544,7 +537,7 @@ def _to_files(t: Tables, stream: DataFrame) -> DataFrame:
 
 @query
 def stream_sweep(t):
-    folder = _stream_folder(t.spark)
+    folder = shared_folder(t.spark)
     stream = a.stream_items(_event_stream(t))
     sweep.sweep_stream(stream, f"{folder}/items", f"{folder}/state", ["event_id"])
     return t.spark.read.parquet(f"{folder}/items").select("id", "event_id", "event_type")
@@ -553,18 +546,20 @@ def stream_sweep(t):
 @query
 def stream_dedupe(t):
     stream = a.stream_items(_event_stream(t))
-    return _to_files(t, sweep.dedupe_stream(stream, "ts", ["id"])).select("id")
+    return _to_files(t, sweep.dedupe_stream(stream, ["id"])).select("id")
 
 
 @query
 def stream_daily(t):
     counts = sweep.daily_counts(_event_stream(t), "ts", ["event_type"])
-    return _to_files(t, counts).select(day("day"), "event_type", "n")
+    folder = shared_folder(t.spark)
+    sweep.write_complete(counts, f"{folder}/out", f"{folder}/state")
+    return t.spark.read.schema(counts.schema).parquet(f"{folder}/out").select(day("day"), "event_type", "n")
 
 
 @query
 def stream_failures(t):
-    folder = _stream_folder(t.spark)
+    folder = shared_folder(t.spark)
     events = _event_stream(t)
     stream = a.runs_of(events)
     live.failure_stream(stream, f"{folder}/latest", f"{folder}/state", tiebreak="run_id")

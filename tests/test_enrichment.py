@@ -68,18 +68,18 @@ def test_gives_up_when_nothing_is_deposited(spark):
     rows = [(f"i{n}", "s", "paper", f"10.6/{n}", "", 0, n) for n in range(50)]
     items = spark.createDataFrame(rows, ITEMS)
     none = spark.createDataFrame([], "doi string, abstract string")
-    attempts = enrichment.budgeted_lookup(items, none)
-    assert enrichment.backfill_counters(items, attempts).first().asDict() == {"filled": 0, "tried": 10, "gave_up": True}
+    attempts = enrichment.budgeted_lookup(items, none, limit=60, give_up_after=10)
+    assert enrichment.backfill_counters(items, attempts, give_up_after=10).first().asDict() == {"filled": 0, "tried": 10, "gave_up": True}
     ten = items.filter("seq < 10")       # nothing follows the tenth miss
-    attempts = enrichment.budgeted_lookup(ten, none)
-    assert enrichment.backfill_counters(ten, attempts).first().asDict() == {"filled": 0, "tried": 10, "gave_up": False}
+    attempts = enrichment.budgeted_lookup(ten, none, limit=60, give_up_after=10)
+    assert enrichment.backfill_counters(ten, attempts, give_up_after=10).first().asDict() == {"filled": 0, "tried": 10, "gave_up": False}
 
 
 def test_no_budget_tries_nothing(spark):
     items = spark.createDataFrame([("i", "s", "paper", "10.1/a", "", 0, 0)], ITEMS)
     abstracts = spark.createDataFrame([("10.1/a", "text")], "doi string, abstract string")
-    attempts = enrichment.budgeted_lookup(items, abstracts, limit=0)
-    assert enrichment.backfill_counters(items, attempts).first().asDict() == {"filled": 0, "tried": 0, "gave_up": False}
+    attempts = enrichment.budgeted_lookup(items, abstracts, limit=0, give_up_after=10)
+    assert enrichment.backfill_counters(items, attempts, give_up_after=10).first().asDict() == {"filled": 0, "tried": 0, "gave_up": False}
 
 
 @pytest.mark.parametrize("budgeted", [False, True])
@@ -90,7 +90,7 @@ def test_backfill_fills_blank_papers_only(spark, budgeted):
     abstracts = spark.createDataFrame([(f"10.5/{x}", "found <b>words</b>") for x in "abce"],
                                       "doi string, abstract string")
     if budgeted:
-        out = enrichment.apply_attempts(items, enrichment.budgeted_lookup(items, abstracts))
+        out = enrichment.apply_attempts(items, enrichment.budgeted_lookup(items, abstracts, limit=60, give_up_after=10))
     else:
         out = enrichment.backfill(items, abstracts)
     got = {r["id"]: r["summary"] for r in out.collect()}

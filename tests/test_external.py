@@ -14,17 +14,17 @@ def items(spark, *rows):
     return spark.createDataFrame([(r + (None,) * 7)[:7] for r in rows], ITEMS)
 
 
-def ingest(spark, texts, requested, rows, tags=("methods",), weights=None):
+def ingest(spark, texts, requested, rows, tags=("methods",), weights=None, **more):
     replies = spark.createDataFrame(list(enumerate(texts)), "batch_id long, text string")
     asked = spark.createDataFrame(requested, "batch_id long, id string")
-    out = external.ingest_scores(replies, asked, items(spark, *rows), tags, "remote", weights)
+    out = external.ingest_scores(replies, asked, items(spark, *rows), tags, "remote", weights, **more)
     return [(r["id"], r["score"], r["tag"], r["rationale"]) for r in sorted(out.collect(), key=lambda r: (r["batch_id"], r["pos"]))]
 
 
 def test_payload_leaves_out_what_is_unknown(spark):
     rows = {r["id"]: json.loads(r["p"]) for r in items(
         spark, ("1", 'T "q" é\n', "s" * 1100, "Joule", 0), ("2", "t", None, "", None), ("3", None, " \t", None, 1),
-    ).select("id", external.payload().alias("p")).collect()}
+    ).select("id", external.payload(summary_limit=1000).alias("p")).collect()}
     assert rows["1"] == {"id": "1", "title": 'T "q" é\n', "summary": "s" * 1000, "venue": "Joule", "peer_reviewed": True}
     assert rows["2"] == {"id": "2", "title": "t", "summary": "", "note": external.NO_ABSTRACT_NOTE}
     assert rows["3"] == {"id": "3", "title": "", "summary": " \t", "peer_reviewed": False, "note": external.NO_ABSTRACT_NOTE}
@@ -56,8 +56,10 @@ def test_bad_replies_cost_their_own_batch_only(spark):
 
 def test_venue_step_recuts_the_rationale(spark):
     text = json.dumps([{"id": "a", "score": 10, "tag": "methods", "why": "w" * 400}])
-    got = ingest(spark, [text], [(0, "a")], [("a", "t", "", None, 0)], weights=VenueWeights())
+    got = ingest(spark, [text], [(0, "a")], [("a", "t", "", None, 0)], weights=VenueWeights(), rationale_limit=280)
     assert got == [("a", 10, "methods", "w" * 280)]
+    whole = ingest(spark, [text], [(0, "a")], [("a", "t", "", None, 0)], weights=VenueWeights())
+    assert whole == [("a", 10, "methods", "w" * 400 + " [peer-reviewed, no abstract available +2]")]
     text = json.dumps([{"id": "a", "score": 1, "why": "w"}])
     assert ingest(spark, [text], [(0, "a")], [("a", "t", "x", None, 1)], weights=VenueWeights()) == [
         ("a", 0, "none", "w [preprint -1]")]

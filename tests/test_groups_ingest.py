@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from fieldscope.operators import ingest
-from fieldscope.operators.groups import first_per_group, keep_first, with_ordinal
+from fieldscope.operators.groups import first_per_group, keep_first, numbered_newest_first
 from fieldscope.schemas import ITEM
 
 
@@ -54,15 +54,29 @@ def test_rank_column(spark):
 
 
 def test_ordinal_numbers_all_rows_without_one_big_task(spark):
-    rows, df = rows_of(spark)
-    got = with_ordinal(df, [F.col("a").desc(), F.col("b")])
-    expected = sorted(rows, key=lambda r: (-r[1], r[2]))
-    assert [tuple(r)[:3] for r in sorted(got.collect(), key=lambda r: r["rn"])] == expected
-    assert sorted(r["rn"] for r in got.collect()) == list(range(1, len(rows) + 1))
+    """A third of the rows have one time, others share minutes or days, some have none."""
+    rng = random.Random(9)
+    times = [None if i % 11 == 0 else 0 if i % 3 == 0 else rng.choice([rng.randrange(50), rng.randrange(200_000), rng.randrange(9_000_000)])
+             for i in range(900)]
+    df = spark.createDataFrame(list(enumerate(times)), "n int, s long").select(
+        "n", F.timestamp_seconds("s").alias("at"), F.sha1(F.col("n").cast("string")).alias("id")).repartition(5)
+    got = numbered_newest_first(df, F.col("at"), "id").collect()
+    expected = sorted(df.collect(), key=lambda r: (r["at"] is None, -(r["at"].timestamp() if r["at"] else 0), r["id"]))
+    assert [r["n"] for r in sorted(got, key=lambda r: r["rn"])] == [r["n"] for r in expected]
+    assert sorted(r["rn"] for r in got) == list(range(1, 901))
+    assert "checkpoint" not in plan_of(numbered_newest_first(df, F.col("at"), "id")).lower()
 
 
 def test_ordinal_of_nothing(spark):
-    assert with_ordinal(spark.createDataFrame([], "a int"), ["a"]).count() == 0
+    empty = spark.createDataFrame([], "at timestamp, id string")
+    assert numbered_newest_first(empty, F.col("at"), "id").count() == 0
+
+
+def test_rows_without_identity_are_told_apart(spark):
+    rows = spark.createDataFrame([("a", None, None), ("b", " ", ""), ("c", None, "https://x/1"), ("d", "10.1/x", None)],
+                                 "title string, doi string, url string")
+    assert [r["title"] for r in ingest.with_identity(rows).orderBy("title").collect()] == ["c", "d"]
+    assert [r["title"] for r in ingest.without_identity(rows).orderBy("title").collect()] == ["a", "b"]
 
 
 BATCH = "source_ord int, seq int, title string, url string, doi string"

@@ -129,7 +129,7 @@ def test_notes_skip_readme_binary_hidden_and_blank(spark, tmp_path):
         (tmp_path / name).write_text(body, encoding="utf-8")
     docs = notes.read_notes(spark, str(tmp_path))
     assert {r["name"] for r in docs.collect()} == {"1-plan.md", "my notes+.TXT", "blank.rst"}
-    block = pack_budget(docs.withColumn("folder", F.lit("context")).withColumn("at", F.col("name")), ["folder"], "at").first()["block"]
+    block = pack_budget(docs.withColumn("folder", F.lit("context")).withColumn("at", F.col("name")), ["folder"], "at", 24000).first()["block"]
     assert block == "\n--- 1-plan.md ---\na note on tides\n\n--- my notes+.TXT ---\nharbour plans\n"
 
 

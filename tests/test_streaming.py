@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldscope.streaming import health, sweep
@@ -53,21 +54,31 @@ def to_rows(spark, tmp_path, stream):
 def test_dedupe_within_the_look_back(spark, tmp_path):
     land(spark, tmp_path / "in", [("a", 1, at(0), "k"), ("a", 2, at(1), "k"), ("b", 3, at(1), "k")])
     land(spark, tmp_path / "in", [("a", 4, at(3), "k"), ("c", 5, at(3), "k")])
-    rows = to_rows(spark, tmp_path, sweep.dedupe_stream(source(spark, tmp_path / "in", max_files=1), "ts", ["id"]))
+    rows = to_rows(spark, tmp_path, sweep.dedupe_stream(source(spark, tmp_path / "in", max_files=1), ["id"]))
     assert sorted(r[0] for r in rows) == ["a", "b", "c"]
 
 
-def test_daily_counts_equal_the_batch_result_on_closed_days(spark, tmp_path):
-    rows = [(f"i{n}", n, at(n % 6, n % 24), "k" if n % 2 else "l") for n in range(60)]
-    land(spark, tmp_path / "in", rows)
-    got = to_rows(spark, tmp_path, sweep.daily_counts(source(spark, tmp_path / "in"), "ts", ["kind"]))
-    last = max(r[2] for r in rows) - dt.timedelta(days=1)
+@pytest.mark.parametrize("order", [(30, 31, 1), (31, 1, 30), (1, 30, 31)])
+def test_late_ids_are_kept_however_files_arrive(spark, tmp_path, order):
+    for day in order:
+        land(spark, tmp_path / "in", [(f"i{day}", day, at(day), "k"), ("again", day, at(day), "k")])
+    rows = to_rows(spark, tmp_path, sweep.dedupe_stream(source(spark, tmp_path / "in", max_files=1), ["id"]))
+    assert sorted(r[0] for r in rows) == ["again", "i1", "i30", "i31"]
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_daily_counts_equal_the_batch_result(spark, tmp_path, files):
+    """All days, the open ones too, also when late rows come in a file of their own."""
+    rows = [(f"i{n}", n, at(n * 7 % 6, n % 24), "k" if n % 2 else "l") for n in range(60)]
+    for part in range(files):
+        land(spark, tmp_path / "in", rows[part::files])
+    counts = sweep.daily_counts(source(spark, tmp_path / "in", max_files=1), "ts", ["kind"])
+    sweep.write_complete(counts, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {(r["day"], r["kind"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     expected = {}
     for r in rows:
-        if dt.datetime.combine(r[2].date(), dt.time()) + dt.timedelta(days=1) <= last:
-            key = (r[2].date(), r[3])
-            expected[key] = expected.get(key, 0) + 1
-    assert {(d, k): n for d, k, n in got} == expected
+        expected[r[2].date(), r[3]] = expected.get((r[2].date(), r[3]), 0) + 1
+    assert got == expected
 
 
 def test_live_failures_follow_the_newest_runs(spark, tmp_path):

@@ -73,13 +73,50 @@ def test_missing_table_is_empty(spark, tmp_path):
 
 
 def test_snapshots_and_reports(spark, tmp_path):
+    stored = batch(spark, (0, 0, "old", "https://x/1", None, dt.date(2024, 1, 2)), (0, 1, "new", "https://x/2", None, dt.date(2024, 3, 2)))
+    tables.write_snapshot(stored.withColumn("score", F.lit(5)), str(tmp_path / "v2"))
+    assert tables.read_items(spark, str(tmp_path / "v2")).count() == 2
+    recent = tables.read_items(spark, str(tmp_path / "v2"), effective_since="2024-02-01")
+    assert [r["title"] for r in recent.collect()] == ["new"] and recent.columns == ITEM.fieldNames()
     df = spark.createDataFrame([("b", 2), ("a", 1)], "line string, n int")
-    tables.write_snapshot(df, str(tmp_path / "v2"))
-    assert spark.read.parquet(str(tmp_path / "v2")).count() == 2
     tables.write_report(df.orderBy("n").select("line"), str(tmp_path / "text"), "text")
     assert [r["value"] for r in spark.read.text(str(tmp_path / "text")).collect()] == ["a", "b"]
 
 
+def test_retention_rewrites_only_the_months_that_lose_rows(spark, tmp_path):
+    path = str(tmp_path / "items")
+    rows = [(0, i, f"t{i}", f"https://x/{i}", None, day) for i, day in enumerate(
+        [dt.date(2023, 1, 5), dt.date(2023, 2, 5), dt.date(2023, 2, 6), dt.date(2024, 3, 1), dt.date(2022, 7, 1)])]
+    tables.append_items(batch(spark, *rows), path, NOW)
+    ids = {r["title"]: r["id"] for r in tables.read_items(spark, path).collect()}
+    scores = spark.createDataFrame([(ids["t0"], 9), (ids["t1"], 9), (ids["t2"], 1), (ids["t4"], 0)], "id string, score int")
+    untouched = sorted(p.name for p in (tmp_path / "items" / "month=2023-01").iterdir())
+    assert tables.prune_item_table(spark, path, scores, 6, NOW, 180) == ["2022-07", "2023-02"]
+    assert sorted(r["title"] for r in tables.read_items(spark, path).collect()) == ["t0", "t1", "t3"]
+    assert sorted(p.name for p in (tmp_path / "items" / "month=2023-01").iterdir()) == untouched
+    assert not (tmp_path / "items" / "month=2022-07").exists()
+    assert tables.prune_item_table(spark, path, scores, 6, NOW, 180) == []
+
+
+def test_run_log_drops_whole_days(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    log = spark.createDataFrame([("a", 3, 1, "3 items")], "source string, fetched long, ok int, note string")
+    for day in ("2024-01-05 08:00:00", "2024-02-19 08:00:00", "2024-02-19 13:00:00", "2024-03-19 08:00:00"):
+        tables.append_runs(log, path, day)
+    assert tables.prune_run_table(spark, path, NOW, 30) == ["run_date=2024-01-05"]
+    recent = tables.read_runs(spark, path, "2024-02-19 12:00:00")
+    assert sorted(str(r["run_at"]) for r in recent.collect()) == ["2024-02-19 13:00:00", "2024-03-19 08:00:00"]
+    assert "PartitionFilters: [isnotnull(run_date" in plan_of(recent)
+    assert tables.read_runs(spark, path).count() == 3
+
+
+def test_two_writes_at_one_time_have_one_winner(spark, tmp_path):
+    meta = str(tmp_path / "meta")
+    for value in ("b", "a"):
+        tables.put_meta(spark, meta, "k", value, NOW)
+    assert tables.get_meta(spark, meta).first()["value"] == "b"
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark):
     spark.sql("DROP TABLE IF EXISTS bucketed_items")
     spark.sql("DROP TABLE IF EXISTS bucketed_scores")

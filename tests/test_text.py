@@ -30,7 +30,8 @@ def test_strip_html(one, raw, expected):
 def test_strip_html_cuts_with_an_ellipsis(one):
     assert one(text.strip_html(X(), 5), "x string", "abcd efgh") == "abcd…"
     assert one(text.strip_html(X(), 4), "x string", "abcd") == "abcd"
-    assert one(text.strip_html(X()), "x string", "é" * 1300) == "é" * 1200 + "…"
+    assert one(text.strip_html(X(), 1200), "x string", "é" * 1300) == "é" * 1200 + "…"
+    assert one(text.strip_html(X()), "x string", "é" * 1300) == "é" * 1300
 
 
 def test_strip_titled_html_drops_the_title_element(one):
