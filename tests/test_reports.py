@@ -142,7 +142,7 @@ def test_digest_text_reads_top_down(spark):
 def test_whole_sweep(spark):
     collected = spark.createDataFrame([
         (0, 0, "A GPU on the tide", "https://x/1", "10.1/a", "paper", "", 0), (0, 1, "again", None, "10.1/A", "paper", "t", 0),
-        (1, 0, "trains", "https://x/2", None, "news", "", None)],
+        (1, 0, "trains", "https://x/2", None, "news", "", None), (1, 1, "nowhere", None, None, "news", "", None)],
         "source_ord int, seq int, title string, url string, doi string, source_type string, summary string, is_preprint int"
     ).select("*", F.lit("feed").alias("source"), F.lit(None).cast("date").alias("published_at"),
              F.lit(None).cast("timestamp").alias("fetched_at"), F.lit("v").alias("venue"),
@@ -157,5 +157,19 @@ def test_whole_sweep(spark):
     assert {(r["score"], r["scorer"]) for r in out["new_scores"].collect()} == {(8, "keyword"), (0, "prefilter")}
     assert [r["title"] for r in out["listing"].collect()] == ["A GPU on the tide"]
     assert out["kept"].count() == 2
-    again = sweep(collected, out["new_items"], out["new_scores"], abstracts, NOW, cfg)
+    log = {r["source"]: (r["fetched"], r["note"]) for r in out["run_log"].collect()}
+    assert log == {"feed": (4, "4 items"), "abstract backfill": (1, "1 of 1 filled"), "without identity": (1, "1 items"),
+                   "scoring": (1, "1 scored, 1 prefiltered, 0 deferred")}
+    assert [r["title"] for r in out["rejected"].collect()] == ["nowhere"]
+    assert out["latest_scorer"].first()["scorer"] == "keyword"
+    assert [r["title"] for r in out["digest_rows"].collect()] == ["A GPU on the tide"]
+    assert out["digest_header"].first()["n"] == 1 and out["shortlist"].count() == 0 and out["discovered"].count() == 0
+    runs = out["run_log"].withColumns({"ok": F.lit(0), "run_at": F.col("run_at") - F.expr("INTERVAL 1 DAY")})
+    earlier = runs.unionByName(runs.withColumn("run_at", F.col("run_at") - F.expr("INTERVAL 90 DAY")))
+    broken = spark.createDataFrame([("gone", 0, NOW)] * 3, "source string, ok int, at string").select(
+        "source", "ok", F.col("at").cast("timestamp").alias("run_at"))
+    again = sweep(collected, out["new_items"], out["new_scores"], abstracts, NOW, cfg,
+                  runs=earlier.unionByName(broken, allowMissingColumns=True))
     assert again["new_items"].count() == 0 and again["new_scores"].count() == 0
+    assert [r["source"] for r in again["failing"].collect()] == ["gone"]      # the others succeeded now
+    assert again["kept_runs"].count() == 4 + 3 + 4
