@@ -33,7 +33,7 @@ TASK_TOKENS = 1 << 23  # ids that a reading task gets
 PAGE_BYTES = 1 << 16
 CACHE = 1_000_000  # words whose ids a worker keeps
 _SMALL = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_MARK = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n]|\Z)")
+_MARK = re.compile(rb"([.,])(?<=[A-Za-z0-9].)(?=[ \n]|\Z)")
 
 _FILES = "part int, file string, group int, documents long, tokens long"
 _READ = "part int, file string, group int, doc_id long, first long, n_tokens long, ids_crc32 long"
@@ -57,14 +57,17 @@ class WordEncoder(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        found = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)
-        value = self[word] = np.array(found[0].ids, "<u4").tobytes()
+        if word.isalpha() and word.islower():  # plain letters are what normalization and splitting leave as they are
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode())]
+        else:
+            ids = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+        value = self[word] = np.array(ids, "<u4").tobytes()
         return value
 
     def ids(self, text: bytes) -> bytes:
         if b"<|" not in text:  # the special tokens are in small letters only
             text = text.translate(_SMALL)
-        return b"".join([self[w] for w in _MARK.sub(rb" \1", text).split()])
+        return b"".join(map(self.__getitem__, _MARK.sub(rb" \1", text).split()))
 
 
 def vocabulary() -> str:
