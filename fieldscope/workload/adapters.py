@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldscope.functions.columns import let
 from fieldscope.functions.identity import item_id
+from fieldscope.operators import discovery
 from fieldscope.settings import ReportSettings, TermModel, VenueWeights, Workstream
 
 AS_OF = "2024-01-20 12:00:00"
@@ -30,6 +31,9 @@ TOPIC_QUERIES = ("the and", "que la", "der die", "zebra quantum")
 WATCHED_ISSNS = ("Brand#3", "Brand#7", "Brand#77")
 AUDITED_ISSNS = ("Brand#1", "Brand#3", "Brand#7", "Brand#12", "Brand#25", "Brand#26", "Brand#77")
 WATCHED_AUTHORS = ("3", "7", "42")
+WATCHED_ORDERS = ("urgent order", "low zebra", "order f")
+WATCHED_CUSTOMERS = ("C-3", "C-7", "C-77")
+RUN_TIMES = ("2024-01-05 06:00:00", "2024-01-18 06:00:00", "2024-01-19 18:00:00")
 LOOKUP_NAMES = ("red widget", "blue bolts", "Hot  Ring", "quantum journal")
 
 
@@ -238,11 +242,27 @@ def _order_doi(prefix: str) -> Column:
     return F.concat(F.lit(prefix), text_of("o_orderkey"), F.lit("."), text_of("o_custkey"))
 
 
+def nested_works(t: Tables) -> DataFrame:
+    """Orders as nested work records: their lines' suppliers wrote them and their lines' parts are cited.
+    An order has a handful of lines, so each list is short."""
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
+        F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("lines"))
+    author = lambda x: F.struct(F.struct(F.concat(F.lit("https://openalex.org/A/"), x["l_suppkey"].cast("string")).alias("id")).alias("author"))
+    cited = lambda x: F.concat(F.lit("https://openalex.org/W/"), x["l_partkey"].cast("string"))
+    host = F.struct(F.lit("Orders").alias("display_name"), F.lit("journal").alias("type"),
+                    F.array(F.concat(F.lit("C-"), mod("o_custkey", 40).cast("string"))).alias("issn"))
+    return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.concat(F.lit("https://openalex.org/W/"), text_of("o_orderkey")).alias("id"), _order_doi("10.7777/W").alias("doi"),
+        F.concat("o_orderpriority", F.lit(" order "), "o_orderstatus").alias("title"),
+        F.when(F.col("o_orderstatus") == "P", "preprint").otherwise("article").alias("type"),
+        F.to_date("o_orderdate").cast("string").alias("publication_date"),
+        F.struct(F.lit(None).cast("string").alias("landing_page_url"), host.alias("source")).alias("primary_location"),
+        F.lit(None).cast("map<string,array<int>>").alias("abstract_inverted_index"),
+        F.transform("lines", author).alias("authorships"), F.transform("lines", cited).alias("referenced_works"))
+
+
 def order_works(t: Tables) -> DataFrame:
-    return t.orders.select(
-        F.col("o_orderkey").alias("work_id"), _order_doi("10.7777/W").alias("doi"),
-        F.to_date("o_orderdate").alias("published"),
-        F.when(F.col("o_orderstatus") == "P", "preprint").otherwise("article").alias("type"))
+    return discovery.work_table(nested_works(t))
 
 
 def order_library(t: Tables) -> DataFrame:
@@ -252,12 +272,11 @@ def order_library(t: Tables) -> DataFrame:
 
 
 def line_citations(t: Tables) -> DataFrame:
-    return t.lineitem.select(F.col("l_orderkey").alias("citing_id"), F.col("l_partkey").alias("cited_id"))
+    return discovery.citation_edges(nested_works(t))
 
 
 def line_authorships(t: Tables) -> DataFrame:
-    return t.lineitem.select(F.col("l_orderkey").alias("work_id"), F.col("l_suppkey").alias("author_id"),
-                             F.col("l_linenumber").alias("pos"))
+    return discovery.authorship_edges(nested_works(t))
 
 
 def backfill_items(t: Tables) -> DataFrame:

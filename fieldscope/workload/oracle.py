@@ -443,16 +443,31 @@ authors AS (SELECT l_suppkey AS author_id, count(*) AS n, min((seq, l_linenumber
   FROM lineitem JOIN lib ON l_orderkey = work_id GROUP BY 1 ORDER BY n DESC, first, author_id LIMIT 15),
 cites AS (SELECT DISTINCT l_orderkey AS work_id FROM lineitem WHERE l_partkey IN (SELECT work_id FROM lib)),
 wrote AS (SELECT DISTINCT l_orderkey AS work_id FROM lineitem WHERE l_suppkey IN (SELECT author_id FROM authors))"""
-_SQL["library_resolve"] = _with(_LIBRARY) + "SELECT work_id, seq FROM lib"
-_SQL["top_authors"] = _with(_LIBRARY) + "SELECT author_id, n FROM authors"
+_SQL["library_resolve"] = _with(_LIBRARY) + "SELECT work_id::VARCHAR AS work_id, seq FROM lib"
+_SQL["top_authors"] = _with(_LIBRARY) + "SELECT author_id::VARCHAR AS author_id, n FROM authors"
+_WATCHED_ORDERS = ", ".join(f"({_lit(q)})" for q in a.WATCHED_ORDERS)
+_SQL["collect_watched"] = f"""
+WITH recent AS (SELECT *, o_orderpriority || ' order ' || o_orderstatus AS title FROM orders
+  WHERE o_orderdate::DATE >= ({_LIBRARY_AS_OF} - INTERVAL 365 DAY)::DATE),
+queries(q) AS (VALUES {_WATCHED_ORDERS}),
+labels AS (
+  SELECT o_orderkey, 'openalex:' || q AS source FROM recent JOIN queries
+    ON len(list_filter(string_split(q, ' '), lambda w: NOT contains(lower(title), w))) = 0
+  UNION ALL SELECT o_orderkey, 'openalex:issn:C-' || o_custkey % 40 FROM recent
+    WHERE list_contains({_list(a.WATCHED_CUSTOMERS)}, 'C-' || o_custkey % 40)
+  UNION ALL SELECT DISTINCT l_orderkey, 'openalex:author:' || l_suppkey FROM lineitem JOIN recent ON l_orderkey = o_orderkey
+    WHERE list_contains({_list(a.WATCHED_AUTHORS)}, l_suppkey::VARCHAR))
+SELECT source, 'paper' AS source_type, title, 'https://openalex.org/W/' || o_orderkey AS url,
+  '10.7777/W' || o_orderkey || '.' || o_custkey AS doi, o_orderdate::DATE::VARCHAR AS published_at, 'Orders' AS venue,
+  (o_orderstatus = 'P')::INT AS is_preprint FROM labels JOIN recent USING (o_orderkey)"""
 _SQL["library_citing"] = _with(_LIBRARY) + """
-SELECT work_id, published::VARCHAR AS published FROM recent WHERE work_id IN (SELECT work_id FROM cites)"""
+SELECT work_id::VARCHAR AS work_id, published::VARCHAR AS published FROM recent WHERE work_id IN (SELECT work_id FROM cites)"""
 _SQL["library_by_author"] = _with(_LIBRARY) + """
-SELECT work_id, published::VARCHAR AS published FROM recent WHERE article AND work_id IN (SELECT work_id FROM wrote)"""
+SELECT work_id::VARCHAR AS work_id, published::VARCHAR AS published FROM recent WHERE article AND work_id IN (SELECT work_id FROM wrote)"""
 _SQL["library_discovery"] = _with(_LIBRARY) + """
 , found AS (SELECT *, work_id IN (SELECT work_id FROM cites) AS citing FROM recent
   WHERE work_id NOT IN (SELECT work_id FROM lib))
-SELECT work_id, published::VARCHAR AS published,
+SELECT work_id::VARCHAR AS work_id, published::VARCHAR AS published,
   CASE WHEN citing THEN 'library: cites your library' ELSE 'library: author you read' END AS source
 FROM found WHERE citing OR (article AND work_id IN (SELECT work_id FROM wrote))"""
 _SQL["distinct_first"] = "SELECT l_partkey, min(l_orderkey) AS seq FROM lineitem GROUP BY 1"
@@ -517,6 +532,20 @@ SELECT id, score FROM labelled WHERE coalesce(score >= 6, false) OR {_since(f"{_
 _SQL["prune_runs"] = _with(_RUNS) + f"""
 SELECT run_id, source FROM runs WHERE run_at >= {_EVENTS_AS_OF} - INTERVAL 12 DAY"""
 
+# --- stored tables --------------------------------------------------------------------------
+
+_SQL["stored_items"] = _with(_ITEMS, _LABELS, _LABELLED) + f"""
+SELECT id, title, source, published_at::VARCHAR AS published_at FROM labelled
+WHERE coalesce(score >= 6, false) OR {_since(f"{_AS_OF} - INTERVAL 10 DAY")}"""
+_TIMES = ", ".join(f"({_lit(x)})" for x in a.RUN_TIMES if x >= "2024-01-18 12:00:00")
+_SQL["stored_runs"] = f"""
+WITH log AS (SELECT event_type AS source, count(*) AS fetched FROM events GROUP BY 1), times(run_at) AS (VALUES {_TIMES})
+SELECT source, fetched, 1 AS ok, fetched || ' events' AS note, run_at FROM log, times"""
+_SQL["stored_report"] = _SQL["dashboard_listing"]
+_SQL["collect_plugins"] = _with(_COLLECTED) + """
+SELECT collector AS source, count(*) AS fetched, 1 AS ok, count(title) AS titles, count(url) AS urls FROM collected GROUP BY 1
+UNION ALL SELECT 'broken', 0, 0, 0, 0"""
+
 # --- journals --------------------------------------------------------------------------
 
 _JOURNALS = """journals AS (SELECT p_name AS name, CASE WHEN p_type <> 'SMALL' THEN p_brand ELSE '' END AS issn,

@@ -19,7 +19,7 @@ from fieldscope.operators.groups import shared_folder
 from fieldscope.plans import digest, reports
 from fieldscope.schemas import ITEM
 from fieldscope.settings import DiscoverySettings
-from fieldscope.sources import entries, library, works
+from fieldscope.sources import entries, library, registry, tables, works
 from fieldscope.streaming import health as live, sweep
 from fieldscope.workload import adapters as a
 from fieldscope.workload.adapters import Tables, mod, text_of
@@ -427,6 +427,13 @@ def top_authors(t):
     return discovery.top_authors(_library(t), a.line_authorships(t), 15)
 
 
+@query
+def collect_watched(t):
+    """All three selections over nested works, in one pass."""
+    found = works.collect_works(a.nested_works(t), a.WATCHED_ORDERS, a.WATCHED_CUSTOMERS, a.WATCHED_AUTHORS, a.LIBRARY_AS_OF, 365)
+    return found.select("source", "source_type", "title", "url", "doi", day("published_at"), "venue", "is_preprint")
+
+
 @query
 def library_citing(t):
     found = discovery.recent_citing(a.order_works(t), _library(t), a.line_citations(t), _cutoff())
@@ -510,6 +517,53 @@ def prune_runs(t):
     return retention.prune_runs(a.runs(t), a.EVENTS_AS_OF, keep_days=12).select("run_id", "source")
 
 
+# --- stored tables -----------------------------------------------------------
+
+@query
+def stored_items(t):
+    """Items appended twice to a stored table, less what retention takes out of it."""
+    path, found = f"{shared_folder(t.spark)}/items", a.items(t).withColumn("source_ord", F.lit(0)).withColumn("seq", F.col("doc_id"))
+    for _ in range(2):
+        tables.append_items(found, path, a.AS_OF)
+    tables.prune_item_table(t.spark, path, a.label_scores(t), 6, a.AS_OF, 10)
+    return tables.read_items(t.spark, path).select("id", "title", "source", day("published_at"))
+
+
+@query
+def stored_runs(t):
+    """Run records of three sweeps, less the days that retention drops, from a time on."""
+    path = f"{shared_folder(t.spark)}/runs"
+    log = t.events.groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("fetched")).select(
+        "source", "fetched", F.lit(1).alias("ok"), F.concat(text_of("fetched"), F.lit(" events")).alias("note"))
+    for at in a.RUN_TIMES:
+        tables.append_runs(log, path, at)
+    tables.prune_run_table(t.spark, path, a.AS_OF, 10)
+    runs = tables.read_runs(t.spark, path, "2024-01-18 12:00:00")
+    return runs.select("source", "fetched", "ok", "note", F.date_format("run_at", "yyyy-MM-dd HH:mm:ss").alias("run_at"))
+
+
+@query
+def stored_report(t):
+    """The listing as its report file has it."""
+    path = f"{shared_folder(t.spark)}/report"
+    tables.write_report(dashboard_listing(t), path)
+    return t.spark.read.parquet(path)
+
+
+@query
+def collect_plugins(t):
+    """Collectors run one by one, one of which is broken: its record says so, the others' items are there."""
+    def broken(spark):
+        return t.events.select(F.raise_error(F.lit("feed is down")).cast("string").alias("title"))
+
+    frames = a.collectors(t)
+    plugins = {name: (lambda spark, df=df: df) for name, df in frames.items()} | {"broken": broken}
+    items, log = registry.collect_all(t.spark, plugins, f"{shared_folder(t.spark)}/staging")
+    found = items.groupBy("collector").agg(F.count("title").alias("titles"), F.count("url").alias("urls"))
+    return log.join(found, log["source"] == found["collector"], "left").select(
+        "source", "fetched", "ok", F.coalesce("titles", F.lit(0)).alias("titles"), F.coalesce("urls", F.lit(0)).alias("urls"))
+
+
 # --- journals ----------------------------------------------------------------
 
 @query
