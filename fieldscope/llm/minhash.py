@@ -1,6 +1,6 @@
 """Near-duplicate documents by one-permutation MinHash.
 
-A document is the set of its two-word shingles.  One hash of each shingle gives a
+A document is the set of its shingles, runs of ``width`` words.  One hash of each shingle gives a
 bin (upper bits) and a value; the smallest value of each bin is its signature.  An
 empty bin borrows the value of the bin that comes first, among those that are not
 empty, in an order drawn for it: optimal densification.  Bands of signature values
@@ -16,7 +16,7 @@ with more bits than a link allows are ruled out for sure, where they meet, and n
 become rows; the few others are confirmed on the full sets.
 
 * Letters A-Z count as small ones.  A NULL or empty text, or one without words, has
-  an empty set and no links; fewer than two words are one shingle.
+  an empty set and no links; fewer than ``width`` words are one shingle.
 * Rows that repeat a doc_id are one document with several texts, and each row stays
   or goes with it; a NULL doc_id is linked with nothing and kept.
 * No rows, no components.
@@ -38,6 +38,7 @@ BINS = 256
 BAND = 6
 BANDS = BINS // BAND  # 42: a pair of similarity 0.8 shares no bucket with probability 3e-6
 PERCENT = 80
+WIDTH = 5
 SKETCH = 32  # numbers of 64 parity bits
 CACHE = 500_000  # words whose hashes a worker keeps
 _SEED = 20240602
@@ -63,15 +64,18 @@ class Words(dict):
         return value
 
 
-def shingles(text: bytes, words: Words) -> np.ndarray:
+def shingles(text: bytes, words: Words, width: int) -> np.ndarray:
     """The sorted set of a text's shingle hashes."""
     found = text.translate(_LOWER).split()
     if not found:
         return np.empty(0, _U)
     h = np.array([words[w] for w in found], _U)
-    if len(h) == 1:
-        return _mix(h)
-    return np.unique(_mix(_mix(h[:-1]) + (h[1:] << _U(1)) + _U(1)))
+    width = min(width, len(h))
+    n = len(h) - width + 1
+    made = _mix(h[:n])
+    for i in range(1, width):
+        made = _mix(made + (h[i:i + n] << _U(1)) + _U(1))
+    return np.unique(made)
 
 
 def _orders() -> np.ndarray:
@@ -111,14 +115,14 @@ _BITS = [f"bits_{i}" for i in range(SKETCH)]
 _SET = "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>, " + ", ".join(f"{b} long" for b in _BITS)
 
 
-def signatures(documents: DataFrame) -> DataFrame:
+def signatures(documents: DataFrame, width: int) -> DataFrame:
     """The size, identity (two hashes of the whole set), buckets and sketch of each document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ranks = Words(), _orders()
         for batch in batches:
             ids, sizes, first, second, keys, drawn = batch.column(0), [], [], [], [], []
             for text in batch.column(1):
-                s = shingles(text.as_py() or b"", words)
+                s = shingles(text.as_py() or b"", words, width)
                 raw = s.tobytes()
                 sizes.append(len(s))
                 first.append(xxhash.xxh3_64_intdigest(raw, 1))
@@ -135,7 +139,7 @@ def signatures(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, _SET)
 
 
-def _common(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def _common(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     """For pairs of ``a`` and ``b``: the sizes of their sets and of what these share, counted on whole texts.
 
     Only texts of documents in a pair move.  Texts follow the pairs in two
@@ -152,8 +156,8 @@ def _common(pairs: DataFrame, documents: DataFrame) -> DataFrame:
             rows = []
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if x != last:
-                    last, known = x, shingles(x, words)
-                other = shingles(y, words)
+                    last, known = x, shingles(x, words, width)
+                other = shingles(y, words, width)
                 rows.append((a, b, len(known), len(other), len(np.intersect1d(known, other, assume_unique=True))))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "size_a", "size_b", "both"])
@@ -178,9 +182,9 @@ def _named(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.select(*[F.col(c).alias(f"{prefix}{c}") for c in rows.columns])
 
 
-def near_components(documents: DataFrame) -> DataFrame:
+def near_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """Each row's ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id that links reach."""
-    sets = kept(signatures(documents), "signatures")
+    sets = kept(signatures(documents, width), "signatures")
     real = sets.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = kept(real.groupBy(F.col("set_a").alias("_a"), F.col("set_b").alias("_b")).agg(
         F.min("doc_id").alias("class")), "classes")
@@ -194,9 +198,9 @@ def near_components(documents: DataFrame) -> DataFrame:
     sketches = first.select("doc_id", "n_shingles", *_BITS)
     pairs = starred.filter("a < b").select("a", "b").distinct().join(_named(sketches, "b_"), F.col("b") == F.col("b_doc_id")).join(
         _named(sketches, "a_"), F.col("a") == F.col("a_doc_id")).filter(_may_link("a_", "b_")).select("a", "b").distinct()
-    links = kept(_links(_common(kept(pairs, "pairs"), documents)), "near-links")
+    links = kept(_links(_common(kept(pairs, "pairs"), documents, width)), "near-links")
     rest = kept(_hidden(starred, sketches, components(links)), "rest")
-    links = links.unionByName(kept(_links(_common(rest, documents)), "more-links"))
+    links = links.unionByName(kept(_links(_common(rest, documents, width)), "more-links"))
     same = real.join(classes.select(F.col("_a").alias("set_a"), F.col("_b").alias("set_b"), "class"), ["set_a", "set_b"])
     copies = same.filter(F.col("class") != F.col("doc_id")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
     found = components(links.unionByName(copies))
@@ -222,12 +226,12 @@ def _hidden(starred: DataFrame, sketches: DataFrame, found: DataFrame) -> DataFr
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
-    found = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def without_near_copies(documents: DataFrame) -> DataFrame:
+def without_near_copies(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without those that a link, or several, lead to one with a smaller doc_id; all columns."""
-    found = near_components(documents)
+    found = near_components(documents, width)
     copies = kept(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct(), "near-copies")
     return documents.join(copies, documents["doc_id"] == copies["_copy"], "left_anti")

@@ -23,7 +23,7 @@ def test_stages_in_turn(spark):
     raw, clean, single, left, mixed = map(rows_of, frames[:5])
     assert all(f.columns == docs.columns for f in frames[:5])
     assert clean == [r for r in raw if quality.first_rejecting(quality.RULES, quality.Features(r[1])) is None] and clean
-    kept = {i for i, _, _, stays in near(clean) if stays}
+    kept = {i for i, _, _, stays in near(clean, 5) if stays}
     assert sorted(single) == sorted(r for r in clean if r[0] in kept)
     sizes = {i: n - gone for i, n, gone, _, _ in repeats(single)}
     assert {r[0] for r in left} == set(sizes)
