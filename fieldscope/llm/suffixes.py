@@ -237,7 +237,8 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
                      "keys": pa.array(blobs, pa.binary())})
 
 
-_STRINGS = "shard long, group string, ids binary, rows binary, places binary, counts binary, text binary"
+_STRINGS = ("shard long, group string, anchors binary, ids binary, rows binary, places binary, counts binary, "
+            "text binary")
 
 
 def _cut(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -246,8 +247,28 @@ def _cut(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)] if len(first) else data[:0]
 
 
+def _digests(text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each string of those that lie one after the other."""
+    raw, ends = text.tobytes(), np.cumsum(size)
+    return np.array([xxhash.xxh3_64_intdigest(raw[e - n:e]) for e, n in zip(ends.tolist(), size.tolist())], _U)
+
+
+def _equal_strings(text, ends, size, ids, anchor, digests) -> tuple[np.ndarray, np.ndarray]:
+    """The strings in an order that puts equal ones of one anchor together, the smallest document first, and for each
+    place of it that first string.  Equal hashes are compared as bytes."""
+    order = np.lexsort((ids, digests, anchor))
+    a, b = order[:-1], order[1:]
+    same = (anchor[a] == anchor[b]) & (digests[a] == digests[b]) & (size[a] == size[b])
+    raw = text.tobytes()
+    for i in np.flatnonzero(same).tolist():
+        x, y = int(a[i]), int(b[i])
+        same[i] = raw[ends[x] - size[x]:ends[x]] == raw[ends[y] - size[y]:ends[y]]
+    start = np.flatnonzero(np.concatenate([[True], ~same]))
+    return order, np.repeat(order[start], np.diff(np.append(start, len(order))))
+
+
 def _sent_strings(answers: DataFrame, anchor_shards: int, shards: int) -> DataFrame:
-    """The strings around shared anchors of each group, and with shard -1 the repeats that the group finds itself."""
+    """The strings around shared anchors of each group, and, without anchors, the repeats that a group finds itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, names, blobs in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -281,33 +302,23 @@ def _sent_strings(answers: DataFrame, anchor_shards: int, shards: int) -> DataFr
         ids = group.ids[row]
         size = count + LENGTH - 1
         text = _cut(group.data, first, size)
-        ends = np.cumsum(size)
-        raw = text.tobytes()
-        digests = np.array([xxhash.xxh3_64_intdigest(raw[e - n:e]) for e, n in zip(ends.tolist(), size.tolist())], _U)
-        order = np.lexsort((ids, digests, h, single))
-        same = np.zeros(len(h), bool)
-        a, b = order[:-1], order[1:]
-        near = (h[a] == h[b]) & (digests[a] == digests[b]) & (size[a] == size[b])
-        for i in np.flatnonzero(near).tolist():  # equal hashes are compared as bytes
-            x, y = int(a[i]), int(b[i])
-            near[i] = raw[ends[x] - size[x]:ends[x]] == raw[ends[y] - size[y]:ends[y]]
-        same[1:] = near
-        start = np.flatnonzero(~same)
-        head = np.repeat(order[start], np.diff(np.append(start, len(order))))
+        digests = _digests(text, size)
+        order, head = _equal_strings(text, np.cumsum(size), size, ids, h, digests)
         repeat = ids[order] > ids[head]
         gone = order[repeat]
         if len(gone):
             place = first[gone] - group.offsets[row[gone]]
-            yield _table([[-1], [uri], [b""], [row[gone].astype("<i4").tobytes()], [place.astype("<i8").tobytes()],
-                          [count[gone].astype("<i4").tobytes()], [b""]], _STRINGS)
+            yield _table([[xxhash.xxh3_64_intdigest(uri) % shards], [uri], [b""], [b""], [row[gone].astype("<i4").tobytes()],
+                          [place.astype("<i4").tobytes()], [count[gone].astype("u1").tobytes()], [b""]], _STRINGS)
         go = np.sort(order[~repeat])
-        goal = _shard(_finish(np.where(single[go], digests[go], h[go])), shards)
+        anchor = np.where(single[go], digests[go], h[go])
+        goal = _shard(_finish(anchor), shards)
         order = np.argsort(goal, kind="stable")
         names, start = np.unique(goal[order], return_index=True)
-        for name, part in zip(names.tolist(), np.split(go[order], start[1:])):
+        for name, part, own in zip(names.tolist(), np.split(go[order], start[1:]), np.split(anchor[order], start[1:])):
             place = first[part] - group.offsets[row[part]]
-            yield _table([[name], [uri], [ids[part].tobytes()], [row[part].astype("<i4").tobytes()],
-                          [place.astype("<i8").tobytes()], [count[part].astype("<i4").tobytes()],
+            yield _table([[name], [uri], [own.astype("<u4").tobytes()], [ids[part].tobytes()], [row[part].astype("<i4").tobytes()],
+                          [place.astype("<i4").tobytes()], [count[part].astype("u1").tobytes()],
                           [_cut(group.data, first[part], size[part]).tobytes()]], _STRINGS)
 
     return answers.mapInArrow(run, _STRINGS)
@@ -385,58 +396,80 @@ _REPEATS = "group string, rows binary, places binary, counts binary"
 
 def _repeats(table: pa.Table) -> pa.Table:
     """Of the strings of one suffix shard, those that also start in a smaller document, by group."""
-    ids, rows, places, counts = ([np.frombuffer(b, kind) for b in table.column(name).to_pylist()] for name, kind in (
-        ("ids", np.int64), ("rows", "<i4"), ("places", "<i8"), ("counts", "<i4")))
-    source = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    ids, rows, places, counts = (np.concatenate(x) for x in (ids, rows, places, counts))
-    counts = counts.astype(np.int64)
-    data = np.frombuffer(b"".join(table.column("text").to_pylist()), np.uint8)
+    columns = {name: [np.frombuffer(b, kind) for b in table.column(name).to_pylist()] for name, kind in (
+        ("anchors", "<u4"), ("ids", np.int64), ("rows", "<i4"), ("places", "<i4"), ("counts", "u1"))}
+    sent = [i for i, x in enumerate(columns["anchors"]) if len(x)]
+    found = [(i, columns["rows"][i], columns["places"][i], columns["counts"][i].astype(np.int64))
+             for i in range(table.num_rows) if not len(columns["anchors"][i])]
+    if sent:
+        source = np.repeat(sent, [len(columns["anchors"][i]) for i in sent])
+        anchor, ids, rows, places, counts = (np.concatenate([columns[c][i] for i in sent]) for c in columns)
+        counts = counts.astype(np.int64)
+        text = np.frombuffer(b"".join(table.column("text").to_pylist()), np.uint8)
+        size = counts + LENGTH - 1
+        ends = np.cumsum(size)
+        order, head = _equal_strings(text, ends, size, ids, anchor, _digests(text, size))
+        whole = ids[order] > ids[head]
+        # What is left of an anchor with one string only has no smaller document; others are sorted by their suffixes.
+        heads = np.unique(head)
+        _, which, several = np.unique(anchor[heads], return_inverse=True, return_counts=True)
+        heads = heads[several[which] > 1]
+        own, step = _sorted_repeats(_cut(text, (ends - size)[heads], size[heads]), counts[heads], ids[heads])
+        flags = np.zeros(len(text), bool)
+        flags[(ends - size)[heads[own]] + step] = True
+        owner = np.repeat(order, counts[order])
+        steps = np.arange(len(owner)) - np.repeat(np.cumsum(counts[order]) - counts[order], counts[order])
+        repeat = np.repeat(whole, counts[order]) | flags[np.repeat((ends - size)[head], counts[order]) + steps]
+        # Neighbouring repeats of one string run are one row.
+        change = np.concatenate([[True], owner[1:] != owner[:-1]])
+        edge = np.flatnonzero(repeat & (change | np.concatenate([[True], ~repeat[:-1]])))
+        stop = np.flatnonzero(repeat & np.concatenate([change[1:] | ~repeat[1:], [True]]))
+        if len(edge):
+            by = np.argsort(source[owner[edge]], kind="stable")
+            edge, stop = edge[by], stop[by]
+            names, start = np.unique(source[owner[edge]], return_index=True)
+            for name, part in zip(names.tolist(), np.split(np.arange(len(edge)), start[1:])):
+                at = owner[edge[part]]
+                found.append((name, rows[at], places[at] + steps[edge[part]], stop[part] - edge[part] + 1))
+    uris = table.column("group").to_pylist()
+    return pa.table({
+        "group": pa.array([uris[i] for i, *_ in found], pa.string()),
+        "rows": pa.array([r.astype("<i4").tobytes() for _, r, _, _ in found], pa.binary()),
+        "places": pa.array([p.astype("<i4").tobytes() for _, _, p, _ in found], pa.binary()),
+        "counts": pa.array([c.astype("u1").tobytes() for _, _, _, c in found], pa.binary())})
+
+
+def _sorted_repeats(data: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of strings, one after the other in ``data``: the run and the place in it of each string of LENGTH bytes
+    that also starts in the run of a smaller document."""
     size = counts + LENGTH - 1
-    begin = np.cumsum(size) - size
-    order, rank = suffix_array(data, LENGTH)
-    step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     owner = np.repeat(np.arange(len(counts)), counts)
-    starts = np.zeros(len(data), bool)
-    starts[np.repeat(begin, counts) + step] = True
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    if not len(owner):
+        return owner, step
+    place = (np.cumsum(size) - size)[owner] + step
+    order, rank = suffix_array(data, LENGTH)
     doc = np.full(len(data), _LAST)
-    doc[np.repeat(begin, counts) + step] = ids[owner]
-    # Neighbours in the array with a common prefix of LENGTH are one class; those of other places don't count.
-    sorted_rank = rank[order]
-    tied = np.flatnonzero(np.concatenate([[False], sorted_rank[1:] == sorted_rank[:-1]]))
+    doc[place] = ids[owner]
+    # Neighbours in the array with a common prefix of LENGTH are one class; suffixes that start no string don't count.
+    ranks = rank[order]
+    tied = np.flatnonzero(np.concatenate([[False], ranks[1:] == ranks[:-1]]))
     joined = np.zeros(len(data), bool)
     joined[tied] = common_prefixes(data, order, tied, LENGTH) >= LENGTH
     heads = np.flatnonzero(~joined)
-    least = np.minimum.reduceat(np.where(starts[order], doc[order], _LAST), heads) if len(heads) else np.empty(0, np.int64)
     smallest = np.empty(len(data), np.int64)
-    smallest[order] = np.repeat(least, np.diff(np.append(heads, len(data))))
-    repeat = smallest[np.repeat(begin, counts) + step] < ids[owner]
-    # Neighbouring repeats of one string run are one row.
-    edge = np.flatnonzero(repeat & np.concatenate([[True], ~repeat[:-1] | (owner[1:] != owner[:-1])])) if len(repeat) else []
-    stop = np.flatnonzero(repeat & np.concatenate([~repeat[1:] | (owner[1:] != owner[:-1]), [True]])) if len(repeat) else []
-    if not len(edge):
-        return _empty_repeats()
-    run_owner, run_step, run_count = owner[edge], step[edge], stop - edge + 1
-    names, first = np.unique(source[run_owner], return_index=True)
-    parts = np.split(np.arange(len(edge)), first[1:])
-    uris = table.column("group").to_pylist()
-    return pa.table({
-        "group": pa.array([uris[i] for i in names.tolist()], pa.string()),
-        "rows": pa.array([rows[run_owner[p]].astype("<i4").tobytes() for p in parts], pa.binary()),
-        "places": pa.array([(places[run_owner[p]] + run_step[p]).astype("<i8").tobytes() for p in parts], pa.binary()),
-        "counts": pa.array([run_count[p].astype("<i4").tobytes() for p in parts], pa.binary())})
-
-
-def _empty_repeats() -> pa.Table:
-    return pa.table({"group": pa.array([], pa.string()), **{c: pa.array([], pa.binary()) for c in ("rows", "places", "counts")}})
+    smallest[order] = np.repeat(np.minimum.reduceat(doc[order], heads), np.diff(np.append(heads, len(data))))
+    repeat = smallest[place] < ids[owner]
+    return owner[repeat], step[repeat]
 
 
 def covered(group: Group, blobs: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
     """The bytes of a group that repeats cover."""
-    edge = np.zeros(len(group.data) + 1, np.int32)
-    for rows, places, counts in blobs:
-        start = group.offsets[np.frombuffer(rows, "<i4")] + np.frombuffer(places, "<i8")
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + np.frombuffer(counts, "<i4") + LENGTH - 1, -1)
+    rows, places, counts = (np.frombuffer(b"".join(x), kind) for x, kind in zip(
+        list(zip(*blobs)) or [[], [], []], ("<i4", "<i4", "u1")))
+    start, size = group.offsets[rows] + places, len(group.data) + 1
+    stop = start + counts + LENGTH - 1
+    edge = np.bincount(start, minlength=size) - np.bincount(stop, minlength=size)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -450,10 +483,7 @@ def repeats(documents: DataFrame, carry: list[str] = ()) -> DataFrame:
     shared = sent.groupBy("shard").applyInArrow(_shared_anchors, _ANCHORS)
     answers = shared.groupBy("group").agg(F.collect_list(F.struct("shard", "keys")).alias("a")).select(
         "group", F.col("a.shard").alias("shards"), F.col("a.keys").alias("keys"))
-    strings = kept(_sent_strings(answers, anchor_shards, shards), "suffix-strings")
-    own = strings.filter("shard = -1").select("group", "rows", "places", "counts")
-    others = strings.filter("shard >= 0").groupBy("shard").applyInArrow(_repeats, _REPEATS)
-    blobs = own.unionByName(others).groupBy("group").agg(F.collect_list(F.struct("rows", "places", "counts")).alias("blobs"))
+    blobs = _sent_strings(answers, anchor_shards, shards).groupBy("shard").applyInArrow(_repeats, _REPEATS).groupBy("group").agg(F.collect_list(F.struct("rows", "places", "counts")).alias("blobs"))
     return kept(found.select("group").join(blobs, "group", "left"), "repeats")
 
 
