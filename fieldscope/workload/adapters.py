@@ -118,7 +118,12 @@ def duplicate_items(t: Tables) -> DataFrame:
 
 def inverted_index(t: Tables) -> DataFrame:
     """(doc_id, inverted): every document's words with their positions."""
-    return t.documents.select("doc_id", _inverted(F.col("text")).alias("inverted"))
+    return _spread(t.documents).select("doc_id", _inverted(F.col("text")).alias("inverted"))
+
+
+def _spread(documents: DataFrame) -> DataFrame:
+    """Documents over all tasks: the file may be one row group, and an index costs far more than its text's way."""
+    return documents.repartition("doc_id")
 
 
 def _inverted(text: Column) -> Column:
@@ -145,7 +150,7 @@ def works(t: Tables) -> DataFrame:
                     F.array(F.col("lang")).alias("issn"))
     place = F.struct(F.when(mod("doc_id", 5) != 0, F.concat(F.lit("https://example.org/w/"), text_of("doc_id")))
                      .alias("landing_page_url"), host.alias("source"))
-    return t.documents.select(
+    return _spread(t.documents).select(
         "doc_id", F.concat(F.lit("https://openalex.org/W"), text_of("doc_id")).alias("id"),
         F.when(mod("doc_id", 3) == 0, F.concat(F.lit("https://doi.org/10.5555/"), text_of("doc_id")))
         .when(mod("doc_id", 3) == 2, F.concat(F.lit("10.5555/"), text_of("doc_id"))).alias("doi"),

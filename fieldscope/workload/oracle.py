@@ -128,6 +128,8 @@ scored AS (
 
 _SCORED_ALL = (_ITEMS, _SCORED)
 
+_LABELLED_ALL = (_ITEMS, _LABELS, _LABELLED)
+
 _AS_OF = f"TIMESTAMP '{a.AS_OF}'"
 _EVENTS_AS_OF = f"TIMESTAMP '{a.EVENTS_AS_OF}'"
 _LIBRARY_AS_OF = f"TIMESTAMP '{a.LIBRARY_AS_OF}'"
@@ -148,22 +150,22 @@ SELECT {_REPORT} FROM scored
 WHERE score >= 8 AND {_PUBLIC} AND {_since(f"{_AS_OF} - INTERVAL 48 HOUR")}
 ORDER BY score DESC, effective_at DESC, id LIMIT 8"""
 
-_SQL["dashboard_listing"] = _with(*_SCORED_ALL) + f"""
-SELECT {_REPORT} FROM scored
+_SQL["dashboard_listing"] = _with(*_LABELLED_ALL) + f"""
+SELECT {_REPORT} FROM labelled
 WHERE score >= 6 AND {_PUBLIC} AND {_since(f"{_AS_OF} - INTERVAL 14 DAY")}
 ORDER BY effective_at DESC, score DESC, id LIMIT 300"""
 
-_SQL["library_shortlist"] = _with(*_SCORED_ALL) + f"""
-SELECT {_REPORT} FROM scored
+_SQL["library_shortlist"] = _with(*_LABELLED_ALL) + f"""
+SELECT {_REPORT} FROM labelled
 WHERE score >= 6 AND source ILIKE 'library%' AND fetched_at >= {_AS_OF} - INTERVAL 10 DAY
 ORDER BY score DESC, effective_at DESC, id LIMIT 30"""
 
-_SQL["display_shape"] = _with(*_SCORED_ALL) + f"""
-, named AS (SELECT *, CASE WHEN {_blank('venue')} THEN source ELSE {_strip('venue')} END AS label FROM scored)
-SELECT id, title, url, score, rationale,
+_SQL["display_shape"] = _with(*_LABELLED_ALL) + f"""
+, named AS (SELECT *, CASE WHEN {_blank('venue')} THEN source ELSE {_strip('venue')} END AS label FROM labelled)
+SELECT id, title, url, coalesce(score, 0) AS score, coalesce(rationale, '') AS rationale,
   CASE WHEN is_preprint = 1 AND NOT contains(lower(label), 'arxiv') THEN label || ' (preprint)' ELSE label END AS source,
   coalesce(published_at::VARCHAR, strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ')) AS date,
-  CASE tag WHEN 'a' THEN 'Alpha' WHEN 'b' THEN 'Beta' ELSE tag END AS tag_label,
+  CASE tag WHEN 'a' THEN 'Alpha' WHEN 'b' THEN 'Beta' ELSE coalesce(tag, 'none') END AS tag_label,
   CASE tag WHEN 'a' THEN '#111111' WHEN 'b' THEN '#222222' ELSE '#888888' END AS tag_color
 FROM named"""
 
@@ -171,16 +173,16 @@ _SQL["latest_scorer"] = """
 SELECT CASE event_type WHEN 'click' THEN 'keyword' WHEN 'view' THEN 'remote-a' ELSE 'remote-b' END AS scorer
 FROM events WHERE event_type IN ('click', 'view', 'purchase') ORDER BY ts DESC, event_id DESC LIMIT 1"""
 
-_SQL["shown_composition"] = _with(*_SCORED_ALL) + f"""
+_SQL["shown_composition"] = _with(*_LABELLED_ALL) + f"""
 , counts AS (
   SELECT CASE WHEN is_preprint = 1 THEN 'preprint' WHEN is_preprint = 0 THEN 'peer-reviewed'
       WHEN source_type = 'paper' THEN 'unknown' ELSE source_type END AS venue_class, count(*) AS n
-  FROM scored WHERE score >= 6 AND {_PUBLIC} AND {_since(f"{_AS_OF} - INTERVAL 14 DAY")} GROUP BY 1)
+  FROM labelled WHERE score >= 6 AND {_PUBLIC} AND {_since(f"{_AS_OF} - INTERVAL 14 DAY")} GROUP BY 1)
 SELECT venue_class, n, round(100.0 * n / sum(n) OVER ())::INT AS share_pct FROM counts"""
 
-_SQL["headline_list"] = _with(*_SCORED_ALL) + """
+_SQL["headline_list"] = _with(*_LABELLED_ALL) + """
 , best40 AS (SELECT title, row_number() OVER (ORDER BY score DESC, effective_at DESC, id) AS ord_at
-  FROM scored WHERE score >= 6 QUALIFY ord_at <= 40)
+  FROM labelled WHERE score >= 6 QUALIFY ord_at <= 40)
 SELECT string_agg('- ' || title, chr(10) ORDER BY ord_at) AS text FROM best40"""
 
 _DIGEST = f"""digest AS (

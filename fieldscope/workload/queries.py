@@ -52,6 +52,7 @@ def labelled_items(t: Tables) -> DataFrame:
 
 
 # --- reports ---------------------------------------------------------------
+# Reports read stored scores; top_picks stands for scores computed on the way.
 
 def _report_columns(rows: DataFrame) -> DataFrame:
     return rows.select("id", "source", "title", "score", "tag", "rationale", day("published_at"))
@@ -64,17 +65,17 @@ def top_picks(t):
 
 @query
 def dashboard_listing(t):
-    return _report_columns(reports.dashboard_listing(scored_items(t), a.AS_OF, a.REPORT))
+    return _report_columns(reports.dashboard_listing(labelled_items(t), a.AS_OF, a.REPORT))
 
 
 @query
 def library_shortlist(t):
-    return _report_columns(reports.library_shortlist(scored_items(t), a.AS_OF, a.REPORT))
+    return _report_columns(reports.library_shortlist(labelled_items(t), a.AS_OF, a.REPORT))
 
 
 @query
 def display_shape(t):
-    return reports.display_shape(scored_items(t), a.WORKSTREAMS[:2])
+    return reports.display_shape(labelled_items(t), a.WORKSTREAMS[:2])
 
 
 @query
@@ -84,12 +85,12 @@ def latest_scorer(t):
 
 @query
 def shown_composition(t):
-    return reports.shown_composition(scored_items(t), a.AS_OF, a.REPORT)
+    return reports.shown_composition(labelled_items(t), a.AS_OF, a.REPORT)
 
 
 @query
 def headline_list(t):
-    return reports.headline_list(scored_items(t).filter(F.col("score") >= a.REPORT.digest_floor))
+    return reports.headline_list(labelled_items(t).filter(F.col("score") >= a.REPORT.digest_floor))
 
 
 def _digest(t):
