@@ -479,16 +479,16 @@ def repeats(documents: DataFrame, carry: list[str] = ()) -> DataFrame:
     found = groups(documents, list(carry), new_folder(spark, "suffix-groups"))
     total = found.agg(F.sum("bytes")).first()[0] or 0
     anchor_shards, shards = total // ANCHOR_SHARD + 1, total // SUFFIX_SHARD + 1
-    sent = _sent_anchors(_spread(found), anchor_shards)
+    # Tables of files look small to the planner whatever their tasks read and make: the number of tasks follows from
+    # the groups, and nothing is broadcast.
+    tasks = max(1, found.count())
+    sent = _sent_anchors(found.repartition(tasks, "group"), anchor_shards)
     shared = sent.groupBy("shard").applyInArrow(_shared_anchors, _ANCHORS)
-    answers = shared.groupBy("group").agg(F.collect_list(F.struct("shard", "keys")).alias("a")).select(
+    answers = shared.repartition(tasks, "group").groupBy("group").agg(F.collect_list(F.struct("shard", "keys")).alias("a")).select(
         "group", F.col("a.shard").alias("shards"), F.col("a.keys").alias("keys"))
-    blobs = _sent_strings(answers, anchor_shards, shards).groupBy("shard").applyInArrow(_repeats, _REPEATS).groupBy("group").agg(F.collect_list(F.struct("rows", "places", "counts")).alias("blobs"))
-    return kept(found.select("group").join(blobs, "group", "left"), "repeats")
-
-
-def _spread(found: DataFrame) -> DataFrame:
-    return found.repartition(max(1, found.count()), "group")
+    blobs = _sent_strings(answers, anchor_shards, shards).groupBy("shard").applyInArrow(_repeats, _REPEATS).repartition(
+        tasks, "group").groupBy("group").agg(F.collect_list(F.struct("rows", "places", "counts")).alias("blobs"))
+    return found.select("group").join(blobs.hint("merge"), "group", "left")
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -513,7 +513,7 @@ def removed(documents: DataFrame) -> DataFrame:
                     [group.table.column("doc_id").combine_chunks(), *[pa.array(c, pa.int64()) for c in columns[:3]],
                      pa.array(columns[3], pa.string())], [x.split()[0] for x in _RESULT.split(", ")])
 
-    return _spread(repeats(documents)).mapInArrow(run, _RESULT)
+    return repeats(documents).mapInArrow(run, _RESULT)
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
@@ -537,7 +537,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
                     table = table.set_column(table.schema.get_field_index("n_chars"), "n_chars", pa.array(map(len, texts), pa.int64()))
                 yield from table.select(list(kinds)).to_batches()
 
-    return _spread(repeats(documents, names)).mapInArrow(run, schema)
+    return repeats(documents, names).mapInArrow(run, schema)
 
 
 def op8_suffix_repeats(spark, sf_dir: str) -> DataFrame:
