@@ -43,16 +43,20 @@ def keep_first(df: DataFrame, keys, order) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or where that is unset below
-    the warehouse."""
+    """The name of a new folder that driver and executors share: below ``spark.checkpoint.dir``, or where that is
+    unset below the warehouse.  It goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/fieldscope-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/fieldscope-{uuid.uuid4().hex}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{store.makeQualified(path).toString()}/data"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and whole when an executor is lost.
 
-    The folder stays until its owner removes it (``sources.tables.remove``).
+    The folder goes when the driver ends, or before that by ``sources.tables.remove``.
     """
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
