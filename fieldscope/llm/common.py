@@ -18,9 +18,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    """The full URI of a folder of its own below the shared one."""
+    """The full URI of a folder of its own below the shared one, not there yet; it goes when the driver ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{store.makeQualified(path).toString()}/data"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session send at most so many rows at once to Python, where texts of any length are worked on.
+
+    Spark counts rows, not bytes, and its default of 10,000 is meant for narrow
+    ones; a smaller setting of the session is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def kept(df: DataFrame, kind: str) -> DataFrame:
@@ -30,13 +44,6 @@ def kept(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def forget(spark: SparkSession, *folders: str) -> None:
-    """Delete intermediate folders once nothing reads them any more."""
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

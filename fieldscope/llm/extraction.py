@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldscope.llm.common import kept
+from fieldscope.llm.common import kept, small_batches
 
 LEAST_PAGES = 5
 LEAST_SHARE = 0.5
@@ -212,6 +212,7 @@ def templates(pages: DataFrame) -> DataFrame:
                 hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "subtree"])
 
+    small_batches(pages.sparkSession)
     named = pages.select(host(F.col("url")).alias("host"), "html").filter("host IS NOT NULL")
     counts = named.mapInArrow(run, "host string, subtree long").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("_n"))
     sizes = named.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("_pages"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fieldscope.llm.common import kept, whole_text
+from fieldscope.llm.common import kept, small_batches, whole_text
 from fieldscope.llm.components import components
 
 BINS = 256
@@ -40,7 +40,7 @@ BANDS = BINS // BAND  # 42: a pair of similarity 0.8 shares no bucket with proba
 PERCENT = 80
 WIDTH = 5
 SKETCH = 32  # numbers of 64 parity bits
-CACHE = 500_000  # words whose hashes a worker keeps
+CACHE = 200_000  # words whose hashes a worker keeps
 _SEED = 20240602
 _U = np.uint64
 # Odd multipliers of a public 64-bit mixer.
@@ -154,7 +154,8 @@ def _common(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
         words, last, known = Words(), None, None
         for batch in batches:
             rows = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for a, b, left_, right_ in zip(*batch.columns):
+                a, b, x, y = a.as_py(), b.as_py(), left_.as_py(), right_.as_py()
                 if x != last:
                     last, known = x, shingles(x, words, width)
                 other = shingles(y, words, width)
@@ -184,6 +185,7 @@ def _named(rows: DataFrame, prefix: str) -> DataFrame:
 
 def near_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """Each row's ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id that links reach."""
+    small_batches(documents.sparkSession)
     sets = kept(signatures(documents, width), "signatures")
     real = sets.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = kept(real.groupBy(F.col("set_a").alias("_a"), F.col("set_b").alias("_b")).agg(

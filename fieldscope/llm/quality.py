@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fieldscope.llm.common import small_batches
+
 WINDOW = 8
 SAMPLE = 1000  # texts on which costs and rejections are estimated
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -152,6 +154,7 @@ def first_rejecting(rules: Iterable[Rule], t: Features) -> str | None:
 
 def planned(documents: DataFrame, rules: Iterable[Rule] = RULES) -> list[Rule]:
     """The order for these documents, from the first SAMPLE texts that a scan yields."""
+    small_batches(documents.sparkSession)
     return by_rejection_per_cost(rules, [r.text for r in documents.select("text").take(SAMPLE)])
 
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from fieldscope.llm import files
-from fieldscope.llm.common import kept, new_folder
+from fieldscope.llm.common import kept, new_folder, small_batches
 
 LENGTH = 50
 GRAM = 20
@@ -476,6 +476,7 @@ def covered(group: Group, blobs: list[tuple[bytes, bytes, bytes]]) -> np.ndarray
 def repeats(documents: DataFrame, carry: list[str] = ()) -> DataFrame:
     """Each group file with the repeats in it: ``group`` and ``blobs``, a list of ``rows``, ``places`` and ``counts``."""
     spark = documents.sparkSession
+    small_batches(spark)
     found = groups(documents, list(carry), new_folder(spark, "suffix-groups"))
     total = found.agg(F.sum("bytes")).first()[0] or 0
     anchor_shards, shards = total // ANCHOR_SHARD + 1, total // SUFFIX_SHARD + 1

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldscope.llm import files
-from fieldscope.llm.common import kept, new_folder
+from fieldscope.llm.common import kept, new_folder, small_batches
 
 END = 2
 GROUP_TOKENS = 1 << 20  # ids after which a row group ends
@@ -133,6 +133,7 @@ def write(documents: DataFrame, folder: str, metadata: tuple[str, ...] = (), pat
         kinds_ = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*groups)) or [()] * 5, kinds_)], names)
 
+    small_batches(documents.sparkSession)
     order = [F.col("doc_id").asc_nulls_last()]
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *metadata)
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
@@ -164,10 +165,10 @@ def read(groups: DataFrame) -> DataFrame:
 def op7_token_files(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     groups = write(documents, new_folder(spark, "tokens"), metadata=("lang", "source"))
-    # One row for each file, as many as tasks wrote.
+    # One row for each task that wrote a file: a single one may order them, and they may be broadcast.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.groupBy("part").agg(F.sum("tokens").alias("_n")).select(
         F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     read_back = read(groups)
-    return read_back.join(kept(offsets, "token-offsets"), F.col("part") == F.col("_part")).select(
+    return read_back.join(F.broadcast(kept(offsets, "token-offsets")), F.col("part") == F.col("_part")).select(
         "doc_id", (F.col("_before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from fieldscope.llm import files
-from fieldscope.llm.common import kept, new_folder
+from fieldscope.llm.common import kept, new_folder, small_batches
 
 LEAST = 100
 FRAME = 1 << 20  # bytes of records after which a frame ends
@@ -180,6 +180,7 @@ def write(pages: DataFrame, folder: str, frame: int = FRAME, bundle: int = BUNDL
         if out is not None:
             out.close()
 
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary"), "payload_digest",
                         "payload_bytes", F.col("first_id").cast("long"))
     rows.mapInArrow(run, _INDEX).write.parquet(f"{folder}/index")
