@@ -195,3 +195,27 @@ def clean_documents(documents: DataFrame, rules: Iterable[Rule] = RULES) -> Data
 
 def op5_quality_cascade(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_W = r"[^\x20\x09-\x0D]"
+QUALITY_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT doc_id, t, regexp_extract_all(t, '{_W}+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_W}')) AS lines FROM texts),
+grams AS (SELECT doc_id, i, w[i:i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM parts WHERE len(w) > 7)),
+often AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+inside AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS at FROM often),
+again AS (SELECT doc_id, count(*) AS n FROM inside GROUP BY 1),
+counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines) AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capital, length(regexp_replace(t, '[^a-z]', '', 'g')) AS small
+  FROM parts LEFT JOIN again USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+            OR n_words > 0 AND NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words)
+            OR 10 * capital > 3 * (capital + small)) AS kept
+FROM counts"""

@@ -12,4 +12,5 @@ def all_queries():
 
 
 def all_oracles():
-    return {"op1_warc_bundles": warc.WARC_SQL, "op10_extendible_sharding": sharding.sharding_sql()}
+    return {"op1_warc_bundles": warc.WARC_SQL, "op5_quality_cascade": quality.QUALITY_SQL,
+            "op9_minhash": minhash.NEAR_SQL, "op10_extendible_sharding": sharding.sharding_sql()}
