@@ -15,6 +15,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
+from operator import eq
 from typing import NamedTuple
 
 import numpy as np
@@ -118,7 +119,11 @@ def full_of_symbols(t: Features) -> bool:
 
 
 def repeats_lines(t: Features) -> bool:
-    return 10 * t.n_dup_lines > 3 * len(t.lines)
+    return 2 * t.n_dup_lines > len(t.lines)
+
+
+def stutters(t: Features) -> bool:
+    return 10 * sum(map(eq, t.words, t.words[1:])) > 3 * t.n_words
 
 
 def odd_word_length(t: Features) -> bool:
@@ -132,7 +137,7 @@ def shouts(t: Features) -> bool:
 
 BASE = (Rule("few_words", few_words), Rule("repeats_itself", repeats_itself))
 RULES = (*BASE, Rule("full_of_symbols", full_of_symbols), Rule("repeats_lines", repeats_lines),
-         Rule("odd_word_length", odd_word_length), Rule("shouts", shouts))
+         Rule("odd_word_length", odd_word_length), Rule("shouts", shouts), Rule("stutters", stutters))
 
 
 def by_rejection_per_cost(rules: Iterable[Rule], texts: list[str | None]) -> list[Rule]:
@@ -211,11 +216,12 @@ counts AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines) AS n_lines,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters,
          length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capital, length(regexp_replace(t, '[^a-z]', '', 'g')) AS small
   FROM parts LEFT JOIN again USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 10 * n_stutters > 3 * n_words
             OR n_words > 0 AND NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words)
             OR 10 * capital > 3 * (capital + small)) AS kept
 FROM counts"""

@@ -75,6 +75,8 @@ def test_rules_tell_junk_from_prose():
     assert verdict(" | ".join(PROSE.split())) == "full_of_symbols"
     assert verdict(PROSE.upper()) == "shouts"
     assert verdict("\n".join(["Read more about this here"] * 9 + PROSE.split("\n"))) in ("repeats_lines", "repeats_itself")
+    assert verdict(" ".join(w for w in PROSE.split() for _ in range(4))) == "stutters"
+    assert verdict("A line that comes back.\n" * 2 + PROSE) is None
     assert verdict("too short") == "few_words"
 
 
