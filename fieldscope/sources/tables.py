@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from fieldscope.functions.columns import ago, moment
@@ -13,6 +13,9 @@ from fieldscope.operators.retention import keeps_item
 from fieldscope.operators.scoring import apply_scores_once
 from fieldscope.schemas import ITEM, META, RUN, SCORE
 
+# Items as stored: month folders of their effective date.
+_ITEM_FILES = T.StructType([*ITEM.fields, T.StructField("month", T.StringType())])
+
 
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """A parquet table under a fixed schema; columns an older file lacks are
@@ -28,17 +31,27 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
 def read_items(spark: SparkSession, path: str, effective_since=None) -> DataFrame:
     """Stored items; with a bound on the effective date, older month folders are
     not opened."""
-    items = spark.read.schema(T.StructType([*ITEM.fields, T.StructField("month", T.StringType())])).parquet(path)
+    items = spark.read.schema(_ITEM_FILES).parquet(path)
     if effective_since is not None:
-        items = items.filter(F.col("month") >= F.date_format(moment(effective_since), "yyyy-MM"))
+        items = items.filter(_from_month(effective_since))
     return conform(items, ITEM)
 
 
-def append_items(batch: DataFrame, path: str, fetched_at, order=COLLECTION_ORDER) -> int:
+def _from_month(since) -> Column:
+    return F.col("month") >= F.date_format(moment(since), "yyyy-MM")
+
+
+def append_items(batch: DataFrame, path: str, fetched_at, order=COLLECTION_ORDER, known_since=None) -> int:
     """Insert unseen items, partitioned by month of the effective date; returns
-    how many were new, counted by the write itself."""
+    how many were new, counted by the write itself.
+
+    Only stored ids are read.  ``known_since`` bounds them to months from a date
+    on, for sources that never deliver what is older than their look-back.
+    """
     spark = batch.sparkSession
-    existing = read_table(spark, path, ITEM)
+    existing = read_table(spark, path, _ITEM_FILES)
+    if known_since is not None:
+        existing = existing.filter(_from_month(known_since))
     new = conform(upsert_new(batch, existing, order))
     new = new.withColumn("fetched_at", F.coalesce("fetched_at", F.lit(fetched_at).cast("timestamp")))
     seen = Observation()
@@ -139,8 +152,7 @@ def prune_item_table(spark: SparkSession, path: str, scores: DataFrame, threshol
     written to the shared folder first and then replaces them month by month, so
     no row exists in a failing job's memory alone.
     """
-    schema = T.StructType([*ITEM.fields, T.StructField("month", T.StringType())])
-    items = spark.read.schema(schema).parquet(path)
+    items = spark.read.schema(_ITEM_FILES).parquet(path)
     scored = items.join(scores.select("id", "score"), "id", "left")
     kept = keeps_item(threshold, as_of, keep_days)
     months = [r["month"] for r in scored.filter(~kept).select("month").distinct().collect()]
@@ -148,7 +160,7 @@ def prune_item_table(spark: SparkSession, path: str, scores: DataFrame, threshol
         return []
     staging = shared_folder(spark)
     scored.filter(kept & F.col("month").isin(*months)).drop("score").write.partitionBy("month").parquet(staging)
-    left = spark.read.schema(schema).parquet(staging)
+    left = spark.read.schema(_ITEM_FILES).parquet(staging)
     (left.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("month").parquet(path))
     alive = {r["month"] for r in left.select("month").distinct().collect()}

@@ -34,6 +34,14 @@ def test_items_are_inserted_once(spark, tmp_path):
     assert months == {"2024-01", "2024-03"}
 
 
+def test_known_ids_can_be_bounded_by_a_look_back(spark, tmp_path):
+    path = str(tmp_path / "items")
+    old = batch(spark, (0, 0, "old", "https://x/1", None, dt.date(2023, 1, 2)), (0, 1, "new", "https://x/2", None, dt.date(2024, 3, 2)))
+    assert tables.append_items(old, path, NOW, known_since="2024-01-01") == 2
+    assert tables.append_items(old, path, NOW, known_since="2022-12-31") == 0
+    assert tables.append_items(old.filter("title = 'new'"), path, NOW, known_since="2024-01-01") == 0
+
+
 def test_old_files_without_late_columns(spark, tmp_path):
     path = str(tmp_path / "items")
     spark.createDataFrame([("old", "t")], "id string, title string").write.parquet(path)
