@@ -57,8 +57,8 @@ def score_with(batches: DataFrame, complete: Callable[[str, str], str | None],
     (batch_id, text).  A bad reply is asked for once more; a batch that fails
     both times has a NULL text, its items stay unscored and queue again.
 
-    Calls of one task follow each other.  ``parallelism`` spreads the batches
-    over that many tasks, for scorers that mostly wait.
+    Calls of one task follow each other, so batches are spread over as many tasks
+    as there are cores; ``parallelism`` asks for more, for scorers that mostly wait.
     """
 
     def ask(user: str) -> str | None:
@@ -78,8 +78,7 @@ def score_with(batches: DataFrame, complete: Callable[[str, str], str | None],
                 "text": [ask(instruction + request) for request in frame["request"]]})
 
     requests = batches.select("batch_id", "request")
-    if parallelism:
-        requests = requests.repartition(parallelism)
+    requests = requests.repartition(parallelism or batches.sparkSession.sparkContext.defaultParallelism)
     return requests.mapInPandas(run, "batch_id long, text string")
 
 

@@ -28,8 +28,12 @@ def _first_seen(found: DataFrame) -> DataFrame:
 def dois_from_bib(texts: DataFrame) -> DataFrame:
     """Unique cleaned DOIs of (seq, value) texts, with the place of the first
     mention as struct<seq, at>."""
-    found = texts.select("seq", F.posexplode(F.regexp_extract_all("value", F.lit(BIB_DOI), 1)).alias("at", "raw"))
-    return _first_seen(found.select(_place(), clean_doi(F.col("raw")).alias("doi")))
+    braced, quoted = (F.regexp_extract_all("value", F.lit(BIB_DOI), i) for i in (1, 2))
+    values = F.zip_with(braced, quoted, lambda a, b: F.when(a != "", a).otherwise(b))
+    found = texts.select("seq", F.posexplode(values).alias("at", "raw"))
+    # Braces within a value only protect it from changes of case.
+    bare = F.regexp_replace("raw", "[{}]", "")
+    return _first_seen(found.select(_place(), clean_doi(bare).alias("doi")))
 
 
 def _place():

@@ -146,3 +146,10 @@ def test_one_broken_collector_does_not_stop_the_others(spark, tmp_path):
     assert {(r["collector"], r["source_ord"]) for r in items.collect()} == {("good", 0), ("other", 3)}
     log = {r["source"]: (r["fetched"], r["ok"]) for r in records.collect()}
     assert log == {"good": (2, 1), "broken": (0, 0), "missing": (0, 0), "other": (1, 1)}
+
+
+def test_bibtex_fields_are_whole_words_with_braced_or_quoted_values(spark):
+    entry = ('@article{k, mydoi = {10.1/no}, doi = {{10.1/Braces}}, x-doi={10.1/no2}, DOI = "https://doi.org/10.1/quoted",\n'
+             ' doi={10.1/{In}ner}, doi = {}, note = {doi: 10.1/free}}')
+    got = library.dois_from_bib(spark.createDataFrame([(1, entry)], "seq int, value string"))
+    assert sorted(r["doi"] for r in got.collect()) == ["10.1/braces", "10.1/inner", "10.1/quoted"]
