@@ -143,7 +143,8 @@ def _common(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     """For pairs of ``a`` and ``b``: the sizes of their sets and of what these share, counted on whole texts.
 
     Only texts of documents in a pair move.  Texts follow the pairs in two
-    joins on ids; a document in many pairs is a large key that these deal out.
+    joins on ids.  ``pairs`` is a written table, and the side that may be in many
+    pairs comes first: Spark deals out large keys of a join of two tables.
     """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = kept(documents.select("doc_id", whole_text().alias("text")).join(nodes, "doc_id", "left_semi"), "near-texts")
@@ -163,7 +164,7 @@ def _common(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "size_a", "size_b", "both"])
 
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long, size_a long, size_b long, both long")
 
 
@@ -198,8 +199,9 @@ def near_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     stars = entries.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_m")).filter("a < _m").drop("_m")
     starred = kept(entries.join(kept(stars, "stars"), "bucket").select("bucket", "a", F.col("doc_id").alias("b")), "starred")
     sketches = first.select("doc_id", "n_shingles", *_BITS)
-    pairs = starred.filter("a < b").select("a", "b").distinct().join(_named(sketches, "b_"), F.col("b") == F.col("b_doc_id")).join(
-        _named(sketches, "a_"), F.col("a") == F.col("a_doc_id")).filter(_may_link("a_", "b_")).select("a", "b").distinct()
+    edges = kept(starred.filter("a < b").select("a", "b").distinct(), "edges")
+    pairs = edges.join(_named(sketches, "a_"), F.col("a") == F.col("a_doc_id")).join(
+        _named(sketches, "b_"), F.col("b") == F.col("b_doc_id")).filter(_may_link("a_", "b_")).select("a", "b").distinct()
     links = kept(_links(_common(kept(pairs, "pairs"), documents, width)), "near-links")
     rest = kept(_hidden(starred, sketches, components(links)), "rest")
     links = links.unionByName(kept(_links(_common(rest, documents, width)), "more-links"))
