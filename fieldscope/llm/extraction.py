@@ -7,8 +7,8 @@ navigation, forms, adverts, notices, comments.
 
 * A NULL page is an empty one, and its text is empty.
 * Without a host in its URL a page has no template, only declared parts go.
-* Rows that repeat count as pages each, so a template needs both LEAST_PAGES of them
-  and LEAST_SHARE of its host's.
+* Rows of one main text (copies, print views, session URLs) count as one page of
+  their host; a template needs both LEAST_PAGES of these and LEAST_SHARE of its host's.
 * Pages are read to their end, however long; tags that are never closed close as in
   HTML, so a broken page loses nothing.
 * No pages, no rows; other columns are ignored, whatever their names.
@@ -200,23 +200,29 @@ def host(url: Column) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """``host`` and ``template``, the hashes of the subtrees on many of its pages.
 
-    A subtree counts once for each page, and pairs of host and hash are counted before they are shuffled.  As each
-    hash of a list is on a good part of the pages, a list is no longer than a few pages' elements.
+    A subtree counts once for each main text of a host, however many rows have it.  As each hash of a list is on a good
+    part of the pages, a list is no longer than a few pages' elements.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
-            for name, page in zip(batch.column(0), batch.column(1)):
-                found = Page(page.as_py() or "").subtrees()
+            hosts, hashes, contents = [], [], []
+            for name, source in zip(batch.column(0), batch.column(1)):
+                page = Page(source.as_py() or "")
+                found = [None, *page.subtrees()]  # the NULL one counts the host's pages
                 hosts += [name.as_py()] * len(found)
                 hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "subtree"])
+                contents += [xxhash.xxh3_64_intdigest(page.main_text(set())) - (1 << 63)] * len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())],
+                ["host", "subtree", "content"])
 
     small_batches(pages.sparkSession)
     named = pages.select(host(F.col("url")).alias("host"), "html").filter("host IS NOT NULL")
-    counts = named.mapInArrow(run, "host string, subtree long").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = named.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("_pages"))
-    often = counts.filter(F.col("_n") >= LEAST_PAGES).join(sizes, F.col("host") == F.col("_host")).filter(
+    counts = named.mapInArrow(run, "host string, subtree long, content long").groupBy("host", "subtree").agg(
+        F.count_distinct("content").alias("_n"))
+    counts = kept(counts.filter(F.col("_n") >= LEAST_PAGES), "counts")
+    sizes = counts.filter("subtree IS NULL").select(F.col("host").alias("_host"), F.col("_n").alias("_pages"))
+    often = counts.filter("subtree IS NOT NULL").join(sizes, F.col("host") == F.col("_host")).filter(
         F.col("_n") >= LEAST_SHARE * F.col("_pages"))
     return kept(often.groupBy("host").agg(F.collect_set("subtree").alias("template")), "templates")
 

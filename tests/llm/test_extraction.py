@@ -56,6 +56,23 @@ def test_a_site_loses_its_template_and_nothing_else(spark, tmp_path):
     assert (got[201].text, got[201].n_chars, got[201].url) == ("", 0, "no url")
 
 
+def extracted(spark, tmp_path, rows):
+    found = e.op6_template_removal(spark, cases.saved(cases.pages(spark, rows), tmp_path, "pages")).collect()
+    assert len(found) == len(rows)
+    return {r.page_id: r.text for r in found}
+
+
+def test_copies_of_an_article_are_no_template(spark, tmp_path):
+    """Most rows of the host are one article under session URLs and as print views; a box is on all pages."""
+    box = "<div><p>Call our desk</p></div>"
+    copy = "<article><h1>One story</h1><p>It is told again and again.</p><div><p>Call our desk</p></div></article>"
+    rows = [(i, f"https://h.example/one?session={i}", f"<body><div>{i} readers</div>{copy}" if i % 2 else copy) for i in range(30)]
+    rows += [(100 + i, f"https://h.example/{i}", f"<article><h1>Title {i}</h1><p>Text {i}.</p>{box}</article>") for i in range(8)]
+    got = extracted(spark, tmp_path, rows)
+    assert [got[i] for i in range(30)] == ["One story\nIt is told again and again."] * 30
+    assert [got[100 + i] for i in range(8)] == [f"Title {i}\nText {i}." for i in range(8)]
+
+
 def test_benchmark_pages(spark):
     import html
     import re
