@@ -52,8 +52,10 @@ _NAMES = re.compile(
     r"^(?!has-|with-|no-)(?:.*[-_])?(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|"
     r"popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|masthead|footer|comments?|disqus\w*|"
     r"respond|repl(?:y|ies)|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|"
-    r"toolbar)(?:[-_].*)?$")
+    r"toolbar|teasers?)(?:[-_].*)?$")
 _KEEP = frozenset("html body article main".split())
+# What is of others or of other pages, even where it has the most text.
+_COMMENTS = frozenset("comment comments disqus respond reply replies related recommended".split())
 
 
 class Page:
@@ -62,6 +64,7 @@ class Page:
     def __init__(self, source: str):
         self.tags, self.parents, self.attributes, self.hashes = ["#root"], [0], [""], [0]
         self.texts: list[tuple[int, int, str]] = []
+        self._gone: list[bool] | None = None
         parts: list[list[bytes]] = [[]]
         stack, block, place = [0], 0, 0
 
@@ -129,20 +132,53 @@ class Page:
         say(source[place:])
         close(1)
 
-    def declared(self) -> list[bool]:
-        """For each element, whether it or one around it is no content by its markup."""
-        holds = [t in ("article", "main") for t in self.tags]
+    def _weights(self, out: list[bool]) -> list[int]:
+        """The characters of each element's texts that are in no element that is out."""
+        found = [0] * len(self.tags)
+        for at, _, text in self.texts:
+            if not out[at]:
+                found[at] += len(text.strip())
         for i in range(len(self.tags) - 1, 0, -1):
-            holds[self.parents[i]] |= holds[i]
-        gone, inside = [False] * len(self.tags), [False] * len(self.tags)
-        for i in range(1, len(self.tags)):
+            found[self.parents[i]] += found[i]
+        return found
+
+    def declared(self) -> list[bool]:
+        """For each element, whether it or one around it is no content by its markup.
+
+        The article or main with the most text is kept, whatever the names of what holds it; others are named out by
+        themselves or by what is around them.
+        """
+        if self._gone is not None:
+            return self._gone
+        n = len(self.tags)
+        never, inside, named, part = [False] * n, [False] * n, [False] * n, [0] * n
+        for i in range(1, n):
             above, tag = self.parents[i], self.tags[i]
             inside[i] = inside[above] or tag in ("article", "main")
-            gone[i] = gone[above] or tag in _NEVER or tag == "header" and not inside[above] or (
-                tag not in _KEEP and not holds[i] and self._named_out(i)) or (
-                tag == "article" and inside[above] and self._named_out(i))
+            never[i] = never[above] or tag in _NEVER or tag == "header" and not inside[above]
+            named[i] = (tag not in _KEEP or tag == "article") and self._named_out(i)
+            part[i] = part[above] or (i if named[i] else 0)
+        weights = self._weights(never)
+        tops = {part[i] for i in range(1, n) if part[i] and not never[i]}
+        rest = weights[0] - sum(weights[i] for i in tops)
+        # One in a named part is the page's main one only where it has more text than all that is in none.
+        marked = [i for i in range(1, n) if self.tags[i] in ("article", "main") and weights[i] and (
+            not part[i] or _COMMENTS.isdisjoint(self._words(part[i])) and weights[i] > rest or not rest)]
+        holds = [False] * n
+        at = max(marked, key=weights.__getitem__, default=0)
+        while at:
+            holds[at], at = True, self.parents[at]
+        gone = [False] * n
+        for i in range(1, n):
+            gone[i] = gone[self.parents[i]] or never[i] or named[i] and not holds[i]
+        self._gone = gone
         return gone
 
+    def _words(self, i: int) -> set[str]:
+        """The words of an element's classes and id."""
+        return {w for m in _NAMED.finditer(self.attributes[i]) if m[1].lower() in ("class", "id")
+                for w in re.split(r"[-_\s]+", (m[2] or m[3] or m[4] or "").lower())}
+
     def _named_out(self, i: int) -> bool:
         if "=" not in self.attributes[i] and "hidden" not in self.attributes[i].lower():
             return False
@@ -161,18 +197,36 @@ class Page:
         gone = self.declared()
         return {h for h, g, t in zip(self.hashes, gone, self.tags) if h and not g and t not in _KEEP}
 
+    def _main_part(self, gone: list[bool]) -> list[bool] | None:
+        """The articles, unless there is more prose in main or, without one, on the page beside them; else main; else all."""
+        left = self._weights(gone)
+        links = [t == "a" or g for t, g in zip(self.tags, gone)]
+        for i in range(1, len(links)):
+            links[i] |= links[self.parents[i]]
+        found = {}
+        for name in ("article", "main"):
+            chosen = [t == name and not g and w > 0 for t, g, w in zip(self.tags, gone, left)]
+            tops = any(chosen)
+            for i in range(1, len(self.tags)):
+                chosen[i] |= chosen[self.parents[i]]
+            if tops:
+                found[name] = chosen
+        articles, main = found.get("article"), found.get("main")
+        if articles is None:
+            return main
+        within = total = 0
+        for at, _, text in self.texts:
+            if not links[at] and (main is None or main[at] or articles[at]):
+                size = len(text.strip())
+                total += size
+                within += size if articles[at] else 0
+        return articles if 2 * within >= total else main
+
     def main_text(self, template: set[int]) -> str:
-        gone = self.declared()
+        gone = list(self.declared())
         for i in range(1, len(self.tags)):
             gone[i] = gone[i] or gone[self.parents[i]] or self.hashes[i] in template and self.tags[i] not in _KEEP
-        wanted = None
-        for name in ("article", "main"):
-            chosen = [t == name and not g for t, g in zip(self.tags, gone)]
-            if any(chosen):
-                for i in range(1, len(self.tags)):
-                    chosen[i] |= chosen[self.parents[i]]
-                wanted = chosen
-                break
+        wanted = self._main_part(gone)
         blocks, last, pieces = [], None, []
 
         def end() -> None:

@@ -35,6 +35,27 @@ def test_broken_and_odd_pages(source, text):
     assert got == text or (not source.startswith("x</div>") and got == text) or got == text.replace("\n", "")
 
 
+BODY = "<p>The body of this page is told here at some length.</p>"
+
+
+@pytest.mark.parametrize("source", [
+    f"<article>{BODY}</article><div class=related-posts><article class=teaser>Another story</article></div>",
+    f"<article>{BODY}</article><section id=recommended><article>Another story</article></section>",
+    f"<article>{BODY}</article><div id=comments><article class=comment-body>First!</article></div>",
+    f"<div>{BODY}</div><div class=related-posts><article class=teaser>Another story</article></div>",
+    f"<div>{BODY}</div><div id=comments>" + "<article class=comment-body>I have read this page and agree.</article>" * 9 + "</div>",
+    f"<main>{BODY}<section id=comments><article>First!</article></section></main>",
+    f"<main>{BODY}</main><article class=teaser>Another story</article>", f"<div>{BODY}</div><article></article>",
+    f"<main></main><div>{BODY}</div>", f"<div class=promo-wrapper><article>{BODY}</article></div>",
+    f"<div class=related><article>{BODY}</article></div>"])
+def test_only_the_main_article_counts(source):
+    assert text_of(source) == "The body of this page is told here at some length."
+
+
+def test_more_prose_in_main_than_in_its_articles():
+    assert text_of(f"<main><div>{BODY}</div><div><article>More: a page</article></div></main>").startswith("The body of this")
+
+
 def site(n, host="h.example"):
     """Pages of one host: a box that all have, one that some have, and texts of their own."""
     rows = []
