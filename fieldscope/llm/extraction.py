@@ -45,15 +45,30 @@ _SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)
              "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
              "tr": (("tr",), ("table",)), "option": (("option",), ("select",))}
 _NEVER = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe input map math menu nav noframes noscript object "
+    "aside audio button canvas datalist dialog footer head iframe input map math menu nav noframes noscript object "
     "script search select style svg template textarea title video".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 _NAMES = re.compile(
-    r"^(?!has-|with-|no-)(?:.*[-_])?(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|"
+    r"^(?:.*[-_])?(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|"
     r"popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|masthead|footer|comments?|disqus\w*|"
     r"respond|repl(?:y|ies)|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|"
     r"toolbar|teasers?)(?:[-_].*)?$")
+_WRAPS = re.compile(r"(?:^|[-_])(?:has|with|without|no)[-_]")  # of a name that tells what else is there
 _KEEP = frozenset("html body article main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# Words that make up the names of known parts, and those that may stand beside them.
+_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsors sponsored promo promos promotion banner "
+    "cookie cookies gdpr popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets masthead "
+    "footer comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe signup "
+    "login pagination pager toolbar teaser teasers".split())
+_BESIDE = frozenset(
+    "area article articles bar body bottom box btn button buttons consent container content entry form icon icons inline inner "
+    "item items js left link links list main mid middle module notice outer page panel post posts right row section site slot "
+    "sticky stories story thread top unit wp wrap wrapper zone".split())
+# Of an id of a heading or an article's section, which often repeats its title, only these are known parts.
+_PART_IDS = frozenset("ads comment comments disqus-thread reply replies respond teasers".split())
+_OFTEN_IDS = frozenset("ad ads advert comment comments newsletter promo related recommended share sharing social sponsored".split())
 # What is of others or of other pages, even where it has the most text.
 _COMMENTS = frozenset("comment comments disqus respond reply replies related recommended".split())
 
@@ -151,14 +166,20 @@ class Page:
         if self._gone is not None:
             return self._gone
         n = len(self.tags)
-        never, inside, named, part = [False] * n, [False] * n, [False] * n, [0] * n
+        never, inside, article, named, part = [False] * n, [False] * n, [False] * n, [0] * n, [0] * n
         for i in range(1, n):
             above, tag = self.parents[i], self.tags[i]
             inside[i] = inside[above] or tag in ("article", "main")
+            article[i] = article[above] or tag == "article"
             never[i] = never[above] or tag in _NEVER or tag == "header" and not inside[above]
-            named[i] = (tag not in _KEEP or tag == "article") and self._named_out(i)
-            part[i] = part[above] or (i if named[i] else 0)
+            if tag not in _KEEP or tag == "article":
+                named[i] = self._named(i, tag == "article" or article[above] or tag in _HEADINGS or tag == "section" and inside[i],
+                                       tag in _HEADINGS or inside[above] and tag != "article")
         weights = self._weights(never)
+        for i in range(1, n):
+            if named[i] == 1 and 2 * weights[i] > weights[0]:
+                named[i] = 0
+            part[i] = part[self.parents[i]] or (i if named[i] else 0)
         tops = {part[i] for i in range(1, n) if part[i] and not never[i]}
         rest = weights[0] - sum(weights[i] for i in tops)
         # One in a named part is the page's main one only where it has more text than all that is in none.
@@ -170,7 +191,8 @@ class Page:
             holds[at], at = True, self.parents[at]
         gone = [False] * n
         for i in range(1, n):
-            gone[i] = gone[self.parents[i]] or never[i] or named[i] and not holds[i]
+            gone[i] = gone[self.parents[i]] or never[i] or not holds[i] and (
+                named[i] > 0 or self.tags[i] == "form" and 2 * weights[i] <= weights[0])
         self._gone = gone
         return gone
 
@@ -179,18 +201,34 @@ class Page:
         return {w for m in _NAMED.finditer(self.attributes[i]) if m[1].lower() in ("class", "id")
                 for w in re.split(r"[-_\s]+", (m[2] or m[3] or m[4] or "").lower())}
 
-    def _named_out(self, i: int) -> bool:
-        if "=" not in self.attributes[i] and "hidden" not in self.attributes[i].lower():
-            return False
-        for m in _NAMED.finditer(self.attributes[i]):
+    def _named(self, i: int, exact: bool, titled: bool) -> int:
+        """Whether names or states say that an element is no content: 2 surely, 1 unless it has most of the page's text.
+
+        ``exact``: only names of known parts count.  ``titled``: an id may come from a title.
+        """
+        attributes, most = self.attributes[i], 0
+        if "=" not in attributes and "hidden" not in attributes.lower():
+            return 0
+        for m in _NAMED.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id") and any(_NAMES.match(v) for v in value.split()):
-                return True
-            if key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
-            if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        return False
+            if key in ("class", "id"):
+                for v in value.split():
+                    if not _NAMES.match(v) or _WRAPS.search(v):
+                        continue
+                    words = [w for w in re.split("[-_]+", v) if w and not w.isdigit()]
+                    known = not _PARTS.isdisjoint(words) and _PARTS.union(_BESIDE).issuperset(words)
+                    if known and key == "id" and titled:
+                        known = "-".join(words) in _PART_IDS or len(words) > 1 and not _OFTEN_IDS.isdisjoint(words)
+                        most = max(most, 2 * known)
+                    else:
+                        most = max(most, 2 if known else 0 if exact or key == "id" and titled else 1)
+            elif key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+                if value != "form" or key != "role":
+                    return 2
+                most = max(most, 1)
+            elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                return 2
+        return most
 
     def subtrees(self) -> set[int]:
         """Hashes of the elements that a template may consist of: with text, and not declared out."""

@@ -56,6 +56,25 @@ def test_more_prose_in_main_than_in_its_articles():
     assert text_of(f"<main><div>{BODY}</div><div><article>More: a page</article></div></main>").startswith("The body of this")
 
 
+@pytest.mark.parametrize("source", [
+    f"<form id=aspnetForm><div class=nav>Menu</div><article>{BODY}</article><form>Search</form></form>", f"<form>{BODY}<input></form>",
+    f"<div class=content-with-sidebar>{BODY}<div class=sidebar>Side</div></div>",
+    f"<div class=layout-sidebar-right><div>{BODY}</div><div class=sidebar-right>Side</div></div>",
+    f"<article>{BODY}<div class=share-bar>Share</div><div id=comments>First!</div><p class=cookie-notice>Cookies</p></article>",
+    f"<article>{BODY}<section class=related-posts>Others</section><div class=ad-slot-2>Buy</div><h2 id=comments>Comments</h2></article>",
+    f"<div>{BODY}</div><div class=my-promo-x>Buy</div><form>Write to us</form>"])
+def test_parts_go_and_wrappers_stay(source):
+    assert text_of(source) == "The body of this page is told here at some length."
+
+
+@pytest.mark.parametrize("name", ["related-work", "social-impact", "overlay-networks", "menu-planning", "informed-consent", "social-media"])
+def test_titles_in_names_delete_nothing(name):
+    for tag in ("section", "div"):
+        for key in ("id", "class"):
+            assert text_of(f"<article>{BODY}<{tag} {key}={name}><h2 {key}={name}>A title</h2><p>More.</p></{tag}></article>").endswith("\nA title\nMore.")
+    assert text_of(f"<div>{BODY}<h2 id={name}>A title</h2></div>").endswith("\nA title")
+
+
 def site(n, host="h.example"):
     """Pages of one host: a box that all have, one that some have, and texts of their own."""
     rows = []
