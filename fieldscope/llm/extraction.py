@@ -8,7 +8,9 @@ navigation, forms, adverts, notices, comments.
 * A NULL page is an empty one, and its text is empty.
 * Without a host in its URL a page has no template, only declared parts go.
 * Rows of one main text (copies, print views, session URLs) count as one page of
-  their host; a template needs both LEAST_PAGES of these and LEAST_SHARE of its host's.
+  their host; a template needs both LEAST_PAGES of these and LEAST_SHARE of those of its
+  host, or of its host's pages below one first folder.  Outside the part of a page that
+  holds most of what its host doesn't repeat, the square root of the host's pages is enough.
 * Pages are read to their end, however long; tags that are never closed close as in
   HTML, so a broken page loses nothing.
 * No pages, no rows; other columns are ignored, whatever their names.
@@ -55,6 +57,7 @@ _NAMES = re.compile(
     r"toolbar|teasers?)(?:[-_].*)?$")
 _WRAPS = re.compile(r"(?:^|[-_])(?:has|with|without|no)[-_]")  # of a name that tells what else is there
 _KEEP = frozenset("html body article main".split())
+_CONTAINERS = frozenset("article body center div form html main section table tbody td tr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 # Words that make up the names of known parts, and those that may stand beside them.
 _PARTS = frozenset(
@@ -260,10 +263,39 @@ class Page:
                 within += size if articles[at] else 0
         return articles if 2 * within >= total else main
 
-    def main_text(self, template: set[int]) -> str:
+    def _outside(self, gone: list[bool], often: set[int]) -> list[bool]:
+        """For each element, whether it lies outside the smallest container with most of the text that is not repeated.
+
+        Articles, main and what has a fifth of that text are never outside.
+        """
+        n = len(self.tags)
+        own = [g or h in often and t not in _KEEP for g, h, t in zip(gone, self.hashes, self.tags)]
+        for i in range(1, n):
+            own[i] |= own[self.parents[i]]
+        weights, at = self._weights(own), 0
+        for i in range(1, n):
+            if self.parents[i] == at and self.tags[i] in _CONTAINERS and 2 * weights[i] > weights[0]:
+                at = i
+        if not weights[0]:
+            return [False] * n
+        around = {at}
+        while at:
+            at = self.parents[at]
+            around.add(at)
+        inner, out, inside = max(around), [False] * n, [False] * n
+        for i in range(1, n):
+            above = self.parents[i]
+            inside[i] = inside[above] or above == inner or self.tags[i] in ("article", "main")
+            out[i] = not inside[i] and i not in around and (out[above] or above in around and 5 * weights[i] < weights[0])
+        return out
+
+    def main_text(self, template: set[int], often: set[int] = frozenset()) -> str:
+        """``template`` goes wherever it is, ``often`` outside the page's main part."""
         gone = list(self.declared())
+        out = self._outside(gone, often) if often else [False] * len(gone)
         for i in range(1, len(self.tags)):
-            gone[i] = gone[i] or gone[self.parents[i]] or self.hashes[i] in template and self.tags[i] not in _KEEP
+            gone[i] = gone[i] or gone[self.parents[i]] or self.tags[i] not in _KEEP and (
+                self.hashes[i] in template or out[i] and self.hashes[i] in often)
         wanted = self._main_part(gone)
         blocks, last, pieces = [], None, []
 
@@ -289,34 +321,45 @@ def host(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+def section(url: Column) -> Column:
+    """The host of a URL and the first folder of its path, which is empty for pages in none; NULL without a host."""
+    folder = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]*)/", 1)
+    return F.concat(host(url), F.lit("/"), folder)
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """``host`` and ``template``, the hashes of the subtrees on many of its pages.
+    """For each host, and for each ``host/folder``: ``site``, ``template`` and ``often``, hashes of repeated subtrees.
 
-    A subtree counts once for each main text of a host, however many rows have it.  As each hash of a list is on a good
-    part of the pages, a list is no longer than a few pages' elements.
+    A subtree counts once for each main text, however many rows have it.  As each hash of ``template`` is on a good part of
+    the site's pages, it is no longer than a few pages' elements; ``often`` has those on at least LEAST_PAGES and the square
+    root of a host's pages, so at most the square root times the elements of a page.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes, contents = [], [], []
-            for name, source in zip(batch.column(0), batch.column(1)):
+            sites, hashes, contents = [], [], []
+            for name, folder, source in zip(*(batch.column(i) for i in range(3))):
                 page = Page(source.as_py() or "")
-                found = [None, *page.subtrees()]  # the NULL one counts the host's pages
-                hosts += [name.as_py()] * len(found)
-                hashes += found
-                contents += [xxhash.xxh3_64_intdigest(page.main_text(set())) - (1 << 63)] * len(found)
+                found = [None, *page.subtrees()]  # the NULL one counts the site's pages
+                content = xxhash.xxh3_64_intdigest(page.main_text(set())) - (1 << 63)
+                for site in (name.as_py(), folder.as_py()):
+                    sites += [site] * len(found)
+                    hashes += found
+                    contents += [content] * len(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())],
-                ["host", "subtree", "content"])
+                [pa.array(sites, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())],
+                ["site", "subtree", "content"])
 
     small_batches(pages.sparkSession)
-    named = pages.select(host(F.col("url")).alias("host"), "html").filter("host IS NOT NULL")
-    counts = named.mapInArrow(run, "host string, subtree long, content long").groupBy("host", "subtree").agg(
+    named = pages.select(host(F.col("url")).alias("host"), section(F.col("url")).alias("section"), "html").filter("host IS NOT NULL")
+    counts = named.mapInArrow(run, "site string, subtree long, content long").groupBy("site", "subtree").agg(
         F.count_distinct("content").alias("_n"))
     counts = kept(counts.filter(F.col("_n") >= LEAST_PAGES), "counts")
-    sizes = counts.filter("subtree IS NULL").select(F.col("host").alias("_host"), F.col("_n").alias("_pages"))
-    often = counts.filter("subtree IS NOT NULL").join(sizes, F.col("host") == F.col("_host")).filter(
-        F.col("_n") >= LEAST_SHARE * F.col("_pages"))
-    return kept(often.groupBy("host").agg(F.collect_set("subtree").alias("template")), "templates")
+    sizes = counts.filter("subtree IS NULL").select(F.col("site").alias("_site"), F.col("_n").alias("_pages"))
+    most = F.col("_n") >= LEAST_SHARE * F.col("_pages")
+    repeated = counts.filter("subtree IS NOT NULL").join(sizes, F.col("site") == F.col("_site")).filter(
+        most | (F.col("_n") >= F.sqrt("_pages")) & ~F.contains("site", F.lit("/")))
+    return kept(repeated.groupBy("site").agg(F.collect_set(F.when(most, F.col("subtree"))).alias("template"),
+                                             F.collect_set(F.when(~most, F.col("subtree"))).alias("often")), "templates")
 
 
 _TEXTS = "page_id long, url string, text string, n_chars long"
@@ -325,15 +368,19 @@ _TEXTS = "page_id long, url string, text string, n_chars long"
 def main_texts(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(page.as_py() or "").main_text(set(template.as_py() or ()))
-                     for page, template in zip(batch.column(2), batch.column(3))]
+            texts = [Page(page.as_py() or "").main_text({*(a.as_py() or ()), *(b.as_py() or ())}, set(c.as_py() or ()))
+                     for page, a, b, c in zip(*(batch.column(i) for i in range(2, 6)))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("_host", host(F.col("url")))
-    joined = rows.join(templates(pages), F.col("_host") == F.col("host"), "left")
-    return joined.select("page_id", "url", "html", "template").mapInArrow(run, _TEXTS)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn(
+        "_host", host(F.col("url"))).withColumn("_section", section(F.col("url")))
+    found = templates(pages)
+    hosts = found.filter(~F.contains("site", F.lit("/"))).select(F.col("site").alias("_a"), F.col("template").alias("_all"), "often")
+    folders = found.filter(F.contains("site", F.lit("/"))).select(F.col("site").alias("_b"), F.col("template").alias("_some"))
+    joined = rows.join(hosts, F.col("_host") == F.col("_a"), "left").join(folders, F.col("_section") == F.col("_b"), "left")
+    return joined.select("page_id", "url", "html", "_all", "_some", "often").mapInArrow(run, _TEXTS)
 
 
 def op6_template_removal(spark, sf_dir: str) -> DataFrame:

@@ -113,6 +113,22 @@ def test_copies_of_an_article_are_no_template(spark, tmp_path):
     assert [got[100 + i] for i in range(8)] == [f"Title {i}\nText {i}." for i in range(8)]
 
 
+def test_templates_of_sections_and_page_types(spark, tmp_path):
+    """Three folders have a box each, two page types a notice each; quotes in a story stay, and so does what few pages have."""
+    rows, want = [], {}
+    for i in range(60):
+        box = f"<div><p>Box of folder {i % 3}</p></div>"
+        quote = "<blockquote>A passage that several pages quote.</blockquote>" if i % 4 == 0 else ""
+        rows.append((i, f"https://h.example/{'abc'[i % 3]}/{i}", f"<body>{box}<p>Story {i} begins.</p>{quote}<p>It ends at {i * i}.</p>"))
+        want[i] = f"Story {i} begins.\n" + ("A passage that several pages quote.\n" if quote else "") + f"It ends at {i * i}."
+    for i in range(60, 120):
+        type_ = f"<div><p>Notice {i % 5}</p></div>"
+        quote = "<blockquote>Quoted by a few.</blockquote>" if i % 5 == 0 else ""
+        rows.append((i, f"https://g.example/{i}", f"<body>{type_}<div><h1>Title {i}</h1><p>Story {i} begins.</p>{quote}<p>It ends.</p></div>"))
+        want[i] = f"Title {i}\nStory {i} begins." + ("\nQuoted by a few." if quote else "")
+    assert extracted(spark, tmp_path, rows) == want
+
+
 def test_benchmark_pages(spark):
     import html
     import re
