@@ -6,11 +6,15 @@ among equals, and kept with its position.  Two texts that share ``K + W - 1`` wo
 in a row therefore share a fingerprint at known places, and common runs of fewer
 than ``K`` words never make them alike.
 
+A word of more than ``LONG`` code points, as in scripts without white space or in
+encoded data, stands for all its runs of ``PIECE`` code points, one after the other, so
+that every long text has windows; positions count these runs as words.
+
 Hashes have 64 bits; they are compared by the upper 32, so that hash and position
 fit into one number and the smallest number is the rightmost smallest hash.
 
 * A NULL text is an empty one; without words the fingerprint is empty.
-* Fewer than ``K`` words are one run; fewer than ``W`` runs are one window.
+* Fewer than ``K`` words, or runs of a long word, are one run; fewer than ``W`` runs are one window.
 * Likeness is the Jaccard similarity of the sets of chosen hashes; two empty
   fingerprints have likeness 1.
 * Equal doc_ids follow the order of a hash of their texts; NULL ones come last.
@@ -25,6 +29,8 @@ from fieldscope.llm.common import SPACE, kept, whole_text
 
 K = 5
 W = 8
+LONG = 128
+PIECE = 8
 ROWS = 512  # documents for each range of doc_id, as long as there are no more than RANGES * PARTS of these
 RANGES, PARTS = 512, 256
 _MASK = (1 << 31) - 1  # of a position; a text has fewer words than that
@@ -39,7 +45,13 @@ def fingerprint(df: DataFrame, text: str, prints: str, hashes: str) -> DataFrame
     beyond = [f"get(_v, i + {j})" for j in range(1, W)]
     bare = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
     df = df.withColumn("_w", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE}+")))
-    df = df.withColumn("_w", F.expr("transform(_w, w -> xxhash64(w))"))
+    # The code points of a long word are an array once, bound as a lambda variable; other texts aren't looked at again.
+    next_ = ", ".join(f"get(c, i + {j})" for j in range(1, PIECE))
+    pieces = f"transform(slice(c, 1, size(c) - {PIECE - 1}), (x, i) -> xxhash64(concat(x, {next_})))"
+    long_ = f"flatten(transform(array(regexp_extract_all(w, '(?s).', 0)), c -> {pieces}))"
+    each = f"flatten(transform(_w, w -> if(char_length(w) > {LONG}, {long_}, array(xxhash64(w)))))"
+    df = df.withColumn("_w", F.expr(
+        f"if(exists(_w, w -> char_length(w) > {LONG}), {each}, transform(_w, w -> xxhash64(w)))"))
     df = df.withColumn("_g", F.expr(
         f"transform(slice(_w, 1, greatest(size(_w) - {K - 1}, 1)), (w, i) -> xxhash64(w, {', '.join(after)}))"))
     df = df.withColumn("_v", F.expr(

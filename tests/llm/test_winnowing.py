@@ -91,3 +91,23 @@ def test_no_python_in_the_plan(spark, tmp_path):
     from conftest import plan_of
     plan = plan_of(w.op2_winnowing(spark, cases.saved(cases.documents(spark), tmp_path, "documents")))
     assert "Python" not in plan and "Arrow" not in plan and "SinglePartition" not in plan
+
+
+def test_long_texts_without_spaces_have_windows(spark):
+    """An edit in the second half of a text of one word leaves the fingerprints of the first; so does one early letter."""
+    import random
+    draw = random.Random(3)
+    text = "".join(draw.choice("漢字仮名交文日本語中国話\U0001F600x") for _ in range(600))
+    rows = [(0, text), (1, text[:300] + "".join(draw.choice("abc") for _ in range(300))), (2, "字" + text), (3, "a b " + text[:w.LONG]), (4, text[:w.LONG + 1])]
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {r.i: (r.p.split(), set(r.h)) for r in w.fingerprint(df, "t", "p", "h").collect()}
+    assert len(got[0][0]) > 600 // w.W
+    assert 0.2 < alike_sets(got[0][1], got[1][1]) < 0.6 and alike_sets(got[0][1], got[2][1]) > 0.95
+    assert len(got[3][0]) == 1 and len(got[4][0]) > 5
+    grams = [hash_of([text[i:i + w.PIECE].encode()]) for i in range(len(text) - w.PIECE + 1)]
+    runs = {hash_of(grams[i:i + w.K]) for i in range(len(grams) - w.K + 1)}
+    assert got[0][1] <= runs
+
+
+def alike_sets(a, b):
+    return len(a & b) / len(a | b)
