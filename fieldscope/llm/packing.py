@@ -1,4 +1,6 @@
-"""Packing into length buckets of least padding, and batches of a token budget inside each bucket.
+"""Packing into length buckets of least padding, and batches of a word budget inside each bucket.
+
+Lengths and the budget are white-space words, not token ids.
 
 One global histogram of lengths decides the bucket bounds: dynamic programming
 over it finds the bounds with the least padding for a given number of buckets.
