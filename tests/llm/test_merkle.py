@@ -1,0 +1,98 @@
+import hashlib
+import zlib
+
+import pytest
+
+from fieldscope.llm import merkle
+from llm import cases
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def digest(row, text):
+    return sha(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in (*row, text)])
+
+
+def climb(nodes):
+    """All levels of a tree, and for each node its siblings as (left, right) up to the root."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([sha(*levels[-1][i:i + 3]) for i in range(0, len(levels[-1]), 3)])
+    paths = []
+    for at in range(len(nodes)):
+        path = []
+        for level in levels[:-1]:
+            run = level[at // 3 * 3:at // 3 * 3 + 3]
+            path.append(("".join(run[:at % 3]), "".join(run[at % 3 + 1:])))
+            at //= 3
+        paths.append(path)
+    return levels[-1][0], paths
+
+
+def expected(rows):
+    groups = {}
+    for doc_id, text, lang, source, n_chars in rows:
+        fields = (doc_id, source, lang, n_chars)
+        node = digest(fields, text)
+        changed = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 2 == 0 and text is not None
+        start = digest(fields, text.replace("\n", "")) if changed else node
+        groups.setdefault(source, []).append(((doc_id is not None, doc_id or 0, node), doc_id, node, start))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for name in names:
+        groups[name].sort(key=lambda g: g[0])
+        trees[name] = climb([g[2] for g in groups[name]])
+    found = []
+    if names:
+        root, above = climb([trees[n][0] for n in names])
+        for name, up in zip(names, above):
+            for (_, doc_id, node, at), own in zip(groups[name], trees[name][1]):
+                path = own + up
+                for left, right in path:
+                    at = sha(left, at, right)
+                found.append((doc_id, node, trees[name][0], root, sha(*[x + y for x, y in path]), at, at == root))
+    return sorted(found, key=str)
+
+
+def got(spark, tmp_path, rows):
+    made = merkle.op13_merkle_manifest(spark, cases.saved(cases.documents(spark, rows), tmp_path, "documents"))
+    assert made.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    return sorted(map(tuple, made.collect()), key=str)
+
+
+def with_sizes(rows):
+    return [(*r, len(r[1]) if r[1] is not None else None) for r in rows]
+
+
+def test_rows_that_break_things(spark, tmp_path):
+    rows = [(None if i % 3 else 0, "same\n" if i % 3 else f"{i}\n", "en", None) for i in range(60)]
+    assert got(spark, tmp_path, cases.DOCUMENTS + rows) == expected(with_sizes(cases.DOCUMENTS + rows))
+
+
+@pytest.mark.parametrize("sizes", [[0], [1], [3, 1], [4, 243], [244, 730, 2]])
+def test_blocks_of_every_fill(spark, tmp_path, sizes):
+    """Sources of less than a block, of one, of one and a leaf, and of more than one block of a block."""
+    rows = [(i * 7 - at, f"line {i}\nend" if i % 2 else f"line {i}", "en", f"s{at}") for at, n in enumerate(sizes) for i in range(n)]
+    assert got(spark, tmp_path, rows) == expected(with_sizes(rows))
+
+
+def test_many_sources(spark, tmp_path):
+    rows = [(i, "x\ny", None, None if i == 5 else "\U0001F600" if i == 7 else f"￮{i}") for i in range(260)]
+    assert got(spark, tmp_path, rows) == expected(with_sizes(rows))
+
+
+def test_deep_trees(spark, monkeypatch, tmp_path):
+    """Blocks of nine: several stages."""
+    monkeypatch.setattr(merkle, "DEPTH", 2)
+    monkeypatch.setattr(merkle, "BLOCK", 9)
+    rows = [(i, f"{i}\n", "en", "hot" if i % 3 else f"s{i % 17}") for i in range(300)]
+    assert got(spark, tmp_path, rows) == expected(with_sizes(rows))
+
+
+def test_a_change_of_any_column_shows(spark):
+    rows = [(1, "a", "en", "s", 1), (1, "a", "en", "s", None), (1, "a", None, "s", 1), (1, "a", "en", None, 1), (1, None, "en", "s", 1),
+            (1, "", "en", "s", 1), (None, "a", "en", "s", 1), (1, "a", "e", "ns", 1), (1, "a", "en", "s", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert df.select(merkle.leaf(*[df[c] for c in merkle.LEAF_COLUMNS])).distinct().count() == len(rows)
