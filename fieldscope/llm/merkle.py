@@ -192,46 +192,46 @@ leaves AS (
          CASE WHEN doc_id IN (SELECT doc_id FROM even) THEN {_leaf_sql("replace(text, chr(10), '')")} END AS tampered
   FROM documents),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at,
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
          count(*) OVER (PARTITION BY source) AS n FROM leaves),
-tree(source, lvl, at, n, h) AS (
-  SELECT source, 0, at, n, leaf FROM placed
+tree(source, lvl, pos, n, h) AS (
+  SELECT source, 0, pos, n, leaf FROM placed
   UNION ALL
-  SELECT source, lvl + 1, at // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY at)) FROM tree WHERE n > 1
-  GROUP BY source, lvl, at // 3, n),
+  SELECT source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1
+  GROUP BY source, lvl, pos // 3, n),
 subroots AS (
-  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS at, count(*) OVER () AS n FROM tree WHERE n = 1),
-top(lvl, at, n, h) AS (
-  SELECT 0, at, n, h FROM subroots
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(lvl, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM subroots
   UNION ALL
-  SELECT lvl + 1, at // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY at)) FROM top WHERE n > 1 GROUP BY lvl, at // 3, n),
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 3, n),
 low AS (
-  SELECT p.doc_id, p.source, p.at AS leaf_at, t.lvl,
-         coalesce(string_agg(t.h, '' ORDER BY t.at) FILTER (t.at < p.at // (3 ** t.lvl)::BIGINT), '') AS l,
-         coalesce(string_agg(t.h, '' ORDER BY t.at) FILTER (t.at > p.at // (3 ** t.lvl)::BIGINT), '') AS r
-  FROM placed p JOIN tree t ON t.source IS NOT DISTINCT FROM p.source AND t.n > 1 AND t.at // 3 = (p.at // (3 ** t.lvl)::BIGINT) // 3
+  SELECT p.doc_id, p.source, p.pos AS leaf_at, t.lvl,
+         coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < p.pos // (3 ** t.lvl)::BIGINT), '') AS l,
+         coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > p.pos // (3 ** t.lvl)::BIGINT), '') AS r
+  FROM placed p JOIN tree t ON t.source IS NOT DISTINCT FROM p.source AND t.n > 1 AND t.pos // 3 = (p.pos // (3 ** t.lvl)::BIGINT) // 3
   GROUP BY ALL),
 high AS (
   SELECT s.source, t.lvl,
-         coalesce(string_agg(t.h, '' ORDER BY t.at) FILTER (t.at < s.at // (3 ** t.lvl)::BIGINT), '') AS l,
-         coalesce(string_agg(t.h, '' ORDER BY t.at) FILTER (t.at > s.at // (3 ** t.lvl)::BIGINT), '') AS r
-  FROM subroots s JOIN top t ON t.n > 1 AND t.at // 3 = (s.at // (3 ** t.lvl)::BIGINT) // 3
+         coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < s.pos // (3 ** t.lvl)::BIGINT), '') AS l,
+         coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > s.pos // (3 ** t.lvl)::BIGINT), '') AS r
+  FROM subroots s JOIN top t ON t.n > 1 AND t.pos // 3 = (s.pos // (3 ** t.lvl)::BIGINT) // 3
   GROUP BY ALL),
 paths AS (
   SELECT source, leaf_at, lvl, l, r FROM low
   UNION ALL
-  SELECT p.source, p.at, 1000 + h.lvl, h.l, h.r FROM placed p JOIN high h ON h.source IS NOT DISTINCT FROM p.source),
+  SELECT p.source, p.pos, 1000 + h.lvl, h.l, h.r FROM placed p JOIN high h ON h.source IS NOT DISTINCT FROM p.source),
 steps AS (
   SELECT source, leaf_at, l, r, row_number() OVER (PARTITION BY source, leaf_at ORDER BY lvl) AS step FROM paths),
 proofs AS (SELECT source, leaf_at, sha256(string_agg(l || r, '' ORDER BY step)) AS proof FROM steps GROUP BY ALL),
-folding(source, at, step, h) AS (
-  SELECT source, at, 1, coalesce(tampered, leaf) FROM placed
+folding(source, pos, step, h) AS (
+  SELECT source, pos, 1, coalesce(tampered, leaf) FROM placed
   UNION ALL
-  SELECT f.source, f.at, f.step + 1, sha256(s.l || f.h || s.r)
-  FROM folding f JOIN steps s ON s.source IS NOT DISTINCT FROM f.source AND s.leaf_at = f.at AND s.step = f.step),
-folded AS (SELECT source, at, arg_max(h, step) AS h FROM folding GROUP BY ALL)
+  SELECT f.source, f.pos, f.step + 1, sha256(s.l || f.h || s.r)
+  FROM folding f JOIN steps s ON s.source IS NOT DISTINCT FROM f.source AND s.leaf_at = f.pos AND s.step = f.step),
+folded AS (SELECT source, pos, arg_max(h, step) AS h FROM folding GROUP BY ALL)
 SELECT p.doc_id, p.leaf, s.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(q.proof, sha256('')) AS proof_sha256,
        f.h AS folded_root, f.h = (SELECT h FROM top WHERE n = 1) AS verified
 FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source
-JOIN folded f ON f.source IS NOT DISTINCT FROM p.source AND f.at = p.at
-LEFT JOIN proofs q ON q.source IS NOT DISTINCT FROM p.source AND q.leaf_at = p.at"""
+JOIN folded f ON f.source IS NOT DISTINCT FROM p.source AND f.pos = p.pos
+LEFT JOIN proofs q ON q.source IS NOT DISTINCT FROM p.source AND q.leaf_at = p.pos"""
