@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldscope.functions.columns import let, nonblank
 from fieldscope.functions.text import title_key
-from fieldscope.operators.groups import first_per_group
+from fieldscope.operators import similar
+from fieldscope.operators.groups import first_per_group, materialize
 
 
 def watchlist_audit(journals: DataFrame, issns) -> DataFrame:
@@ -57,6 +58,14 @@ def title_key_of(name: str) -> str:
     return " ".join(name.lower().split())
 
 
+def _named(journals: DataFrame) -> DataFrame:
+    publisher = F.col("host_organization_name") if "host_organization_name" in journals.columns else F.lit(None)
+    return journals.select(
+        F.coalesce("display_name", F.lit("?")).alias("name"), F.coalesce("issn_l", F.lit("")).alias("issn"),
+        F.coalesce("works_count", F.lit(0)).cast("long").alias("works"),
+        F.coalesce(publisher.cast("string"), F.lit("")).alias("publisher"))
+
+
 def journal_lookup(journals: DataFrame, names, limit: int | None = None) -> DataFrame:
     """Near matches per looked-up name, best first.
 
@@ -67,11 +76,7 @@ def journal_lookup(journals: DataFrame, names, limit: int | None = None) -> Data
     are dropped.  A name left with none is reported as unmatched.
     """
     names = list(dict.fromkeys(names))
-    publisher = F.col("host_organization_name") if "host_organization_name" in journals.columns else F.lit(None)
-    named = journals.select(
-        F.coalesce("display_name", F.lit("?")).alias("name"), F.coalesce("issn_l", F.lit("")).alias("issn"),
-        F.coalesce("works_count", F.lit(0)).cast("long").alias("works"),
-        F.coalesce(publisher.cast("string"), F.lit("")).alias("publisher"))
+    named = _named(journals)
     words = sorted({w for n in names for w in title_key_of(n).split()})
     shared = F.array_distinct(F.filter(_tokens(F.col("name")), lambda w: w.isin(*words)))
     candidates = (named.select("*", F.explode(shared).alias("word")).join(_rarest(named, names, words), "word")
@@ -90,3 +95,27 @@ def journal_lookup(journals: DataFrame, names, limit: int | None = None) -> Data
         .otherwise(F.lit("match")).alias("status"),
         F.col("position").cast("long").alias("position"), "issn", "name", "works", "publisher",
         F.col("distance").cast("long").alias("distance"))
+
+
+def journal_index(journals: DataFrame, edits: int = 2) -> DataFrame:
+    """The gram index of a registry's names, for any number of lookups (``similar.name_index``)."""
+    return similar.name_index(_named(journals).select(title_key(F.col("name")).alias("key")), edits)
+
+
+def misspelt_lookup(journals: DataFrame, wanted: DataFrame, edits: int = 2, index: DataFrame | None = None) -> DataFrame:
+    """Every journal whose name is at most ``edits`` edits from a looked-up one, in all words of it.
+
+    ``wanted`` is a table of any size with the names in ``query``.  Only names move until the matches are known; journals
+    without an ISSN cannot be watched and are left out.  A name without any is reported as unmatched.
+    """
+    named = _named(journals).withColumn("_key", title_key(F.col("name")))
+    asked = wanted.select("query", title_key(F.col("query")).alias("_asked")).distinct()
+    keys = named.select(F.col("_key").alias("key"))
+    if index is None:
+        index = similar.name_index(keys, edits)
+    found = materialize(similar.near_names(index, keys, asked.select(F.col("_asked").alias("key")), edits))
+    hits = named.filter(nonblank(F.col("issn")).isNotNull()).join(found, F.col("_key") == F.col("key")).select(
+        "wanted_key", "issn", "name", "works", "publisher", F.col("distance").cast("long").alias("distance"))
+    return asked.join(hits, F.col("_asked") == F.col("wanted_key"), "left").select(
+        "query", F.when(F.col("wanted_key").isNull(), F.lit("no match")).otherwise(F.lit("match")).alias("status"),
+        "issn", "name", "works", "publisher", "distance")

@@ -321,6 +321,21 @@ def journals(t: Tables) -> DataFrame:
         F.col("p_size").cast("long").alias("works_count"), F.col("p_type").alias("host_organization_name"))
 
 
+def misspelt_names(t: Tables) -> DataFrame:
+    """Of each part whose key a hundred divides, its name without one letter."""
+    place = F.expr("cast((p_partkey div 100) % length(p_name) as int)")
+    name = F.col("p_name")
+    return t.part.filter(mod("p_partkey", 100) == 0).select(
+        F.concat(F.substring(name, F.lit(1), place), F.substring(name, place + 2, F.length(name))).alias("query")).distinct()
+
+
+def titles(t: Tables) -> DataFrame:
+    """Titles of documents and pages with an id each."""
+    return (t.documents.select(F.concat(F.lit("d"), text_of("doc_id")).alias("id"), title_of().alias("title"))
+            .unionByName(t.pages.select(F.concat(F.lit("p"), text_of("page_id")).alias("id"),
+                                        F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))))
+
+
 def notes(t: Tables) -> DataFrame:
     return t.conversations.select(
         "conv_id", "turn", F.concat(text_of("turn"), F.lit("-"), F.col("role")).alias("name"), F.col("text").alias("body"))

@@ -352,6 +352,22 @@ WITH titles AS (SELECT 'd' || doc_id AS id, {_TITLE} AS title FROM documents
 keyed AS (SELECT id, trim(regexp_replace(lower(title), '{_WS}+', ' ', 'g')) AS title_key FROM titles)
 SELECT title_key, count(*) AS n, min(id) AS first_id FROM keyed WHERE title_key <> '' GROUP BY 1 HAVING count(*) > 1"""
 
+_CLASSES = f"""titles AS (SELECT 'd' || doc_id AS id, {_TITLE} AS title FROM documents
+  UNION ALL SELECT 'p' || page_id, regexp_extract(html, '<title>(.*?)</title>', 1) FROM pages),
+members AS (
+  SELECT id, list_sort(list_distinct(string_split(trim(regexp_replace(lower(title), '{_WS}+', ' ', 'g')), ' '))) AS words FROM titles
+  WHERE title IS NOT NULL AND trim(regexp_replace(lower(title), '{_WS}+', ' ', 'g')) <> ''),
+classes AS (SELECT words, min(id) AS class_id, count(*) AS n_same FROM members GROUP BY words),
+listed AS (SELECT class_id, len(words) AS size, unnest(words) AS word FROM classes),
+pairs AS (
+  SELECT a.class_id AS class_a, b.class_id AS class_b, count(*) AS shared, a.size + b.size - count(*) AS together
+  FROM listed a JOIN listed b ON a.word = b.word AND a.class_id < b.class_id
+  GROUP BY a.class_id, b.class_id, a.size, b.size HAVING 100 * count(*) >= 80 * (a.size + b.size - count(*)))"""
+_SQL["similar_titles"] = _with(_CLASSES) + "SELECT class_a, class_b, shared, together FROM pairs"
+_SQL["title_links"] = _with(_CLASSES) + """, ends AS (SELECT class_a AS class_id FROM pairs UNION ALL SELECT class_b FROM pairs),
+links AS (SELECT class_id, count(*) AS n_links FROM ends GROUP BY 1)
+SELECT id, class_id, n_same, coalesce(n_links, 0) AS n_links FROM members JOIN classes USING (words) LEFT JOIN links USING (class_id)"""
+
 # --- text ------------------------------------------------------------------------------
 
 _SQL["strip_html"] = f"WITH p AS (SELECT page_id, {_plain('html')} AS x FROM pages) SELECT page_id, {_cut('x')} AS text FROM p"
@@ -570,6 +586,14 @@ best AS (SELECT * FROM ranked WHERE position <= 4 AND issn <> '')
 SELECT query, CASE WHEN issn IS NULL THEN 'no match' ELSE 'match' END AS status, position, issn, name, works, publisher, distance
 FROM asked LEFT JOIN best USING (query)"""
 
+_SQL["misspelt_lookup"] = _with(_JOURNALS, """asked AS (
+  SELECT DISTINCT substr(p_name, 1, (p_partkey // 100) % length(p_name)) || substr(p_name, (p_partkey // 100) % length(p_name) + 2) AS query
+  FROM part WHERE p_partkey % 100 = 0)""") + """, hits AS (
+  SELECT query, issn, name, works, publisher, levenshtein(lower(name), lower(query)) AS distance FROM journals, asked
+  WHERE issn <> '' AND levenshtein(lower(name), lower(query)) <= 2)
+SELECT query, CASE WHEN distance IS NULL THEN 'no match' ELSE 'match' END AS status, issn, name, works, publisher, distance
+FROM asked LEFT JOIN hits USING (query)"""
+
 # --- streaming -------------------------------------------------------------------------
 
 _EVENT_ID = "sha1(user_id || '-' || event_type || '-' || ts::DATE)"

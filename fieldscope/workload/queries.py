@@ -14,7 +14,7 @@ from fieldscope.functions.columns import ago
 from fieldscope.functions.terms import term_hits
 from fieldscope.functions.venue import venue_adjust
 from fieldscope.operators import (
-    discovery, enrichment, external, health, ingest, journals, packing, retention, scoring)
+    discovery, enrichment, external, health, ingest, journals, packing, retention, scoring, similar)
 from fieldscope.operators.groups import shared_folder
 from fieldscope.plans import digest, reports
 from fieldscope.schemas import ITEM
@@ -287,10 +287,19 @@ def meta_latest(t):
 
 @query
 def near_dup_titles(t):
-    titles = (t.documents.select(F.concat(F.lit("d"), text_of("doc_id")).alias("id"), a.title_of().alias("title"))
-              .unionByName(t.pages.select(F.concat(F.lit("p"), text_of("page_id")).alias("id"),
-                                          F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))))
-    return ingest.near_duplicate_titles(titles)
+    return ingest.near_duplicate_titles(a.titles(t))
+
+
+@query
+def similar_titles(t):
+    """Pairs of titles that share four of five words, one title standing for all that have the same words."""
+    return similar.similar_titles(similar.title_classes(a.titles(t)))
+
+
+@query
+def title_links(t):
+    members = similar.title_classes(a.titles(t))
+    return similar.title_links(members, similar.similar_titles(members))
 
 
 # --- text --------------------------------------------------------------------
@@ -577,6 +586,11 @@ def journal_lookup(t):
     return journals.journal_lookup(a.journals(t), a.LOOKUP_NAMES, limit=4)
 
 
+@query
+def misspelt_lookup(t):
+    return journals.misspelt_lookup(a.journals(t), a.misspelt_names(t))
+
+
 # --- streaming ---------------------------------------------------------------
 
 def _event_stream(t: Tables) -> DataFrame:
