@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from pyspark.errors import AnalysisException
 
 from fieldscope.functions.columns import ago, moment
-from fieldscope.operators.groups import shared_folder
-from fieldscope.operators.ingest import COLLECTION_ORDER, conform, latest_value, upsert_new
+from fieldscope.operators.groups import materialize, shared_folder
+from fieldscope.operators.ingest import COLLECTION_ORDER, conform, dedupe_first, latest_value, upsert_new
 from fieldscope.operators.retention import keeps_item
 from fieldscope.operators.scoring import apply_scores_once
 from fieldscope.schemas import ITEM, META, RUN, SCORE
+from fieldscope.sources.keys import KeyStore
 
 # Items as stored: month folders of their effective date.
 _ITEM_FILES = T.StructType([*ITEM.fields, T.StructField("month", T.StringType())])
@@ -41,13 +42,17 @@ def _from_month(since) -> Column:
     return F.col("month") >= F.date_format(moment(since), "yyyy-MM")
 
 
-def append_items(batch: DataFrame, path: str, fetched_at, order=COLLECTION_ORDER, known_since=None) -> int:
+def append_items(batch: DataFrame, path: str, fetched_at, order=COLLECTION_ORDER, known_since=None, keys: KeyStore | None = None) -> int:
     """Insert unseen items, partitioned by month of the effective date; returns
     how many were new, counted by the write itself.
 
     Only stored ids are read.  ``known_since`` bounds them to months from a date
-    on, for sources that never deliver what is older than their look-back.
+    on, for sources that never deliver what is older than their look-back.  With
+    ``keys`` the items are not read at all, only their index is; should a sweep fail
+    between the two, ``keys.catch_up(stored_ids(...))`` adds what the index lacks.
     """
+    if keys is not None:
+        return _append_indexed(batch, path, fetched_at, order, known_since, keys)
     spark = batch.sparkSession
     existing = read_table(spark, path, _ITEM_FILES)
     if known_since is not None:
@@ -59,11 +64,29 @@ def append_items(batch: DataFrame, path: str, fetched_at, order=COLLECTION_ORDER
     return _observed_count(seen)
 
 
+def _append_indexed(batch: DataFrame, path: str, fetched_at, order, known_since, keys: KeyStore) -> int:
+    keys.merge()
+    new = conform(keys.without_known(dedupe_first(batch, order), since=known_since))
+    # Written once, as items and ids both come from it.
+    new = materialize(new.withColumn("fetched_at", F.coalesce("fetched_at", F.lit(fetched_at).cast("timestamp"))))
+    _by_month(new).write.mode("append").partitionBy("month").parquet(path)
+    keys.add(new.select("id", _month().alias("month")), keys.next_run())
+    return new.count()
+
+
+def stored_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The ids of stored items with their months."""
+    return spark.read.schema(_ITEM_FILES).parquet(path).select("id", "month")
+
+
+def _month() -> Column:
+    return F.date_format(F.coalesce(F.col("published_at").cast("timestamp"), F.col("fetched_at")), "yyyy-MM")
+
+
 def _by_month(items: DataFrame) -> DataFrame:
     """Items with the month of their effective date, dealt out by it; rebalancing splits a month that outgrows one
     file instead of sending it to one task."""
-    month = F.date_format(F.coalesce(F.col("published_at").cast("timestamp"), F.col("fetched_at")), "yyyy-MM")
-    return items.withColumn("month", month).hint("rebalance", "month")
+    return items.withColumn("month", _month()).hint("rebalance", "month")
 
 
 def _observed_count(seen: Observation) -> int:

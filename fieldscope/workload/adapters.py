@@ -378,6 +378,15 @@ def reply_requests(t: Tables) -> DataFrame:
         F.when(F.col("role") == "user", F.lit("")).otherwise(F.lit("has text")).alias("summary"))
 
 
+def deliveries(t: Tables, folder: str) -> list[str]:
+    """Events as they might arrive: in files of ten days each by time, but every seventh one ten days late."""
+    at = F.when(mod("event_id", 7) == 0, F.date_add(F.to_date("ts"), 10)).otherwise(F.to_date("ts"))
+    bounds = ["0001-01-01", "2024-01-11", "2024-01-21", "9999-01-01"]
+    for start, stop in zip(bounds, bounds[1:]):  # one after the other, as a stream takes files by their time
+        t.events.filter((at >= F.lit(start).cast("date")) & (at < F.lit(stop).cast("date"))).write.mode("append").parquet(folder)
+    return bounds
+
+
 def stream_items(events: DataFrame) -> DataFrame:
     """Events as items that are delivered again and again: one id per user, day
     and kind of event."""

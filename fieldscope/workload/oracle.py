@@ -555,6 +555,8 @@ SELECT run_id, source FROM runs WHERE run_at >= {_EVENTS_AS_OF} - INTERVAL 12 DA
 _SQL["stored_items"] = _with(_ITEMS, _LABELS, _LABELLED) + f"""
 SELECT id, title, source, published_at::VARCHAR AS published_at FROM labelled
 WHERE coalesce(score >= 6, false) OR {_since(f"{_AS_OF} - INTERVAL 10 DAY")}"""
+_SQL["stored_items_indexed"] = _with(_ITEMS) + """
+SELECT id, doc_id % 3 || ' ' || title AS title, source, published_at::VARCHAR AS published_at FROM items"""
 _TIMES = ", ".join(f"({_lit(x)})" for x in a.RUN_TIMES if x >= "2024-01-18 12:00:00")
 _SQL["stored_runs"] = f"""
 WITH log AS (SELECT event_type AS source, count(*) AS fetched FROM events GROUP BY 1), times(run_at) AS (VALUES {_TIMES})
@@ -601,4 +603,6 @@ _SQL["stream_sweep"] = f"SELECT {_EVENT_ID} AS id, min(event_id) AS event_id, mi
 _SQL["stream_dedupe"] = f"SELECT DISTINCT {_EVENT_ID} AS id FROM events"
 _SQL["stream_daily"] = """
 SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"""
+_SQL["stream_days"] = _SQL["stream_daily"]
+_SQL["stream_sweep_indexed"] = f"SELECT {_EVENT_ID} AS id, 1::BIGINT AS n, min(event_type) AS event_type FROM events GROUP BY 1"
 _SQL["stream_failures"] = _with(_RUNS) + _FAILING

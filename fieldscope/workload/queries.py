@@ -19,7 +19,7 @@ from fieldscope.operators.groups import shared_folder
 from fieldscope.plans import digest, reports
 from fieldscope.schemas import ITEM
 from fieldscope.settings import DiscoverySettings
-from fieldscope.sources import entries, library, registry, tables, works
+from fieldscope.sources import entries, keys, library, registry, tables, works
 from fieldscope.streaming import health as live, sweep
 from fieldscope.workload import adapters as a
 from fieldscope.workload.adapters import Tables, mod, text_of
@@ -539,6 +539,17 @@ def stored_items(t):
     return tables.read_items(t.spark, path).select("id", "title", "source", day("published_at"))
 
 
+@query
+def stored_items_indexed(t):
+    """Items appended in three sweeps that overlap, compared with the index of stored ids alone."""
+    path, found = f"{shared_folder(t.spark)}/items", a.items(t).withColumn("source_ord", F.lit(0)).withColumn("seq", F.col("doc_id"))
+    store = keys.KeyStore(t.spark, f"{shared_folder(t.spark)}/keys", buckets=8, merge_runs=2)
+    for turn in range(3):
+        tables.append_items(found.filter(mod("doc_id", 3) <= turn).withColumn("title", F.concat(F.lit(f"{turn} "), "title")),
+                            path, a.AS_OF, keys=store)
+    return tables.read_items(t.spark, path).select("id", "title", "source", day("published_at"))
+
+
 @query
 def stored_runs(t):
     """Run records of three sweeps, less the days that retention drops, from a time on."""
@@ -626,6 +637,30 @@ def stream_daily(t):
     return t.spark.read.schema(counts.schema).parquet(f"{folder}/out").select(day("day"), "event_type", "n")
 
 
+def _deliveries(t: Tables) -> DataFrame:
+    folder = shared_folder(t.spark)
+    a.deliveries(t, folder)
+    return sweep.read_stream(t.spark, folder, t.events.schema, max_files=1)
+
+
+@query
+def stream_sweep_indexed(t):
+    """Files that arrive one by one, some rows late: each id is stored once, by way of a bounded state and the index of ids."""
+    folder = shared_folder(t.spark)
+    store = keys.KeyStore(t.spark, f"{folder}/keys", buckets=8, merge_runs=2)
+    sweep.sweep_indexed(a.stream_items(_deliveries(t)), f"{folder}/items", f"{folder}/state", ["event_id"], store, "ts", look_back="7 days")
+    return t.spark.read.parquet(f"{folder}/items").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("event_type").alias("event_type"))
+
+
+@query
+def stream_days(t):
+    """Daily counts kept day by day while files, and late rows, come in."""
+    counts = sweep.daily_counts(_deliveries(t), "ts", ["event_type"])
+    folder = shared_folder(t.spark)
+    sweep.write_days(counts, f"{folder}/out", f"{folder}/state", ["event_type"])
+    return sweep.read_days(t.spark, f"{folder}/out", counts.schema).select(day("day"), "event_type", "n")
+
+
 @query
 def stream_failures(t):
     folder = shared_folder(t.spark)
