@@ -321,6 +321,18 @@ def journals(t: Tables) -> DataFrame:
         F.col("p_size").cast("long").alias("works_count"), F.col("p_type").alias("host_organization_name"))
 
 
+def term_table(t: Tables) -> DataFrame:
+    """The words of the benchmark's passages as terms, of a kind by their length."""
+    words = t.benchmark.select(F.explode(F.split("text", " ")).alias("term")).filter(F.length("term") >= 3).distinct()
+    return words.select(F.element_at(F.array(*map(F.lit, ("topic", "region", "exclude"))), F.length("term") % 3 + 1).alias("kind"), "term")
+
+
+def query_table(t: Tables) -> DataFrame:
+    """A topic query of four words from each question of the conversations."""
+    return t.conversations.filter(F.col("role") == "user").select(
+        F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("query")).distinct()
+
+
 def misspelt_names(t: Tables) -> DataFrame:
     """Of each part whose key a hundred divides, its name without one letter."""
     place = F.expr("cast((p_partkey div 100) % length(p_name) as int)")

@@ -225,6 +225,11 @@ _TERM_TABLE = f"terms(kind, tag, term) AS (VALUES {_TERM_ROWS})"
 _SQL["term_join"] = _with(_ITEMS, _TERM_TABLE) + """
 SELECT id, kind, tag, term FROM items JOIN terms ON contains(txt, term)"""
 
+_SQL["term_table_hits"] = _with(_ITEMS, """terms AS (
+  SELECT ['topic', 'region', 'exclude'][length(term) % 3 + 1] AS kind, term FROM (
+    SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM benchmark) WHERE length(term) >= 3)""") + """
+SELECT id, kind, count(*) AS hits FROM items JOIN terms ON contains(txt, lower(term)) GROUP BY 1, 2"""
+
 _SQL["best_tag"] = _with(_ITEMS, _TERM_TABLE) + """
 , per_tag AS (SELECT id, tag, count(*)::INT AS hits FROM items JOIN terms ON contains(txt, term)
   WHERE kind = 'tag' GROUP BY 1, 2)
@@ -400,6 +405,11 @@ SELECT id, doc_id, 'openalex:' || q AS source FROM items JOIN queries
   ON len(list_filter(string_split(q, ' '), lambda w: NOT contains(txt, w))) = 0
 WHERE published_at >= ({_AS_OF} - INTERVAL 7 DAY)::DATE"""
 
+_SQL["watch_topic_table"] = _with(_ITEMS, """queries AS (
+  SELECT DISTINCT array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM conversations WHERE role = 'user'),
+asked AS (SELECT query, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: w <> '') AS words FROM queries)""") + """
+SELECT id, query FROM items JOIN asked ON len(words) > 0 AND len(list_filter(words, lambda w: NOT contains(txt, w))) = 0"""
+
 _RECENT_LINES = f"l_shipdate >= ({_LIBRARY_AS_OF} - INTERVAL 365 DAY)::DATE"
 _SQL["watch_issn"] = f"""
 SELECT l_orderkey, l_linenumber, l_partkey, 'openalex:issn:' || p_brand AS source

@@ -14,7 +14,7 @@ from fieldscope.functions.columns import ago
 from fieldscope.functions.terms import term_hits
 from fieldscope.functions.venue import venue_adjust
 from fieldscope.operators import (
-    discovery, enrichment, external, health, ingest, journals, packing, retention, scoring, similar)
+    discovery, enrichment, external, health, ingest, journals, packing, retention, scoring, similar, termtable)
 from fieldscope.operators.groups import shared_folder
 from fieldscope.plans import digest, reports
 from fieldscope.schemas import ITEM
@@ -147,6 +147,12 @@ def term_join(t):
     return scoring.term_matches(a.items(t), a.TERMS)
 
 
+@query
+def term_table_hits(t):
+    """Hits per kind of the terms of a table, by one automaton."""
+    return termtable.term_hits(a.items(t), a.term_table(t))
+
+
 @query
 def best_tag(t):
     return scoring.best_tag(a.items(t), a.TERMS).withColumn("hits", F.col("hits").cast("int"))
@@ -354,6 +360,13 @@ def watch_topic(t):
     return found.select("id", "doc_id", "source")
 
 
+@query
+def watch_topic_table(t):
+    """Topic selection by a table of queries."""
+    words = a.items(t).select("id", text.scoring_text(F.col("title"), F.col("summary")).alias("text"))
+    return termtable.topic_matches(words, a.query_table(t))
+
+
 @query
 def watch_issn(t):
     watched = works.selected(t.part, works.issn_labels(F.array("p_brand"), a.WATCHED_ISSNS))
