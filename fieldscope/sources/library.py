@@ -14,6 +14,15 @@ def read_bib(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("seq"), "value")
 
 
+def read_bib_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, value) per entry, for exports of any size: a file is split by bytes, and a row ends where a line starts with
+    the next entry's ``@``, wherever the split lies.  ``seq`` follows files and places in them."""
+    rows = spark.read.option("lineSep", "\n@").text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return rows.select(place.alias("seq"), "value")
+
+
 def read_library_json(spark: SparkSession, path: str) -> DataFrame:
     """(seq, at, data) per record of landed JSON pages."""
     pages = spark.read.schema(LIBRARY_RECORD).option("multiLine", True).json(path)

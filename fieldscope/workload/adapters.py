@@ -230,6 +230,40 @@ def bib_texts(t: Tables) -> DataFrame:
         F.lit("@article{k"), key, F.lit(", title={T}, "), field, F.lit("}")).alias("value"))
 
 
+def land_bib(t: Tables, folder: str) -> None:
+    """The entries as export files in their order."""
+    ordered = bib_texts(t).repartitionByRange(2, "seq").sortWithinPartitions("seq")
+    ordered.select("value").write.text(folder)
+
+
+def land_json(rows: DataFrame, folder: str, files: int) -> None:
+    """Rows as files of JSON lines, as a collector's fetcher would leave them."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).repartition(files).write.text(folder)
+
+
+def land_notes(t: Tables, folder: str) -> None:
+    """A note per conversation, some of them in files that are no notes."""
+    conv = F.col("conv_id")
+    name = F.concat(conv.cast("string"), F.when(conv % 10 == 3, ".pdf").when(conv % 10 == 5, ".txt").otherwise(".md"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    body = F.concat_ws("\n", F.transform(turns, lambda x: F.concat_ws(": ", x["role"], x["text"])))
+    notes = t.conversations.groupBy("conv_id").agg(body.alias("body")).select(name.alias("name"), "body")
+
+    def write(batches):
+        import pyarrow as pa
+        from fieldscope.sources.landed import _located
+
+        where, top = _located(folder)
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                where.create_dir(top, recursive=True)
+                with where.open_output_stream(f"{top}/{file}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
+
+    notes.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
 def library_records(t: Tables) -> DataFrame:
     """Reference-manager records from events; the props key is the cited work."""
     number = F.regexp_extract("props", r"(\d+)", 1)

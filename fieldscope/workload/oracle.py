@@ -457,6 +457,7 @@ _RECORDS = """records AS (SELECT CASE WHEN event_type = 'view' THEN '10.2000/v'
     || regexp_extract(props, '(\\d+)', 1) AS doi, min(event_id) AS seq
   FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1)"""
 _SQL["library_dois_bib"] = _with(_BIB) + "SELECT doi, seq FROM bib"
+_SQL["library_dois_file"] = _with(_BIB) + "SELECT doi FROM bib"
 _SQL["library_dois_json"] = _with(_RECORDS) + "SELECT doi, seq FROM records"
 _SQL["library_dois"] = _with(_BIB, _RECORDS) + """
 , merged AS (SELECT doi, 0 AS part, seq FROM bib UNION ALL SELECT doi, 1, seq FROM records)
@@ -576,6 +577,29 @@ _SQL["collect_plugins"] = _with(_COLLECTED) + """
 SELECT collector AS source, count(*) AS fetched, 1 AS ok, count(title) AS titles, count(url) AS urls FROM collected GROUP BY 1
 UNION ALL SELECT 'broken', 0, 0, 0, 0"""
 
+_SQL["collect_landed"] = """
+SELECT 'news' AS source, count(*) AS fetched, 1 AS ok, count(*) AS titles, 0::BIGINT AS texts FROM events
+UNION ALL SELECT 'talks', count(*), 1, 0, count(text) FROM conversations
+UNION ALL SELECT 'pages', 0, 0, 0, 0"""
+_NOTES = """notes AS (
+  SELECT conv_id || CASE WHEN conv_id % 10 = 5 THEN '.txt' ELSE '.md' END AS name,
+         string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn, role, text) AS body FROM conversations
+  WHERE conv_id % 10 <> 3 GROUP BY conv_id)"""
+_SQL["notes_read"] = _with(_NOTES) + "SELECT name, length(body) AS n_chars, md5(body) AS digest FROM notes"
+_SQL["notes_block"] = _with(_NOTES, f"""bodies AS (SELECT name, {_strip('body')} AS body FROM notes),
+chunks AS (SELECT name, chr(10) || '--- ' || name || ' ---' || chr(10) || body || chr(10) AS chunk FROM bodies WHERE body <> ''),
+used AS (SELECT *, coalesce(sum(length(chunk)) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM chunks),
+parts AS (SELECT *, CASE WHEN before + length(chunk) <= 6000 THEN chunk
+  WHEN regexp_matches(substring(chunk, 1, 6000 - before), '{_NON_WS}')
+    THEN substring(chunk, 1, 6000 - before) || chr(10) || '[truncated]' || chr(10) END AS part
+  FROM used WHERE before <= 6000),
+blocks AS (SELECT 'NOTES' || chr(10) || string_agg(part, '' ORDER BY name) AS block FROM parts),
+sized AS (SELECT *, (length(block) - length(replace(block, chr(10) || '--- ', ''))) // 5 AS n_docs, length(block)::BIGINT AS n_chars
+  FROM blocks)""") + """
+SELECT block, n_docs::BIGINT AS n_docs, n_chars,
+  n_docs || ' reference document' || CASE WHEN n_docs = 1 THEN '' ELSE 's' END || ', ' || n_chars || ' chars' AS note FROM sized"""
+
 # --- journals --------------------------------------------------------------------------
 
 _JOURNALS = """journals AS (SELECT p_name AS name, CASE WHEN p_type <> 'SMALL' THEN p_brand ELSE '' END AS issn,

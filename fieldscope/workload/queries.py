@@ -19,7 +19,7 @@ from fieldscope.operators.groups import shared_folder
 from fieldscope.plans import digest, reports
 from fieldscope.schemas import ITEM
 from fieldscope.settings import DiscoverySettings
-from fieldscope.sources import entries, keys, library, registry, tables, works
+from fieldscope.sources import entries, keys, landed, library, notes, registry, tables, works
 from fieldscope.streaming import health as live, sweep
 from fieldscope.workload import adapters as a
 from fieldscope.workload.adapters import Tables, mod, text_of
@@ -412,6 +412,14 @@ def library_dois_bib(t):
     return library.dois_from_bib(a.bib_texts(t)).select("doi", F.col("seq.seq").alias("seq"))
 
 
+@query
+def library_dois_file(t):
+    """DOIs of export files that are read entry by entry."""
+    folder = shared_folder(t.spark)
+    a.land_bib(t, folder)
+    return library.dois_from_bib(library.read_bib_entries(t.spark, folder)).select("doi")
+
+
 @query
 def library_dois_json(t):
     return library.dois_from_records(a.library_records(t)).select("doi", F.col("seq.seq").alias("seq"))
@@ -598,6 +606,44 @@ def collect_plugins(t):
         "source", "fetched", "ok", F.coalesce("titles", F.lit(0)).alias("titles"), F.coalesce("urls", F.lit(0)).alias("urls"))
 
 
+@query
+def collect_landed(t):
+    """Two collectors that parse landed files in tasks, and one whose files are broken."""
+    folder = shared_folder(t.spark)
+    news = a.news_entries(t).select("query", "title", "link", "published")
+    talks = t.conversations.select("role", "text")
+    a.land_json(news, f"{folder}/news", 3)
+    a.land_json(talks, f"{folder}/talks", 2)
+    t.pages.select(F.concat(F.lit("no JSON: "), "url").alias("value")).write.text(f"{folder}/pages")
+    schemas = {"news": "title string, link string, published string", "talks": "role string, text string", "pages": "url string"}
+
+    def collector(name):
+        return lambda spark: landed.read_landed(spark, f"{folder}/{name}", "fieldscope.sources.landed:json_lines", schemas[name], 1 << 16)
+
+    items, log = registry.collect_all(t.spark, {name: collector(name) for name in schemas}, f"{folder}/staging")
+    found = items.groupBy("collector").agg(F.count("title").alias("titles"), F.count("text").alias("texts"))
+    return log.join(found, log["source"] == found["collector"], "left").select(
+        "source", "fetched", "ok", F.coalesce("titles", F.lit(0)).alias("titles"), F.coalesce("texts", F.lit(0)).alias("texts"))
+
+
+def _landed_notes(t):
+    folder = shared_folder(t.spark)
+    a.land_notes(t, folder)
+    return notes.read_notes(t.spark, folder)
+
+
+@query
+def notes_read(t):
+    """Landed notes, read as files."""
+    return _landed_notes(t).select("name", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("digest"))
+
+
+@query
+def notes_block(t):
+    """The reference block of a scorer's prompt: landed notes, packed under its budget."""
+    return packing.describe_blocks(packing.pack_budget(_landed_notes(t), [], "name", max_chars=6000, header="NOTES\n"))
+
+
 # --- journals ----------------------------------------------------------------
 
 @query
