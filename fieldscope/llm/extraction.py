@@ -11,6 +11,10 @@ navigation, forms, adverts, notices, comments.
   their host; a template needs both LEAST_PAGES of these and LEAST_SHARE of those of its
   host, or of its host's pages below one first folder.  Outside the part of a page that
   holds most of what its host doesn't repeat, the square root of the host's pages is enough.
+* What is repeated within an article is the article's: bylines, quotes, stock phrases stay.
+  Only boxes before its first or after its last text of its own go.  Where no article is marked, the
+  same holds for the part with most of the page's own text, of which also repeated boxes of several
+  blocks go, and single ones at its ends.
 * Pages are read to their end, however long; tags that are never closed close as in
   HTML, so a broken page loses nothing.
 * No pages, no rows; other columns are ignored, whatever their names.
@@ -58,6 +62,7 @@ _NAMES = re.compile(
 _WRAPS = re.compile(r"(?:^|[-_])(?:has|with|without|no)[-_]")  # of a name that tells what else is there
 _KEEP = frozenset("html body article main".split())
 _CONTAINERS = frozenset("article body center div form html main section table tbody td tr".split())
+_BOXES = frozenset("center details div dl fieldset menu ol section table ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 # Words that make up the names of known parts, and those that may stand beside them.
 _PARTS = frozenset(
@@ -238,8 +243,11 @@ class Page:
         gone = self.declared()
         return {h for h, g, t in zip(self.hashes, gone, self.tags) if h and not g and t not in _KEEP}
 
-    def _main_part(self, gone: list[bool]) -> list[bool] | None:
-        """The articles, unless there is more prose in main or, without one, on the page beside them; else main; else all."""
+    def _main_part(self, gone: list[bool]) -> tuple[bool, list[bool] | None]:
+        """Whether the articles are the main part, and for each element whether it is in it (None: all of the page).
+
+        The articles, unless there is more prose in main or, without one, on the page beside them; else main; else all.
+        """
         left = self._weights(gone)
         links = [t == "a" or g for t, g in zip(self.tags, gone)]
         for i in range(1, len(links)):
@@ -254,14 +262,71 @@ class Page:
                 found[name] = chosen
         articles, main = found.get("article"), found.get("main")
         if articles is None:
-            return main
+            return False, main
         within = total = 0
         for at, _, text in self.texts:
             if not links[at] and (main is None or main[at] or articles[at]):
                 size = len(text.strip())
                 total += size
                 within += size if articles[at] else 0
-        return articles if 2 * within >= total else main
+        return (True, articles) if 2 * within >= total else (False, main)
+
+    def _container(self, weights: list[int], blocks: list[int] | None = None) -> int:
+        """The smallest container with most of the text that is weighed, and of several ``blocks`` where these are given."""
+        at = 0
+        for i in range(1, len(self.tags)):
+            if self.parents[i] == at and self.tags[i] in _CONTAINERS and 2 * weights[i] > weights[0] and (blocks is None or blocks[i] > 1):
+                at = i
+        return at
+
+    def _blocks(self, gone: list[bool]) -> list[int]:
+        """The blocks of text of each element."""
+        found, last = [0] * len(self.tags), None
+        for at, block, text in self.texts:
+            if not gone[at] and block != last and text.strip():
+                found[at], last = found[at] + 1, block
+        for i in range(len(self.tags) - 1, 0, -1):
+            found[self.parents[i]] += found[i]
+        return found
+
+    def _spared(self, gone: list[bool], counted: list[bool], articles: list[bool] | None) -> None:
+        """Take back what of the main part would go for its counts alone, but for boxes.
+
+        ``counted``: elements that are repeated and not declared out.  ``articles``: the elements in the main articles, if
+        these are the main part; else that is the container with most of the text that is left, not a single paragraph.
+        """
+        n, weights = len(self.tags), self._weights(gone)
+        part, tops = [0] * n, [0] * n
+        main = 0 if articles else self._container(weights, self._blocks(gone))
+        for i in range(1, n):
+            above = self.parents[i]
+            part[i] = part[above] or (i if articles and articles[i] else 0)
+            if not articles and (above == main or part[above]):
+                part[i] = main + 1
+            tops[i] = tops[above] or (i if counted[i] else 0)
+        own: dict[int, list[int]] = {}  # of a part, the first and last text that is not repeated
+        ends: dict[int, tuple[int, int]] = {}  # of a repeated subtree, its first and last text
+        blocks: dict[int, set[int]] = {}
+        for at, (i, block, text) in enumerate(self.texts):
+            if not text.strip():
+                continue
+            top = tops[i]
+            if top:
+                ends[top] = (ends[top][0] if top in ends else at, at)
+                blocks.setdefault(top, set()).add(block)
+            elif not gone[i]:
+                own.setdefault(part[i], [at, at])[1] = at
+        spare = set()
+        for top, (first, last) in ends.items():
+            if part[top] in own and part[top]:
+                edge = last < own[part[top]][0] or first > own[part[top]][1]
+                box = self.tags[top] in _BOXES
+                if not (edge and box) if articles else not edge and not (box and len(blocks[top]) > 1):
+                    spare.add(top)
+        declared = self.declared()
+        for i in range(1, n):
+            if tops[i] in spare:
+                gone[i] = declared[i]
 
     def _outside(self, gone: list[bool], often: set[int]) -> list[bool]:
         """For each element, whether it lies outside the smallest container with most of the text that is not repeated.
@@ -272,10 +337,8 @@ class Page:
         own = [g or h in often and t not in _KEEP for g, h, t in zip(gone, self.hashes, self.tags)]
         for i in range(1, n):
             own[i] |= own[self.parents[i]]
-        weights, at = self._weights(own), 0
-        for i in range(1, n):
-            if self.parents[i] == at and self.tags[i] in _CONTAINERS and 2 * weights[i] > weights[0]:
-                at = i
+        weights = self._weights(own)
+        at = self._container(weights)
         if not weights[0]:
             return [False] * n
         around = {at}
@@ -290,13 +353,18 @@ class Page:
         return out
 
     def main_text(self, template: set[int], often: set[int] = frozenset()) -> str:
-        """``template`` goes wherever it is, ``often`` outside the page's main part."""
-        gone = list(self.declared())
+        """Without what is repeated: ``template`` on much of the site, ``often`` on some pages and outside this page's main part."""
+        declared = self.declared()
+        gone = list(declared)
         out = self._outside(gone, often) if often else [False] * len(gone)
+        counted = [False] * len(gone)
         for i in range(1, len(self.tags)):
-            gone[i] = gone[i] or gone[self.parents[i]] or self.tags[i] not in _KEEP and (
+            counted[i] = not declared[i] and self.tags[i] not in _KEEP and (
                 self.hashes[i] in template or out[i] and self.hashes[i] in often)
-        wanted = self._main_part(gone)
+            gone[i] = gone[i] or gone[self.parents[i]] or counted[i]
+        marked, wanted = self._main_part(gone)
+        if True in counted:
+            self._spared(gone, counted, wanted if marked else None)
         blocks, last, pieces = [], None, []
 
         def end() -> None:

@@ -129,10 +129,38 @@ def test_templates_of_sections_and_page_types(spark, tmp_path):
     assert extracted(spark, tmp_path, rows) == want
 
 
-def test_benchmark_pages(spark):
+STAFF = "By our staff writer"
+
+
+def test_what_articles_of_a_host_share_is_theirs(spark, tmp_path):
+    """Ten stories with a byline, a stock phrase and a closing line that all have; the boxes around and below are no part of them."""
+    rows, want = [], {}
+    for i in range(10):
+        rows.append((i, f"https://h.example/news/{i}", f"""<body><div>Top of the site</div><article><h1>Title {i}</h1><p>{STAFF}</p>
+            <p>Story {i} begins.</p><div>{STAFF}</div><p>The sea was calm.</p><p>It ends with {i * i}.</p><p>Reporting by staff.</p>
+            <div>Read more here</div></article><div>All rights reserved</div></body>"""))
+        want[i] = f"Title {i}\n{STAFF}\nStory {i} begins.\n{STAFF}\nThe sea was calm.\nIt ends with {i * i}.\nReporting by staff."
+    assert extracted(spark, tmp_path, rows) == want
+
+
+def test_counts_alone_find_menus(spark, tmp_path):
+    """Pages of nothing but div and span, without names: menus, boxes and footers go by how often they occur."""
+    rows, want = [], {}
+    for i in range(40):
+        menu = "<div><div><span>Home</span></div><div><span>News</span></div><div>Sport</div></div>"
+        box = "<div><div>Sign up</div><div>for our letter</div></div>"
+        story = (f"<div><div>Title {i}</div><div>{STAFF}</div><div>Story {i} begins in the {i * 7}th year of that time.</div>{box}"
+                 f"<div>The sea was calm.</div><div>It goes on for {i * i} days and ends.</div></div>")
+        rows.append((i, f"https://plain.example/{i}", f"<div>{menu}{story}<div><div>Most read: {'abcde'[i % 5]}</div></div><div>Contact</div></div>"))
+        want[i] = f"Title {i}\n{STAFF}\nStory {i} begins in the {i * 7}th year of that time.\nThe sea was calm.\nIt goes on for {i * i} days and ends."
+    assert extracted(spark, tmp_path, rows) == want
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_benchmark_pages(spark, size):
     import html
     import re
-    folder = "/root/testdata/sf0.001"
+    folder = f"/root/testdata/{size}"
     rows = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     for r in e.op6_template_removal(spark, folder).collect():
         source = rows[r.page_id]
