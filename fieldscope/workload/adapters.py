@@ -324,6 +324,18 @@ def backfill_items(t: Tables) -> DataFrame:
     return items(t).withColumn("doi", doi).withColumn("source_ord", F.lit(0)).withColumn("seq", F.col("doc_id"))
 
 
+def collected_twice(t: Tables) -> DataFrame:
+    """All items as two sources deliver them, the second one under other titles."""
+    once = items(t).withColumns({"source_ord": F.lit(0), "seq": F.col("doc_id"), "prefilter_hits": F.lit(None).cast("int")})
+    return once.unionByName(once.withColumns({"source_ord": F.lit(1), "title": F.concat(F.lit("again: "), "title")}))
+
+
+def own_abstracts(t: Tables) -> DataFrame:
+    """An abstract for some of the papers that come without."""
+    return t.documents.filter(mod("doc_id", 30) == 0).select(
+        F.concat(F.lit(" 10.5555/"), text_of("doc_id")).alias("doi"), F.concat(F.lit("<p>the abstract of "), text_of("doc_id"), F.lit("</p>")).alias("abstract"))
+
+
 def abstracts(t: Tables) -> DataFrame:
     return t.benchmark.select(
         F.concat(F.lit("10.6000/a"), text_of("item_id")).alias("doi"),

@@ -600,6 +600,40 @@ sized AS (SELECT *, (length(block) - length(replace(block, chr(10) || '--- ', ''
 SELECT block, n_docs::BIGINT AS n_docs, n_chars,
   n_docs || ' reference document' || CASE WHEN n_docs = 1 THEN '' ELSE 's' END || ', ' || n_chars || ' chars' AS note FROM sized"""
 
+_SUMMARY = f"CASE WHEN doc_id % 5 = 0 THEN '' ELSE {_REST} END AS summary"
+_FILLED = "CASE WHEN doc_id % 30 = 0 THEN 'the abstract of ' || doc_id "
+_SWEPT = f"""swept AS (
+  SELECT id, topic, passes, score, tag, rationale FROM scored
+  WHERE NOT EXISTS (SELECT 1 FROM label_scores s WHERE s.id = scored.id)),
+fresh AS (SELECT id, CASE WHEN passes THEN score ELSE 0 END AS score, CASE WHEN passes THEN tag ELSE 'none' END AS tag,
+  CASE WHEN passes THEN rationale ELSE 'failed prefilter' END AS rationale, passes FROM swept),
+labelled AS (
+  SELECT items.*, coalesce(l.score, f.score) AS score, CASE WHEN l.id IS NULL THEN f.tag ELSE l.tag END AS tag,
+    coalesce(l.rationale, f.rationale) AS rationale
+  FROM items LEFT JOIN label_scores l USING (id) LEFT JOIN fresh f USING (id))"""
+_LOG = f"""log AS (
+  SELECT source || ': ' || 2 * count(*) || ' items' AS id, 2 * count(*) AS n FROM items GROUP BY source
+  UNION ALL SELECT 'abstract backfill: ' || 2 * count(*) FILTER (doc_id % 30 = 0) || ' of ' || 2 * count(*) || ' filled',
+    2 * count(*) FILTER (doc_id % 30 = 0) FROM items_raw
+  WHERE source_type = 'paper' AND (doc_id % 30 = 0 OR {_blank('summary')})
+  UNION ALL SELECT 'scoring: ' || count(*) FILTER (passes) || ' scored, ' || count(*) FILTER (NOT passes) || ' prefiltered, 0 deferred',
+    count(*) FILTER (passes) FROM fresh)"""
+# Stored items keep the summary they have; only new ones are filled.
+_NEW = "doc_id NOT IN (SELECT doc_id FROM labels)"
+_SQL["whole_sweep"] = _with(_ITEMS.replace(_SUMMARY, _SUMMARY.replace("CASE WHEN", f"{_FILLED.replace('THEN', f'AND {_NEW} THEN', 1)}WHEN", 1)),
+                            _LABELS, _SCORED, _SWEPT, _DIGEST, _LOG) + f"""
+SELECT 'new_items' AS part, id, length(summary)::INT AS score FROM items WHERE {_NEW}
+UNION ALL SELECT 'run_log', id, n::INT FROM log
+UNION ALL SELECT 'new_scores', id, score FROM fresh
+UNION ALL (SELECT 'listing', id, score FROM labelled WHERE score >= 6 AND {_PUBLIC} AND {_since(f"{_AS_OF} - INTERVAL 14 DAY")}
+  ORDER BY effective_at DESC, score DESC, id LIMIT 300)
+UNION ALL (SELECT 'top_picks', id, score FROM labelled WHERE score >= 8 AND {_PUBLIC} AND {_since(f"{_AS_OF} - INTERVAL 48 HOUR")}
+  ORDER BY score DESC, effective_at DESC, id LIMIT 8)
+UNION ALL (SELECT 'shortlist', id, score FROM labelled WHERE score >= 6 AND source ILIKE 'library%' AND fetched_at >= {_AS_OF} - INTERVAL 10 DAY
+  ORDER BY score DESC, effective_at DESC, id LIMIT 30)
+UNION ALL SELECT 'digest_rows', id, score FROM digest
+UNION ALL SELECT 'kept', id, score FROM labelled WHERE coalesce(score >= 6, false) OR {_since(f"{_AS_OF} - INTERVAL 10 DAY")}"""
+
 # --- journals --------------------------------------------------------------------------
 
 _JOURNALS = """journals AS (SELECT p_name AS name, CASE WHEN p_type <> 'SMALL' THEN p_brand ELSE '' END AS issn,

@@ -6,6 +6,7 @@ Each query reads whole tables.  Dates and times are returned as text.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,8 +17,8 @@ from fieldscope.functions.venue import venue_adjust
 from fieldscope.operators import (
     discovery, enrichment, external, health, ingest, journals, packing, retention, scoring, similar, termtable)
 from fieldscope.operators.groups import shared_folder
-from fieldscope.plans import digest, reports
-from fieldscope.schemas import ITEM
+from fieldscope.plans import digest, reports, sweep as plan
+from fieldscope.schemas import ITEM, SCORE
 from fieldscope.settings import DiscoverySettings
 from fieldscope.sources import entries, keys, landed, library, notes, registry, tables, works
 from fieldscope.streaming import health as live, sweep
@@ -644,6 +645,20 @@ def notes_block(t):
     return packing.describe_blocks(packing.pack_budget(_landed_notes(t), [], "name", max_chars=6000, header="NOTES\n"))
 
 
+@query
+def whole_sweep(t):
+    """One sweep over stored items and scores: what it stores, logs, reports and keeps, all from the same rows."""
+    stored = a.items(t).join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    cfg = plan.SweepSettings(a.TERMS, a.WORKSTREAMS, a.WEIGHTS, a.REPORT, keep_days=10)
+    out = plan.sweep(a.collected_twice(t), ingest.conform(stored, ITEM), ingest.conform(a.label_scores(t), SCORE), a.own_abstracts(t),
+                     a.AS_OF, cfg, last_sent="2024-01-18 09:00:00")
+    log = out["run_log"].select(F.concat("source", F.lit(": "), "note").alias("id"), F.col("fetched").cast("int").alias("score"))
+    parts = {name: out[name].select("id", "score") for name in ("new_scores", "listing", "top_picks", "shortlist", "digest_rows", "kept")}
+    parts |= {"new_items": out["new_items"].select("id", F.length("summary").alias("score")), "run_log": log}
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("part"), "id", F.col("score").cast("int").alias("score"))
+                                          for name, rows in parts.items()])
+
+
 # --- journals ----------------------------------------------------------------
 
 @query
