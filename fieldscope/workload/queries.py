@@ -151,7 +151,7 @@ def term_join(t):
 @query
 def term_table_hits(t):
     """Hits per kind of the terms of a table, by one automaton."""
-    return termtable.term_hits(a.items(t), a.term_table(t))
+    return termtable.term_hits(a.items(t).repartition("id"), a.term_table(t))
 
 
 @query
@@ -365,7 +365,7 @@ def watch_topic(t):
 def watch_topic_table(t):
     """Topic selection by a table of queries."""
     words = a.items(t).select("id", text.scoring_text(F.col("title"), F.col("summary")).alias("text"))
-    return termtable.topic_matches(words, a.query_table(t))
+    return termtable.topic_matches(words.repartition("id"), a.query_table(t))
 
 
 @query
