@@ -8,6 +8,10 @@ the decompressed frame, so one record costs one small read.
 Records with equal payloads are stored once: the one with the smallest page_id is
 the response, the others are revisits that refer to it.
 
+A record's id is its page_id and a number of its row, so rows without a page_id, or that repeat
+one, have ids of their own; a revisit refers to one record.  A target URI keeps its escapes; where
+it holds what may not stand in a header, that is escaped and the URL as it was stands beside it.
+
 * A NULL payload is an empty one.  Payloads below ``LEAST`` bytes are never revisits.
 * Rows that repeat the smallest page_id of a payload are all responses.
 * A NULL page_id is never the smallest; rows of a payload without any page_id are responses.
@@ -20,6 +24,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -44,37 +49,47 @@ _READ = "page_id long, url string, payload_bytes long, payload_digest string, re
 
 
 def with_responses(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Add ``payload_digest``, ``payload_bytes`` and ``first_id``, the response of a payload that several rows have.
+    """Add ``payload_digest``, ``payload_bytes``, ``row``, a number of the row, and ``first_id`` and ``first_row`` of the response
+    to a payload that several rows have.
 
     Groups are found on digests alone.  They are written first, so the join
-    is one whose large keys Spark can deal out to several tasks.
+    is one whose large keys Spark can deal out to several tasks.  ``pages`` is a
+    stored table: rows are numbered by their place in it.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     known = pages.select("page_id", "url", "html").withColumn("payload_digest", F.sha2(payload, 256)).withColumn(
-        "payload_bytes", F.octet_length(payload).cast("long"))
+        "payload_bytes", F.octet_length(payload).cast("long")).withColumn("row", F.monotonically_increasing_id())
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row")))
     groups = kept(known.filter(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("_digest")).agg(
-        F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "payloads")
+        first.alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
+        "_digest", F.col("_first.page_id").alias("first_id"), F.col("_first.row").alias("first_row")), "payloads")
     return known.join(groups, F.col("payload_digest") == F.col("_digest"), "left").drop("_digest")
 
 
-def _identifier(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _identifier(page_id: int | None, row: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{row:x}>"
 
 
 def _page_of(identifier: str) -> int | None:
-    digits = identifier[len("<urn:page:"):-1]
+    digits = identifier[len("<urn:page:"):-1].partition(":")[0]
     return int(digits) if digits else None
 
 
-def record(page_id, url, payload: bytes, digest: str, size: int, first_id) -> bytes:
+def _targets(url: str) -> list[tuple[str, str]]:
+    """The header of a URL, and one that gives it back where not all of it may stand in a header."""
+    safe = re.sub(r"[\x00-\x20\x7f-\x9f\u2028\u2029]", lambda m: quote(m[0]), url)
+    return [("WARC-Target-URI", safe)] if safe == url and safe else [("WARC-Target-URI", safe or "urn:none"), ("X-Target-URL", quote(url, safe=""))]
+
+
+def record(page_id, row, url, payload: bytes, digest: str, size: int, first_id, first_row) -> bytes:
     """One WARC record; a revisit keeps the digest and length of the payload that it leaves out."""
     revisit = first_id is not None and page_id != first_id
-    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _identifier(page_id)),
+    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _identifier(page_id, row)),
             ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(size))]
     if url is not None:
-        head.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url)))
+        head += _targets(url)
     if revisit:
-        head += [("WARC-Profile", _SAME_PAYLOAD), ("WARC-Refers-To", _identifier(first_id))]
+        head += [("WARC-Profile", _SAME_PAYLOAD), ("WARC-Refers-To", _identifier(first_id, first_row))]
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block += b"" if revisit else payload
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -160,7 +175,7 @@ def write(pages: DataFrame, folder: str, frame: int = FRAME, bundle: int = BUNDL
             if out is None:
                 out = BundleWriter(files.fresh_name(folder, ".warc.zst"))
             number, at = out.add(bytes(data))
-            rows = [(page, _identifier(page), out.uri, number, at, place, length) for page, place, length in waiting]
+            rows = [(page, name, out.uri, number, at, place, length) for page, name, place, length in waiting]
             waiting, data = [], bytearray()
             if out.at >= bundle:
                 out.close()
@@ -169,9 +184,9 @@ def write(pages: DataFrame, folder: str, frame: int = FRAME, bundle: int = BUNDL
 
         for batch in batches:
             for row in range(batch.num_rows):
-                page, url, html, digest, size, first = (batch.column(i)[row].as_py() for i in range(6))
-                made = record(page, url, html or b"", digest, size, first)
-                waiting.append((page, len(data), len(made)))
+                page, at, url, html, digest, size, first, first_row = (batch.column(i)[row].as_py() for i in range(8))
+                made = record(page, at, url, html or b"", digest, size, first, first_row)
+                waiting.append((page, _identifier(page, at), len(data), len(made)))
                 data += made
                 if len(data) >= frame:
                     yield flush()
@@ -181,8 +196,8 @@ def write(pages: DataFrame, folder: str, frame: int = FRAME, bundle: int = BUNDL
             out.close()
 
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary"), "payload_digest",
-                        "payload_bytes", F.col("first_id").cast("long"))
+    rows = pages.select(F.col("page_id").cast("long"), "row", "url", F.col("html").cast("binary"), "payload_digest",
+                        "payload_bytes", F.col("first_id").cast("long"), "first_row")
     rows.mapInArrow(run, _INDEX).write.parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(_INDEX).parquet(f"{folder}/index")
 
@@ -205,7 +220,7 @@ def read(index: DataFrame) -> DataFrame:
                 refers = head.get("WARC-Refers-To")
                 if refers is None and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"{head['WARC-Record-ID']} in {name} is damaged")
-                url = head.get("WARC-Target-URI")
+                url = unquote(head["X-Target-URL"]) if "X-Target-URL" in head else head.get("WARC-Target-URI")
                 rows.append((_page_of(head["WARC-Record-ID"]), url, size, digest, head["WARC-Type"],
                              None if refers is None else _page_of(refers)))
             yield _batch(rows, _READ)

@@ -36,7 +36,31 @@ def test_one_record_is_read_by_its_index_row(spark):
     assert index.count() == len(ROWS) and index.select("bundle").distinct().count() > 1
     row = warc.read(index.filter("page_id = 5")).first()
     assert (row.page_id, row.payload_bytes, row.record_type) == (5, 5, "response")
-    assert warc.read(index.filter("page_id = 4")).first().url == "http://a/ü%204%0D%0AX:%20y"
+    assert warc.read(index.filter("page_id = 4")).first().url == "http://a/ü 4\r\nX: y"
+
+
+URLS = ["http://h/a%20b", "http://h/%C3%BC?q=100%", "http://h/ü/\U0001F600", "http://h/a b", "x\ty\r\nz: 1", "", " ", "%", "urn:none", None, "a: b"]
+
+
+def test_urls_are_read_back_as_they_were(spark):
+    rows = [(i, u, "x") for i, u in enumerate(URLS)]
+    index = warc.write(warc.with_responses(cases.pages(spark, rows)), new_folder(spark, "warc-test"))
+    assert {r.page_id: r.url for r in warc.read(index).collect()} == dict(enumerate(URLS))
+    head, _, _ = warc.parse(warc.record(1, 0, "http://h/a%20b c", b"", "", 0, None, None))
+    assert head["WARC-Target-URI"] == "http://h/a%20b%20c"
+
+
+def test_every_record_has_an_id_and_revisits_name_one(spark):
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, "u", BODY) for i in range(30)]
+    index = warc.write(warc.with_responses(cases.pages(spark, rows)), new_folder(spark, "warc-test"), frame=2000)
+    ids = [r.record_id for r in index.collect()]
+    assert len(set(ids)) == len(rows)
+    referred = set()
+    for r in index.collect():
+        head, _, _ = warc.parse(warc.BundleReader(r.bundle).frame(r.frame), r.place)
+        assert head["WARC-Record-ID"] == r.record_id
+        referred |= {head["WARC-Refers-To"]} if "WARC-Refers-To" in head else set()
+    assert len(referred) == 1 and referred <= set(ids)
 
 
 def test_frames_stand_alone_and_the_seek_table_is_standard(spark, tmp_path):
