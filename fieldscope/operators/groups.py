@@ -44,10 +44,16 @@ def keep_first(df: DataFrame, keys, order) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The name of a new folder that driver and executors share: below ``spark.checkpoint.dir``, or where that is
-    unset below the warehouse.  It goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    unset below the warehouse.  It goes when the driver ends.
+
+    A warehouse on the driver's own disk is shared with no other machine, so on a cluster it is refused.
+    """
+    chosen = spark.conf.get("spark.checkpoint.dir", None)
+    base = chosen or spark.conf.get("spark.sql.warehouse.dir")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/fieldscope-{uuid.uuid4().hex}")
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not chosen and store.getScheme() == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder, and the warehouse is on this machine's disk")
     store.mkdirs(path)
     store.deleteOnExit(path)
     return f"{store.makeQualified(path).toString()}/data"

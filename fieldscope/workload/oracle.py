@@ -499,6 +499,7 @@ _SQL["library_discovery"] = _with(_LIBRARY) + """
 SELECT work_id::VARCHAR AS work_id, published::VARCHAR AS published,
   CASE WHEN citing THEN 'library: cites your library' ELSE 'library: author you read' END AS source
 FROM found WHERE citing OR (article AND work_id IN (SELECT work_id FROM wrote))"""
+_SQL["library_discovery_stored"] = _SQL["library_discovery"]
 _SQL["distinct_first"] = "SELECT l_partkey, min(l_orderkey) AS seq FROM lineitem GROUP BY 1"
 
 # --- enrichment and packing --------------------------------------------------------------

@@ -20,7 +20,7 @@ from fieldscope.operators.groups import shared_folder
 from fieldscope.plans import digest, reports, sweep as plan
 from fieldscope.schemas import ITEM, SCORE
 from fieldscope.settings import DiscoverySettings
-from fieldscope.sources import entries, keys, landed, library, notes, registry, tables, works
+from fieldscope.sources import entries, graph, keys, landed, library, notes, registry, tables, works
 from fieldscope.streaming import health as live, sweep
 from fieldscope.workload import adapters as a
 from fieldscope.workload.adapters import Tables, mod, text_of
@@ -486,6 +486,19 @@ def library_discovery(t):
     return found.select("work_id", "source", day("published"))
 
 
+@query
+def library_discovery_stored(t):
+    """Discovery from works and edges that two sweeps have stored, one of them twice."""
+    store = graph.WorkGraph(t.spark, shared_folder(t.spark), buckets=8)
+    nested = a.nested_works(t)
+    second = F.endswith("id", F.lit("1"))
+    for turn, part in enumerate((~second, second, second)):
+        store.add(nested.filter(part), min(turn, 1))
+    library_ = discovery.resolve_library(a.order_library(t), store.works())
+    found = discovery.discover(store.works(), library_, store.citations(), store.authorships(), _cutoff(), DiscoverySettings(discovery_days=365))
+    return found.select("work_id", "source", day("published"))
+
+
 @query
 def distinct_first(t):
     return discovery.distinct_first(t.lineitem, "l_partkey", "l_orderkey")

@@ -1,0 +1,56 @@
+from conftest import plan_of
+from fieldscope.operators import discovery
+from fieldscope.schemas import WORK
+from fieldscope.sources.graph import WorkGraph
+
+AUTHOR = "https://openalex.org/A"
+
+
+def works(spark, rows):
+    """(number, cited numbers, author numbers)"""
+    made = [{"id": f"https://openalex.org/W{n}", "doi": f"10.1/{n}", "title": f"t{n}", "type": "article", "publication_date": "2024-03-01",
+             "authorships": [{"author": {"id": f"{AUTHOR}{a}"}} for a in authors], "referenced_works": [f"https://openalex.org/W{c}" for c in cited]}
+            for n, cited, authors in rows]
+    return spark.createDataFrame(made, WORK)
+
+
+ROWS = [(i, [i + 1, i // 2], [i % 5]) for i in range(40)]
+
+
+def stored(spark, tmp_path):
+    graph = WorkGraph(spark, f"file://{tmp_path}/graph", buckets=4)
+    graph.add(works(spark, ROWS[:25]), 0)
+    graph.add(works(spark, ROWS[25:]), 1)
+    return graph
+
+
+def test_stored_edges_are_those_of_the_works(spark, tmp_path):
+    graph, all_ = stored(spark, tmp_path), works(spark, ROWS)
+    for mine, theirs in ((graph.citations(), discovery.citation_edges(all_)), (graph.authorships(), discovery.authorship_edges(all_)),
+                         (graph.works(), discovery.work_table(all_))):
+        assert sorted(map(tuple, mine.select(*theirs.columns).collect()), key=str) == sorted(map(tuple, theirs.collect()), key=str)
+
+
+def test_a_repeated_sweep_replaces_its_own_rows(spark, tmp_path):
+    graph = stored(spark, tmp_path)
+    graph.add(works(spark, ROWS[25:30]), 1)
+    assert graph.works().count() == 30
+    for table in ("works", "citations", "authorships"):
+        spark.sql(f"DROP TABLE {graph._name(table)}")  # the catalog of a new cluster
+    again = WorkGraph(spark, f"file://{tmp_path}/graph", buckets=4)
+    assert again.works().count() == 30 and again.citations().count() == 60
+
+
+def test_stored_citations_are_not_shuffled(spark, tmp_path):
+    graph = stored(spark, tmp_path)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        library = graph.works().filter("work_id IN ('W3', 'W7')").selectExpr("work_id", "1 AS seq")
+        plan = plan_of(graph.citations().join(library.selectExpr("work_id AS cited_id"), "cited_id", "left_semi"))
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == 2  # works are bucketed alike
+        found = discovery.citing_ids(library, graph.citations())
+        assert {r.work_id for r in found.collect()} == {"W2", "W6", "W7", "W14", "W15"}
+    finally:
+        spark.conf.set(key, before)
