@@ -6,19 +6,23 @@ and no more, and one that fails is a failed job of its own.
 
 from __future__ import annotations
 
-import importlib
+import base64
 import json
-from collections.abc import Iterable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TASK_BYTES = 64 << 20
+# From a file's name and bytes to the rows in it, as dicts.
+Parser = Callable[[str, bytes], Iterable[dict]]
 
 
-def _located(uri: str) -> tuple[fs.FileSystem, str]:
+def located(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("s3a://"):
         uri = "s3" + uri[3:]
     if uri.startswith("file:/") and not uri.startswith("file://"):
@@ -28,16 +32,11 @@ def _located(uri: str) -> tuple[fs.FileSystem, str]:
 
 def _files(path: str) -> list[tuple[str, int]]:
     """Names and sizes of a folder's files, in order; what starts with a dot or an underscore is no data."""
-    where, top = _located(path)
+    where, top = located(path)
     found = where.get_file_info(fs.FileSelector(top, recursive=True))
     return sorted((f.path, f.size) for f in found if f.is_file and f.base_name[:1] not in "._")
 
 
-def _parser(name: str):
-    module, _, function = name.partition(":")
-    return getattr(importlib.import_module(module), function)
-
-
 @dataclass
 class _Chunk(InputPartition):
     files: list[str]
@@ -59,8 +58,8 @@ class _Reader(DataSourceReader):
         return [_Chunk(c) for c in chunks]
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
-        where, _ = _located(self.path)
-        parse = _parser(self.parser)
+        where, _ = located(self.path)
+        parse: Parser = pickle.loads(base64.b64decode(self.parser))
         for name in partition.files:
             with where.open_input_stream(name) as stream:
                 for row in parse(name, stream.read()):
@@ -68,7 +67,7 @@ class _Reader(DataSourceReader):
 
 
 class LandedFiles(DataSource):
-    """Options: ``path``, ``parser`` (``module:function``, from a file's name and bytes to dicts) and ``taskBytes``."""
+    """Options: ``path``, ``parser`` (a pickled function, as ``read_landed`` puts it) and ``taskBytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -78,9 +77,11 @@ class LandedFiles(DataSource):
         return _Reader(schema, self.options)
 
 
-def read_landed(spark: SparkSession, path: str, parser: str, schema: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+def read_landed(spark: SparkSession, path: str, parser: Parser, schema: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The rows of a folder's files.  The parser travels with the query, so executors need no copy of its module."""
     spark.dataSource.register(LandedFiles)
-    return spark.read.format("landed").schema(schema).option("parser", parser).option("taskBytes", task_bytes).load(path)
+    packed = base64.b64encode(cloudpickle.dumps(parser)).decode()
+    return spark.read.format("landed").schema(schema).option("parser", packed).option("taskBytes", task_bytes).load(path)
 
 
 def json_lines(name: str, data: bytes) -> Iterable[dict]:

@@ -5,12 +5,14 @@ The rules are arbitrary but fixed; ``oracle.py`` states the same ones in SQL.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldscope.functions.columns import let
 from fieldscope.functions.identity import item_id
 from fieldscope.operators import discovery
 from fieldscope.settings import ReportSettings, TermModel, VenueWeights, Workstream
+from fieldscope.sources.landed import located
 
 AS_OF = "2024-01-20 12:00:00"
 EVENTS_AS_OF = "2024-01-30 00:00:00"
@@ -250,10 +252,7 @@ def land_notes(t: Tables, folder: str) -> None:
     notes = t.conversations.groupBy("conv_id").agg(body.alias("body")).select(name.alias("name"), "body")
 
     def write(batches):
-        import pyarrow as pa
-        from fieldscope.sources.landed import _located
-
-        where, top = _located(folder)
+        where, top = located(folder)
         for batch in batches:
             for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 where.create_dir(top, recursive=True)

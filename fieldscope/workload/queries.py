@@ -632,7 +632,7 @@ def collect_landed(t):
     schemas = {"news": "title string, link string, published string", "talks": "role string, text string", "pages": "url string"}
 
     def collector(name):
-        return lambda spark: landed.read_landed(spark, f"{folder}/{name}", "fieldscope.sources.landed:json_lines", schemas[name], 1 << 16)
+        return lambda spark: landed.read_landed(spark, f"{folder}/{name}", landed.json_lines, schemas[name], 1 << 16)
 
     items, log = registry.collect_all(t.spark, {name: collector(name) for name in schemas}, f"{folder}/staging")
     found = items.groupBy("collector").agg(F.count("title").alias("titles"), F.count("text").alias("texts"))

@@ -11,7 +11,7 @@ def test_files_are_parsed_in_tasks(spark, tmp_path):
         (tmp_path / f"{i}.json").write_text("\n".join(json.dumps({"title": f"é{i}-{k}", "n": k, "more": 1}) for k in range(i)) + "\n")
     (tmp_path / "_SUCCESS").write_text("")
     (tmp_path / ".hidden").write_text("no JSON")
-    df = landed.read_landed(spark, f"file://{tmp_path}", "fieldscope.sources.landed:json_lines", "n long, title string, absent string", 100)
+    df = landed.read_landed(spark, f"file://{tmp_path}", landed.json_lines, "n long, title string, absent string", 100)
     rows = df.withColumn("task", F.spark_partition_id()).collect()
     assert sorted((r.n, r.title, r.absent) for r in rows) == sorted((k, f"é{i}-{k}", None) for i in range(6) for k in range(i))
     assert len({r.task for r in rows}) >= 2
@@ -19,7 +19,7 @@ def test_files_are_parsed_in_tasks(spark, tmp_path):
 
 def test_notes_with_front_matter(spark, tmp_path):
     (tmp_path / "a.md").write_text("Title: On: grids\nvenue: x\nno colon\n\nbody\n\nmore")
-    df = landed.read_landed(spark, str(tmp_path), "fieldscope.sources.landed:front_matter", "title string, venue string, body string")
+    df = landed.read_landed(spark, str(tmp_path), landed.front_matter, "title string, venue string, body string")
     assert [tuple(r) for r in df.collect()] == [("On: grids", "x", "body\n\nmore")]
 
 
@@ -28,11 +28,11 @@ def test_a_plug_in_that_fails_is_a_record(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "1.json").write_text(text)
 
-    def collector(name, parser="fieldscope.sources.landed:json_lines"):
+    def collector(name, parser=landed.json_lines):
         return lambda s: landed.read_landed(s, str(tmp_path / name), parser, "title string")
 
     found = {"good": collector("good"), "bad": collector("bad"), "missing": collector("missing"), "empty": collector("empty"),
-             "unknown": collector("good", "no.such.module:parse")}
+             "unknown": collector("good", lambda name, data: [{"title": 1 // 0}])}
     items, log = registry.collect_all(spark, found, str(tmp_path / "staging"))
     assert [(r.collector, r.title, r.source_ord) for r in items.collect()] == [("good", "a", 0)]
     assert [(r.source, r.fetched, r.ok) for r in log.collect()] == [
