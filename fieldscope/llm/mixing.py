@@ -53,7 +53,7 @@ def _located(documents: DataFrame) -> tuple[DataFrame, DataFrame, list]:
     spark = documents.sparkSession
     narrow = kept(documents.select(
         "doc_id", "source", n_words(whole_text()).alias("size"), F.xxhash64(whole_text()).alias("_text"),
-        F.xxhash64("doc_id", F.lit(SEED)).alias("_hash"), F.monotonically_increasing_id().alias("_row")), "mixing")
+        F.xxhash64("doc_id", F.xxhash64(whole_text()), F.lit(SEED)).alias("_hash"), F.monotonically_increasing_id().alias("_row")), "mixing")
     # One row for each source: the table of weights of the mixture, which its user writes.
     found = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r.source is None, r.source or ""))

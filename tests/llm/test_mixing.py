@@ -81,3 +81,11 @@ def test_odd_rows(spark):
         mixed, taken = mixing.mix(empty)
         assert mixed.count() == 0 and all(r.taken == 0 for r in taken.collect())
         assert mixing.mixed_documents(empty).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_are_located_in_many_slices(spark, doc_id):
+    rows = [(doc_id if i % 3 == 0 else 1000 + i, f"text {i}", "en", "a") for i in range(3000)]
+    located, _, _ = mixing._located(cases.documents(spark, rows))
+    assert located.select("_first").distinct().count() == 3000
+    assert max(r["count"] for r in located.groupBy("_slice").count().collect()) < 500
