@@ -109,8 +109,9 @@ BUDGET = 1 << 16
 
 def pack_documents(documents: DataFrame, carry: tuple[str, ...] = (), buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """Documents by their number of words; ``carry`` names further columns to keep."""
-    narrow = documents.select("doc_id", *carry, n_words(whole_text()).alias("n_words"))
-    return pack(narrow, "n_words", ["doc_id"], buckets, budget)
+    narrow = documents.select("doc_id", *carry, n_words(whole_text()).alias("n_words"), F.xxhash64(whole_text()).alias("_text"))
+    # Rows without a doc_id, or of the same one, are told apart by their texts, so they fill slices of their own.
+    return pack(narrow, "n_words", ["doc_id", "_text"], buckets, budget)
 
 
 def op3_length_buckets(spark, sf_dir: str) -> DataFrame:

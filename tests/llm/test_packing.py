@@ -2,6 +2,7 @@ import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from fieldscope.llm import packing
@@ -52,3 +53,14 @@ def test_odd_rows(spark):
     assert len(got) == len(cases.DOCUMENTS)
     assert sorted(r.n_words for r in got)[-1] == 30_000
     assert packing.pack_documents(cases.documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_are_numbered_in_many_slices(spark, monkeypatch, doc_id):
+    rows = [(doc_id if i % 3 == 0 else 1000 + i, f"text {i}", "en", "a") for i in range(3000)]
+    seen = []
+    whole = packing.running_sum
+    monkeypatch.setattr(packing, "running_sum", lambda df, *rest: (seen.append(df), whole(df, *rest))[1])
+    found = packing.pack_documents(cases.documents(spark, rows)).collect()
+    assert len({(r.bucket, r.batch, r.place) for r in found}) == len(found) == 3000
+    assert max(r["count"] for r in seen[0].groupBy("bucket", "_slice").count().collect()) < 500
