@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round sends every node's larger neighbours, then its smaller ones, to
     its smallest: stars grow together, and their number of rounds grows with the
-    logarithm of the longest path.  A round's links are written, never collected.
+    logarithm of the longest path.  A round's links are written, never collected, and
+    so is the result: Spark deals out large keys of joins with written tables.
     """
     now = kept(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     while True:
@@ -29,5 +30,5 @@ def components(links: DataFrame) -> DataFrame:
         if next_.count() == now.count() and next_.exceptAll(now).isEmpty():
             break
         now = next_
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
-        now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    return kept(now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
+        now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()), "components")

@@ -9,11 +9,15 @@ edges, from each class to the smallest, are candidates, so there are never more
 them than entries; each is confirmed on the full sets.
 
 A star can hide a link between two classes of a bucket that its centre doesn't
-confirm.  So in buckets whose classes are still in several components, those outside
-the first one are held against the others by odd sketches: 2,048 parity bits of a
-set, in which two sets differ by no more bits than they differ by shingles.  Pairs
-with more bits than a link allows are ruled out for sure, where they meet, and never
-become rows; the few others are confirmed on the full sets.
+confirm.  So the sets of buckets whose classes are still in several components are
+joined exactly: with shingles in order of how few of these sets have them, two linked
+sets share one among the first ninth of the smaller and the first fifth of the larger.
+Sets of different components that meet on such a shingle, and whose sizes and places
+in this order leave room for a link, are candidates.  No bucket is held against itself.
+
+Odd sketches rule candidates of both kinds out for sure: 2,048 parity bits of a
+set, in which two sets differ by no more bits than they differ by shingles.  Only the
+texts of pairs with as few bits as a link allows are compared.
 
 * Letters A-Z count as small ones.  A NULL or empty text, or one without words, has
   an empty set and no links; fewer than ``width`` words are one shingle.
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldscope.llm.common import kept, small_batches, whole_text
 from fieldscope.llm.components import components
@@ -184,6 +188,12 @@ def _named(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.select(*[F.col(c).alias(f"{prefix}{c}") for c in rows.columns])
 
 
+def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs of ``a`` and ``b`` that sizes and sketches don't rule out."""
+    return pairs.join(_named(sketches, "a_"), F.col("a") == F.col("a_doc_id")).join(
+        _named(sketches, "b_"), F.col("b") == F.col("b_doc_id")).filter(_may_link("a_", "b_")).select("a", "b").distinct()
+
+
 def near_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """Each row's ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id that links reach."""
     small_batches(documents.sparkSession)
@@ -200,10 +210,10 @@ def near_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     starred = kept(entries.join(kept(stars, "stars"), "bucket").select("bucket", "a", F.col("doc_id").alias("b")), "starred")
     sketches = first.select("doc_id", "n_shingles", *_BITS)
     edges = kept(starred.filter("a < b").select("a", "b").distinct(), "edges")
-    pairs = edges.join(_named(sketches, "a_"), F.col("a") == F.col("a_doc_id")).join(
-        _named(sketches, "b_"), F.col("b") == F.col("b_doc_id")).filter(_may_link("a_", "b_")).select("a", "b").distinct()
-    links = kept(_links(_common(kept(pairs, "pairs"), documents, width)), "near-links")
-    rest = kept(_hidden(starred, sketches, components(links)), "rest")
+    links = kept(_links(_common(kept(_promising(edges, sketches), "pairs"), documents, width)), "near-links")
+    members = _open_members(starred, components(links))
+    hidden = kept(_hidden(_shingle_rows(documents, members, width)), "hidden")
+    rest = kept(_promising(hidden, sketches), "rest")
     links = links.unionByName(kept(_links(_common(rest, documents, width)), "more-links"))
     same = real.join(classes.select(F.col("_a").alias("set_a"), F.col("_b").alias("set_b"), "class"), ["set_a", "set_b"])
     copies = same.filter(F.col("class") != F.col("doc_id")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
@@ -212,21 +222,56 @@ def near_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _hidden(starred: DataFrame, sketches: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs in a bucket that may be links although their components differ so far.
+def _open_members(starred: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id`` and ``component`` of all in buckets of three or more that lie in several components."""
+    known = kept(starred.select("bucket", "b").join(found, F.col("b") == F.col("node"), "left").select(
+        "bucket", F.col("b").alias("doc_id"), F.coalesce("component", "b").alias("component")), "known")
+    open_ = known.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"),
+                                        F.count(F.lit(1)).alias("_n")).filter("_low < _high AND _n > 2").select("bucket")
+    return kept(known.join(kept(open_, "open-buckets"), "bucket", "left_semi").select("doc_id", "component").distinct(),
+                "open-members")
+
+
+def _shingle_rows(documents: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """A row for each shingle of the members' sets, named by ``doc_id`` and a hash of the set, with its size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for doc_id, component, text in zip(*batch.columns):
+                s = shingles(text.as_py(), words, width)
+                same = [doc_id.as_py(), component.as_py(), xxhash.xxh3_64_intdigest(s.tobytes(), 1) - (1 << 63), len(s)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(s), v, np.int64)) for v in same], pa.array(s.view(np.int64))],
+                                                 ["doc_id", "component", "set", "n", "shingle"])
+
+    texts = documents.select("doc_id", whole_text().cast("binary").alias("text")).join(members, "doc_id")
+    return texts.select("doc_id", "component", "text").mapInArrow(
+        run, "doc_id long, component long, set long, n long, shingle long")
+
+
+def _hidden(rows: DataFrame) -> DataFrame:
+    """Pairs of documents whose sets, given shingle by shingle, may be linked although their components differ so far.
 
-    Of every such pair one lies outside the bucket's first component, which in
-    a large group of near copies is the component of nearly all.
+    Linked sets of ``n`` and ``m >= n`` shingles share at least ``PERCENT / (100 + PERCENT)``
+    of ``n + m``, so in any common order they share one among the first places counted
+    below.  A shingle that only one component has there joins nothing.  Elsewhere one side
+    of a pair lies outside the shingle's first component, which in a large group of near
+    copies is the component of nearly all.
     """
-    known = starred.select("bucket", "b").join(found, F.col("b") == F.col("node"), "left").select(
-        "bucket", "b", F.coalesce("component", "b").alias("component"))
-    open_ = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("_high"),
-                                        F.count(F.lit(1)).alias("_n")).filter("low < _high AND _n > 2").select("bucket", "low")
-    members = kept(known.join(kept(open_, "open-buckets"), "bucket").join(sketches, F.col("b") == F.col("doc_id")), "open-members")
-    left, right = _named(members.filter("component <> low"), "a_"), _named(members, "b_")
-    pairs = left.join(right, F.expr(
-        "a_bucket = b_bucket AND a_component <> b_component AND (b_component = b_low OR a_b < b_b) AND " + _may_link("a_", "b_")))
-    return pairs.select(F.least("a_b", "b_b").alias("a"), F.greatest("a_b", "b_b").alias("b")).distinct()
+    rows = kept(rows, "shingles")
+    often = kept(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), "often")
+    order = Window.partitionBy("doc_id", "set").orderBy("often", "shingle")
+    placed = rows.join(often, "shingle").withColumn("place", F.dense_rank().over(order))  # rows of equal sets share places
+    ahead = kept(placed.filter(f"often > 1 AND place <= n - ({PERCENT} * n + 99) div 100 + 1").drop("often"), "ahead")
+    shared = ahead.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("_high")).filter("low < _high")
+    ahead = kept(ahead.join(kept(shared.drop("_high"), "shared"), "shingle"), "meeting")
+    small = _named(ahead.filter(f"place <= n - ({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT} + 1"), "a_")
+    large = _named(ahead, "b_")
+    fits = F.expr(f"""a_shingle = b_shingle AND a_component <> b_component
+        AND (a_n < b_n OR a_n = b_n AND a_doc_id < b_doc_id) AND 100 * a_n >= {PERCENT} * b_n
+        AND {100 + PERCENT} * (least(a_n - a_place, b_n - b_place) + 1) >= {PERCENT} * (a_n + b_n)""")
+    pairs = small.filter("a_component <> a_low").join(large, fits).unionByName(
+        small.filter("a_component = a_low").join(large.filter("b_component <> b_low"), fits))
+    return pairs.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:

@@ -90,17 +90,43 @@ def test_signatures_estimate_similarity():
         assert abs(np.mean(agree) - want) < 0.08
 
 
+def shingle_rows(spark, sets, component=lambda i: i):
+    rows = [(i, component(i), i, len(x), int(v)) for i, x in sets.items() for v in x.view(np.int64)]
+    return spark.createDataFrame(rows, "doc_id long, component long, set long, n long, shingle long")
+
+
 def test_hidden_links_are_found(spark):
     """Two classes link only with each other; the centre of their bucket confirms neither."""
     numbers = np.random.default_rng(2).integers(0, 2**63, 400).astype(np.uint64)
     sets = {0: numbers[:100], 1: numbers[90:190], 2: numbers[95:195], 3: numbers[250:350]}
     starred = spark.createDataFrame([(1, 0, b) for b in range(4)], "bucket long, a long, b long")
-    sketches = spark.createDataFrame([(i, len(x), *m.sketch(x).tolist()) for i, x in sets.items()],
-                                     ["doc_id", "n_shingles", *m._BITS])
     found = spark.createDataFrame([], "node long, component long")
-    assert [tuple(r) for r in m._hidden(starred, sketches, found).collect()] == [(1, 2)]
-    joined = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
-    assert m._hidden(starred, sketches, joined).count() == 0
+    assert sorted(map(tuple, m._open_members(starred, found).collect())) == [(i, i) for i in range(4)]
+    assert [tuple(r) for r in m._hidden(shingle_rows(spark, sets)).collect()] == [(1, 2)]
+    assert m._hidden(shingle_rows(spark, sets, lambda i: min(i, 1))).count() == 0
+
+
+def test_no_hidden_link_is_ruled_out(spark):
+    """Sets drawn from few shingles, so that none is rare: every pair at or above the limit is a candidate."""
+    draw = np.random.default_rng(5)
+    sets = {}
+    for i in range(160):
+        base = np.arange(draw.choice([6, 12, 40])).astype(np.uint64)
+        sets[i] = np.unique(np.append(base[draw.random(len(base)) < 0.93], draw.integers(0, 44, 2).astype(np.uint64)))
+    sets = {i: x for i, x in sets.items() if len(x)}
+    for component in (lambda i: i, lambda i: i % 3):
+        got = {tuple(r) for r in m._hidden(shingle_rows(spark, sets, component)).collect()}
+        want = {(a, b) for a in sets for b in sets if a < b and component(a) != component(b)
+                and linked(set(sets[a].tolist()), set(sets[b].tolist()))}
+        assert want and want <= got
+
+
+def test_texts_just_under_the_limit_make_no_candidates(spark):
+    """A form with parts of each text's own: no two are linked, and however many there are, none is held against another."""
+    form = list(range(200))
+    sets = {i: np.array(form + [1000 * (i + 1) + j for j in range(27)], np.uint64) for i in range(60)}
+    assert not linked(set(sets[0].tolist()), set(sets[1].tolist()))
+    assert m._hidden(shingle_rows(spark, sets)).count() == 0
 
 
 def test_sketches_never_differ_by_more_than_the_sets():
