@@ -3,7 +3,9 @@
 Each rule rejects a document or passes it on.  What a rule costs and how much it
 rejects is measured on a bounded sample; rules then run by rejections per second,
 and the first that rejects ends the work on a document.  The verdict is that any
-rule rejects, so the sample decides how fast it is found, never what it is.
+rule rejects, so the sample decides how fast it is found, never what it is.  Rows
+are drawn at random from all files and measured where they are read; only
+each rule's sums come back.
 
 * A NULL text is an empty one: no words, and too few of them.
 * Repeated rows and ties are judged alike, row by row; no rows, no verdicts.
@@ -20,12 +22,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from fieldscope.llm.common import small_batches
 
 WINDOW = 8
-SAMPLE = 1000  # texts on which costs and rejections are estimated
+SAMPLE = 1000  # texts, about so many, on which costs and rejections are estimated
+_SEED = 20240605
 _BLANK = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _LOWER, _UPPER = bytes(range(97, 123)), bytes(range(65, 91))
@@ -140,17 +143,33 @@ RULES = (*BASE, Rule("full_of_symbols", full_of_symbols), Rule("repeats_lines",
          Rule("odd_word_length", odd_word_length), Rule("shouts", shouts), Rule("stutters", stutters))
 
 
-def by_rejection_per_cost(rules: Iterable[Rule], texts: list[str | None]) -> list[Rule]:
-    """The rules, those first that reject most for the time they take on these texts.
+def measured(rules: Iterable[Rule], texts: Iterable[str | None]) -> dict[str, tuple[int, float]]:
+    """How many of these texts each rule rejects, and the seconds it takes.
 
     Each rule is timed on fresh features, so it pays for all that it asks for.
     """
-    gain = {}
-    for rule in rules:
-        began = time.perf_counter()
-        rejected = sum(rule.rejects(Features(t)) for t in texts)
-        gain[rule.name] = rejected / max(time.perf_counter() - began, 1e-9)
-    return sorted(rules, key=lambda r: -gain[r.name])
+    rules = list(rules)
+    rejected, seconds = dict.fromkeys((r.name for r in rules), 0), dict.fromkeys((r.name for r in rules), 0.0)
+    for text in texts:
+        for rule in rules:
+            began = time.perf_counter()
+            rejected[rule.name] += bool(rule.rejects(Features(text)))
+            seconds[rule.name] += time.perf_counter() - began
+    return {name: (rejected[name], seconds[name]) for name in rejected}
+
+
+def _by_gain(rules: Iterable[Rule], sums: dict[str, tuple[int, float]]) -> list[Rule]:
+    def gain(rule: Rule) -> float:
+        rejected, seconds = sums.get(rule.name, (0, 0.0))
+        return rejected / max(seconds, 1e-9)
+
+    return sorted(rules, key=lambda r: -gain(r))
+
+
+def by_rejection_per_cost(rules: Iterable[Rule], texts: Iterable[str | None]) -> list[Rule]:
+    """The rules, those first that reject most for the time they take on these texts."""
+    rules = list(rules)
+    return _by_gain(rules, measured(rules, texts))
 
 
 def first_rejecting(rules: Iterable[Rule], t: Features) -> str | None:
@@ -158,9 +177,20 @@ def first_rejecting(rules: Iterable[Rule], t: Features) -> str | None:
 
 
 def planned(documents: DataFrame, rules: Iterable[Rule] = RULES) -> list[Rule]:
-    """The order for these documents, from the first SAMPLE texts that a scan yields."""
+    """The order for these documents, from about SAMPLE of all their rows; texts are measured in tasks and stay there."""
     small_batches(documents.sparkSession)
-    return by_rejection_per_cost(rules, [r.text for r in documents.select("text").take(SAMPLE)])
+    rules = list(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = measured(rules, (text.as_py() for batch in batches for text in batch.column(0)))
+        columns = [list(sums), *zip(*sums.values())] if sums else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.float64()))],
+                                         ["rule", "rejected", "seconds"])
+
+    drawn = documents.select("text").sample(min(1.0, SAMPLE / max(1, documents.count())), _SEED)
+    sums = drawn.mapInArrow(run, "rule string, rejected long, seconds double").groupBy("rule").agg(
+        F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
+    return _by_gain(rules, {r.rule: (r.rejected, r.seconds) for r in sums.collect()})
 
 
 _SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "

@@ -65,6 +65,17 @@ PROSE = ("It was late in the year when the letters came, and nobody in the small
          "sent them or why.\nThey lay on the table for days, next to bread and salt, until the youngest opened one.")
 
 
+def test_the_sample_is_drawn_from_all_files(spark, tmp_path, monkeypatch):
+    """Files of prose come first; junk, all of it in capitals, fills the later half."""
+    monkeypatch.setattr(quality, "SAMPLE", 100)
+    rows = [(i, PROSE if i < 1000 else PROSE.upper()) for i in range(2000)]
+    spark.createDataFrame(rows, "i long, text string").coalesce(1).sortWithinPartitions("i").write.option(
+        "maxRecordsPerFile", 100).parquet(str(tmp_path / "sorted"))
+    rules = [quality.Rule("few_words", quality.few_words), quality.Rule("shouts", quality.shouts)]
+    assert [r.name for r in quality.planned(spark.read.parquet(str(tmp_path / "sorted")), rules)] == ["shouts", "few_words"]
+    assert [r.name for r in quality.planned(spark.createDataFrame([], "text string"), rules)] == ["few_words", "shouts"]
+
+
 def test_rules_tell_junk_from_prose():
     def verdict(text):
         return quality.first_rejecting(quality.RULES, quality.Features(text))
