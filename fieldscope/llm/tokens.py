@@ -7,7 +7,8 @@ end after a number of ids, and page indexes are written, so a reader can skip to
 single documents or read metadata without any ids.
 
 * A NULL text is an empty one: only the end id.
-* A NULL doc_id comes last; rows with equal ids follow the order of their texts.
+* A NULL doc_id comes last; rows with equal ids, or none, follow the order of a hash of
+  their texts and metadata, so that many of them fill many files.
 * Repeated rows are encoded each; no rows make no files.
 """
 
@@ -134,9 +135,10 @@ def write(documents: DataFrame, folder: str, metadata: tuple[str, ...] = (), pat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*groups)) or [()] * 5, kinds_)], names)
 
     small_batches(documents.sparkSession)
-    order = [F.col("doc_id").asc_nulls_last()]
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *metadata)
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    rows = rows.withColumn("_tie", F.xxhash64("text", *metadata))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_tie")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").drop("_tie")
     return kept(ordered.mapInArrow(run, _FILES), "token-files")
 
 

@@ -18,25 +18,35 @@ def tokenizer():
     return tokenizers.Tokenizer.from_file(tokens.vocabulary())
 
 
-def expected(tokenizer, rows):
-    at = 0
-    for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, tokens.END]
-        yield doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
-        at += len(ids)
+def expected(tokenizer, rows, got):
+    """Rows of one id, or none, may come in any order; here in that of the result."""
+    coded = [(doc_id, [*tokenizer.encode(text or "", add_special_tokens=False).ids, tokens.END]) for doc_id, text, *_ in rows]
+    coded = [(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in coded]
+    found, at = [(i, n, crc) for i, _, n, crc in got], 0
+    for doc_id, n, crc in sorted(coded, key=lambda r: (r[0] is None, r[0] or 0, found.index(r))):
+        yield doc_id, at, n, crc
+        at += n
 
 
 def test_query_equals_the_tokenizer(spark, tmp_path, tokenizer):
     folder = cases.saved(cases.documents(spark), tmp_path, "documents")
     got = sorted(map(tuple, tokens.op7_token_files(spark, folder).collect()), key=lambda r: r[1])
-    assert got == list(expected(tokenizer, cases.DOCUMENTS))
+    assert got == list(expected(tokenizer, cases.DOCUMENTS, got))
 
 
 def test_benchmark_documents(spark, tokenizer):
     folder = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     got = sorted(map(tuple, tokens.op7_token_files(spark, folder).collect()), key=lambda r: r[1])
-    assert got == list(expected(tokenizer, rows))
+    assert got == list(expected(tokenizer, rows, got))
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_fill_many_files(spark, doc_id):
+    rows = [(doc_id if i % 3 else i, f"text number {i} " * 20) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    groups = tokens.write(docs, new_folder(spark, "tokens-test"))
+    assert max(r.documents for r in groups.collect()) < 450 and tokens.read(groups).count() == 900
 
 
 def test_no_documents(spark, tmp_path):
