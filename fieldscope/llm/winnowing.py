@@ -4,17 +4,20 @@ A window of ``K`` words rolls along the text and gives a hash at each place.  In
 each window of ``W`` neighbouring hashes the smallest is chosen, the rightmost one
 among equals, and kept with its position.  Two texts that share ``K + W - 1`` words
 in a row therefore share a fingerprint at known places, and common runs of fewer
-than ``K`` words never make them alike.
+than ``K`` words never make them alike.  Windows also reach over both ends of a text,
+where they see what there is of them: the first and the last run are always
+chosen, so a change at an end shows, in texts of any length.
 
-A word of more than ``LONG`` code points, as in scripts without white space or in
-encoded data, stands for all its runs of ``PIECE`` code points, one after the other, so
-that every long text has windows; positions count these runs as words.
+A word stands for all its runs of ``PIECE`` code points, one after the other, and for
+itself where it has no more than these: one more code point is one more run.  Hardly
+any word of prose is as long; scripts without white space and encoded data have
+windows this way.  Positions count these runs as words.
 
 Hashes have 64 bits; they are compared by the upper 32, so that hash and position
 fit into one number and the smallest number is the rightmost smallest hash.
 
 * A NULL text is an empty one; without words the fingerprint is empty.
-* Fewer than ``K`` words, or runs of a long word, are one run; fewer than ``W`` runs are one window.
+* Fewer than ``K`` words, or runs of a long word, are hashed as one.
 * Likeness is the Jaccard similarity of the sets of chosen hashes; two empty
   fingerprints have likeness 1.
 * Equal doc_ids follow the order of a hash of their texts; NULL ones come last.
@@ -29,8 +32,7 @@ from fieldscope.llm.common import SPACE, kept, whole_text
 
 K = 5
 W = 8
-LONG = 128
-PIECE = 8
+PIECE = 24
 ROWS = 512  # documents for each range of doc_id, as long as there are no more than RANGES * PARTS of these
 RANGES, PARTS = 512, 256
 _MASK = (1 << 31) - 1  # of a position; a text has fewer words than that
@@ -42,22 +44,22 @@ def fingerprint(df: DataFrame, text: str, prints: str, hashes: str) -> DataFrame
     Each step is a column of its own, so none is computed twice.
     """
     after = [f"get(_w, i + {j})" for j in range(1, K)]
-    beyond = [f"get(_v, i + {j})" for j in range(1, W)]
+    window = [f"get(_v, i + {j})" for j in range(W)]
     bare = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
     df = df.withColumn("_w", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE}+")))
     # The code points of a long word are an array once, bound as a lambda variable; other texts aren't looked at again.
-    next_ = ", ".join(f"get(c, i + {j})" for j in range(1, PIECE))
-    pieces = f"transform(slice(c, 1, size(c) - {PIECE - 1}), (x, i) -> xxhash64(concat(x, {next_})))"
+    pieces = f"transform(slice(c, 1, size(c) - {PIECE - 1}), (x, i) -> xxhash64(array_join(slice(c, i + 1, {PIECE}), '')))"
     long_ = f"flatten(transform(array(regexp_extract_all(w, '(?s).', 0)), c -> {pieces}))"
-    each = f"flatten(transform(_w, w -> if(char_length(w) > {LONG}, {long_}, array(xxhash64(w)))))"
+    each = f"flatten(transform(_w, w -> if(char_length(w) > {PIECE}, {long_}, array(xxhash64(w)))))"
     df = df.withColumn("_w", F.expr(
-        f"if(exists(_w, w -> char_length(w) > {LONG}), {each}, transform(_w, w -> xxhash64(w)))"))
+        f"if(exists(_w, w -> char_length(w) > {PIECE}), {each}, transform(_w, w -> xxhash64(w)))"))
     df = df.withColumn("_g", F.expr(
         f"transform(slice(_w, 1, greatest(size(_w) - {K - 1}, 1)), (w, i) -> xxhash64(w, {', '.join(after)}))"))
     df = df.withColumn("_v", F.expr(
         f"transform(_g, (g, i) -> shiftleft(shiftrightunsigned(g, 32), 31) | ({_MASK}L - i))"))
+    # What a window has beyond an end is NULL, and no least value.
     df = df.withColumn("_v", F.expr(
-        f"array_distinct(transform(slice(_v, 1, greatest(size(_v) - {W - 1}, 1)), (v, i) -> least(v, {', '.join(beyond)})))"))
+        f"if(size(_v) = 0, _v, array_distinct(transform(sequence({1 - W}, size(_v) - 1), i -> least({', '.join(window)}))))"))
     at = f"cast({_MASK}L - (v & {_MASK}L) AS int)"
     df = df.withColumn(prints, F.expr(f"array_join(transform(_v, v -> concat(lower(hex(get(_g, {at}))), ':', {at})), ' ')"))
     df = df.withColumn(hashes, F.expr(f"array_distinct(transform(_v, v -> get(_g, {at})))"))
