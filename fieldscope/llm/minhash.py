@@ -22,7 +22,9 @@ texts of pairs with as few bits as a link allows are compared.
 * Letters A-Z count as small ones.  A NULL or empty text, or one without words, has
   an empty set and no links; fewer than ``width`` words are one shingle.
 * Rows that repeat a doc_id are one document with several texts, and each row stays
-  or goes with it; a NULL doc_id is linked with nothing and kept.
+  or goes with it; a NULL doc_id is linked with nothing and kept.  ``without_near_copies``
+  first takes one row of those with equal doc_id and text, and of those without a doc_id
+  and with equal words none where a document has that text, or else one.
 * No rows, no components.
 """
 
@@ -279,11 +281,34 @@ def op9_minhash(spark, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def single_rows(documents: DataFrame) -> DataFrame:
+    """The documents without rows that come again: of equal doc_id and text one stays, of equal texts no more without doc_id.
+
+    Which one follows from a hash of all columns; rows that have equal ones are interchangeable.  Only
+    keys of rows are counted, and texts that come again are merged before they move.
+    """
+    key = F.sha2(whole_text(), 256)
+    keys = documents.select(F.col("doc_id").alias("_id"), key.alias("_key"), whole_text().rlike(r"[^\x20\x09-\x0D]").alias("_some"))
+    groups = keys.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("_n"), F.first("_some").alias("_some"))
+    many = groups.filter("_id IS NOT NULL AND _n > 1 OR _id IS NULL AND _some")
+    many = kept(many.withColumn("_repeated", F.lit(True)).drop("_n", "_some"), "repeated-rows")
+    if many.isEmpty():
+        return documents
+    owned = kept(keys.join(many.filter("_id IS NULL").select("_key"), "_key", "left_semi").filter("_id IS NOT NULL").select(
+        "_key").distinct(), "owned-texts")
+    rows = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), key.alias("_text"))
+    named = rows.join(many, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
+    once = named.filter("_repeated IS NULL").select("_row")
+    again = named.filter("_repeated").groupBy("_id", "_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    lone = again.filter("_id IS NULL").join(owned, "_key", "left_anti").select("_row")
+    return once.unionByName(again.filter("_id IS NOT NULL").select("_row")).unionByName(lone).select("_row.*")
+
+
 def without_near_copies(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without those that a link, or several, lead to one with a smaller doc_id; all columns."""
     found = near_components(documents, width)
     copies = kept(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct(), "near-copies")
-    return documents.join(copies, documents["doc_id"] == copies["_copy"], "left_anti")
+    return single_rows(documents).join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
 
 
 NEAR_SQL = rf"""

@@ -146,6 +146,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rows_that_come_again_go(spark):
+    long = "a text of more words than five that comes again and again "
+    rows = [(1, long, "en", "a"), (1, long, "de", "b"), (1, "another of the same id with other words in it", "en", "a"),
+            (None, long, None, "c"), (None, long + "unowned", None, "c"), (None, long + "unowned", "x", None),
+            (None, None, None, None), (None, "", None, None), (None, " \n", None, None), (2, None, "en", "a"), (2, "", "fr", "a"), (3, None, "en", "a")]
+    docs = cases.documents(spark, rows)
+    left = m.single_rows(docs)
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert sorted(map(str, ((r.doc_id, r.text or "") for r in got))) == sorted(map(str, [
+        (1, long), (1, "another of the same id with other words in it"), (None, long + "unowned"), (None, ""), (None, ""), (None, " \n"), (2, ""), (3, "")]))
+    assert all(tuple(r) in set(map(tuple, docs.collect())) for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, m.single_rows(docs.repartition(3)).collect()))
+    assert m.single_rows(cases.documents(spark, [])).collect() == []
+
+
 def test_one_document_of_a_group_stays(spark):
     docs = cases.documents(spark, variants())
     left = m.without_near_copies(docs)
