@@ -308,7 +308,8 @@ def without_near_copies(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without those that a link, or several, lead to one with a smaller doc_id; all columns."""
     found = near_components(documents, width)
     copies = kept(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct(), "near-copies")
-    return single_rows(documents).join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    single = single_rows(documents)
+    return single.join(copies, single["doc_id"] == copies["_copy"], "left_anti")
 
 
 NEAR_SQL = rf"""
