@@ -71,18 +71,27 @@ def likeness(a: str, b: str):
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def _ranged(documents: DataFrame) -> DataFrame:
-    """Add ``_range``, a number that rises as doc_id falls: quantile ranges, each cut into parts of equal width."""
+def _bounds(documents: DataFrame) -> tuple[list[int], int]:
+    """Quantiles of doc_id, and into how many parts of equal width each range between two of them is cut.
+
+    They are approximate, and which numbers come out depends on the order in which tasks end: ranges that are to agree need
+    the bounds of one call.
+    """
     found = documents.agg(F.percentile_approx("doc_id", [i / RANGES for i in range(RANGES + 1)], 8 * RANGES).alias("q"),
                           F.count(F.lit(1)).alias("n")).first()
     edges = sorted(set(found.q or []))
     parts = min(PARTS, max(1, found.n // ROWS // max(1, len(edges) - 1)))
     step = max(1, found.n // ROWS) if parts == 1 else RANGES
-    edges = edges[::max(1, len(edges) // step)]
+    return edges[::max(1, len(edges) // step)], parts
+
+
+def _ranged(documents: DataFrame, edges: list[int], parts: int) -> DataFrame:
+    """Add ``_range``, a number that rises as doc_id falls."""
     bounds = F.array(*[F.lit(e) for e in edges]).cast("array<long>") if edges else F.array().cast("array<long>")
     coarse = F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
-    low, high = F.get(bounds, coarse - 1), F.get(bounds, coarse)
-    fine = F.least(F.lit(parts - 1), F.floor((F.col("doc_id") - low).cast("double") / (high - low).cast("double") * parts))
+    # As doubles, since the difference of two ids may be no long.
+    at, low, high = (c.cast("double") for c in (F.col("doc_id"), F.get(bounds, coarse - 1), F.get(bounds, coarse)))
+    fine = F.least(F.lit(parts - 1), F.floor((at - low) / F.nullif(high - low, F.lit(0.0)) * parts))
     number = coarse.cast("long") * parts + F.coalesce(fine, F.lit(0))
     return documents.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(-number).cast("long"))
 
@@ -94,9 +103,10 @@ def with_next(documents: DataFrame) -> DataFrame:
 
     Each range of doc_ids is a group of its own, so the texts are shuffled once and no task sees all of them.
     """
-    rows = _ranged(documents.select("doc_id", whole_text().alias("text"))).withColumn("_tie", F.xxhash64("text"))
+    bounds = _bounds(documents)
+    rows = _ranged(documents.select("doc_id", whole_text().alias("text")), *bounds).withColumn("_tie", F.xxhash64("text"))
     # At most RANGES * PARTS rows, whatever the input: a single task orders them, and they may be broadcast.
-    firsts = _ranged(documents.select("doc_id")).groupBy("_range").agg(F.max("doc_id").alias("_first"))
+    firsts = _ranged(documents.select("doc_id"), *bounds).groupBy("_range").agg(F.max("doc_id").alias("_first"))
     order = Window.orderBy("_range")
     start = F.first("_first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     last = F.lead("_range").over(order).isNull()

@@ -74,6 +74,32 @@ def test_many_ranges_have_the_right_neighbours(spark, tmp_path, monkeypatch):
     assert len(got) == 60 and all(tuple(r) == want[r.doc_id] for r in got)
 
 
+def test_rows_and_firsts_of_ranges_have_the_same_bounds(spark, tmp_path, monkeypatch):
+    """Approximate quantiles come out otherwise when tasks end in another order; here they do so at every call."""
+    monkeypatch.setattr(w, "ROWS", 5)
+    quantiles, calls = w.F.percentile_approx, []
+
+    def shaky(column, places, accuracy):
+        calls.append(column)
+        return quantiles(column, [min(1.0, p + 0.04 * (len(calls) % 2)) for p in places], accuracy)
+
+    monkeypatch.setattr(w.F, "percentile_approx", shaky)
+    rows = [(i * 3, f"text number {i} " * (i % 7 + 1), "en", "a") for i in range(300)]
+    got = w.op2_winnowing(spark, cases.saved(cases.documents(spark, rows), tmp_path, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256").collect()
+    want = {r[0]: r[:3] for r in expected(rows)}
+    assert len(got) == 300 and all(tuple(r) == want[r.doc_id] for r in got) and calls
+
+
+def test_ids_from_end_to_end_of_long(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(w, "RANGES", 2)
+    monkeypatch.setattr(w, "ROWS", 3)
+    rows = [(i * ((1 << 63) // 40), f"text number {i}", "en", "a") for i in range(-40, 40)] + [((1 << 63) - 1, "the last one", "en", "a")]
+    got = w.op2_winnowing(spark, cases.saved(cases.documents(spark, rows), tmp_path, "documents")).collect()
+    want = {r[0]: r for r in expected(rows)}
+    assert len(got) == 81 and all(tuple(r) == want[r.doc_id] for r in got)
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None)], [(None, "a b c", None, None), (None, "d", None, None)], [(5, "just one", "en", "a")]])
 def test_degenerate_tables(spark, tmp_path, rows):
     got = w.op2_winnowing(spark, cases.saved(cases.documents(spark, rows), tmp_path, "documents")).collect()
