@@ -56,3 +56,14 @@ def test_one_export_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", old[1])
     assert found == [r.doi for r in library.dois_from_bib(library.read_bib(spark, str(tmp_path))).orderBy("seq").collect()]
     assert found == [f"10.5/{i}" for i in range(300)]
+
+
+def test_export_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+    from fieldscope.workload import adapters
+    monkeypatch.setattr(adapters, "BIB_ROWS", 10, raising=False)
+    orders = spark.range(95).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey")
+    adapters.land_bib(SimpleNamespace(orders=orders), str(tmp_path / "bib"))
+    files = sorted((tmp_path / "bib").glob("part-*"))
+    assert len(files) == 10
+    assert [int(x.split("{k")[1].split(",")[0]) for f in files for x in f.read_text().split("@")[1:]] == list(range(95))
