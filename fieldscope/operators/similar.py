@@ -57,7 +57,7 @@ def similar_titles(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     words' intersection and union.  Every such pair is there.
     """
     classes = materialize(members.groupBy("class_key").agg(F.min("id").alias("first_id")).select(
-        F.sha2("class_key", 256).alias("key"), "first_id", F.split("class_key", " ").alias("words")))
+        F.unhex(F.sha2("class_key", 256)).alias("key"), "first_id", F.split("class_key", " ").alias("words")))
     ordered = _rarest_first(classes, "key", "words")
     # All words but the last ceil(percent of them) - 1: two sets that share as many have one of these in common.
     entries = _prefixes(ordered, F.expr(f"size - ({percent} * size + 99) div 100 + 1"), [])
@@ -76,13 +76,15 @@ def similar_titles(members: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def title_links(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per item with a title: its class, how many items are in that, and with how many other classes it is linked."""
-    classes = materialize(members.groupBy(F.col("class_key").alias("_key")).agg(
+    # The words' hash stands for them, as in similar_titles, so that they are not shuffled with each item.
+    hashed = members.select("id", F.unhex(F.sha2("class_key", 256)).alias("_item_key"))
+    classes = materialize(hashed.groupBy(F.col("_item_key").alias("_key")).agg(
         F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_same")))
     links = materialize(pairs.select(F.explode(F.array("class_a", "class_b")).alias("_class")).groupBy("_class").agg(
         F.count(F.lit(1)).alias("_links")))
     known = classes.join(links, F.col("class_id") == F.col("_class"), "left").select(
         "_key", "class_id", "n_same", F.coalesce("_links", F.lit(0)).alias("n_links"))
-    return members.join(materialize(known), F.col("class_key") == F.col("_key")).select("id", "class_id", "n_same", "n_links")
+    return hashed.join(materialize(known), F.col("_item_key") == F.col("_key")).select("id", "class_id", "n_same", "n_links")
 
 
 # --- names ---------------------------------------------------------------------

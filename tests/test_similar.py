@@ -113,3 +113,12 @@ def test_grams_are_a_set(spark, words):
     df = spark.createDataFrame([(w,) for w in words], "key string")
     for r in df.select("key", similar._grams(df["key"]).alias("g")).collect():
         assert len(set(r.g)) == len(r.g) == len(r.key) + similar.GRAM - 1
+
+
+def test_links_join_on_a_hash_of_the_words(spark):
+    from conftest import plan_of
+    items = spark.createDataFrame([(str(i), f"one two three four five{i % 3}") for i in range(9)], "id string, title string")
+    members = similar.title_classes(items)
+    found = similar.title_links(members, similar.similar_titles(members))
+    moved = [line for line in plan_of(found).splitlines() if "Join" in line or "Exchange" in line]
+    assert moved and not any("class_key" in line for line in moved) and found.count() == 9
