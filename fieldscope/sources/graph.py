@@ -43,7 +43,8 @@ class WorkGraph:
         return self.spark.table(self._registered(table)).drop("sweep")
 
     def add(self, works: DataFrame, sweep: int) -> None:
-        """Store nested works that no earlier sweep has stored, and their edges."""
+        """Store nested works that no earlier sweep has stored, and their edges.  ``works`` are read for each table:
+        they should be a written table."""
         for table, (columns, key, rows) in _TABLES.items():
             name = self._registered(table)
             self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (sweep = {sweep})")

@@ -54,3 +54,15 @@ def test_stored_citations_are_not_shuffled(spark, tmp_path):
         assert {r.work_id for r in found.collect()} == {"W2", "W6", "W7", "W14", "W15"}
     finally:
         spark.conf.set(key, before)
+
+
+def test_stored_discovery_builds_its_works_once(spark, tmp_path, monkeypatch):
+    from fieldscope.workload import queries
+    spark.range(20).selectExpr("id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "timestamp'2001-07-01' AS o_orderdate",
+                               "if(id < 5, '1-URGENT', '5-LOW') AS o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(40).selectExpr("id % 20 AS l_orderkey", "id AS l_linenumber", "id % 3 AS l_suppkey", "id % 7 AS l_partkey").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    added, real = [], WorkGraph.add
+    monkeypatch.setattr(WorkGraph, "add", lambda self, works, sweep: added.append(plan_of(works)) or real(self, works, sweep))
+    assert queries.all_queries()["library_discovery_stored"](spark, str(tmp_path)).count() > 0
+    assert len(added) == 3 and not any("Join" in plan or "Aggregate" in plan for plan in added)
