@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -32,13 +33,28 @@ def run_to_end(writer) -> StreamingQuery:
     return query
 
 
+def run_to_end_in(spark: SparkSession, writer, partitions: int) -> StreamingQuery:
+    """``run_to_end`` with shuffles, and a state, of so many partitions at most.  A query takes the settings of its session as
+    it starts; a checkpoint that is there keeps its number."""
+    key = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(usual), partitions)))
+    try:
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, usual)
+    query.awaitTermination()
+    return query
+
+
 def with_batch_id(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
 
 
 def per_batch(stream: DataFrame, checkpoint: str, action: Callable[[DataFrame, int], None],
-              mode: str = "append") -> StreamingQuery:
-    return run_to_end(stream.writeStream.foreachBatch(action).outputMode(mode).option("checkpointLocation", checkpoint))
+              mode: str = "append", partitions: int | None = None) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(action).outputMode(mode).option("checkpointLocation", checkpoint)
+    return run_to_end(writer) if partitions is None else run_to_end_in(stream.sparkSession, writer, partitions)
 
 
 def sweep_stream(stream: DataFrame, table: str, checkpoint: str, order) -> StreamingQuery:
@@ -65,6 +81,9 @@ def sweep_indexed(stream: DataFrame, table: str, checkpoint: str, order, keys: K
     As in ``sweep_stream`` a micro-batch owns one folder and may run again.  The ids that it stores are added to ``keys`` under
     its number, with the month of ``time``.  ``look_back`` puts ``dedupe_recent`` before that, so that what is delivered again soon
     is stopped by a bounded state, and the index is asked only for the rest.
+
+    The state has as many partitions as the index has buckets, or fewer: each is a file to write in every micro-batch, and
+    rows meet the buckets where the state leaves them.
     """
     if look_back is not None:
         stream = dedupe_recent(stream, ["id"], look_back, arrived)
@@ -72,12 +91,17 @@ def sweep_indexed(stream: DataFrame, table: str, checkpoint: str, order, keys: K
 
     def action(batch: DataFrame, batch_id: int) -> None:
         spark, folder = batch.sparkSession, f"{table.rstrip('/')}/batch_id={batch_id}"
-        known = KeyStore(spark, keys.path, keys.buckets, keys.merge_runs, keys.named)
+        known = keys.of(spark)
         known.merge(before=batch_id)
-        known.without_known(dedupe_first(batch, order), before=batch_id).write.mode("overwrite").parquet(folder)
+        batch.persist()  # the look-up reads it twice, and would run the state twice
+        try:
+            batch.count()  # all of it at once, as a look-up begins with one partition
+            known.without_known(dedupe_first(batch, order), before=batch_id).write.mode("overwrite").parquet(folder)
+        finally:
+            batch.unpersist()
         known.add(spark.read.schema(batch.schema).parquet(folder).select("id", month.alias("month")), batch_id)
 
-    return per_batch(stream, checkpoint, action)
+    return per_batch(stream, checkpoint, action, partitions=keys.buckets)
 
 
 ARRIVED = "_arrived"
