@@ -20,6 +20,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached(spark):
+    """Frames that a module cached are no part of the next one's session."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture
 def one(spark):
     """Evaluate a column expression over one row of named values."""
